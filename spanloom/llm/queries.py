@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm.bpe import op5_bpe
+from spanloom.llm.embeddings import op3_embedding_dedup
+from spanloom.llm.html import op10_html_extraction
 from spanloom.llm.langid import op4_language_id
+from spanloom.llm.minhash import op1_minhash_dedup
 from spanloom.llm.tokenstore import op7_token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_language_id": op4_language_id,
     "op5_bpe": op5_bpe,
     "op7_token_store": op7_token_store,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {}
