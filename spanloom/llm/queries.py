@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm.bpe import op5_bpe
 from spanloom.llm.embeddings import op3_embedding_dedup
+from spanloom.llm.fingerprints import op2_fingerprints
 from spanloom.llm.html import op10_html_extraction
 from spanloom.llm.langid import op4_language_id
 from spanloom.llm.minhash import op1_minhash_dedup
@@ -15,6 +16,7 @@ from spanloom.llm.tokenstore import op7_token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_fingerprints": op2_fingerprints,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_language_id": op4_language_id,
     "op5_bpe": op5_bpe,
