@@ -12,6 +12,7 @@ from spanloom.llm.fingerprints import op2_fingerprints
 from spanloom.llm.html import op10_html_extraction
 from spanloom.llm.langid import op4_language_id
 from spanloom.llm.minhash import op1_minhash_dedup
+from spanloom.llm.pii import op9_pii
 from spanloom.llm.tokenstore import op7_token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_bpe": op5_bpe,
     "op7_token_store": op7_token_store,
+    "op9_pii": op9_pii,
     "op10_html_extraction": op10_html_extraction,
 }
 
