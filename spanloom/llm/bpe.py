@@ -20,6 +20,7 @@ import base64
 import codecs
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -147,7 +148,7 @@ class Transducer:
 class Codec:
     """Whole texts to ids and back. Pieces seen before are looked up; the memory holds max_pieces at most."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 400_000):
         self.machine, self.split, self.max_pieces = Transducer(ranks), splitter(pattern), max_pieces
         self.known: dict[str, bytes] = {}
 
@@ -179,6 +180,12 @@ class Codec:
         return utf8_stream(self.decode_bytes(ids))
 
 
+@lru_cache(maxsize=2)
+def _codec(path: str, pattern: str) -> Codec:
+    """One for each Python worker, so that tasks share the states and pieces it has made."""
+    return Codec(read_ranks(path), pattern)
+
+
 def utf8_stream(chunks: Iterable[bytes]) -> Iterator[str]:
     """Text of byte chunks; bytes of an unfinished character wait for the next chunk, malformed ones become U+FFFD."""
     machine = codecs.getincrementaldecoder("utf-8")("replace")
@@ -199,7 +206,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, text: st
     schema = schema.add("ids_sha256", "string").add("decoded_sha256", "string") if digests else schema.add("ids", "array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(read_ranks(ranks_path), pattern)
+        codec = _codec(ranks_path, pattern)
         for batch in batches:
             n, first, second = [], [], []
             for t in batch.column(len(kept)).to_pylist():

@@ -20,6 +20,7 @@ import io
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -90,18 +91,21 @@ def _keys(column: pa.Array) -> np.ndarray:
 
 
 class PieceEncoder:
-    """Texts to ids with the tokenizers library, each distinct piece encoded once while remembered."""
+    """Texts to ids with the library's byte-level model, each distinct piece encoded once while remembered."""
 
-    def __init__(self, path: str, pattern: str, dtype: str, max_pieces: int = 250_000):
-        from tokenizers import Tokenizer, pre_tokenizers
+    def __init__(self, path: str, pattern: str, max_pieces: int = 400_000):
+        from tokenizers import Tokenizer
 
         from spanloom.llm.pretokens import splitter
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.split, self.dtype, self.max_pieces = splitter(pattern), dtype, max_pieces
+        tokenizer = Tokenizer.from_file(path)
+        self.model = tokenizer.model
+        self.dtype = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.split, self.max_pieces = splitter(pattern), max_pieces
         self.known: dict[str, bytes] = {}
+        # The model's letters for bytes: printable ones stand for themselves, the rest follow U+0100 in order.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(x for x in range(256) if x not in shown)}
 
     def encode(self, text: str) -> bytes:
         pieces, known = self.split(text), self.known
@@ -111,10 +115,21 @@ class PieceEncoder:
             pass
         if len(known) > self.max_pieces:
             known.clear()
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[p] = np.array(e.ids, self.dtype).tobytes()
-        return b"".join([known[p] for p in pieces])
+        letters, tokenize, out = self.letters, self.model.tokenize, []
+        for p in pieces:
+            ids = known.get(p)
+            if ids is None:
+                ids = np.array([t.id for t in tokenize("".join([letters[b] for b in p.encode()]))], self.dtype).tobytes()
+                if len(p) < 64:
+                    known[p] = ids
+            out.append(ids)
+        return b"".join(out)
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str, pattern: str) -> PieceEncoder:
+    """One for each Python worker, so that tasks share what it remembers."""
+    return PieceEncoder(path, pattern)
 
 
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, pattern: str, *, key: str = "doc_id", text: str = "text", end_id: int | None = 2, shards: int | None = None) -> DataFrame:
@@ -129,16 +144,15 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, pattern: str, *
     ordered = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).repartitionByRange(shards, "k").sortWithinPartitions("k", "t")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
         shard, encoder, out = TaskContext.get().partitionId(), None, None
         keys, sizes, low, high, seen = [], [], None, None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             if out is None:
-                dtype = "<u2" if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 else "<u4"
-                encoder, end = PieceEncoder(tokenizer_path, pattern, dtype), b"" if end_id is None else np.array([end_id], dtype).tobytes()
+                encoder = _encoder(tokenizer_path, pattern)
+                dtype = encoder.dtype
+                end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
                 store, place = pafs.FileSystem.from_uri(path)
                 store.create_dir(place, recursive=True)
                 name = f"{shard:06d}-{uuid.uuid4().hex}"
