@@ -12,6 +12,8 @@ from spanloom.llm.fingerprints import op2_fingerprints
 from spanloom.llm.html import op10_html_extraction
 from spanloom.llm.langid import op4_language_id
 from spanloom.llm.minhash import op1_minhash_dedup
+from spanloom.llm import mixing
+from spanloom.llm.mixing import op6_mixing
 from spanloom.llm.pii import op9_pii
 from spanloom.llm.tokenstore import op7_token_store
 
@@ -21,9 +23,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_language_id": op4_language_id,
     "op5_bpe": op5_bpe,
+    "op6_mixing": op6_mixing,
     "op7_token_store": op7_token_store,
     "op9_pii": op9_pii,
     "op10_html_extraction": op10_html_extraction,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.SQL}
