@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanloom.llm.shared import table
+from spanloom.llm.shared import cut, table
 
 _MARK = np.uint64(0x1FFFFF)
 _ALPHA: list[np.ndarray] = []
 _STEP = 1 << 19
+BROADCAST_ROWS = 10_000
 
 
 def _alpha() -> np.ndarray:
@@ -73,7 +74,9 @@ def learn_profiles(train: DataFrame, *, text: str = "text", lang: str = "lang",
     Counting runs on the executors; what returns is ``length`` codes a language.
     """
     rows = train.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
-    sizes = rows.groupBy("l").agg((F.lit(float(per_language)) / F.count("*")).alias("rate"))
+    sizes = cut(rows.groupBy("l").agg((F.lit(float(per_language)) / F.count("*")).alias("rate")))
+    if sizes.count() <= BROADCAST_ROWS:  # so that texts stay where they are; a longer list of languages takes a shuffle
+        sizes = F.broadcast(sizes)
     share = (F.xxhash64("t").bitwiseAND(F.lit((1 << 20) - 1))) / F.lit(float(1 << 20))
     chosen = rows.join(sizes, "l").where(share < F.col("rate")).select("l", "t")
 
