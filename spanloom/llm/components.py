@@ -25,6 +25,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _is_final(edges: DataFrame) -> bool:
+    """Whether every node has one parent, or is one, and not both."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("child")).union(edges.select(F.col("b").alias("node"), F.lit(0).alias("child")))
+    roles = ends.groupBy("node").agg(F.sum("child").alias("up"), F.min("child").alias("low"))
+    return not roles.where("up > 1 or (up = 1 and low = 0)").take(1)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Rows (node, component) for every node of the undirected edges (a, b).
 
@@ -33,12 +40,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     a, b = F.greatest("a", "b"), F.least("a", "b")
     now = cut(edges.where("a is not null and b is not null and a <> b").select(a.alias("a"), b.alias("b")).distinct())
-    mark = None
     for _ in range(max_rounds):
-        now = cut(_small_star(_large_star(now)))
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == mark or state[0] == 0:
+        if _is_final(now):
             break
-        mark = state
+        now = cut(_small_star(_large_star(now)))
     members = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return members.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -128,8 +128,8 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     of_class = classes.select("label", "v", "cls", "copies").join(links, "cls", "left").join(groups, "cls", "left")
     of_class = of_class.select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "cls").alias("c"))
     out = coded.select("id", "label", "v").join(of_class, ["label", "v"], "left")
-    component = F.coalesce("c", "id")
-    return out.select(F.col("id").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
+    return out.select(F.col("id").alias(key), F.when(F.col("id").isNotNull(), F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def op3_embedding_dedup(spark, sf_dir: str) -> DataFrame:

@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     roots = at_class.select(F.explode(F.sequence(F.lit(1).cast("long"), F.lit(trees).cast("long"))).alias("node"), "cls", "sig")
     level = roots.mapInArrow(_branch(threshold, 1, seed), "node long, cls long").withColumn("comp", F.col("cls"))
-    links, texts = None, None
+    comps, texts = None, None
     for depth in range(rounds):
         nodes = level.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("node", "size")
         live = stored(level.join(nodes, "node").join(at_class, "cls").select("node", "cls", "comp", "n", "sig", "size"), f"nodes{depth}")
@@ -236,19 +236,18 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         if more:
             pairs = pairs.union(_star_pairs(large, floor))
         pairs = stored(pairs.distinct(), f"pairs{depth}")
-        links = _verified(pairs, texts, links, words, percent)
+        comps = _verified(pairs, texts, comps, words, percent)
         if not more:
             break
-        comps = components(links)
         left = large.select("node", "cls", "sig").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
         mixed = left.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("node")
         level = left.join(mixed, "node").select("node", "cls", "sig").mapInArrow(_branch(threshold, 3, seed + depth + 1), "node long, cls long")
         level = cut(level.distinct().join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("node", "cls", F.coalesce("component", "cls").alias("comp")))
 
-    reach = components(links).withColumnRenamed("node", "cls")
+    reach = comps.withColumnRenamed("node", "cls")
     of_class = classes.select("digest", "cls").join(reach, "cls", "left").select("digest", F.coalesce("component", "cls").alias("c"))
     out = described.select("id", "n", "digest").join(of_class, "digest", "left")
-    component = F.coalesce("c", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
@@ -266,16 +265,19 @@ def _star_pairs(large: DataFrame, floor: float) -> DataFrame:
     return near.select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, links: DataFrame | None, words: int, percent: int) -> DataFrame:
-    """links and the confirmed pairs: first each document's pair with its least partner, then those that still join components."""
+def _verified(pairs: DataFrame, texts: DataFrame, comps: DataFrame | None, words: int, percent: int) -> DataFrame:
+    """Components (node, component) with the confirmed pairs: first each document's pair with its least partner, then those that would still join two."""
+
+    def joined(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+        return components(links if comps is None else links.union(comps.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    found = cut(confirm_links(first, texts, words=words, percent=percent))
-    links = found if links is None else links.union(found)
-    comps = components(links)
+    comps = joined(comps, confirm_links(first, texts, words=words, percent=percent))
     side = {s: comps.select(F.col("node").alias(s), F.col("component").alias(f"c{s}")) for s in "ab"}
     apart = pairs.join(first, ["a", "b"], "left_anti").join(side["a"], "a", "left").join(side["b"], "b", "left")
     rest = apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    return cut(links.union(confirm_links(rest, texts, words=words, percent=percent)))
+    found = cut(confirm_links(rest, texts, words=words, percent=percent))
+    return joined(comps, found) if found.take(1) else comps
 
 
 def op1_minhash_dedup(spark, sf_dir: str) -> DataFrame:
