@@ -202,16 +202,15 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     d = zstandard.ZstdDecompressor()
     for batch in batches:
         out: list[tuple] = []
-        for key, tag, z, rows in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        for key, tag, z, rows in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
             data = d.decompress(z)
-            for r in rows:
-                first, more = r["first"], r["more"]
-                if r["deals"] == 1:
-                    out.append((r["anchor"], 0, key, tag, first, data[first : first + more + WIDTH]))
+            for anchor, first, more, deals in zip(*(rows.values.field(k).to_pylist() for k in range(4))):
+                if deals == 1:
+                    out.append((anchor, 0, key, tag, first, data[first : first + more + WIDTH]))
                 else:
                     for s in range(first, first + more + 1):
                         string = data[s : s + WIDTH]
-                        out.append((r["anchor"], 1 + xxhash.xxh3_64_intdigest(string) % r["deals"], key, tag, s, string))
+                        out.append((anchor, 1 + xxhash.xxh3_64_intdigest(string) % deals, key, tag, s, string))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["anchor", "deal", "key", "tag", "first", "bytes"])
 
@@ -258,25 +257,45 @@ def repeated_strings(pieces: list[bytes], keys: list[int]) -> list[tuple[int, in
     return [tuple(x) for x in out]
 
 
-def _worth(pieces: list[bytes], keys: list[int]) -> list[int]:
-    """Pieces with a string whose hash occurs under two keys; others have nothing to compare."""
-    hashes = [rolling(np.frombuffer(p, np.uint8), WIDTH) for p in pieces]
-    sizes = [len(h) for h in hashes]
-    h, key, piece = np.concatenate(hashes), np.repeat(np.array(keys), sizes), np.repeat(np.arange(len(pieces)), sizes)
+def _shared(pieces: list[bytes], keys: list[int]) -> list[tuple[int, int, int]]:
+    """(piece, first, last) from the first to the last string whose hash occurs under two keys; pieces without one drop out."""
+    sizes = np.array([len(p) for p in pieces])
+    n = sizes - WIDTH + 1
+    begin = np.cumsum(sizes) - sizes
+    piece = np.repeat(np.arange(len(pieces)), n)
+    start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    h, key = rolling(np.frombuffer(b"".join(pieces), np.uint8), WIDTH)[begin[piece] + start], np.array(keys)[piece]
     order = np.argsort(h, kind="stable")
-    starts = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
-    mixed = np.minimum.reduceat(key[order], starts) < np.maximum.reduceat(key[order], starts)
-    return np.unique(piece[order][np.repeat(mixed, np.diff(np.r_[starts, len(h)]))]).tolist()
+    runs = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
+    mixed = np.minimum.reduceat(key[order], runs) < np.maximum.reduceat(key[order], runs)
+    hit = np.sort(order[np.repeat(mixed, np.diff(np.r_[runs, len(h)]))])
+    if not len(hit):
+        return []
+    heads = np.flatnonzero(np.r_[True, piece[hit][1:] != piece[hit][:-1]])
+    tails = np.r_[heads[1:], len(hit)] - 1
+    return list(zip(piece[hit[heads]].tolist(), start[hit[heads]].tolist(), start[hit[tails]].tolist()))
 
 
 def _sort_suffixes(most: int = 1 << 18):
-    """Pieces, sorted by (anchor, deal), to ranges. Groups are sorted together, up to ``most`` bytes or one group."""
+    """Pieces, sorted by (anchor, deal), to ranges. Groups are sorted together, up to ``most`` bytes or one group.
+
+    Pieces are cut to what may be shared. Of equal ones the smallest key's
+    stands for all, and the others are copies as a whole.
+    """
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
-        good = _worth([r[4] for r in rows], [r[1] for r in rows])
-        rows = [rows[i] for i in good]
-        found = repeated_strings([r[4] for r in rows], [r[1] for r in rows]) if rows else []
-        cols = [[rows[k][c] for k, _, _ in found] for c in (1, 2)] + [[rows[k][3] + a for k, a, _ in found], [b - a for _, a, b in found]]
+        found: list[tuple[int, int, int, int]] = []
+        alike: dict[bytes, list[tuple[int, int, int]]] = {}
+        for k, first, last in _shared([r[4] for r in rows], [r[1] for r in rows]):
+            _, key, tag, base, piece = rows[k]
+            alike.setdefault(piece[first : last + WIDTH], []).append((key, tag, base + first))
+        least = {piece: min(owners)[0] for piece, owners in alike.items()}
+        for piece, owners in alike.items():
+            found += [(key, tag, first, len(piece) - WIDTH) for key, tag, first in owners if key > least[piece]]
+        pieces = list(alike)
+        for k, a, b in repeated_strings(pieces, [least[p] for p in pieces]):
+            found += [(key, tag, first + a, b - a) for key, tag, first in alike[pieces[k]] if key == least[pieces[k]]]
+        cols = list(zip(*found)) if found else [()] * 4
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.int32()) for c in cols[1:])], _RANGES[:4])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
