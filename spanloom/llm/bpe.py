@@ -25,6 +25,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType
 
 from spanloom.llm.pretokens import splitter
 from spanloom.llm.shared import table
@@ -203,7 +204,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, text: st
     new = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids"]
     kept = [c for c in docs.columns if c != text and c not in new]
     schema = docs.select(*kept).schema.add("n_tokens", "long")
-    schema = schema.add("ids_sha256", "string").add("decoded_sha256", "string") if digests else schema.add("ids", "array<int>")
+    schema = schema.add("ids_sha256", "string").add("decoded_sha256", "string") if digests else schema.add("ids", ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks_path, pattern)
