@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from spanloom.plans import interval_queries, match_queries
+from spanloom.plans import coverage_queries, interval_queries, io_queries, match_queries, protocol_queries, scalar_queries, usage_queries
 
-_MODULES = (interval_queries, match_queries)
+_MODULES = (interval_queries, match_queries, coverage_queries, scalar_queries, usage_queries, protocol_queries, io_queries)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}
