@@ -21,11 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.components import components
-from spanloom.llm.shared import cut, partitions, stored, table
+from spanloom.llm.shared import by_batch, cut, partitions, stored, table
 
 COORDINATES = 64
 
@@ -169,15 +170,22 @@ def _star(floor: float):
     return run
 
 
+def _squeeze(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(id, text) with the text compressed, for the shuffles."""
+    c = zstandard.ZstdCompressor(level=3)
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.compress((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())], ["id", "text"])
+
+
 def _confirm(words: int, percent: int):
-    """Rows (a, salt, b, text) sorted so that a's own row is first: pairs (a, b) whose sets are similar enough."""
+    """Rows (a, salt, b, compressed text) sorted so that a's own row is first: pairs (a, b) whose sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, now, base = Shingler(words), None, None
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out_a, out_b = [], []
             for a, b, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                s = shingler.shingles(t)
+                s = shingler.shingles(unpack(t).decode())
                 if a == b:
                     now, base = a, s
                 elif a == now and len(s) and len(base):
@@ -191,7 +199,7 @@ def _confirm(words: int, percent: int):
 
 
 def confirm_links(pairs: DataFrame, texts: DataFrame, *, words: int = 5, percent: int = 85, spread: int = 256) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union of their full sets. texts has (cls, text)."""
+    """The pairs (a, b) with 100 * intersection >= percent * union of their full sets. texts has (cls, compressed text)."""
     salted = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(spread)).cast("int").alias("salt"), "b")
     degree = salted.groupBy("a").agg(F.ceil(F.count("*") / spread).cast("int").alias("salts"))
     salted = salted.join(degree, "a").select("a", F.pmod("salt", F.col("salts")).alias("salt"), "b")
@@ -201,7 +209,7 @@ def confirm_links(pairs: DataFrame, texts: DataFrame, *, words: int = 5, percent
     return dealt.mapInArrow(_confirm(words, percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 85, words: int = 5, trees: int = 10, small: int = 48, rounds: int = 4, seed: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 85, words: int = 5, trees: int = 10, small: int = 48, rounds: int = 3, seed: int = 3) -> DataFrame:
     """Rows (key, n_shingles, component_id, kept) for every row of docs.
 
     Null texts and texts without words have no shingles and no links. Repeated
@@ -224,7 +232,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         live = stored(level.join(nodes, "node").join(at_class, "cls").select("node", "cls", "comp", "n", "sig", "size"), f"nodes{depth}")
         if texts is None:
             wanted = live.select(F.col("cls").alias("id")).distinct()
-            texts = stored(rows.where("id is not null").join(wanted, "id", "left_semi").groupBy("id").agg(F.max("t").alias("text")).select(F.col("id").alias("cls"), "text"), "texts")
+            packed = rows.where("id is not null").mapInArrow(by_batch(_squeeze), "id long, text binary")
+            texts = stored(packed.join(wanted, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")).select(F.col("id").alias("cls"), "text"), "texts")
         last = depth == rounds - 1
         parts = F.when(F.lit(last), F.ceil(F.col("size") / small)).otherwise(F.lit(1)).cast("int")
         placed = live.where(F.lit(last) | (F.col("size") <= small)).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("cls", "node"), F.col("parts")).cast("int"))
@@ -253,7 +262,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 def _star_pairs(large: DataFrame, floor: float) -> DataFrame:
     """Pairs of the members of large nodes with about a dozen of them, and with the two most central ones."""
-    share = F.xxhash64("cls", "node").bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
+    share = F.xxhash64("cls").bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))  # the same members in all nodes
     some = large.where(share < 12.0 / F.col("size")).groupBy("node").agg(F.collect_list(F.struct("cls", "sig")).alias("pivots"))
     schema = "node long, cls long, mean double, near array<long>"
     first = cut(large.select("node", "cls", "sig").join(some, "node").mapInArrow(_star(floor), schema))
@@ -275,7 +284,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, comps: DataFrame | None, words
     comps = joined(comps, confirm_links(first, texts, words=words, percent=percent))
     side = {s: comps.select(F.col("node").alias(s), F.col("component").alias(f"c{s}")) for s in "ab"}
     apart = pairs.join(first, ["a", "b"], "left_anti").join(side["a"], "a", "left").join(side["b"], "b", "left")
-    rest = apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    rest = cut(apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
+    if not rest.take(1):
+        return comps
     found = cut(confirm_links(rest, texts, words=words, percent=percent))
     return joined(comps, found) if found.take(1) else comps
 
