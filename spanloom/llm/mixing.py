@@ -134,6 +134,6 @@ given_root AS (SELECT floor(coalesce(sum(has), 0) * {SHARE}::DOUBLE)::BIGINT AS
 {','.join(_level_sql(k, _case(level, level[2:])) for k, level in enumerate(TREE))},
 spent AS (SELECT domain, lang, source, floor(amount / has)::BIGINT AS whole, amount - floor(amount / has)::BIGINT * has AS rest FROM leaves JOIN given2 USING (domain, lang, source) WHERE has > 0),
 again AS (SELECT docs.*, whole, rest, unnest(range(0, whole + 1)) AS epoch FROM docs JOIN spent USING (domain, lang, source)),
-running AS (SELECT *, sum(n) OVER (PARTITION BY domain, lang, source, epoch ORDER BY md5('{SEED}|' || epoch || '|' || coalesce(doc_id::VARCHAR, 'null')), text ROWS UNBOUNDED PRECEDING) AS upto FROM again)
+running AS (SELECT *, sum(n) OVER (PARTITION BY domain, lang, source, epoch ORDER BY md5('{SEED}|' || epoch || '|' || coalesce(doc_id::VARCHAR, 'null')), text NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto FROM again)
 SELECT doc_id, domain, lang, source, n AS n_tokens, epoch::BIGINT AS epoch FROM running WHERE epoch < whole OR upto <= rest
 """
