@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from spanloom.llm.shared import table
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|select|object|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|select|object|math)\b(?:(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*>).*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>|[^<>]*>)|<[!?][^>]*>",
     re.S | re.I,
 )
 _BLOCK = frozenset(
@@ -35,6 +35,7 @@ _NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|side-?bar\w*|footer\w*|masthead|breadcrumbs?|cookies?|consent|gdpr|notices?|alerts?|pop-?up|modal|comments?|commentary|disqus|repl(?:y|ies)|responses|share|sharing|social|related|recommend\w*|newsletter|subscribe|sign-?up|log-?in|search\w*|widgets?|pagination|pager|skip\w*)(?:$|[\s_-])",
     re.I,
 )
+_HEADER = re.compile(r"(?:^|[\s_-])(?:header|top-?bar|page-?top)(?:$|[\s_-])", re.I)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 
@@ -48,6 +49,8 @@ def _walled(name: str, attrs: str, inside: bool) -> bool:
         value, key = a or b or c, key.lower()
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
             return True
+        if not inside and key in ("class", "id") and _HEADER.search(value):
+            return True
         if (key == "role" and value.lower() in _ROLES) or (key in ("class", "id") and _NAMED.search(value)):
             return True
     return False
@@ -66,11 +69,12 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
         closing = bool(m[2])
         if name == "article" and closing:
             articles = max(0, articles - 1)
-        if not closing and name not in _VOID and not m[4].rstrip().endswith("/"):
+        attrs = m[4][:-1].rstrip()
+        if not closing and name not in _VOID and not attrs.endswith("/"):
             if walls:
                 if name == walls[-1][0]:
                     walls[-1][1] += 1
-            elif _walled(name, m[4], articles > 0):
+            elif _walled(name, attrs, articles > 0):
                 walls.append([name, 1])
         out.append((name, "/" if closing else "", articles > 0, bool(walls)))
         if closing and walls and name == walls[-1][0]:
