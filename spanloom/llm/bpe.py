@@ -39,7 +39,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encodes single pieces of bytes by merge ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 50_000):
         self.ranks, self.max_states = ranks, max_states
         self.size = {i: len(t) for t, i in ranks.items()}
         self.bytes = {i: t for t, i in ranks.items()}
@@ -85,7 +85,7 @@ class Transducer:
     def _pair(self, a: int, b: int) -> bool:
         ok = self.stable.get((a, b))
         if ok is None:
-            if len(self.stable) > 2_000_000:
+            if len(self.stable) > 300_000:
                 self.stable.clear()
             ok = self.stable[a, b] = self._merge(self.bytes[a] + self.bytes[b]) == [self.bytes[a], self.bytes[b]]
         return ok
@@ -149,7 +149,7 @@ class Transducer:
 class Codec:
     """Whole texts to ids and back. Pieces seen before are looked up; the memory holds max_pieces at most."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 200_000):
         self.machine, self.split, self.max_pieces = Transducer(ranks), splitter(pattern), max_pieces
         self.known: dict[str, bytes] = {}
 

@@ -34,7 +34,7 @@ COORDINATES = 64
 class Shingler:
     """Sets of hashed shingles, and their signatures."""
 
-    def __init__(self, words: int, seed: int = 11, memory: int = 400_000):
+    def __init__(self, words: int, seed: int = 11, memory: int = 200_000):
         rng = np.random.default_rng(seed)
         self.words, self.memory, self.known = words, memory, {}
         self.powers = rng.integers(1, 1 << 63, words + 1, np.uint64) * np.uint64(2) + np.uint64(1)
