@@ -16,8 +16,9 @@ document with a smaller key. Texts of all documents are never sorted together:
 4. The removed ranges of a document are joined and cut out of its text.
 
 Records are packed column by column into blobs, one for each batch and range of
-hashes, and texts travel compressed. Anchors with very many different stretches
-are cut into their single strings, dealt by their hash.
+hashes, and texts travel compressed. The stretches of anchors with very many
+different ones are cut into their single strings, which are never sorted: the
+least key of each string is aggregated and the occurrences of larger keys go.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -197,22 +197,41 @@ def _squeeze(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.compress(t.encode()) for t in batch.column(2).to_pylist()], pa.binary())], ["key", "tag", "z"])
 
 
-def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, tag, z, stretches) to (anchor, deal, key, tag, first, bytes); stretches with several deals give their strings one by one."""
+def _cut_out(batches: Iterator[pa.RecordBatch], most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """(key, tag, z, stretches) to (anchor, deals, key, tag, first, bytes); stretches with deals give their strings one by one."""
     d = zstandard.ZstdDecompressor()
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+
+    def pack(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["anchor", "deals", "key", "tag", "first", "bytes"])
+
     for batch in batches:
         out: list[tuple] = []
         for key, tag, z, rows in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
             data = d.decompress(z)
             for anchor, first, more, deals in zip(*(rows.values.field(k).to_pylist() for k in range(4))):
-                if deals == 1:
-                    out.append((anchor, 0, key, tag, first, data[first : first + more + WIDTH]))
+                if deals:
+                    out += [(anchor, deals, key, tag, s, data[s : s + WIDTH]) for s in range(first, first + more + 1)]
                 else:
-                    for s in range(first, first + more + 1):
-                        string = data[s : s + WIDTH]
-                        out.append((anchor, 1 + xxhash.xxh3_64_intdigest(string) % deals, key, tag, s, string))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["anchor", "deal", "key", "tag", "first", "bytes"])
+                    out.append((anchor, 0, key, tag, first, data[first : first + more + WIDTH]))
+                if len(out) >= most:
+                    yield pack(out)
+                    out = []
+        yield pack(out)
+
+
+def _later(strings: DataFrame) -> DataFrame:
+    """Ranges of the single strings (deals, key, tag, first, bytes) that a smaller key has too.
+
+    A string's occurrences are dealt by their place, so no task meets all of a
+    frequent one: each deal finds its least and greatest key, these give the
+    string's, and they go back to the deals.
+    """
+    dealt = strings.select("bytes", F.pmod(F.xxhash64("key", "tag", "first"), F.col("deals")).alias("deal"), "key", "tag", "first")
+    deals = dealt.groupBy("bytes", "deal").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    least = deals.groupBy("bytes").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("bytes", "least")
+    told = deals.join(least, "bytes").where("high > least").select("bytes", "deal", "least")
+    return dealt.join(told, ["bytes", "deal"]).where("key > least").select("key", "tag", "first", F.lit(0).alias("more"))
 
 
 def repeated_strings(pieces: list[bytes], keys: list[int]) -> list[tuple[int, int, int]]:
@@ -277,7 +296,7 @@ def _shared(pieces: list[bytes], keys: list[int]) -> list[tuple[int, int, int]]:
 
 
 def _sort_suffixes(most: int = 1 << 18):
-    """Pieces, sorted by (anchor, deal), to ranges. Groups are sorted together, up to ``most`` bytes or one group.
+    """Pieces, sorted by anchor, to ranges. Groups are sorted together, up to ``most`` bytes or one group.
 
     Pieces are cut to what may be shared. Of equal ones the smallest key's
     stands for all, and the others are copies as a whole.
@@ -302,11 +321,11 @@ def _sort_suffixes(most: int = 1 << 18):
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for a, d, key, tag, first, piece in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if size >= most and held[-1][0] != (a, d):
+            for a, key, tag, first, piece in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if size >= most and held[-1][0] != a:
                     yield settle(held)
                     held, size = [], 0
-                held.append(((a, d), key, tag, first, piece))
+                held.append((a, key, tag, first, piece))
                 size += len(piece)
         if held:
             yield settle(held)
@@ -357,12 +376,12 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     open_ = ranges.where("anchor is not null")
     crowd = open_.groupBy("anchor").count().where(F.col("count") > hot).select("anchor", F.ceil(F.col("count") * 16 / hot).cast("int").alias("deals"))
-    wanted = open_.join(crowd, "anchor", "left").select("key", "tag", F.struct("anchor", "first", "more", F.coalesce("deals", F.lit(1)).alias("deals")).alias("r"))
+    wanted = open_.join(crowd, "anchor", "left").select("key", "tag", F.struct("anchor", "first", "more", F.coalesce("deals", F.lit(0)).alias("deals")).alias("r"))
     wanted = wanted.groupBy("key", "tag").agg(F.collect_list("r").alias("rs"))
     packed = keyed.mapInArrow(lambda it: (_squeeze(b) for b in it if b.num_rows), "key long, tag int, z binary")
-    pieces = packed.join(wanted, ["key", "tag"]).mapInArrow(_cut_out, "anchor long, deal long, key long, tag int, first int, bytes binary")
-    sorted_ = pieces.repartition(n, "anchor", "deal").sortWithinPartitions("anchor", "deal")
-    compared = stored(sorted_.mapInArrow(_sort_suffixes(), "key long, tag int, first int, more int"), "compared")
+    pieces = stored(packed.join(wanted, ["key", "tag"]).mapInArrow(_cut_out, "anchor long, deals long, key long, tag int, first int, bytes binary"), "pieces")
+    sorted_ = pieces.where("deals = 0").select("anchor", "key", "tag", "first", "bytes").repartition(n, "anchor").sortWithinPartitions("anchor")
+    compared = stored(sorted_.mapInArrow(_sort_suffixes(), "key long, tag int, first int, more int").union(_later(pieces.where("deals > 0"))), "compared")
 
     # A document lists each of its stretches at most once a step, so its list is as long as its text at most.
     gone = ranges.where("anchor is null").select("key", "tag", "first", "more").union(compared)

@@ -226,6 +226,45 @@ def test_repeats(spark, hot):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_repeats_of_a_hot_line(spark, monkeypatch):
+    rng = random.Random(8)
+    line = "This line of a licence stands in every document at hand. "
+    own = lambda: "".join(rng.choice("abcdefgh ") for _ in range(90))
+    rows = [(i, own() + line + own()) for i in range(400)]
+    whole, hot = repeats._sort_suffixes, 50
+
+    def watched():
+        sort = whole()
+
+        def run(batches):
+            def seen():
+                sizes = {}
+                for batch in batches:
+                    names = [n for n in batch.schema.names if n in ("anchor", "deal")]
+                    for group in zip(*(batch.column(batch.schema.names.index(n)).to_pylist() for n in names)):
+                        sizes[group] = sizes.get(group, 0) + 1
+                    yield batch
+                assert max(sizes.values(), default=0) <= hot
+
+            yield from sort(seen())
+
+        return run
+
+    monkeypatch.setattr(repeats, "_sort_suffixes", watched)
+    got = {r.doc_id: r for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), hot=hot).collect()}
+    first = {}
+    for k, t in rows:
+        for i in range(len(t) - 49):
+            first.setdefault(t[i : i + 50], k)
+    for k, t in rows:
+        m = [False] * len(t)
+        for i in range(len(t) - 49):
+            if first[t[i : i + 50]] < k:
+                m[i : i + 50] = [True] * 50
+        assert got[k].n_removed == sum(m) and got[k].kept_sha256 == hashlib.sha256("".join(c for c, f in zip(t, m) if not f).encode()).hexdigest()
+    assert got[0].n_removed == 0 and all(got[k].n_removed >= len(line) - 1 for k in range(1, 400))
+
+
 def test_pages_against_plain_reading(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(60)
     got = {r.page_id: r.text for r in html.extract(pages, html.learn_weights(pages)).collect()}
