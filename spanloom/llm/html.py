@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from spanloom.llm.shared import table
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|select|object|math)\b(?:(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*>).*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|iframe)\b(?:(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*>)(?:(?<=/>)|.*?(?:</\1\s*>|\Z))"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>|[^<>]*>)|<[!?][^>]*>",
     re.S | re.I,
 )
@@ -31,10 +31,22 @@ _BLOCK = frozenset(
 )
 _WALL = frozenset("nav footer aside form menu dialog button head fieldset".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|side-?bar\w*|footer\w*|masthead|breadcrumbs?|cookies?|consent|gdpr|notices?|alerts?|pop-?up|modal|comments?|commentary|disqus|repl(?:y|ies)|responses|share|sharing|social|related|recommend\w*|newsletter|subscribe|sign-?up|log-?in|search\w*|widgets?|pagination|pager|skip\w*)(?:$|[\s_-])",
-    re.I,
+_DROPPED = frozenset("noscript template svg select object".split())
+_OPTIONAL = frozenset("p li dt dd td th tr tbody thead tfoot caption head body html".split())
+# Fixed values, of the HTML standard: which open elements a start tag ends, and the open elements beyond which it does not look.
+_TABLE = ("table", "td", "th", "caption", "template")
+_P_ENDS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dt dd".split())
+_IMPLIED = {
+    "li": (("li",), ("ul", "ol", "menu", *_TABLE)), "dt": (("dt", "dd"), ("dl", *_TABLE)), "dd": (("dt", "dd"), ("dl", *_TABLE)),
+    "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tr": (("tr", "caption"), ("table",)), "body": (("head",), ()),
+    **{x: (("tbody", "thead", "tfoot", "caption"), ("table",)) for x in ("tbody", "thead", "tfoot")},
+}
+_HEAD = frozenset("html head base basefont link meta noscript template object".split())
+_NAMES = (
+    r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|side-?bar\w*|footer\w*|masthead|breadcrumbs?|cookies?|consent|gdpr|notices?|alerts?|pop-?up|modal|comments?|commentary|disqus|repl(?:y|ies)|responses|share|sharing|social|related|recommend\w*|newsletter|subscribe|sign-?up|log-?in|search\w*|widgets?|pagination|pager|skip\w*)"
 )
+_NAMED = re.compile(rf"(?:^|[\s_-]){_NAMES}(?:$|[\s_-])", re.I)
+_NAMED_WHOLE = re.compile(rf"(?:^|\s){_NAMES}(?:$|\s)", re.I)
 _HEADER = re.compile(r"(?:^|[\s_-])(?:header|top-?bar|page-?top)(?:$|[\s_-])", re.I)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
@@ -51,40 +63,110 @@ def _walled(name: str, attrs: str, inside: bool) -> bool:
             return True
         if not inside and key in ("class", "id") and _HEADER.search(value):
             return True
-        if (key == "role" and value.lower() in _ROLES) or (key in ("class", "id") and _NAMED.search(value)):
+        if (key == "role" and value.lower() in _ROLES) or (key in ("class", "id") and (_NAMED_WHOLE if inside else _NAMED).search(value)):
             return True
     return False
 
 
+class _Open:
+    """The open elements, and where those that ended did: (token, whether by a tag of their own)."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[int, str]] = []
+        self.blocks: list[int] = []
+        self.depths: dict[str, list[int]] = {}
+        self.ends: dict[int, tuple[int, bool]] = {}
+
+    def deepest(self, names: tuple[str, ...]) -> int:
+        return max((d[-1] for x in names if (d := self.depths.get(x))), default=-1)
+
+    def pop(self, depth: int, at: int) -> None:
+        """Ends all elements from this depth on."""
+        while len(self.stack) > depth:
+            i, name = self.stack.pop()
+            self.ends.setdefault(i, (at, False))
+            for own in (self.depths[name], self.blocks):
+                if own and own[-1] == len(self.stack):
+                    own.pop()
+
+    def start(self, name: str, at: int) -> None:
+        head = self.deepest(("head",))
+        if head >= 0 and name not in _HEAD and self.deepest(("noscript", "template", "object")) < head:
+            self.pop(head, at)
+        for gone, fence in ((("p",), ("button", "object", "svg", *_TABLE)) if name in _P_ENDS else ((), ()), _IMPLIED.get(name, ((), ()))):
+            depth = self.deepest(gone)
+            if depth > self.deepest(fence):
+                self.pop(depth, at)
+        if name in ("a", "button"):
+            self.end(name, at, own=False)
+
+    def push(self, name: str, at: int) -> None:
+        if name in _BLOCK or name in _DROPPED:
+            self.blocks.append(len(self.stack))
+        self.depths.setdefault(name, []).append(len(self.stack))
+        self.stack.append((at, name))
+
+    def end(self, name: str, at: int, own: bool = True) -> None:
+        depth = self.deepest((name,))
+        fence = () if name in ("table", "template", "body", "html") else ("table", "template") if name in _OPTIONAL and name not in ("p", "li", "dt", "dd") else _TABLE
+        if depth < 0 or depth < self.deepest(tuple(x for x in fence if x != name)):
+            return
+        self.ends[self.stack[depth][0]] = (at, own)
+        if name in _BLOCK or name in _DROPPED or not self.blocks or self.blocks[-1] < depth:
+            self.pop(depth, at)
+        else:  # blocks opened inside an inline element go on after its end
+            self.depths[name].pop()
+
+
 def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
-    """(tag name or '', text, inside an article element, inside an element without content) in page order."""
-    out, at, walls, articles = [], 0, [], 0
+    """(tag name or '', text, inside an article element, inside an element without content) in page order.
+
+    End tags may be missing: an element ends with the element around it, and
+    earlier where the HTML standard lets a start tag end it. One that should
+    have had an end tag has no content beyond the next article or main element.
+    """
+    found: list[tuple[str, str, str]] = []
+    at, open_ = 0, _Open()
+    mains: list[int] = []
     for m in _TOKEN.finditer(page):
         if m.start() > at:
-            out.append(("", page[at : m.start()], articles > 0, bool(walls)))
+            found.append(("", page[at : m.start()], ""))
         at = m.end()
         name = (m[3] or "").lower()
         if not name:
             continue
-        closing = bool(m[2])
-        if name == "article" and closing:
-            articles = max(0, articles - 1)
         attrs = m[4][:-1].rstrip()
-        if not closing and name not in _VOID and not attrs.endswith("/"):
-            if walls:
-                if name == walls[-1][0]:
-                    walls[-1][1] += 1
-            elif _walled(name, attrs, articles > 0):
-                walls.append([name, 1])
-        out.append((name, "/" if closing else "", articles > 0, bool(walls)))
-        if closing and walls and name == walls[-1][0]:
-            walls[-1][1] -= 1
-            if not walls[-1][1]:
-                walls.pop()
-        if name == "article" and not closing:
-            articles += 1
+        if m[2]:
+            open_.end(name, len(found))
+        else:
+            open_.start(name, len(found))
+            if name in ("article", "main"):
+                mains.append(len(found))
+            if name not in _VOID and not attrs.endswith("/"):
+                open_.push(name, len(found))
+        found.append((name, "/" if m[2] else "", attrs))
     if at < len(page):
-        out.append(("", page[at:], articles > 0, bool(walls)))
+        found.append(("", page[at:], ""))
+    open_.pop(0, len(found))
+
+    out, articles, until, dropped, main, formula = [], 0, -1, False, 0, -1
+    for i, (name, text, attrs) in enumerate(found):
+        if name == "article" and text:
+            articles = max(0, articles - 1)
+        if i > until and i in open_.ends and (name in _DROPPED or _walled(name, attrs, articles > 0)):
+            end, own = open_.ends[i]
+            until = end if own else end - 1
+            if not own and name not in _OPTIONAL:
+                while main < len(mains) and mains[main] <= i:
+                    main += 1
+                until = min(until, mains[main] - 1) if main < len(mains) else until
+            dropped = name in _DROPPED
+        if name == "math" and i in open_.ends:
+            formula = max(formula, open_.ends[i][0])
+        if (i > until or not dropped) and (i > formula or not name or name in _BLOCK):  # a formula is its text alone
+            out.append((name, text, articles > 0, i <= until))
+        if name == "article" and not text:
+            articles += 1
     return out
 
 

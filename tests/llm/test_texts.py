@@ -121,6 +121,40 @@ def test_html(spark):
     assert html.extract(df.where("false"), weights).count() == 0 and html.learn_weights(df.where("false")) == {}
 
 
+HEAD, TAIL = "<article><p>Words before the part at hand stand here, more of them than any tags of the part can outweigh.</p>", "<p>Words after the part at hand stand here too.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "part, kept",
+    [
+        ('<svg class="icon"/>', ""),
+        ('<svg><title/><path d="M0"/></svg>', ""),
+        ("<svg><title>Name</title><g><svg/></g></svg>", ""),
+        ('<object data="a.swf"/>', ""),
+        ('<math xmlns="m"/>', ""),
+        ("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p>", "So x=2 holds."),
+        ('<p class="notice">Buy now', ""),
+        ('<ul><li class="share">Tell all<li>Item kept</ul>', "Item kept"),
+        ("<section><aside>Aside text</section>", ""),
+        ('<div><span class="share">Tell all</div>', ""),
+        ("<table><tr><td class=ads>Buy<td>Cell kept</table>", "Cell kept"),
+        ("<div><nav>Menu<div>More</div></nav></div>", ""),
+        ('<p class="related-work">Related work is content.</p>', "Related work is content."),
+    ],
+)
+def test_html_ends_of_parts(part, kept):
+    want = [re.sub("<[^>]*>", "", HEAD), *([kept] if kept else []), re.sub("<[^>]*>", "", TAIL)]
+    assert html.Extractor({}).text("<html><body>" + HEAD + part + TAIL + "</body></html>") == "\n".join(want)
+
+
+def test_html_missing_end_tags():
+    want = "Words before the part at hand stand here, more of them than any tags of the part can outweigh.\nWords after the part at hand stand here too."
+    for top in ("<head><meta charset=x><body>", "<head><title>T</title>", "<head></head><body><nav><a href=x>Menu</a>", '<body><div class="sidebar">Side', "<body><aside><article>Other</article></aside>"):
+        assert html.Extractor({}).text("<html>" + top + HEAD + TAIL) == want
+    for page in ("<b><div>" * 20_000 + "</b>" * 20_000, "<nav>" * 50_000, "<p class=ad>" * 50_000, "<td>" * 50_000 + "</div>" * 50_000):
+        assert html.Extractor({}).text(page) == ""
+
+
 def test_fingerprints(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))
