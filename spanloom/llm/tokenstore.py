@@ -17,6 +17,7 @@ tasks that run again or twice do no harm.
 from __future__ import annotations
 
 import io
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -91,9 +92,13 @@ def _keys(column: pa.Array) -> np.ndarray:
 
 
 class PieceEncoder:
-    """Texts to ids with the library's byte-level model, each distinct piece encoded once while remembered."""
+    """Texts to ids with the library's byte-level model, each distinct piece encoded once while remembered.
 
-    def __init__(self, path: str, pattern: str, max_pieces: int = 400_000):
+    With ``added`` the tokenizer's added tokens in a text give their own ids, as
+    the library's encode does; without, they are ordinary text.
+    """
+
+    def __init__(self, path: str, pattern: str, max_pieces: int = 400_000, added: bool = False):
         from tokenizers import Tokenizer
 
         from spanloom.llm.pretokens import splitter
@@ -103,11 +108,23 @@ class PieceEncoder:
         self.dtype = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.split, self.max_pieces = splitter(pattern), max_pieces
         self.known: dict[str, bytes] = {}
+        marks = tokenizer.get_added_tokens_decoder() if added else {}
+        self.added = {t.content: np.array([i], self.dtype).tobytes() for i, t in marks.items() if t.content}
+        # The longest token wins; tokens that take blanks or need word ends are left to the library.
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.whole = tokenizer if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in marks.values()) else None
         # The model's letters for bytes: printable ones stand for themselves, the rest follow U+0100 in order.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(x for x in range(256) if x not in shown)}
 
     def encode(self, text: str) -> bytes:
+        if self.whole is not None:
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        if self.marks is None or not self.marks.search(text):
+            return self._ordinary(text)
+        return b"".join([self.added[x] if k % 2 else self._ordinary(x) for k, x in enumerate(self.marks.split(text))])
+
+    def _ordinary(self, text: str) -> bytes:
         pieces, known = self.split(text), self.known
         try:
             return b"".join([known[p] for p in pieces])
@@ -127,17 +144,18 @@ class PieceEncoder:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str, pattern: str) -> PieceEncoder:
+def _encoder(path: str, pattern: str, added: bool) -> PieceEncoder:
     """One for each Python worker, so that tasks share what it remembers."""
-    return PieceEncoder(path, pattern)
+    return PieceEncoder(path, pattern, added=added)
 
 
-def write_store(docs: DataFrame, path: str, tokenizer_path: str, pattern: str, *, key: str = "doc_id", text: str = "text", end_id: int | None = 2, shards: int | None = None) -> DataFrame:
+def write_store(docs: DataFrame, path: str, tokenizer_path: str, pattern: str, *, key: str = "doc_id", text: str = "text", end_id: int | None = 2, shards: int | None = None, added: bool = False) -> DataFrame:
     """Encodes docs, writes the store to path (a new folder of the shared store) and returns its manifest.
 
     Rows go in ascending key order, null keys first, repeated keys by text. A
-    null text counts as empty; each document's ids end with end_id. An empty
-    table gives a store without shards.
+    null text counts as empty; each document's ids end with end_id. With added
+    the tokenizer's added tokens have their own ids. An empty table gives a
+    store without shards.
     """
     spark = docs.sparkSession
     shards = shards or partitions(spark)
@@ -150,7 +168,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, pattern: str, *
             if not batch.num_rows:
                 continue
             if out is None:
-                encoder = _encoder(tokenizer_path, pattern)
+                encoder = _encoder(tokenizer_path, pattern, added)
                 dtype = encoder.dtype
                 end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
                 store, place = pafs.FileSystem.from_uri(path)
@@ -258,5 +276,5 @@ def op7_token_store(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), new_path(spark, "tokens")
-    write_store(docs, path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    write_store(docs, path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, added=True)
     return look_up(docs.select("doc_id"), path)

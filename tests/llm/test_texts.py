@@ -78,6 +78,21 @@ def test_token_store(spark, library):
     assert tokenstore.look_up(df.select("doc_id"), empty).count() == 0
 
 
+def test_token_store_query_keeps_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    found = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y  <|endoftext|>\n", "<|endoftext| >", "", *texts(300, 9)]
+    spark.createDataFrame(list(enumerate(found)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in tokenstore.op7_token_store(spark, str(tmp_path)).collect()}
+    start = 0
+    for k, t in enumerate(found):
+        ids = np.array([*whole.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        assert got[k] == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert any("<|endoftext|>" in t for t in found[5:]) and len(got) == len(found)
+
+
 def test_perfect_hash():
     keys = np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64)
     keys = np.unique(keys)
