@@ -1,48 +1,5 @@
-"""Connected components by alternating large-star and small-star steps.
+"""Connected components, shared with the operators."""
 
-Every step is an aggregation and a join of edge tables; each round is cut in the
-shared folder, so lost executors cost one round at most. The number of rounds
-grows with the logarithm of the longest path.
-"""
+from spanloom.operators.components import components
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from spanloom.llm.shared import cut
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
-
-
-def _is_final(edges: DataFrame) -> bool:
-    """Whether every node has one parent, or is one, and not both."""
-    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("child")).union(edges.select(F.col("b").alias("node"), F.lit(0).alias("child")))
-    roles = ends.groupBy("node").agg(F.sum("child").alias("up"), F.min("child").alias("low"))
-    return not roles.where("up > 1 or (up = 1 and low = 0)").take(1)
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Rows (node, component) for every node of the undirected edges (a, b).
-
-    component is the smallest node reachable. Self loops and rows with nulls
-    are ignored; repeated edges count once; no edges give no rows.
-    """
-    a, b = F.greatest("a", "b"), F.least("a", "b")
-    now = cut(edges.where("a is not null and b is not null and a <> b").select(a.alias("a"), b.alias("b")).distinct())
-    for _ in range(max_rounds):
-        if _is_final(now):
-            break
-        now = cut(_small_star(_large_star(now)))
-    members = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return members.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+__all__ = ["components"]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanloom.functions.scalars import UNNAMED, title_key, unknown_title
+from spanloom.operators.components import components
 from spanloom.operators.intervals import MATCH, overlap_pairs, timed
 
 #: Fixed value: the title of a range that no source names.
@@ -138,21 +139,15 @@ def conflict_edges(members: DataFrame, suspicious: DataFrame, *, span: int = 500
 def clusters(edges: DataFrame, suspicious: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(stream_id, match_ord, cluster): connected components of the edges and single suspicious matches; the smallest match_ord names a cluster.
 
-    Least labels spread along edges; each round is cut in the checkpoint
-    folder. Edges are local in a stream, so rounds are few.
+    Alternating star steps, so that rounds grow with the logarithm of the longest
+    chain; an error is raised if max_rounds do not reach the fixpoint.
     """
-    from spanloom.sources.checkpoints import cut
-
-    both = cut(edges.select("stream_id", F.col("a").alias("match_ord"), F.col("b").alias("o")).union(edges.select("stream_id", F.col("b"), F.col("a"))))
-    labels = cut(both.select(*MATCH).union(suspicious.select(*MATCH)).distinct().withColumn("cluster", F.col("match_ord")))
-    for _ in range(max_rounds):
-        near = both.join(labels.select("stream_id", F.col("match_ord").alias("o"), F.col("cluster").alias("c")), ["stream_id", "o"]).groupBy(*MATCH).agg(F.min("c").alias("c"))
-        moved = labels.join(near, MATCH, "left").select(*MATCH, F.least("cluster", F.coalesce("c", "cluster")).alias("cluster"), (F.col("c") < F.col("cluster")).alias("moved"))
-        moved = cut(moved)
-        labels = moved.select(*MATCH, "cluster")
-        if not moved.where("moved").take(1):
-            break
-    return labels
+    node = lambda c: F.struct(F.col("stream_id"), F.col(c).alias("match_ord"))
+    found = components(edges.select(node("a").alias("a"), node("b").alias("b")), max_rounds)
+    labels = found.select("node.stream_id", "node.match_ord", F.col("component.match_ord").alias("cluster"))
+    ends = edges.select("stream_id", F.col("a").alias("match_ord")).union(edges.select("stream_id", "b"))
+    every = ends.union(suspicious.select(*MATCH)).distinct()
+    return every.join(labels, MATCH, "left").select(*MATCH, F.coalesce("cluster", "match_ord").alias("cluster"))
 
 
 def select_best(members: DataFrame, cluster: DataFrame, segments: DataFrame, searched: DataFrame, cap_s: float) -> DataFrame:

@@ -211,3 +211,15 @@ def test_dates_and_names(spark):
     ).collect()[0]
     assert (row.a, row.b, row.c, row.d, row.e, row.f) == (True, False, "260603", "250603", 3723.0, 0.0)
     assert abs(row.g - 29.97) < 0.01 and row.h is None and row.i == [0, 2] and row.j == ["bitstream_corruption"] and abs(row.k - 2 / 3) < 1e-9
+
+
+def test_clusters_of_a_long_chain(spark):
+    from spanloom.operators.matches import clusters
+
+    rows = [(s, i, i + 1) for s in (1, 2) for i in range(1, 140)] + [(3, 5, 9)]
+    edges = spark.createDataFrame(rows, "stream_id long, a long, b long")
+    alone = spark.createDataFrame([(1, 500), (3, 9), (4, 1)], "stream_id long, match_ord long")
+    got = sorted(map(tuple, clusters(edges, alone).collect()))
+    assert got == sorted([(s, i, 1) for s in (1, 2) for i in range(1, 141)] + [(3, 5, 5), (3, 9, 5), (1, 500, 500), (4, 1, 1)])
+    with pytest.raises(RuntimeError):
+        clusters(edges, alone, max_rounds=1)
