@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
 from spanloom.llm.pretokens import splitter
-from spanloom.llm.shared import table
+from spanloom.llm.shared import Memory, table
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -36,90 +36,120 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
 
 
+_BITS = 24
+_LOW = (1 << _BITS) - 1
+
+
 class Transducer:
-    """Encodes single pieces of bytes by merge ranks."""
+    """Encodes single pieces of bytes by merge ranks.
+
+    A state is the list of its open alternatives, each a number made of the
+    token before it (0 for none) and a node of the vocabulary's trie.
+    """
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 50_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000):
         self.ranks, self.max_states = ranks, max_states
-        self.size = {i: len(t) for t, i in ranks.items()}
-        self.bytes = {i: t for t, i in ranks.items()}
-        self.children: list[dict[int, int]] = [{}]
-        self.token: list[int] = [-1]
+        self.bytes: list[bytes] = [b""] * (max(ranks.values()) + 1)
+        self.next: dict[int, int] = {}
+        self.token, self.depth = [-1], [0]
         for t, i in ranks.items():
+            self.bytes[i] = t
             node = 0
             for b in t:
-                nxt = self.children[node].get(b)
-                if nxt is None:
-                    nxt = self.children[node][b] = len(self.token)
-                    self.children.append({})
+                child = self.next.get(node << 8 | b)
+                if child is None:
+                    child = self.next[node << 8 | b] = len(self.token)
                     self.token.append(-1)
-                node = nxt
+                    self.depth.append(self.depth[node] + 1)
+                node = child
             self.token[node] = i
-        self.stable: dict[tuple[int, int], bool] = {}
-        self._forget()
-
-    def _forget(self) -> None:
-        self.names: dict[tuple, int] = {}
-        self.states: list[tuple] = []
-        self.moves: list[dict[int, tuple[int, int]]] = []
-        self.start = self._name(((-1, 0, 0),))
-
-    def _name(self, state: tuple) -> int:
+        self.size = [len(t) for t in self.bytes]
+        self.halves: dict[int, tuple[int, int] | None] = {}
+        self.stable: dict[int, bool] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.names: dict[tuple[int, ...], int] = {}
+        self.states: list[tuple[int, ...]] = []
+        self.moves: dict[int, int] = {}  # state and byte to the next state and the token that ends there
+        self.start = self._name((0,))
+
+    def _name(self, state: tuple[int, ...]) -> int:
         n = self.names.get(state)
         if n is None:
             n = self.names[state] = len(self.states)
             self.states.append(state)
-            self.moves.append({})
         return n
 
-    def _merge(self, data: bytes) -> list[bytes]:
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            found = [(self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1)]
-            rank, i = min(found)
-            if rank == 1 << 60:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+    def _half(self, t: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes token t; None for single bytes."""
+        if t not in self.halves:
+            parts = [self.bytes[t][i : i + 1] for i in range(self.size[t])]
+            while len(parts) > 2:
+                rank, i = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+                if rank == 1 << 60:
+                    raise ValueError(f"token {t} is not made by merges")
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            self.halves[t] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
+        return self.halves[t]
 
     def _pair(self, a: int, b: int) -> bool:
-        ok = self.stable.get((a, b))
+        """Whether merging the bytes of a and b leaves a and b: no merge across the border comes before those that use up its sides."""
+        ok = self.stable.get(a << 32 | b)
         if ok is None:
-            if len(self.stable) > 300_000:
+            if len(self.stable) >= self.max_states:
                 self.stable.clear()
-            ok = self.stable[a, b] = self._merge(self.bytes[a] + self.bytes[b]) == [self.bytes[a], self.bytes[b]]
+            ok = self.stable[a << 32 | b] = self._undone(a, b)
         return ok
 
-    def _move(self, state: int, byte: int) -> tuple[int, int]:
-        """The state after one more byte, and the token that ends the encoding up to there."""
-        after, ended = [], -1
-        for last, node, depth in self.states[state]:
-            child = self.children[node].get(byte)
-            if child is None:
-                continue
-            after.append((last, child, depth + 1))
-            t = self.token[child]
-            if ended < 0 and t >= 0 and (last < 0 or self._pair(last, t)):
-                ended = t
+    def _undone(self, a: int, b: int) -> bool:
+        """The merges are undone, latest first; the tokens beside the border at any
+        time are ends of a and beginnings of b. Of equal merges the leftmost is first.
+        """
+        left_until = right_until = 1 << 60
+        while True:
+            rank = self.ranks.get(self.bytes[a] + self.bytes[b], 1 << 60)
+            if rank < left_until and rank <= right_until and rank < 1 << 60:
+                return False
+            left, right = self._half(a), self._half(b)
+            if left is not None and (right is None or a > b):
+                left_until, a = a, left[1]
+            elif right is not None:
+                right_until, b = b, right[0]
+            else:
+                return True
+
+    def _move(self, state: int, byte: int) -> int:
+        """The state after one more byte, and the token that ends the encoding up to there, as one number."""
+        after, ended, trie = [], -1, self.next
+        for alternative in self.states[state]:
+            child = trie.get((alternative & _LOW) << 8 | byte)
+            if child is not None:
+                before = alternative >> _BITS
+                after.append(before << _BITS | child)
+                if ended < 0:
+                    t = self.token[child]
+                    if t >= 0 and (not before or self._pair(before - 1, t)):
+                        ended = t
         if ended < 0:
             raise ValueError(f"byte {byte} is not in the vocabulary")
-        after.append((ended, 0, 0))
-        move = self.moves[state][byte] = (self._name(tuple(after)), ended)
+        after.append((ended + 1) << _BITS)
+        move = self.moves[state << 8 | byte] = self._name(tuple(after)) << _BITS | ended
         return move
 
     def stream(self, piece: bytes, every: int = 4096) -> Iterator[list[int]]:
         """Token lists of one piece, in order; all open alternatives agree on what has gone out."""
         if len(self.states) > self.max_states:
-            self._forget()
-        state, ends, base = self.start, [], 0
+            self.forget()
+        state, ends, base, moves = self.start, [], 0, self.moves
         for byte in piece:
-            move = self.moves[state].get(byte)
+            move = moves.get(state << 8 | byte)
             if move is None:
                 move = self._move(state, byte)
-            state, t = move
-            ends.append(t)
+            state = move >> _BITS
+            ends.append(move & _LOW)
             if len(ends) - base >= every:
-                at = {len(ends) - depth for _, _, depth in self.states[state]}
+                at = {len(ends) - self.depth[x & _LOW] for x in self.states[state]}
                 while len(at) > 1:  # step the latest alternative back until one position is left
                     late = max(at)
                     at.remove(late)
@@ -130,8 +160,8 @@ class Transducer:
                     base = agreed
                 if len(self.states) > self.max_states:
                     kept = self.states[state]
-                    self._forget()
-                    state = self._name(kept)
+                    self.forget()
+                    state, moves = self._name(kept), self.moves
         if len(ends) > base:
             yield self._back(ends, base, len(ends))
 
@@ -143,39 +173,47 @@ class Transducer:
         return out[::-1]
 
     def encode(self, piece: bytes) -> list[int]:
-        return [t for part in self.stream(piece) for t in part]
+        if len(piece) >= 4096:
+            return [t for part in self.stream(piece) for t in part]
+        if len(self.states) > self.max_states:
+            self.forget()
+        state, ends, moves = self.start, [], self.moves
+        for byte in piece:
+            move = moves.get(state << 8 | byte)
+            if move is None:
+                move = self._move(state, byte)
+            state = move >> _BITS
+            ends.append(move & _LOW)
+        return self._back(ends, 0, len(ends))
 
 
 class Codec:
-    """Whole texts to ids and back. Pieces seen before are looked up; the memory holds max_pieces at most."""
+    """Whole texts to ids and back. Pieces are remembered in two generations of max_pieces each."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 200_000):
-        self.machine, self.split, self.max_pieces = Transducer(ranks), splitter(pattern), max_pieces
-        self.known: dict[str, bytes] = {}
+        self.machine, self.split = Transducer(ranks), splitter(pattern)
+        self.known = Memory(self._piece, max_pieces)
+
+    def _piece(self, piece: str) -> bytes:
+        data = piece.encode()
+        rank = self.machine.ranks.get(data)  # a token's bytes are encoded by the token itself
+        return np.array([rank] if rank is not None else self.machine.encode(data), "<u4").tobytes()
+
+    def forget(self) -> None:
+        """Gives up the memory of pieces and states, not the vocabulary."""
+        self.known.forget()
+        self.machine.forget()
 
     def encode(self, text: str) -> bytes:
         """The ids of text as little-endian unsigned 32-bit integers."""
-        pieces, known = self.split(text), self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            pass
-        if len(known) > self.max_pieces:
-            known.clear()
-        out = []
-        for p in pieces:
-            ids = known.get(p)
-            if ids is None:
-                ids = np.array(self.machine.encode(p.encode()), "<u4").tobytes()
-                if len(p) < 64:
-                    known[p] = ids
-            out.append(ids)
-        return b"".join(out)
+        known = self.known
+        known.turn()
+        return b"".join([known[p] for p in self.split(text)])
 
     def decode_bytes(self, ids: bytes, chunk: int = 1 << 16) -> Iterator[bytes]:
-        all_ids, of = np.frombuffer(ids, "<u4"), self.machine.bytes
+        all_ids, of = np.frombuffer(ids, "<u4"), self.machine.bytes.__getitem__
         for i in range(0, len(all_ids), chunk):
-            yield b"".join([of[t] for t in all_ids[i : i + chunk].tolist()])
+            yield b"".join(map(of, all_ids[i : i + chunk].tolist()))
 
     def decode(self, ids: bytes) -> Iterator[str]:
         return utf8_stream(self.decode_bytes(ids))
@@ -195,9 +233,12 @@ def utf8_stream(chunks: Iterable[bytes]) -> Iterator[str]:
     yield machine.decode(b"", True)
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text", digests: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text", digests: bool = False, remember: bool = True) -> DataFrame:
     """docs without its text, with n_tokens and ids (array of int), or with digests of the ids and of the decoded bytes.
 
+    Workers remember pieces and states from task to task, or with remember off
+    for one task at a time.
+
     A null text counts as empty and has no ids. Repeated rows are each encoded;
     an empty table gives an empty result. Columns named like a result are replaced.
     """
@@ -223,6 +264,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, text: st
                     first.append(np.frombuffer(ids, "<i4"))
             own = [pa.array(first, pa.string()), pa.array(second, pa.string())] if digests else [pa.array(first, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64()), *own], [*kept, *new])
+        if not remember:
+            codec.forget()
 
     return docs.select(*kept, text).mapInArrow(run, schema)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,10 +13,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a new one where it is unset and Spark runs on this machine alone (tests)."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(found)
     return found
@@ -61,3 +64,29 @@ def by_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[
                 yield out
 
     return run
+
+
+class Memory(dict):
+    """A dict that makes missing values, in two generations: when the newer one holds ``most`` entries it becomes the older one, and what is still used moves up again."""
+
+    def __init__(self, make: Callable[[str | bytes], Any], most: int):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key: str | bytes) -> Any:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) < 64:
+            self[key] = value
+        return value
+
+    def turn(self) -> None:
+        """Called between texts, so that no text's values go while it is put together."""
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+
+    def forget(self) -> None:
+        self.older = {}
+        self.clear()
