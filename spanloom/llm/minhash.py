@@ -7,8 +7,10 @@ coordinates at random, 1/threshold of them on average, so a pair at the threshol
 keeps meeting on average once at every depth. Small nodes are compared
 exhaustively by signature. Large nodes are compared with some of their members
 first, and branch only while they hold more than one component: a group of copies
-ends at once, however large. What is still large after the last round is compared
-exhaustively in blocks. Every link is confirmed on the full sets.
+ends at once, however large. Of what is still large after the last round, all that
+is outside a node's largest component is compared with everything in the node, in
+blocks and on the full sets; a block gives out only links that join components.
+Every link is confirmed on the full sets.
 
 Documents with equal sets are one class throughout, so copies are never paired.
 """
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.components import components
-from spanloom.llm.shared import by_batch, cut, partitions, stored, table
+from spanloom.llm.shared import Memory, by_batch, cut, partitions, stored, table
 
 COORDINATES = 64
 
@@ -34,26 +36,18 @@ COORDINATES = 64
 class Shingler:
     """Sets of hashed shingles, and their signatures."""
 
-    def __init__(self, words: int, seed: int = 11, memory: int = 200_000):
+    def __init__(self, words: int, seed: int = 11, memory: int = 100_000):
         rng = np.random.default_rng(seed)
-        self.words, self.memory, self.known = words, memory, {}
+        self.words, self.known = words, Memory(xxhash.xxh3_64_intdigest, memory)
         self.powers = rng.integers(1, 1 << 63, words + 1, np.uint64) * np.uint64(2) + np.uint64(1)
         self.a = rng.integers(1, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(1, 1 << 63, COORDINATES, np.uint64)
 
     def shingles(self, text: str | None) -> np.ndarray:
         """Distinct shingles as sorted 64-bit hashes. A-Z count as a-z; shorter texts are one shingle; no words, none."""
-        found = (text or "").encode().lower().split()
         known = self.known
-        try:
-            h = np.array([known[w] for w in found], np.uint64)
-        except KeyError:
-            if len(known) > self.memory:
-                known.clear()
-            for w in found:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            h = np.array([known[w] for w in found], np.uint64)
+        known.turn()
+        h = np.array([known[w] for w in (text or "").encode().lower().split()], np.uint64)
         k, n = self.words, len(h)
         if not n:
             return h
@@ -126,21 +120,19 @@ def _branch(threshold: float, steps: int, seed: int):
     return run
 
 
-def _pairs_in_blocks(floor: float, ratio: float):
-    """Rows (cross, members of one block or two) to pairs (a, b) of different components whose signatures agree enough."""
+def _pairs_in_node(floor: float, ratio: float):
+    """Members of small nodes to pairs (a, b) of different components whose signatures agree enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out_a, out_b = [], []
-            for cross, members in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for members in batch.column(0):
                 m = members.values
-                ids, comp, size, side = (m.field(k).to_numpy() for k in range(4))
-                sig = _signatures(m.field(4))
+                ids, comp, size = (m.field(k).to_numpy() for k in range(3))
+                sig = _signatures(m.field(3))
                 for i in range(len(ids) - 1):
                     ok = comp[i + 1 :] != comp[i]
-                    if cross:
-                        ok &= side[i + 1 :] != side[i]
-                    ok &= (np.minimum(size[i + 1 :], size[i]) >= ratio * np.maximum(size[i + 1 :], size[i]))
+                    ok &= np.minimum(size[i + 1 :], size[i]) >= ratio * np.maximum(size[i + 1 :], size[i])
                     ok[ok] = (sig[i + 1 :][ok] == sig[i]).mean(1) >= floor
                     for j in np.flatnonzero(ok):
                         a, b = int(ids[i]), int(ids[i + 1 + j])
@@ -177,22 +169,65 @@ def _squeeze(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _confirm(words: int, percent: int):
-    """Rows (a, salt, b, compressed text) sorted so that a's own row is first: pairs (a, b) whose sets are similar enough."""
+    """Rows (a, salt, b, compressed text) sorted so that a's own rows are first: pairs (a, b) of which two sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, now, base = Shingler(words), None, None
+        shingler, now, bases = Shingler(words), None, []
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out_a, out_b = [], []
-            for a, b, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for group, b, t in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 s = shingler.shingles(unpack(t).decode())
-                if a == b:
-                    now, base = a, s
-                elif a == now and len(s) and len(base):
+                if group != now:
+                    now, bases = group, []
+                if group[0] == b:
+                    bases.append(s)
+                    continue
+                for base in bases:
                     inter = len(np.intersect1d(base, s, assume_unique=True))
-                    if 100 * inter >= percent * (len(base) + len(s) - inter):
-                        out_a.append(a)
+                    if len(s) and 100 * inter >= percent * (len(base) + len(s) - inter):
+                        out_a.append(group[0])
                         out_b.append(b)
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _joined_in_blocks(words: int, percent: int):
+    """Rows (cross, members of one block or two) to confirmed links (a, b), at most one for each component of the members.
+
+    A member's set is marked in the shingles of all members, and their marks
+    are summed by member: the sizes of its intersections with all of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, unpack = Shingler(words), zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            out_a, out_b = [], []
+            for cross, members in zip(batch.column(0).to_pylist(), batch.column(1)):
+                m = members.values
+                ids, comp, side = (m.field(k).to_numpy() for k in range(3))
+                sets = [shingler.shingles(unpack(t).decode()) for t in m.field(3).to_pylist()]
+                size = np.array([len(s) for s in sets])
+                begin = np.cumsum(size) - size
+                place = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+                mark = np.zeros(int(place.max()) + 1, np.int32)
+                _, root = np.unique(comp, return_inverse=True)
+                for i in np.flatnonzero(side == side.min()):
+                    other = root != root[i]
+                    other &= side != side[i] if cross else np.arange(len(ids)) > i
+                    if not other.any():
+                        continue
+                    own = place[begin[i] : begin[i] + size[i]]
+                    mark[own] = 1
+                    inter = np.add.reduceat(mark[place], begin)
+                    mark[own] = 0
+                    for j in np.flatnonzero(other & (100 * inter >= percent * (size + size[i] - inter))):
+                        if root[j] != root[i]:
+                            root[root == root[j]] = root[i]
+                            out_a.append(int(min(ids[i], ids[j])))
+                            out_b.append(int(max(ids[i], ids[j])))
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     return run
@@ -209,47 +244,51 @@ def confirm_links(pairs: DataFrame, texts: DataFrame, *, words: int = 5, percent
     return dealt.mapInArrow(_confirm(words, percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 85, words: int = 5, trees: int = 10, small: int = 48, rounds: int = 3, seed: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 85, words: int = 5, trees: int = 10, small: int = 48, rounds: int = 3, block: int = 150_000, seed: int = 3) -> DataFrame:
     """Rows (key, n_shingles, component_id, kept) for every row of docs.
 
     Null texts and texts without words have no shingles and no links. Repeated
     rows are copies; rows that share a key and differ in text count as one node
     of the graph. Rows without a key come back unlinked, kept. An empty table
-    gives an empty result. Other columns of docs are not read.
+    gives an empty result. Other columns of docs are not read. ``block`` is the
+    number of shingles in a block of the last round.
     """
     threshold = percent / 100
     floor = threshold - 3.3 * (threshold * (1 - threshold) / COORDINATES) ** 0.5
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
     described = stored(rows.mapInArrow(_describe(words), "id long, n long, digest binary, sig binary"), "shingles")
-    classes = stored(described.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("cls"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes").select("cls", "n", "sig", "digest")
+    valid = described.where("digest is not null and id is not null")
+    classes = stored(valid.groupBy("digest").agg(F.min("id").alias("cls"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes").select("cls", "n", "sig", "digest")
     at_class = classes.select("cls", "n", "sig")
+    twice = valid.groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("id")
+    same_key = cut(valid.join(twice, "id", "left_semi").join(classes.select("digest", "cls"), "digest").select(F.col("id").alias("a"), F.col("cls").alias("b")))
 
     roots = at_class.select(F.explode(F.sequence(F.lit(1).cast("long"), F.lit(trees).cast("long"))).alias("node"), "cls", "sig")
     level = roots.mapInArrow(_branch(threshold, 1, seed), "node long, cls long").withColumn("comp", F.col("cls"))
-    comps, texts = None, None
+    comps, texts = same_key.select(F.col("a").alias("node"), F.col("b").alias("component")), None
     for depth in range(rounds):
         nodes = level.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("node", "size")
         live = stored(level.join(nodes, "node").join(at_class, "cls").select("node", "cls", "comp", "n", "sig", "size"), f"nodes{depth}")
         if texts is None:
             wanted = live.select(F.col("cls").alias("id")).distinct()
             packed = rows.where("id is not null").mapInArrow(by_batch(_squeeze), "id long, text binary")
-            texts = stored(packed.join(wanted, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")).select(F.col("id").alias("cls"), "text"), "texts")
-        last = depth == rounds - 1
-        parts = F.when(F.lit(last), F.ceil(F.col("size") / small)).otherwise(F.lit(1)).cast("int")
-        placed = live.where(F.lit(last) | (F.col("size") <= small)).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("cls", "node"), F.col("parts")).cast("int"))
-        met = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        groups = met.groupBy("node", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y")).agg(F.collect_list(F.struct("cls", "comp", "n", "own", "sig")).alias("members"))
-        pairs = groups.where(F.size("members") > 1).select((F.col("x") != F.col("y")).alias("cross"), "members").mapInArrow(_pairs_in_blocks(floor, threshold), "a long, b long")
+            texts = stored(packed.join(wanted, "id", "left_semi").distinct().select(F.col("id").alias("cls"), "text"), "texts")
+        groups = live.where(F.col("size") <= small).groupBy("node").agg(F.collect_list(F.struct("cls", "comp", "n", "sig")).alias("members"))
+        pairs = groups.where(F.size("members") > 1).select("members").mapInArrow(_pairs_in_node(floor, threshold), "a long, b long")
         large = live.where(F.col("size") > small)
-        more = not last and bool(large.take(1))
+        more = bool(large.take(1))
         if more:
             pairs = pairs.union(_star_pairs(large, floor))
         pairs = stored(pairs.distinct(), f"pairs{depth}")
         comps = _verified(pairs, texts, comps, words, percent)
         if not more:
             break
-        left = large.select("node", "cls", "sig").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
+        left = large.select("node", "cls", "n", "sig").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
         mixed = left.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("node")
+        if depth == rounds - 1:
+            links = _links_in_large(left.join(mixed, "node"), texts, words, percent, block)
+            comps = _with_links(comps, links) if links.take(1) else comps
+            break
         level = left.join(mixed, "node").select("node", "cls", "sig").mapInArrow(_branch(threshold, 3, seed + depth + 1), "node long, cls long")
         level = cut(level.distinct().join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("node", "cls", F.coalesce("component", "cls").alias("comp")))
 
@@ -260,6 +299,30 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def _links_in_large(left: DataFrame, texts: DataFrame, words: int, percent: int, block: int) -> DataFrame:
+    """Confirmed links (a, b) between the components of large nodes, from (node, cls, n, comp).
+
+    A node's largest component is cut into blocks, and so is the rest of the
+    node. Every block of the rest meets every other block in a task of its own;
+    blocks of the largest component do not meet each other.
+    """
+    by_comp = left.groupBy("node", "comp").agg(F.sum("n").alias("n"))
+    sides = by_comp.groupBy("node").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("in_main"), F.sum("n").alias("all"))
+    sides = sides.select("node", "main", F.ceil((F.col("all") - F.col("in_main")) / block).cast("int").alias("rest"), F.ceil(F.col("in_main") / block).cast("int").alias("mains"))
+    is_main = F.col("comp") == F.col("main")
+    deal = F.pmod(F.xxhash64("cls", "node"), F.when(is_main, F.col("mains")).otherwise(F.col("rest"))).cast("int")
+    dealt = left.select("node", "cls", "comp").join(sides, "node").withColumn("own", deal + F.when(is_main, F.col("rest")).otherwise(0))
+    meets = F.sequence(F.lit(0), F.when(is_main, F.col("rest")).otherwise(F.col("rest") + F.col("mains")) - 1)
+    met = dealt.withColumn("with", F.explode(meets)).select("node", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "cls", "comp", "own")
+    blocks = met.join(texts, "cls").groupBy("node", "x", "y").agg(F.collect_list(F.struct("cls", "comp", "own", "text")).alias("members"))
+    work = blocks.where(F.size("members") > 1).select((F.col("x") != F.col("y")).alias("cross"), "members")
+    return cut(work.mapInArrow(_joined_in_blocks(words, percent), "a long, b long").distinct())
+
+
+def _with_links(comps: DataFrame, links: DataFrame) -> DataFrame:
+    return components(links.union(comps.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+
 def _star_pairs(large: DataFrame, floor: float) -> DataFrame:
     """Pairs of the members of large nodes with about a dozen of them, and with the two most central ones."""
     share = F.xxhash64("cls").bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))  # the same members in all nodes
@@ -274,21 +337,17 @@ def _star_pairs(large: DataFrame, floor: float) -> DataFrame:
     return near.select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, comps: DataFrame | None, words: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, comps: DataFrame, words: int, percent: int) -> DataFrame:
     """Components (node, component) with the confirmed pairs: first each document's pair with its least partner, then those that would still join two."""
-
-    def joined(comps: DataFrame | None, links: DataFrame) -> DataFrame:
-        return components(links if comps is None else links.union(comps.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    comps = joined(comps, confirm_links(first, texts, words=words, percent=percent))
+    comps = _with_links(comps, confirm_links(first, texts, words=words, percent=percent))
     side = {s: comps.select(F.col("node").alias(s), F.col("component").alias(f"c{s}")) for s in "ab"}
     apart = pairs.join(first, ["a", "b"], "left_anti").join(side["a"], "a", "left").join(side["b"], "b", "left")
     rest = cut(apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
     if not rest.take(1):
         return comps
     found = cut(confirm_links(rest, texts, words=words, percent=percent))
-    return joined(comps, found) if found.take(1) else comps
+    return _with_links(comps, found) if found.take(1) else comps
 
 
 def op1_minhash_dedup(spark, sf_dir: str) -> DataFrame:
