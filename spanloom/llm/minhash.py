@@ -5,11 +5,12 @@ for the set. In each of several independent trees a node is a group of documents
 that agree on the coordinates chosen along a path; a node chooses its next
 coordinates at random, 1/threshold of them on average, so a pair at the threshold
 keeps meeting on average once at every depth. Small nodes are compared
-exhaustively by signature. Large nodes are compared with some of their members
-first, and branch only while they hold more than one component: a group of copies
-ends at once, however large. Of what is still large after the last round, all that
-is outside a node's largest component is compared with everything in the node, in
-blocks and on the full sets; a block gives out only links that join components.
+exhaustively by signature. Large nodes, those of three trees in each round, are
+compared with some of their members first, and large nodes branch only while they
+hold more than one component: a group of copies ends at once, however large. In a large node with little outside its largest
+component, and in all that are large after the last round, what is outside is
+compared with everything in the node, in blocks and on the full sets; a block
+gives out only links that join components. The others branch on.
 Every link is confirmed on the full sets.
 
 Documents with equal sets are one class throughout, so copies are never paired.
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.components import components
-from spanloom.llm.shared import Memory, by_batch, cut, partitions, stored, table
+from spanloom.llm.shared import Memory, by_batch, cut, partitions, sliced, stored, table
 
 COORDINATES = 64
 
@@ -74,7 +75,7 @@ def _describe(words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        for batch in batches:
+        for batch in sliced(batches):
             n, digest, sig = [], [], []
             for t in batch.column(1).to_pylist():
                 s = shingler.shingles(t)
@@ -98,11 +99,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _branch(threshold: float, steps: int, seed: int):
-    """(node, cls, sig) to (node, cls) of the nodes ``steps`` choices further down; choices depend on the node alone."""
+    """(node, cls, sig) to (node, cls) of the nodes ``steps`` choices further down; choices depend on the node alone. A node's last four bits are its tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node = np.asarray(batch.column(0)).view(np.uint64)
+            tree = node & np.uint64(15)
             row, sig = np.arange(len(node)), _signatures(batch.column(2)).astype(np.uint64)
             for step in range(steps):
                 draw = _mix(node + np.uint64(seed * 1000 + step))
@@ -115,6 +117,7 @@ def _branch(threshold: float, steps: int, seed: int):
                 node = np.concatenate([node, node[more]])
                 with np.errstate(over="ignore"):
                     node = _mix(node * np.uint64(0x9E3779B97F4A7C15) + (chosen.astype(np.uint64) << np.uint64(33)) + sig[row, chosen] + np.uint64(step))
+            node = (node & ~np.uint64(15)) | tree[row]
             yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column(1).take(pa.array(row))], ["node", "cls"])
 
     return run
@@ -244,14 +247,14 @@ def confirm_links(pairs: DataFrame, texts: DataFrame, *, words: int = 5, percent
     return dealt.mapInArrow(_confirm(words, percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 85, words: int = 5, trees: int = 10, small: int = 48, rounds: int = 3, block: int = 150_000, seed: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 85, words: int = 5, trees: int = 10, small: int = 48, rounds: int = 6, block: int = 150_000, seed: int = 3) -> DataFrame:
     """Rows (key, n_shingles, component_id, kept) for every row of docs.
 
     Null texts and texts without words have no shingles and no links. Repeated
     rows are copies; rows that share a key and differ in text count as one node
     of the graph. Rows without a key come back unlinked, kept. An empty table
     gives an empty result. Other columns of docs are not read. ``block`` is the
-    number of shingles in a block of the last round.
+    number of shingles in a block of large nodes.
     """
     threshold = percent / 100
     floor = threshold - 3.3 * (threshold * (1 - threshold) / COORDINATES) ** 0.5
@@ -261,11 +264,12 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     classes = stored(valid.groupBy("digest").agg(F.min("id").alias("cls"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes").select("cls", "n", "sig", "digest")
     at_class = classes.select("cls", "n", "sig")
     twice = valid.groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("id")
-    same_key = cut(valid.join(twice, "id", "left_semi").join(classes.select("digest", "cls"), "digest").select(F.col("id").alias("a"), F.col("cls").alias("b")))
+    comps, texts = None, None
+    if twice.take(1):
+        comps = cut(valid.join(twice, "id", "left_semi").join(classes.select("digest", "cls"), "digest").select(F.col("id").alias("node"), F.col("cls").alias("component")))
 
     roots = at_class.select(F.explode(F.sequence(F.lit(1).cast("long"), F.lit(trees).cast("long"))).alias("node"), "cls", "sig")
     level = roots.mapInArrow(_branch(threshold, 1, seed), "node long, cls long").withColumn("comp", F.col("cls"))
-    comps, texts = same_key.select(F.col("a").alias("node"), F.col("b").alias("component")), None
     for depth in range(rounds):
         nodes = level.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("node", "size")
         live = stored(level.join(nodes, "node").join(at_class, "cls").select("node", "cls", "comp", "n", "sig", "size"), f"nodes{depth}")
@@ -278,18 +282,24 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         large = live.where(F.col("size") > small)
         more = bool(large.take(1))
         if more:
-            pairs = pairs.union(_star_pairs(large, floor))
+            some = F.pmod(F.col("node").bitwiseAND(F.lit(15)) - 3 * depth, F.lit(min(trees, 16))) < 3  # trees hold the same large groups
+            pairs = pairs.union(_star_pairs(large.where(some), floor))
         pairs = stored(pairs.distinct(), f"pairs{depth}")
         comps = _verified(pairs, texts, comps, words, percent)
         if not more:
             break
         left = large.select("node", "cls", "n", "sig").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
         mixed = left.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("node")
-        if depth == rounds - 1:
-            links = _links_in_large(left.join(mixed, "node"), texts, words, percent, block)
+        sides = cut(_sides(left.join(mixed, "node"), block))
+        # Nodes with little to compare are finished, the others branch; in the last round all are finished.
+        light = F.lit(depth == rounds - 1) | (F.col("outside").cast("double") * F.col("all") <= block * block / 2)
+        if sides.where(light).take(1):
+            links = _links_in_large(left.join(sides.where(light), "node"), texts, words, percent)
             comps = _with_links(comps, links) if links.take(1) else comps
+        heavy = sides.where(~light).select("node")
+        if not heavy.take(1):
             break
-        level = left.join(mixed, "node").select("node", "cls", "sig").mapInArrow(_branch(threshold, 3, seed + depth + 1), "node long, cls long")
+        level = left.join(heavy, "node").select("node", "cls", "sig").mapInArrow(_branch(threshold, 3, seed + depth + 1), "node long, cls long")
         level = cut(level.distinct().join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("node", "cls", F.coalesce("component", "cls").alias("comp")))
 
     reach = comps.withColumnRenamed("node", "cls")
@@ -299,19 +309,24 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _links_in_large(left: DataFrame, texts: DataFrame, words: int, percent: int, block: int) -> DataFrame:
-    """Confirmed links (a, b) between the components of large nodes, from (node, cls, n, comp).
+def _sides(left: DataFrame, block: int) -> DataFrame:
+    """(node, main, all, outside, rest, mains): a node's largest component, its shingles and those outside that, and the numbers of blocks of both sides."""
+    by_comp = left.groupBy("node", "comp").agg(F.sum("n").alias("n"))
+    sides = by_comp.groupBy("node").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("in_main"), F.sum("n").alias("all"))
+    outside = F.col("all") - F.col("in_main")
+    return sides.select("node", "main", "all", outside.alias("outside"), F.ceil(outside / block).cast("int").alias("rest"), F.ceil(F.col("in_main") / block).cast("int").alias("mains"))
+
+
+def _links_in_large(left: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between the components of large nodes, from (node, cls, comp) with the node's sides.
 
     A node's largest component is cut into blocks, and so is the rest of the
     node. Every block of the rest meets every other block in a task of its own;
     blocks of the largest component do not meet each other.
     """
-    by_comp = left.groupBy("node", "comp").agg(F.sum("n").alias("n"))
-    sides = by_comp.groupBy("node").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("in_main"), F.sum("n").alias("all"))
-    sides = sides.select("node", "main", F.ceil((F.col("all") - F.col("in_main")) / block).cast("int").alias("rest"), F.ceil(F.col("in_main") / block).cast("int").alias("mains"))
     is_main = F.col("comp") == F.col("main")
     deal = F.pmod(F.xxhash64("cls", "node"), F.when(is_main, F.col("mains")).otherwise(F.col("rest"))).cast("int")
-    dealt = left.select("node", "cls", "comp").join(sides, "node").withColumn("own", deal + F.when(is_main, F.col("rest")).otherwise(0))
+    dealt = left.withColumn("own", deal + F.when(is_main, F.col("rest")).otherwise(0))
     meets = F.sequence(F.lit(0), F.when(is_main, F.col("rest")).otherwise(F.col("rest") + F.col("mains")) - 1)
     met = dealt.withColumn("with", F.explode(meets)).select("node", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "cls", "comp", "own")
     blocks = met.join(texts, "cls").groupBy("node", "x", "y").agg(F.collect_list(F.struct("cls", "comp", "own", "text")).alias("members"))
@@ -319,8 +334,8 @@ def _links_in_large(left: DataFrame, texts: DataFrame, words: int, percent: int,
     return cut(work.mapInArrow(_joined_in_blocks(words, percent), "a long, b long").distinct())
 
 
-def _with_links(comps: DataFrame, links: DataFrame) -> DataFrame:
-    return components(links.union(comps.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+def _with_links(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    return components(links) if comps is None else components(links.union(comps.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
 def _star_pairs(large: DataFrame, floor: float) -> DataFrame:
@@ -337,7 +352,7 @@ def _star_pairs(large: DataFrame, floor: float) -> DataFrame:
     return near.select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, comps: DataFrame, words: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, comps: DataFrame | None, words: int, percent: int) -> DataFrame:
     """Components (node, component) with the confirmed pairs: first each document's pair with its least partner, then those that would still join two."""
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     comps = _with_links(comps, confirm_links(first, texts, words=words, percent=percent))
