@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
 from spanloom.llm.pretokens import splitter
-from spanloom.llm.shared import Memory, table
+from spanloom.llm.shared import Memory, sliced, table
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -191,7 +191,7 @@ class Codec:
     """Whole texts to ids and back. Pieces are remembered in two generations of max_pieces each."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 200_000):
-        self.machine, self.split = Transducer(ranks), splitter(pattern)
+        self.machine, self.split = Transducer(ranks, max_pieces * 3 // 2), splitter(pattern)
         self.known = Memory(self._piece, max_pieces)
 
     def _piece(self, piece: str) -> bytes:
@@ -220,9 +220,9 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def _codec(path: str, pattern: str) -> Codec:
+def _codec(path: str, pattern: str, max_pieces: int) -> Codec:
     """One for each Python worker, so that tasks share the states and pieces it has made."""
-    return Codec(read_ranks(path), pattern)
+    return Codec(read_ranks(path), pattern, max_pieces)
 
 
 def utf8_stream(chunks: Iterable[bytes]) -> Iterator[str]:
@@ -233,11 +233,11 @@ def utf8_stream(chunks: Iterable[bytes]) -> Iterator[str]:
     yield machine.decode(b"", True)
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text", digests: bool = False, remember: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text", digests: bool = False, max_pieces: int = 200_000, remember: bool = True) -> DataFrame:
     """docs without its text, with n_tokens and ids (array of int), or with digests of the ids and of the decoded bytes.
 
     Workers remember pieces and states from task to task, or with remember off
-    for one task at a time.
+    for one task at a time; max_pieces bounds that memory and no result.
 
     A null text counts as empty and has no ids. Repeated rows are each encoded;
     an empty table gives an empty result. Columns named like a result are replaced.
@@ -248,8 +248,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, text: st
     schema = schema.add("ids_sha256", "string").add("decoded_sha256", "string") if digests else schema.add("ids", ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(ranks_path, pattern)
-        for batch in batches:
+        codec = _codec(ranks_path, pattern, max_pieces)
+        for batch in sliced(batches):
             n, first, second = [], [], []
             for t in batch.column(len(kept)).to_pylist():
                 ids = codec.encode(t or "")
