@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanloom.llm.shared import cut, table
+from spanloom.llm.shared import cut, sliced, table
 
 _MARK = np.uint64(0x1FFFFF)
 _ALPHA: list[np.ndarray] = []
 _STEP = 1 << 19
-BROADCAST_ROWS = 10_000
+MOST_LANGUAGES = 10_000
 
 
 def _alpha() -> np.ndarray:
@@ -30,26 +30,43 @@ def _alpha() -> np.ndarray:
     return _ALPHA[0]
 
 
-def _codes(part: str) -> np.ndarray:
+def _letters(part: str, after_letter: bool) -> np.ndarray:
+    """Code points of letters, with one 0 for each run of other characters that follows a letter."""
     points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _alpha()[points]
     kept = letter.copy()
     kept[1:] |= letter[:-1]
-    y = np.zeros(int(kept.sum()) + 2, np.uint64)
-    y[1:-1] = np.where(letter, points, 0)[kept]
-    one = y[y > 0] | (_MARK << np.uint64(42)) | (_MARK << np.uint64(21))
-    pair = (y[:-1] > 0) | (y[1:] > 0)
-    two = ((y[:-1] << np.uint64(21)) | y[1:] | (_MARK << np.uint64(42)))[pair]
-    three = ((y[:-2] << np.uint64(42)) | (y[1:-1] << np.uint64(21)) | y[2:])[y[1:-1] > 0]
-    return np.concatenate([one, two, three])
+    kept[:1] |= after_letter
+    return np.where(letter, points, 0)[kept].astype(np.uint64)
 
 
-def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """n-gram codes and their counts over the whole text, letters lower-cased, other runs as one gap."""
+def _codes(y: np.ndarray, seen: int) -> np.ndarray:
+    """Codes of the n-grams of y that end after its first ``seen`` values: single letters, pairs with a letter, triples around one."""
+    one = y[seen:]
+    pair = ((y[:-1] > 0) | (y[1:] > 0))[max(0, seen - 1) :]
+    two = ((y[:-1] << np.uint64(21)) | y[1:] | (_MARK << np.uint64(42)))[max(0, seen - 1) :][pair]
+    around = (y[1:-1] > 0)[max(0, seen - 2) :]
+    three = ((y[:-2] << np.uint64(42)) | (y[1:-1] << np.uint64(21)) | y[2:])[max(0, seen - 2) :][around]
+    return np.concatenate([one[one > 0] | (_MARK << np.uint64(42)) | (_MARK << np.uint64(21)), two, three])
+
+
+def gram_counts(text: str, step: int = _STEP) -> tuple[np.ndarray, np.ndarray]:
+    """n-gram codes and their counts over the whole text, letters lower-cased, other runs as one gap.
+
+    Long texts are read ``step`` characters at a time; the last two values are
+    carried over, so the counts are those of the text in one piece.
+    """
     low = text.lower()
-    if len(low) <= _STEP:
-        return np.unique(_codes(low), return_counts=True)
-    parts = [np.unique(_codes(low[i : i + _STEP]), return_counts=True) for i in range(0, len(low), _STEP)]
+    carried, parts = np.zeros(1, np.uint64), []
+    for i in range(0, max(1, len(low)), step):
+        new = _letters(low[i : i + step], bool(carried[-1]))
+        if i + step >= len(low) and len(new) and new[-1] or (i + step >= len(low) and not len(new) and carried[-1]):
+            new = np.append(new, np.uint64(0))
+        y = np.concatenate([carried, new])
+        parts.append(np.unique(_codes(y, len(carried)), return_counts=True))
+        carried = y[-2:]
+    if len(parts) == 1:
+        return parts[0]
     codes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     return codes, np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
 
@@ -71,24 +88,33 @@ def learn_profiles(train: DataFrame, *, text: str = "text", lang: str = "lang",
 
     Languages with more than ``per_language`` rows are learned from about that
     many, chosen by the hash of their text: the documented bound of the sample.
-    Counting runs on the executors; what returns is ``length`` codes a language.
+    Counting runs on the executors; what returns is ``length`` codes a language,
+    and more than 10,000 different labels are refused as no languages.
     """
     rows = train.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
     sizes = cut(rows.groupBy("l").agg((F.lit(float(per_language)) / F.count("*")).alias("rate")))
-    if sizes.count() <= BROADCAST_ROWS:  # so that texts stay where they are; a longer list of languages takes a shuffle
-        sizes = F.broadcast(sizes)
+    if sizes.count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = F.broadcast(sizes)  # at most that many rows, so that texts stay where they are
     share = (F.xxhash64("t").bitwiseAND(F.lit((1 << 20) - 1))) / F.lit(float(1 << 20))
     chosen = rows.join(sizes, "l").where(share < F.col("rate")).select("l", "t")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+            codes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            return codes, np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
+
+        for batch in sliced(batches):
             for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found.setdefault(name, []).append(gram_counts(t))
-            for name, parts in found.items():
-                codes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-                n = np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(n)], ["l", "gram", "n"])
+                parts = found.setdefault(name, [])
+                parts.append(gram_counts(t))
+                if len(parts) > 128:
+                    parts[:] = [merged(parts)]
+        for name, parts in found.items():
+            codes, n = merged(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(n)], ["l", "gram", "n"])
 
     counts = chosen.mapInArrow(count, "l string, gram long, n long").groupBy("l", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("l").orderBy(F.desc("n"), "gram")
@@ -138,7 +164,7 @@ def predict_language(docs: DataFrame, profiles: dict[str, list[int]], *, text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranker = Ranker(profiles, depth)
-        for batch in batches:
+        for batch in sliced(batches):
             found = [ranker.predict(t) for t in batch.column(at).to_pylist()]
             more = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "lang_pred", "score"])
