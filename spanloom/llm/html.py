@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from spanloom.llm.shared import table
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|iframe)\b(?:(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*>)(?:(?<=/>)|.*?(?:</\1\s*>|\Z))"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>|[^<>]*>)|<[!?][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|iframe)\b(?:(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*(?:>|\Z))(?:(?<=/>)|.*?(?:</\1\s*>|\Z))"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>|[^<>]*>)|<[!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 _BLOCK = frozenset(
@@ -45,27 +45,47 @@ _HEAD = frozenset("html head base basefont link meta noscript template object".s
 _NAMES = (
     r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|side-?bar\w*|footer\w*|masthead|breadcrumbs?|cookies?|consent|gdpr|notices?|alerts?|pop-?up|modal|comments?|commentary|disqus|repl(?:y|ies)|responses|share|sharing|social|related|recommend\w*|newsletter|subscribe|sign-?up|log-?in|search\w*|widgets?|pagination|pager|skip\w*)"
 )
-_NAMED = re.compile(rf"(?:^|[\s_-]){_NAMES}(?:$|[\s_-])", re.I)
-_NAMED_WHOLE = re.compile(rf"(?:^|\s){_NAMES}(?:$|\s)", re.I)
+_NAMED = re.compile(_NAMES, re.I)
+#: Ends of compound names that say nothing of what is inside, and beginnings that speak of something elsewhere.
+_NEUTRAL = frozenset("area bar block box buttons col column container group holder icons inner item items left link links list lists nav outer panel posts articles stories right row section sections slot text title top bottom unit wrap wrapper zone".split())
+_ELSEWHERE = frozenset("has no with without not is show hide hides non".split())
 _HEADER = re.compile(r"(?:^|[\s_-])(?:header|top-?bar|page-?top)(?:$|[\s_-])", re.I)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 
 
-def _walled(name: str, attrs: str, inside: bool) -> bool:
+def _named(value: str, inside: bool) -> int:
+    """2 if a class or id is by itself the name of a part without content, 1 if the head of a compound is, else 0."""
+    found = 0
+    for token in value.split():
+        if _NAMED.fullmatch(token):
+            return 2
+        parts = [p for p in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", token) if p]
+        while len(parts) > 1 and parts[-1].lower() in _NEUTRAL:
+            parts.pop()
+        if not inside and parts and parts[0].lower() not in _ELSEWHERE and _NAMED.fullmatch(parts[-1]):
+            found = 1
+    return found
+
+
+def _walled(name: str, attrs: str, inside: bool) -> int:
+    """2 for an element without content, 1 for one that seems so and is unless it holds most of the page, 0 for others."""
     if name in _WALL or (name == "header" and not inside):
-        return True
+        return 2
     if not attrs or name in ("html", "body", "article", "main"):
-        return False
+        return 0
+    found = 0
     for key, a, b, c in _ATTR.findall(attrs):
         value, key = a or b or c, key.lower()
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return True
-        if not inside and key in ("class", "id") and _HEADER.search(value):
-            return True
-        if (key == "role" and value.lower() in _ROLES) or (key in ("class", "id") and (_NAMED_WHOLE if inside else _NAMED).search(value)):
-            return True
-    return False
+            return 2
+        if key == "role" and value.lower() in _ROLES:
+            return 2
+        if key in ("class", "id"):
+            if not inside and _HEADER.search(value):
+                found = max(found, 1)
+            found = max(found, _named(value, inside))
+    return found
 
 
 class _Open:
@@ -124,6 +144,8 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
     End tags may be missing: an element ends with the element around it, and
     earlier where the HTML standard lets a start tag end it. One that should
     have had an end tag has no content beyond the next article or main element.
+    An element named like a part without content has some if it holds more than
+    half of the page's words.
     """
     found: list[tuple[str, str, str]] = []
     at, open_ = 0, _Open()
@@ -149,11 +171,15 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
         found.append(("", page[at:], ""))
     open_.pop(0, len(found))
 
+    words = [0]
+    for name, text, _ in found:
+        words.append(words[-1] + (0 if name else len(text.split())))
     out, articles, until, dropped, main, formula = [], 0, -1, False, 0, -1
     for i, (name, text, attrs) in enumerate(found):
         if name == "article" and text:
             articles = max(0, articles - 1)
-        if i > until and i in open_.ends and (name in _DROPPED or _walled(name, attrs, articles > 0)):
+        wall = i > until and i in open_.ends and (2 if name in _DROPPED else _walled(name, attrs, articles > 0))
+        if wall == 2 or (wall == 1 and 2 * (words[open_.ends[i][0]] - words[i]) <= words[-1]):
             end, own = open_.ends[i]
             until = end if own else end - 1
             if not own and name not in _OPTIONAL:
@@ -171,7 +197,7 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
 
 
 class Extractor:
-    """Best region of a page under given scores."""
+    """Best region of a page under given scores; of equal ones the first, and of those the shortest."""
 
     def __init__(self, weights: dict[str, float]):
         self.word, self.other, self.tags = weights.get("", 0.7), weights.get("?", -1.0), weights
