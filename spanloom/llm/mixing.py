@@ -9,7 +9,8 @@ epochs: whole epochs first, then the longest prefix of the next one that fits.
 
 Budgets are windows over the small tables of nodes. Inside a leaf, documents fall
 into 256 buckets by the hash that orders them; the sums of buckets show in which
-one the budget runs out, and only that one is put in order.
+one the budget runs out, that one is divided into 256 again, and only the bucket
+of those in which it runs out (1/65,536 of the leaf) is put in order.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ WEIGHTS = {"__domain": {"d0": 30, "d1": 20}, "__lang": {"en": 40, "de": 20, "fr"
 SHARE, SEED, EPOCHS = 0.6, 17, 2
 #: Leaf tables up to this many rows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 50_000
+EDGE_DIGITS = 4
 
 
 def n_tokens(text: Column) -> Column:
@@ -73,8 +75,11 @@ def mix(docs: DataFrame, *, share: float = SHARE, epochs: int = EPOCHS, seed: in
     leaf. Null languages and sources form the leaf value 'none'; null texts have
     no tokens and are taken with the prefix they fall into. Rows are put in
     order by the hash of seed, epoch and key, repeated keys then by text. An
-    empty table, or one without tokens, gives an empty result.
+    empty table, or one without tokens, gives an empty result. The names
+    __domain, __lang, __source, __n and __epoch are refused as columns of docs.
     """
+    if taken := {*TREE, "__n", "__epoch", "__u", "__b", "__edge", "__before", "__whole", "__rest", "__to"} & set(docs.columns):
+        raise ValueError(f"docs has columns {sorted(taken)}")
     leaf = docs.withColumn("__domain", domain_of(F.col(source))).withColumn("__lang", F.coalesce(F.col(lang), F.lit("none"))).withColumn("__source", F.coalesce(F.col(source), F.lit("none")))
 
     def hashed(epoch: Column) -> Column:
@@ -87,12 +92,16 @@ def mix(docs: DataFrame, *, share: float = SHARE, epochs: int = EPOCHS, seed: in
     small = spent.count() <= BROADCAST_ROWS
     hint = F.broadcast if small else lambda df: df
 
-    sums = sized.join(hint(spent), list(TREE)).withColumn("b", F.substring(hashed(F.col("__whole")), 1, 2)).groupBy(*TREE, "__rest", "b").agg(F.sum("__n").alias("n"))
-    running = sums.withColumn("to", F.sum("n").over(Window.partitionBy(*TREE).orderBy("b"))).where(F.col("to") > F.col("__rest"))
-    edge = running.groupBy(*TREE).agg(F.min(F.struct("b", (F.col("to") - F.col("n")).alias("before"))).alias("e"))
-    plan = cut(spent.join(edge, list(TREE), "left").select(*TREE, "__whole", "__rest", F.coalesce("e.b", F.lit("~")).alias("__edge"), F.coalesce("e.before", F.lit(0)).alias("__before")))
+    # The prefix of the hash at which the budget runs out, two digits at a time, each time among the rows of the last one.
+    plan = spent.select("*", F.lit("").alias("__edge"), F.lit(0).cast("long").alias("__before"))
+    for digits in range(2, EDGE_DIGITS + 1, 2):
+        inside = sized.join(hint(plan), list(TREE)).withColumn("__u", hashed(F.col("__whole"))).where(F.col("__u").startswith(F.col("__edge")))
+        sums = inside.withColumn("b", F.substring("__u", 1, digits)).groupBy(*TREE, "__rest", "__before", "b").agg(F.sum("__n").alias("n"))
+        running = sums.withColumn("to", F.col("__before") + F.sum("n").over(Window.partitionBy(*TREE).orderBy("b"))).where(F.col("to") > F.col("__rest"))
+        edge = running.groupBy(*TREE).agg(F.min(F.struct("b", (F.col("to") - F.col("n")).alias("before"))).alias("e"))
+        plan = cut(spent.join(edge, list(TREE), "left").select(*TREE, "__whole", "__rest", F.coalesce("e.b", F.lit("~")).alias("__edge"), F.coalesce("e.before", F.lit(0)).alias("__before")))
 
-    rows = leaf.join(hint(plan), list(TREE)).withColumn("__u", hashed(F.col("__whole"))).withColumn("__b", F.substring("__u", 1, 2))
+    rows = leaf.join(hint(plan), list(TREE)).withColumn("__u", hashed(F.col("__whole"))).withColumn("__b", F.substring("__u", 1, EDGE_DIGITS))
     names = [*docs.columns, *TREE]
     again = rows.withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__whole"))))
     sure = again.where((F.col("__epoch") < F.col("__whole")) | (F.col("__b") < F.col("__edge"))).select(*names, n_tokens(F.col(text)).alias("__n"), "__epoch")
