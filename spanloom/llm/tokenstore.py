@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.shared import new_path, partitions, table
 
+SHARD_ROWS = 1 << 20
 _NULL_KEY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -155,10 +156,12 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, pattern: str, *
     Rows go in ascending key order, null keys first, repeated keys by text. A
     null text counts as empty; each document's ids end with end_id. With added
     the tokenizer's added tokens have their own ids. An empty table gives a
-    store without shards.
+    store without shards. Without ``shards`` there are as many as shuffle
+    partitions, or more, so that a shard has about SHARD_ROWS rows at most: its
+    index is made in a task's memory. Other columns are not read.
     """
     spark = docs.sparkSession
-    shards = shards or partitions(spark)
+    shards = shards or max(partitions(spark), -(-docs.count() // SHARD_ROWS))
     ordered = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).repartitionByRange(shards, "k").sortWithinPartitions("k", "t")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
