@@ -1,14 +1,17 @@
 """Order MinHash fingerprints of documents, in DataFrame functions alone.
 
-A text is cut into pieces of at most 12 characters at white space, and every
-three neighbouring pieces form a k-mer, numbered by its occurrence, so that
-repeats differ. The hash of a numbered k-mer picks one of 64 sketches and its
+A text is cut into pieces: words of at most 12 characters as they are, and longer
+runs without white space by their content, after vowels, low digits and marks, and
+around every character beyond ASCII, so that an edit moves no cut but those beside
+it. Every three neighbouring pieces form a k-mer, numbered by its occurrence, so
+that repeats differ. The hash of a numbered k-mer picks one of 64 sketches and its
 order within it. A sketch keeps its two least k-mers, puts them back in text
 order and hashes the tuple: texts agree in a sketch if they share the k-mers and
 their order. The fingerprint has four hexadecimal digits for each sketch.
 
 Arrays hold 64-bit numbers with a hash in the upper 40 bits and a position in
-the lower 24, so that sorting them is sorting by hash.
+the lower 24, so that sorting them is sorting by hash. Beyond 16.7 million pieces
+several neighbours share a position, and of those the order is not told apart.
 """
 
 from __future__ import annotations
@@ -19,7 +22,10 @@ from pyspark.sql.window import Window
 
 from spanloom.llm.shared import let, table
 
-PIECE, KMER, SKETCH_BITS, SHIFT = r"\S{1,12}", 3, 6, 24
+_END = r"aeioAEIO0-4=+/.,;:_-"
+_PLAIN = rf"[\x00-\x7F&&[^\s]&&[^{_END}]]"
+PIECE = rf"(?<!\S)\S{{1,12}}(?!\S)|[^\x00-\x7F]|{_PLAIN}{{0,30}}[{_END}]|{_PLAIN}{{1,31}}"
+KMER, SKETCH_BITS, SHIFT = 3, 6, 24
 _PLACE = (1 << SHIFT) - 1
 
 
@@ -75,7 +81,8 @@ def sketches(text: Column) -> Column:
 
     def of(pieces: Column) -> Column:
         last = F.greatest(F.size(pieces) - KMER, F.lit(0))
-        hashed = lambda i: _pack(F.xxhash64(*(F.get(pieces, i + k) for k in range(KMER))), i)
+        step = F.floor(F.size(pieces) / (1 << SHIFT)) + 1
+        hashed = lambda i: _pack(F.xxhash64(*(F.get(pieces, i + k) for k in range(KMER))), F.floor(i / step))
         kmers = F.sort_array(F.transform(F.sequence(F.lit(0), last), hashed))
         none = F.array_repeat(F.lit(0), 1 << SKETCH_BITS)
         return F.when(F.size(pieces) == 0, none).otherwise(let(kmers, lambda s: let(_numbered(s), _sketches)))
@@ -117,13 +124,16 @@ def fingerprint_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     next document: the empty text stands for it. Of an only document the next
     is itself. An empty table gives an empty result; other columns are not read.
     """
+    low, high, n = docs.agg(F.min(F.col(key).cast("long")), F.max(F.col(key).cast("long")), F.count(key)).first()
+    if n:  # buckets of about as many documents each, however far apart keys lie
+        width = max(width, (high - low + 1) * width // n)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     rows = rows.withColumn("s", sketches(F.col("t"))).withColumn("bucket", F.floor(F.col("id") / width))
     keyed = rows.where("id is not null")
     order = Window.partitionBy("bucket").orderBy(F.desc("id"), "t")
     led = keyed.select("id", "t", "s", "bucket", F.row_number().over(order).alias("rn"), F.lead("t").over(order).alias("t2"), F.lead("s").over(order).alias("s2"))
     heads = led.where("rn = 1").select(F.col("bucket").alias("next"), F.col("t").alias("t3"), F.col("s").alias("s3"))
-    links = _next_bucket(docs.where(F.col(key).isNotNull()).select(F.floor(F.col(key).cast("long") / width).alias("bucket")).distinct(), width * 8, 2)
+    links = _next_bucket(docs.where(F.col(key).isNotNull()).select(F.floor(F.col(key).cast("long") / width).alias("bucket")).distinct(), 1024, 2)
     full = led.join(links.join(heads, "next").select("bucket", "t3", "s3"), "bucket")
     near = full.select("id", "t", "s", F.coalesce("t2", "t3").alias("u"), F.coalesce("s2", "s3").alias("v"))
     lone = rows.where("id is null").select("id", "t", "s", F.lit("").alias("u"), sketches(F.lit("")).alias("v"))
