@@ -321,3 +321,157 @@ def test_pages_against_plain_reading(spark):
         inner = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
         blocks = (" ".join(html_lib.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", inner))
         assert got[r.page_id] == "\n".join(b for b in blocks if b)
+
+
+def _sketch_by_hand(text):
+    """The 64 sketches of a text of words of at most 12 characters, by plain counting."""
+    import xxhash
+
+    sign = lambda x: x - (1 << 64) if x >> 63 else x
+    raw = lambda x: x & ((1 << 64) - 1)
+
+    def strings(parts):
+        seed = 42
+        for p in parts:
+            seed = xxhash.xxh64_intdigest(p.encode(), seed) if p is not None else seed
+        return sign(seed)
+
+    def numbers(*values):
+        seed = 42
+        for v, size in values:
+            seed = xxhash.xxh64_intdigest(raw(v).to_bytes(8, "little")[:size], seed)
+        return sign(seed)
+
+    words = text.split()
+    if not words:
+        return [0] * 64
+    seen, kept = {}, {}
+    for i in range(max(1, len(words) - 2)):
+        h = strings([words[i + k] if i + k < len(words) else None for k in range(3)]) >> 24
+        n = seen[h] = seen.get(h, -1) + 1
+        numbered = numbers((h, 8), (n, 4)) >> 24
+        kept.setdefault((numbered >> 34) + 32, []).append((numbered, i))
+    out = [0] * 64
+    for bucket, found in kept.items():
+        two = sorted(sorted(found)[:2], key=lambda x: x[1])
+        out[bucket] = numbers(*((h, 8) for h, _ in two)) % 65535 + 1
+    return out
+
+
+def test_fingerprints_against_plain_counting(spark):
+    rng = random.Random(16)
+    found = [" ".join(rng.choice(["ab", "cd", "efg", "h", "ij"]) + str(rng.randrange(3)) for _ in range(rng.choice([0, 1, 2, 3, 9, 80, 400]))) for _ in range(40)]
+    got = spark.createDataFrame(list(enumerate(found)), "i int, t string").select("i", fingerprints.sketches(F.col("t")).alias("s")).collect()
+    assert {r.i: list(r.s) for r in got} == {i: _sketch_by_hand(t) for i, t in enumerate(found)}
+
+
+def test_fingerprints_of_edits(spark):
+    rng = random.Random(12)
+    latin = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(6000))
+    han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(3000))
+    rows = [(x, y) for t in (latin, han) for x, y in ((t, "x" + t), (t, t[:5] + "q" + t[5:]), (t, t[: len(t) // 2] + t[len(t) // 2 + 1 :]), (t, t[::-1]))]
+    got = [r[0] for r in spark.createDataFrame(rows, "a string, b string").select(fingerprints.likeness(fingerprints.sketches(F.col("a")), fingerprints.sketches(F.col("b")))).collect()]
+    assert all(x > 0.85 for x in [*got[:3], *got[4:7]]) and got[3] < 0.1 and got[7] < 0.1
+    far = [(k * 10**15 - 5 * 10**17, f"text {k} of them") for k in range(1000)]
+    df = spark.createDataFrame(far, "doc_id long, text string")
+    done = {r.doc_id: r.edited_sha256 for r in fingerprints.fingerprint_edits(df).collect()}
+    order = sorted(far, reverse=True)
+    for i, (k, t) in enumerate(order):
+        n = len(t) // 2
+        assert done[k] == hashlib.sha256((t[: len(t) - n] + order[(i + 1) % len(order)][1][:n]).encode()).hexdigest()
+
+
+def test_language_steps_and_ranks():
+    rng = random.Random(3)
+    for _ in range(300):
+        t = "".join(rng.choice("aB é.1 ") for _ in range(rng.randint(0, 40)))
+        whole, parts = langid.gram_counts(t), langid.gram_counts(t, 3)
+        assert whole[0].tolist() == parts[0].tolist() and whole[1].tolist() == parts[1].tolist()
+        low, n = re.sub(r"[^a-zé]+", " ", t.lower()).strip(), {}
+        padded = f" {low} " if low else ""
+        for size in (1, 2, 3):
+            for i in range(len(padded) - size + 1):
+                g = padded[i : i + size]
+                if (size == 3 and g[1] != " ") or (size == 2 and g.strip()) or (size == 1 and g != " "):
+                    n[g] = n.get(g, 0) + 1
+        assert sorted(whole[1].tolist()) == sorted(n.values()), t
+    profiles = {k: [int(x) for x in langid.top_grams(*langid.gram_counts(t), 400).view(np.int64)] for k, t in (("xx", "kalo mino tupa riko"), ("yy", "strengs brucht knoll"))}
+    ranker = langid.Ranker(profiles, 300)
+    for t in ("kalo tupa", "knoll strengs kalo", "zzz"):
+        own, far = langid.top_grams(*langid.gram_counts(t), 300).view(np.int64).tolist(), max(map(len, profiles.values()))
+        distance = {k: sum(min(abs(p.index(g) - i), far) if g in p else far for i, g in enumerate(own)) / (len(own) * far) for k, p in profiles.items()}
+        best = min(profiles, key=lambda k: (distance[k], k))
+        assert ranker.predict(t) == (best, 1 - distance[best])
+
+
+@pytest.mark.parametrize("name, whole", [("page has-sidebar", True), ("layout no-ads", True), ("post social-post", True), ("content with-related", True), ("wrapper search-page", True), ("hasSidebar", True), ("sidebar-left", False), ("post-comments", False), ("adBox", False), ("related-posts", False)])
+def test_html_class_names(name, whole):
+    body = "<p>One two three four five six seven eight nine ten.</p><p>More words to read stand in this one.</p>"
+    text = "One two three four five six seven eight nine ten.\nMore words to read stand in this one."
+    part = f'<div class="{name}">{body}</div>'
+    page = part if whole else f"<div>{body}{body}</div>{part}"
+    assert html.Extractor({}).text(f"<html><body><nav><a>Menu</a></nav>{page}<footer>Host</footer></body></html>") == (text if whole else f"{text}\n{text}")
+
+
+def test_html_of_long_broken_pages():
+    import time
+
+    start = time.perf_counter()
+    for bad in ("<!" * 1_000_000, "<script" * 300_000, "<a '" * 300_000, "<" * 1_000_000):
+        assert len(html.tokens(bad)) <= 1 or bad[1] == "a"
+    assert time.perf_counter() - start < 5
+
+
+def test_pii_method_on_planted_rows(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghi") for _ in range(rng.randint(3, 8)))
+    fill = lambda: " ".join(word() for _ in range(6))
+    rows, planted, clean = [], {}, set()
+    for i in range(600):
+        kind, before = i % 6, fill() + " "
+        if kind == 0:
+            before, span, name = before + "token = \"", "".join(rng.choice("0123456789abcdef") for _ in range(40)), "secret"
+        elif kind == 1:
+            before, span, name = before + "mail me: ", f"{word()} (at) {word()} (dot) org", "email"
+        elif kind == 2:
+            before, span, name = before + "IBAN ", "GB82 WEST 1234 5698 7654 32", "account"
+        elif kind == 3:  # look-alikes
+            before, span, name = before + "we meet", f" at {word()}. Then", None
+        elif kind == 4:
+            before, span, name = before + "order ", "".join(rng.choice("123456789") for _ in range(15)) + "0", None
+        else:
+            before, span, name = before, "".join(rng.choice("abcdefghi") for _ in range(28)), None
+        text = before + span + ("\" " if kind == 0 else " ") + fill()
+        rows.append((i, text))
+        if name:
+            planted[i] = f"{name}:{len(before)}:{len(before) + len(span)}"
+        elif not (kind == 4 and _spans(text)):
+            clean.add(i)
+    got = {r.doc_id: r for r in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit = [k for k, s in planted.items() if s in got[k].spans.split(",")]
+    base = [k for k in planted if got[k].n_spans - got[k].n_added > 0]
+    assert len(hit) > 0.95 * len(planted) and not base
+    assert sum(got[k].n_spans > 0 for k in clean) <= 0.02 * len(clean)
+
+
+def test_pii_reliabilities():
+    """Expectation-maximisation tells a labeler that votes at random from those that are right."""
+    rng, counts = random.Random(2), {}
+    for _ in range(4000):
+        true = rng.random() < 0.4
+        vote = lambda right: pii.FOR_IT if (rng.random() < right) == true else pii.AGAINST_IT
+        v = sum(d * 3**j for j, d in enumerate((vote(0.95), vote(0.9), vote(0.5), vote(0.85))))
+        counts[v] = counts.get(v, 0) + 1
+    model = pii.fit([("secret", v, 8, n) for v, n in counts.items()])
+    found = [model.reliability["secret", j] for j in range(4)]
+    assert found[0] > 0.9 and found[1] > 0.85 and found[3] > 0.8 and 0.4 < found[2] < 0.6
+
+
+def test_pii_many_spans_and_masks(spark):
+    many = " ".join(f"u{i}@x.org," for i in range(3000))
+    df = spark.createDataFrame([(1, many, "en", "s", 0), (2, "a@b.co +49 170 1234567 and 4111111111111111 or 1.2.3.4", "en", "s", 0), (3, "+4111 1111 1111 1111 11@x.org é", "en", "s", 0)], DOCS)
+    got = {r.doc_id: r for r in pii.find_spans(df).collect()}
+    assert got[1].n_email == 3000 and got[1].spans.split(",")[:3] == [f"{k}:{m.start()}:{m.end()}" for k, m in zip(["email"] * 3, re.finditer(r"u\d+@x\.org", many))]
+    masked = {r.doc_id: r.text for r in pii.mask(df).collect()}
+    assert masked[1] == re.sub(r"u\d+@x\.org", "<EMAIL>", many) and masked[2] == "<EMAIL> <PHONE> and <CARD> or <IP>"
+    assert masked[3].endswith("é") and "@" not in masked[3]
