@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -51,16 +51,27 @@ def audit_answers(answers: DataFrame, targets: DataFrame) -> DataFrame:
     return crop(answers.where(~invalid_audit_title(F.col("title"))), targets)
 
 
-def split_by_chorus(members: DataFrame, segments: DataFrame, gap_s: float, chorus_s: float, likeness: float = 0.3) -> DataFrame:
+def split_by_chorus(members: DataFrame, segments: DataFrame, gap_s: float, chorus_s: float, likeness: float = 0.3, context: int = 3) -> DataFrame:
     """Members with part: cut at gaps above chorus_s, and at those above gap_s unless the texts on both sides are alike.
 
-    One segment on each side is compared, so a window over neighbours is enough.
+    On each side up to ``context`` segments are compared, before the gap only
+    those since the last cut. What each number of them would say comes from
+    windows; only a match's gaps above gap_s are then gone through in order.
     """
     order = Window.partitionBy(*MATCH).orderBy("idx")
-    rows = timed(members, segments).withColumn("gap", F.col("start_s") - F.lag("end_s").over(order)).withColumn("before", F.lag("text").over(order))
-    alike = overlap_coefficient(text_tokens(F.col("before")), text_tokens(F.col("text"))) >= likeness
-    cut = F.when((F.col("gap") > chorus_s) | ((F.col("gap") > gap_s) & ~alike), 1).otherwise(0)
-    return rows.withColumn("cut", cut).withColumn("part", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("cut", "gap", "before")
+    rows = timed(members, segments).withColumn("pos", F.row_number().over(order)).withColumn("gap", F.col("start_s") - F.lag("end_s").over(order)).withColumn("tokens", text_tokens(F.col("text")))
+    near = lambda low, high: F.array_distinct(F.flatten(F.collect_list("tokens").over(order.rowsBetween(low, high))))
+    sides = rows.select(*MATCH, "pos", "gap", near(0, context - 1).alias("after"), *(near(-m, -1).alias(f"before{m}") for m in range(1, context + 1)))
+    alike = F.array(*(overlap_coefficient(F.col(f"before{m}"), F.col("after")) >= likeness for m in range(1, context + 1)))
+    gaps = sides.where(F.col("gap") > gap_s).groupBy(*MATCH).agg(F.sort_array(F.collect_list(F.struct("pos", (F.col("gap") > chorus_s).alias("sure"), alike.alias("alike")))).alias("gaps"))
+
+    def step(cuts: Column, g: Column) -> Column:
+        since = F.least(g["pos"] - F.element_at(cuts, -1), F.lit(context))
+        return F.when(g["sure"] | ~F.get(g["alike"], since - 1), F.concat(cuts, F.array(g["pos"]))).otherwise(cuts)
+
+    cuts = gaps.select(*MATCH, F.explode(F.aggregate("gaps", F.array(F.lit(1)), step)).alias("pos")).where("pos > 1").withColumn("cut", F.lit(1))
+    parts = rows.join(cuts, [*MATCH, "pos"], "left").withColumn("part", F.sum(F.coalesce("cut", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    return parts.drop("pos", "gap", "tokens", "cut")
 
 
 def boundary_events(members: DataFrame, segments: DataFrame, gap_s: float) -> DataFrame:

@@ -16,18 +16,18 @@ from spanloom.functions.scalars import clip_stem, date_in, garbled, overlap_coef
 
 #: Fixed value: characters that matching ignores.
 IGNORED = r"[\s\-_·・，。、！!？?（）()\[\]【】「」『』《》\"'“”‘’:：;；]+"
-DICTIONARY_ROWS = 100_000
-
-
-def match_text(text: Column) -> Column:
-    """Lower-cased text without blanks and punctuation; full-width forms are folded beforehand by folded()."""
-    return F.regexp_replace(F.lower(F.trim(text)), IGNORED, "")
+LEAST_LIKENESS = 0.8
 
 
 @F.pandas_udf(StringType())
 def folded(text: pd.Series) -> pd.Series:
-    """Compatibility-composed form of a text, for which Spark has no function."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+    """Compatibility-composed, case-folded form of a text, for which Spark has no function."""
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+
+
+def match_text(text: Column) -> Column:
+    """The folded text without blanks and punctuation."""
+    return F.regexp_replace(F.trim(folded(text)), IGNORED, "")
 
 
 @F.pandas_udf(DoubleType())
@@ -42,19 +42,33 @@ def similarity(a: Column, b: Column, *, ratio: bool = True) -> Column:
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(inside, F.greatest(F.lit(0.92), rest)).otherwise(rest)
 
 
-def resolve_streamers(paths: DataFrame, dictionary: DataFrame, *, threshold: float = 0.8, ratio: bool = False, fallback: str = "unknown") -> DataFrame:
+def _grams(text: Column) -> Column:
+    """Pairs of characters, and single ones of texts of up to three. Texts as like as LEAST_LIKENESS, or of which one holds the other and is not much shorter, share one."""
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(2)))
+    return F.array_distinct(F.when(F.length(text) <= 3, F.concat(pairs, F.split(text, ""))).otherwise(pairs))
+
+
+def resolve_streamers(paths: DataFrame, dictionary: DataFrame, *, threshold: float = LEAST_LIKENESS, ratio: bool = True, fallback: str = "unknown") -> DataFrame:
     """(key, streamer, date, score) of paths (key, path, texts): the alias most like any of its texts.
 
-    Ties go to the first entry, alias and text. The dictionary (entry_ord,
-    streamer, alias_ord, alias) is hand-written; beyond 100,000 rows it is
-    refused, since every text is compared with every alias.
+    Ties go to the first entry, alias and text. Each distinct text is scored
+    once with the aliases (entry_ord, streamer, alias_ord, alias) that share a
+    pair of characters with it, which no alias of likeness LEAST_LIKENESS lacks;
+    so a score below that may be that of a less like alias, or 0.
     """
-    if dictionary.count() > DICTIONARY_ROWS:
-        raise ValueError("the dictionary is too large to compare every text with")
-    texts = paths.select("key", F.posexplode("texts").alias("text_ord", "text")).withColumn("t", match_text(F.col("text")))
-    aliases = F.broadcast(dictionary.withColumn("a", match_text(F.col("alias"))))
-    scored = texts.join(aliases).withColumn("score", similarity(F.col("a"), F.col("t"), ratio=ratio))  # small side: checked above
-    best = scored.groupBy("key").agg(F.max(F.struct("score", -F.col("entry_ord"), -F.col("alias_ord"), -F.col("text_ord"), "streamer")).alias("b"))
+    if threshold < LEAST_LIKENESS:
+        raise ValueError(f"aliases less like than {LEAST_LIKENESS} may not be found")
+    texts = paths.select("key", F.posexplode("texts").alias("text_ord", "text"))
+    forms = texts.select("text").distinct().withColumn("t", match_text(F.col("text")))
+    names = dictionary.select("alias").distinct().withColumn("a", match_text(F.col("alias")))
+    by_gram = lambda df, c: df.select(c).where(F.col(c) != "").distinct().select(c, F.explode(_grams(F.col(c))).alias("gram")).where("gram <> ''")
+    met = by_gram(forms, "t").join(by_gram(names, "a"), "gram").select("t", "a").distinct()
+    scores = met.withColumn("score", similarity(F.col("a"), F.col("t"), ratio=ratio))
+    entries = dictionary.join(names, "alias").select("a", "entry_ord", "alias_ord", "streamer")
+    order = F.struct("score", (-F.col("entry_ord")).alias("e"), (-F.col("alias_ord")).alias("l"), "streamer")
+    best_of = scores.join(entries, "a").groupBy("t").agg(F.max(order).alias("s"))
+    scored = texts.join(forms, "text").join(best_of, "t").select("key", F.struct("s.score", "s.e", "s.l", (-F.col("text_ord")).alias("o"), "s.streamer").alias("b"))
+    best = scored.groupBy("key").agg(F.max("b").alias("b"))
     good = F.col("b.score") >= threshold
     dates = paths.select("key", F.get(F.filter(F.transform("texts", date_in), lambda x: x.isNotNull()), 0).alias("date"))
     return dates.join(best, "key", "left").select("key", F.when(good, F.col("b.streamer")).otherwise(fallback).alias("streamer"), "date", F.coalesce("b.score", F.lit(0.0)).alias("score"))

@@ -21,8 +21,13 @@ from spanloom.streaming import operators as so
 
 
 def _scratch(spark, name: str) -> str:
-    """A new path in the shared folder, or in a new local one where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-")
+    """A new path in the shared folder, or in a new local one where none is set and Spark runs on this machine alone."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -203,7 +208,16 @@ def _words(df):
 
 
 def q_live_segments(spark, d):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", so.STATE_STORE)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, so.STATE_STORE)
+    try:
+        return _live(spark, d)
+    finally:
+        spark.conf.set(name, before)
+
+
+def _live(spark, d):
     return _done(spark, (so.live_segments(_words(_stream(spark, d, "events")), GAP, 1e9), "append"))
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, kept in spark.checkpoint.dir (a new folder where that is unset, as in tests)."""
+    """The rows of df, kept in spark.checkpoint.dir (a new folder where that is unset and Spark runs on this machine alone, as in tests)."""
     sc = df.sparkSession.sparkContext
     if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()

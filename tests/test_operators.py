@@ -223,3 +223,69 @@ def test_clusters_of_a_long_chain(spark):
     assert got == sorted([(s, i, 1) for s in (1, 2) for i in range(1, 141)] + [(3, 5, 5), (3, 9, 5), (1, 500, 500), (4, 1, 1)])
     with pytest.raises(RuntimeError):
         clusters(edges, alone, max_rounds=1)
+
+
+def test_names_against_plain_scores(spark):
+    import difflib
+    import random
+    import re
+    import unicodedata
+
+    from spanloom.operators import naming
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdeＡé ") for _ in range(rng.randint(1, 9)))
+    aliases = [word() for _ in range(40)] + ["ab", "ABC", "Ｓｔｒａße"]
+    texts = [[rng.choice(aliases) + rng.choice(["", "x", " live"]) if rng.random() < 0.6 else word() for _ in range(3)] for _ in range(60)] + [["axb", ""], ["strasse"], [""]]
+    plain = lambda x: re.sub(naming.IGNORED, "", unicodedata.normalize("NFKC", x).casefold().strip())
+
+    def like(x, y):
+        x, y = plain(x), plain(y)
+        if not x or not y:
+            return 0.0
+        r = 1.0 if x == y else difflib.SequenceMatcher(None, x, y).ratio()
+        return max(0.92, r) if x != y and (x in y or y in x) and min(len(x), len(y)) / max(len(x), len(y)) >= 0.45 else r
+
+    paths = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "key long, texts array<string>")
+    dictionary = spark.createDataFrame([(i, f"S{i}", 0, a) for i, a in enumerate(aliases)], "entry_ord long, streamer string, alias_ord long, alias string")
+    got = {r.key: (r.streamer, r.score) for r in naming.resolve_streamers(paths, dictionary).collect()}
+    for i, ts in enumerate(texts):
+        score, entry = max((like(a, t), -e) for e, a in enumerate(aliases) for t in ts)
+        if score >= 0.8:
+            assert got[i] == (f"S{-entry}", score), (i, ts, score)
+        else:
+            assert got[i][0] == "unknown" and got[i][1] <= score
+
+
+def test_chorus_context_against_plain_reading(spark):
+    import random
+
+    from spanloom.operators import coverage
+
+    rng = random.Random(5)
+    segs, mem = [], []
+    for s in range(30):
+        at = 0.0
+        for i in range(40):
+            at += rng.choice([1, 1, 30, 90, 200])
+            segs.append((s, i, at, at + 2, " ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 3)))))
+            at += 2
+            if rng.random() < 0.8:
+                mem.append((s, 1, "t", 0.9, i))
+    segments = spark.createDataFrame(segs, "stream_id long, idx long, start_s double, end_s double, text string")
+    members = spark.createDataFrame(mem, "stream_id long, match_ord long, title string, confidence double, idx long")
+    got = {(r.stream_id, r.idx): r.part for r in coverage.split_by_chorus(members, segments, 10.0, 120.0).collect()}
+    by = {(s, i): (a, b, set(t.split())) for s, i, a, b, t in segs}
+    for s in range(30):
+        own = [i for x, _, _, _, i in mem if x == s]
+        part, group = 0, own[:1]
+        assert got[s, own[0]] == 0
+        for k in range(1, len(own)):
+            gap = by[s, own[k]][0] - by[s, own[k - 1]][1]
+            x = set().union(*(by[s, i][2] for i in group[-3:]))
+            y = set().union(*(by[s, i][2] for i in own[k : k + 3]))
+            same = len(x & y) / min(len(x), len(y)) >= 0.3 if x and y else False
+            if gap > 120 or (gap > 10 and not same):
+                part, group = part + 1, []
+            group.append(own[k])
+            assert got[s, own[k]] == part
