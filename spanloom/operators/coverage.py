@@ -88,9 +88,10 @@ def expand_anchors(anchors: DataFrame, allowed: DataFrame, blocked: DataFrame, s
 
     An anchor does not cross a gap above gap_s, another anchor's segment or one
     an earlier anchor has claimed, nor grow longer than cap_s. All this happens
-    inside islands of free segments without such gaps, so each island is a small
-    group of its own. anchors has (stream_id, match_ord, idx); where two share a
-    segment the later one owns it.
+    inside islands of free segments without such gaps: those with one anchor by
+    windows, those where several may claim the same segments in order of the
+    anchors, many islands to a group. anchors has (stream_id, match_ord, idx);
+    where two share a segment the later one owns it.
     """
     order = Window.partitionBy("stream_id").orderBy("idx")
     free = segments.join(allowed.select("stream_id", F.explode(F.sequence("lo", "hi")).alias("idx")).distinct(), ["stream_id", "idx"], "left_semi")
@@ -99,30 +100,51 @@ def expand_anchors(anchors: DataFrame, allowed: DataFrame, blocked: DataFrame, s
     island = F.sum(F.when(cut, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
     seeds = anchors.groupBy("stream_id", "idx").agg(F.max("match_ord").alias("seed"))
     rows = free.withColumn("island", island).join(seeds, ["stream_id", "idx"], "left").select("stream_id", "island", "idx", "start_s", "end_s", "seed")
-    with_seed = rows.where("seed is not null").select("stream_id", "island").distinct()
-
-    def grow(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("idx")
-        idx, start, end = part["idx"].tolist(), part["start_s"].tolist(), part["end_s"].tolist()
-        owner: list[int | None] = [None if pd.isna(s) else int(s) for s in part["seed"]]
-        claimed: dict[int, int] = {}
-        for seed in sorted({s for s in owner if s is not None}):
-            own = [k for k, s in enumerate(owner) if s == seed and k not in claimed]
-            if not own:
-                continue
-            low, high = min(own), max(own)
-            free_at = lambda k: 0 <= k < len(idx) and k not in claimed and owner[k] in (None, seed)  # noqa: B023, E731
-            while free_at(low - 1) and end[high] - start[low - 1] <= cap_s:
-                low -= 1
-            while free_at(high + 1) and end[high + 1] - start[low] <= cap_s:
-                high += 1
-            for k in range(low, high + 1):
-                if owner[k] in (None, seed):
-                    claimed.setdefault(k, seed)
-        return pd.DataFrame({"stream_id": [part["stream_id"].iloc[0]] * len(claimed), "match_ord": list(claimed.values()), "idx": [idx[k] for k in claimed]})
-
-    grouped = rows.join(with_seed, ["stream_id", "island"], "left_semi").groupBy("stream_id", "island")
-    return grouped.applyInPandas(grow, "stream_id long, match_ord long, idx long")
+    whole = Window.partitionBy("stream_id", "island")
+    rows = rows.withColumn("first_seed", F.min("seed").over(whole)).withColumn("last_seed", F.max("seed").over(whole)).where("first_seed is not null")
+    alone = _grown_alone(rows.where("first_seed = last_seed"), whole, cap_s)
+    several = rows.where("first_seed < last_seed").withColumn("pack", F.floor(F.col("island") / 64))
+    grow = lambda part: pd.concat([_grown_in_turn(i, cap_s) for _, i in part.groupby("island")])
+    return alone.union(several.groupBy("stream_id", "pack").applyInPandas(grow, "stream_id long, match_ord long, idx long"))
+
+
+def _grown_alone(rows: DataFrame, whole: Window, cap_s: float) -> DataFrame:
+    """Islands of one anchor: it grows to the nearest segment on the left that would make it too long, then so on the right."""
+    idx, at = F.col("idx"), lambda place, value: F.max(F.when(F.col("idx") == F.col(place), F.col(value))).over(whole)
+    rows = rows.withColumn("low", F.min(F.when(F.col("seed").isNotNull(), idx)).over(whole)).withColumn("high", F.max(F.when(F.col("seed").isNotNull(), idx)).over(whole))
+    rows = rows.withColumn("end_high", at("high", "end_s"))
+    too_early = ~F.coalesce(F.col("end_high") - F.col("start_s") <= cap_s, F.lit(False))
+    rows = rows.withColumn("first", F.coalesce(F.max(F.when((idx < F.col("low")) & too_early, idx)).over(whole) + 1, F.min("idx").over(whole)))
+    rows = rows.withColumn("start_first", at("first", "start_s"))
+    too_late = ~F.coalesce(F.col("end_s") - F.col("start_first") <= cap_s, F.lit(False))
+    rows = rows.withColumn("stop", F.min(F.when((idx > F.col("high")) & too_late, idx)).over(whole))
+    return rows.where((idx >= F.col("first")) & (F.col("stop").isNull() | (idx < F.col("stop")))).select("stream_id", F.col("first_seed").alias("match_ord"), "idx")
+
+
+def _grown_in_turn(part: pd.DataFrame, cap_s: float) -> pd.DataFrame:
+    """An island of several anchors: they grow one after the other, each up to what an earlier one has claimed or another owns."""
+    part = part.sort_values("idx")
+    idx, start, end = part["idx"].tolist(), part["start_s"].tolist(), part["end_s"].tolist()
+    owner: list[int | None] = [None if pd.isna(s) else int(s) for s in part["seed"]]
+    owned: dict[int, list[int]] = {}
+    for k, s in enumerate(owner):
+        if s is not None:
+            owned.setdefault(s, []).append(k)
+    claimed: dict[int, int] = {}
+    for seed in sorted(owned):
+        own = [k for k in owned[seed] if k not in claimed]
+        if not own:
+            continue
+        low, high = own[0], own[-1]
+        free_at = lambda k: 0 <= k < len(idx) and k not in claimed and owner[k] in (None, seed)  # noqa: B023, E731
+        while free_at(low - 1) and end[high] - start[low - 1] <= cap_s:
+            low -= 1
+        while free_at(high + 1) and end[high + 1] - start[low] <= cap_s:
+            high += 1
+        for k in range(low, high + 1):
+            if owner[k] in (None, seed):
+                claimed.setdefault(k, seed)
+    return pd.DataFrame({"stream_id": [part["stream_id"].iloc[0]] * len(claimed), "match_ord": list(claimed.values()), "idx": [idx[k] for k in claimed]})
 
 
 def review_guard(before: DataFrame, after: DataFrame, segments: DataFrame, *, span: int) -> DataFrame:
