@@ -22,19 +22,13 @@ def unfenced(text: Column) -> Column:
 
 def span(text: Column) -> Column:
     """From the earliest of '[' and '{' to the last of its closing kind."""
-    a, o = F.instr(text, "["), F.instr(text, "{")
-    array = (a > 0) & ((o == 0) | (a < o))
-    begin = F.when(array, a).otherwise(o)
-    back = F.reverse(text)
-    end = F.length(text) - F.when(array, F.instr(back, "]")).otherwise(F.instr(back, "}")) + 1
-    return F.when((begin > 0) & (end >= begin) & (end <= F.length(text)), F.substring(text, begin, end - begin + 1))
+    return F.nullif(F.regexp_extract(text, r"(?s)^[^\[{]*(\[.*\]|\{.*\})", 1), F.lit(""))
 
 
 def parsed(responses: DataFrame, text: str = "raw") -> DataFrame:
     """responses with json (VARIANT of the whole text or of its span, or null) and status: ok, empty or failed."""
-    plain = unfenced(F.col(text))
-    whole = F.coalesce(F.try_parse_json(plain), F.try_parse_json(span(plain)))
-    rows = responses.withColumn("json", whole)
+    rows = responses.withColumn("__plain", unfenced(F.col(text))).withColumn("__span", span(F.col("__plain")))
+    rows = rows.withColumn("json", F.coalesce(F.try_parse_json("__plain"), F.try_parse_json("__span"))).drop("__plain", "__span")
     status = F.when(F.coalesce(F.trim(text), F.lit("")) == "", "empty").when(F.col("json").isNull(), "failed").otherwise("ok")
     return rows.withColumn("status", status)
 
@@ -71,11 +65,12 @@ def recovered(failed: DataFrame, keys: list[str], text: str = "raw") -> DataFram
 def items(responses: DataFrame, keys: list[str], text: str = "raw") -> DataFrame:
     """One row for each object of each response: (keys, pos, title, indices, confidence, recovered).
 
-    Elements that are no objects drop out, as do items without a title or an index.
+    A response that is no array has none. Elements that are no objects drop out,
+    as do items without a title or an index.
     """
     rows = parsed(responses, text)
-    good = rows.where("status = 'ok'").select(*keys, F.col("json").cast("array<variant>").alias("a"))
-    good = good.select(*keys, F.posexplode("a").alias("pos", "v"))
+    good = rows.select(*keys, F.try_variant_get("json", "$", "array<variant>").alias("a"))
+    good = good.select(*keys, F.posexplode_outer("a").alias("pos", "v"))
     good = good.where(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT"))).select(*keys, F.col("pos").cast("long").alias("pos"), F.to_json("v").alias("item"), F.lit(False).alias("recovered"))
     saved = recovered(rows.where("status = 'failed'"), keys, text).select(*keys, "pos", "item", F.lit(True).alias("recovered"))
     every = good.union(saved).withColumn("x", F.from_json("item", ITEM))
