@@ -51,7 +51,7 @@ def q_anchors(spark, d):
 
 
 def q_review_guard(spark, d):
-    m = members(spark, d).where("match_ord < 4")
+    m = members(spark, d)
     return cv.review_guard(m, m.where("match_ord <> 2 or stream_id % 3 <> 0").where("stream_id % 11 <> 0"), segments(spark, d), span=14)
 
 
@@ -68,7 +68,7 @@ def q_streamers(spark, d):
 
 def _search(spark, d):
     b = table(spark, d, "benchmark")
-    q = b.select(F.col("item_id").alias("key"), F.substring("text", 1, 60).alias("query"))
+    q = b.select(F.col("item_id").alias("key"), F.col("text").alias("query"))
     r = b.select("item_id", "text").select(F.explode(F.array("item_id", F.col("item_id") + 1, F.col("item_id") + 2)).alias("key"), "text", "item_id")
     return q, r.select("key", (F.col("key") - F.col("item_id") + 1).alias("rank"), F.concat(F.lit("T"), "item_id").alias("title"), F.when(F.col("item_id") % 4 == 0, F.lit("zzz qqq")).otherwise(F.col("text")).alias("snippet"))
 
@@ -116,7 +116,7 @@ def _hull(source: str, name: str) -> str:
 
 
 _TOP = "top AS (SELECT stream_id, max(idx) AS t FROM segments GROUP BY ALL)"
-_SEARCH = """q AS (SELECT item_id AS key, substr(text, 1, 60) AS query FROM benchmark), r AS (SELECT item_id + k AS key, (k + 1)::BIGINT AS rank, 'T' || item_id AS title, CASE WHEN item_id % 4 = 0 THEN 'zzz qqq' ELSE text END AS snippet FROM benchmark, (SELECT unnest([0, 1, 2]) AS k)),
+_SEARCH = """q AS (SELECT item_id AS key, text AS query FROM benchmark), r AS (SELECT item_id + k AS key, (k + 1)::BIGINT AS rank, 'T' || item_id AS title, CASE WHEN item_id % 4 = 0 THEN 'zzz qqq' ELSE text END AS snippet FROM benchmark, (SELECT unnest([0, 1, 2]) AS k)),
 w AS (SELECT key, rank, title, list_distinct(list_filter(regexp_split_to_array(lower(trim(query)), '\\s+'), lambda x: regexp_matches(x, '^\\pL+$'))) AS a, list_distinct(list_filter(regexp_split_to_array(lower(trim(snippet)), '\\s+'), lambda x: regexp_matches(x, '^\\pL+$'))) AS b FROM q JOIN r USING (key)),
 l AS (SELECT key, rank, title, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / least(len(a), len(b)) END AS likeness FROM w), ev AS (SELECT * FROM l WHERE likeness >= 0.15 QUALIFY row_number() OVER (PARTITION BY key ORDER BY rank) = 1)"""
 
@@ -134,7 +134,7 @@ wins AS (SELECT stream_id, w, min(lo) AS lo, max(hi) AS hi, count(*) AS targets
 lf AS (SELECT a.stream_id, a.match_ord, max(x.idx) FILTER (NOT a.s_end - x.start_s <= {CAP}) AS stop FROM se a JOIN segments x ON x.stream_id = a.stream_id AND x.idx >= a.lo AND x.idx < a.s GROUP BY ALL),
 lw AS (SELECT a.*, greatest(a.lo, coalesce(stop + 1, a.lo)) AS l FROM se a LEFT JOIN lf USING (stream_id, match_ord)), ls AS (SELECT a.*, x.start_s AS l_start FROM lw a JOIN segments x ON x.stream_id = a.stream_id AND x.idx = a.l),
 rf AS (SELECT a.stream_id, a.match_ord, min(x.idx) FILTER (NOT x.end_s - a.l_start <= {CAP}) AS stop FROM ls a JOIN segments x ON x.stream_id = a.stream_id AND x.idx > a.s AND x.idx <= a.hi GROUP BY ALL)""", body="SELECT a.stream_id, a.match_ord, a.l AS lo, least(a.hi, coalesce(stop - 1, a.hi)) AS hi FROM ls a LEFT JOIN rf USING (stream_id, match_ord)"),
-    "c16_review_guard": with_inputs(*_E, more="b AS (SELECT * FROM members WHERE match_ord < 4), a AS (SELECT * FROM b WHERE (match_ord <> 2 OR stream_id % 3 <> 0) AND stream_id % 11 <> 0), lost AS (SELECT DISTINCT stream_id FROM (SELECT DISTINCT stream_id, title FROM b EXCEPT SELECT DISTINCT stream_id, title FROM a)), clash AS (SELECT DISTINCT x.stream_id FROM a x JOIN a y ON x.stream_id = y.stream_id AND x.idx = y.idx AND x.match_ord < y.match_ord AND x.title <> y.title), sz AS (SELECT stream_id, max(idx) - min(idx) + 1 AS n FROM a GROUP BY ALL)", body="SELECT DISTINCT b.stream_id, coalesce(n <= 14, false) AND b.stream_id NOT IN (SELECT stream_id FROM lost) AND b.stream_id NOT IN (SELECT stream_id FROM clash) AS accepted FROM b LEFT JOIN sz USING (stream_id)"),
+    "c16_review_guard": with_inputs(*_E, more="b AS (SELECT * FROM members), a AS (SELECT * FROM b WHERE (match_ord <> 2 OR stream_id % 3 <> 0) AND stream_id % 11 <> 0), lost AS (SELECT DISTINCT stream_id FROM (SELECT DISTINCT stream_id, title FROM b EXCEPT SELECT DISTINCT stream_id, title FROM a)), clash AS (SELECT DISTINCT x.stream_id FROM a x JOIN a y ON x.stream_id = y.stream_id AND x.idx = y.idx AND x.match_ord < y.match_ord AND x.title <> y.title), sz AS (SELECT stream_id, max(idx) - min(idx) + 1 AS n FROM a GROUP BY ALL)", body="SELECT DISTINCT b.stream_id, coalesce(n <= 14, false) AND b.stream_id NOT IN (SELECT stream_id FROM lost) AND b.stream_id NOT IN (SELECT stream_id FROM clash) AS accepted FROM b LEFT JOIN sz USING (stream_id)"),
     "c26_j13_streamers": "WITH p AS (SELECT o_orderkey AS key, o_orderdate, s_suppkey, s_name FROM orders JOIN supplier ON o_custkey % 50 = s_suppkey) SELECT key, CASE WHEN s_suppkey % 2 = 0 THEN 'S' || s_suppkey ELSE 'unknown' END AS streamer, strftime(o_orderdate, '%y%m%d') AS date, CASE WHEN s_suppkey % 2 = 1 THEN 0 WHEN key % 3 = 0 THEN 0.92 ELSE 1 END::DOUBLE AS score FROM p",
     "c25_search_evidence": f"WITH {_SEARCH} SELECT * FROM ev",
     "c25_verify_titles": f"WITH {_SEARCH} SELECT q.key, CASE WHEN ev.title IS NOT NULL AND q.key % 2 = 0 THEN ev.title WHEN q.key % 2 = 0 THEN '未知歌曲：x' ELSE 'own' END AS title, CASE WHEN ev.title IS NULL THEN 'no_evidence' WHEN q.key % 2 = 0 THEN 'renamed' ELSE 'confirmed' END AS verdict FROM q LEFT JOIN ev ON ev.key = q.key",

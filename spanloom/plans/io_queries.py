@@ -42,22 +42,21 @@ def q_read_segments(spark, d):
 
 
 def q_matches_of(spark, d):
-    h = mt.heads(members(spark, d).where("match_ord < 9"))
+    h = mt.heads(members(spark, d))
     item = F.struct("title", F.array("lo", "hi").alias("segment_indices"), F.when(F.col("match_ord") % 2 == 0, F.col("n").cast("string")).alias("confidence"))
     docs = h.groupBy("stream_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("match_ord", item.alias("i")))), lambda x: x["i"])).alias("doc"))
     return rd.matches_of(docs).select("stream_id", "match_ord", "content_type", "title", F.array_join("segment_indices", ",").alias("indices"), "confidence", F.size("tags").cast("long").alias("n_tags"))
 
 
 def q_responses(spark, d):
-    """Logs in folders by stream, of which manifests list the even rounds only."""
-    s = segments(spark, d).where("idx < 4 and stream_id < 20")
+    """Logs in a folder for each stream, of whose two files the manifest lists that of the even rounds; every ninth log is cut off."""
     path = _scratch(spark, "logs")
-    logs = s.select("stream_id", "idx", F.to_json(F.struct(F.col("stream_id").cast("string").alias("stream_id"), F.lit("main").alias("phase"), F.col("text").alias("raw"), F.lit("stop").alias("finish_reason"))).alias("value"))
-    logs.repartition("stream_id", "idx").write.partitionBy("stream_id", "idx").text(path)
-    rows = spark.read.option("recursiveFileLookup", "true").schema("stream_id string, phase string, raw string, finish_reason string").json(path)
-    rows = rows.withColumn("idx", F.regexp_extract(F.col("_metadata.file_path"), "idx=([0-9]+)/", 1).cast("long"))
-    listed = s.where("idx % 2 = 0").select(F.col("stream_id").cast("string").alias("stream_id"), "idx")
-    return rows.join(listed, ["stream_id", "idx"], "left_semi").select("stream_id", "idx", "phase", "raw")
+    log = F.to_json(F.struct(F.col("stream_id").cast("string").alias("stream_id"), F.concat(F.lit("round-"), "idx").alias("phase"), F.col("text").alias("raw"), F.lit("stop").alias("finish_reason")))
+    logs = segments(spark, d).withColumn("log", log).select("stream_id", (F.col("idx") % 2).alias("half"), F.when(F.col("idx") % 9 == 4, F.left("log", F.lit(20))).otherwise(F.col("log")).alias("value"))
+    logs.repartition("stream_id").write.partitionBy("stream_id", "half").text(path)
+    rows = rd.response_logs(spark, path, "*.txt")
+    listed = rows.where(F.col("file").contains("/half=0/")).select("file")
+    return rd.responses_of(rows, listed).select("stream_id", "phase", "raw", "finish_reason")
 
 
 def q_usage_sources(spark, d):
@@ -74,12 +73,12 @@ def q_clip_list(spark, d):
 def q_dictionary(spark, d):
     s = table(spark, d, "supplier")
     entry = F.struct(F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("streamer"), F.when(F.col("s_suppkey") % 2 == 1, F.col("s_name")).alias("name"), F.when(F.col("s_suppkey") % 3 == 0, F.array(F.lower("s_name"), "s_name")).alias("keywords"))
-    docs = s.agg(F.to_json(F.struct(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", entry.alias("e")))), lambda x: x["e"]).alias("entries"))).alias("doc"))
-    return rd.dictionary_of(docs).select(F.col("entry_ord").cast("long").alias("entry_ord"), "streamer", F.col("alias_ord").cast("long").alias("alias_ord"), "alias")
+    docs = s.groupBy(F.floor(F.col("s_suppkey") / 10).alias("document")).agg(F.to_json(F.struct(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", entry.alias("e")))), lambda x: x["e"]).alias("entries"))).alias("doc"))
+    return rd.dictionary_of(docs).select("document", F.col("entry_ord").cast("long").alias("entry_ord"), "streamer", F.col("alias_ord").cast("long").alias("alias_ord"), "alias")
 
 
 def q_media(spark, d):
-    li = table(spark, d, "lineitem").where("l_linenumber = 1")
+    li = table(spark, d, "lineitem")
     video = F.struct(F.lit("video").alias("codec_type"), F.lit("h264").alias("codec_name"), F.lit(1920).alias("width"), F.lit(1080).alias("height"), F.concat(F.col("l_suppkey") % 60, F.lit("/"), F.col("l_suppkey") % 4).alias("avg_frame_rate"))
     audio = F.struct(F.lit("audio").alias("codec_type"), F.lit("aac").alias("codec_name"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), F.lit("0/0").alias("avg_frame_rate"))
     docs = li.groupBy(F.col("l_orderkey").alias("stream_id")).agg(F.min("l_suppkey").alias("l_suppkey"), F.min("l_quantity").alias("q"))
@@ -88,7 +87,7 @@ def q_media(spark, d):
 
 
 def q_timestamps(spark, d):
-    t = transcripts(spark, d).where("idx < 3")
+    t = transcripts(spark, d)
     item = F.when(F.col("idx") == 0, F.to_json(F.array(F.col("start_s").cast("string"), F.col("end_s").cast("string"), F.concat(F.lit("<|zh|>w"), "idx")))).when(F.col("idx") == 1, F.concat(F.lit('{"start":'), F.col("start_s") * 1000 + 2000, F.lit(',"end":'), F.col("end_s") * 1000 + 2000, F.lit(',"text":" x "}'))).otherwise(F.concat(F.lit("["), "start_s", F.lit(","), "end_s", F.lit("]")))
     raw = t.groupBy("stream_id").agg(F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", item.alias("i")))), lambda x: x["i"]), ","), F.lit("]")).alias("j"))
     return rd.timestamps_of(raw.select("stream_id", F.parse_json("j").alias("items"), F.lit("whole").alias("text")))
@@ -123,7 +122,7 @@ def q_markdown(spark, d):
 
 
 def q_summary(spark, d):
-    rows = transcripts(spark, d).select("stream_id", F.col("idx").alias("ord"), (F.col("idx") % 3 + 1).alias("level"), F.substring("text", 1, 15).alias("heading"), F.when(F.col("idx") % 2 == 0, F.lit("body")).alias("body"))
+    rows = transcripts(spark, d).select("stream_id", F.col("idx").alias("ord"), (F.col("idx") % 3 + 1).alias("level"), F.col("text").alias("heading"), F.when(F.col("idx") % 2 == 0, F.lit("body")).alias("body"))
     return sk.summary_markdown(rows)
 
 
@@ -144,8 +143,10 @@ def q_upserted(spark, d):
 
 
 def q_listing(spark, d):
-    """Files of the tables' folder by the recording rules: none is a recording, so only their number by folder is given."""
-    return rd.list_recordings(spark, d, ("parquet",)).groupBy(F.lit("tables").alias("folder")).agg((F.count("*") > 0).alias("found"))
+    """Folders of the streams' segments, written as one text file for each stream, and their files."""
+    path = _scratch(spark, "recordings")
+    segments(spark, d).select("stream_id", "text").repartition("stream_id").write.partitionBy("stream_id").text(path)
+    return rd.list_recordings(spark, path, ("txt",)).groupBy(F.regexp_extract("folder", "[^/]*$", 0).alias("folder")).agg(F.count("*").alias("files"))
 
 
 def _stream(spark, d, name: str):
@@ -170,7 +171,8 @@ def q_sessions(spark, d):
 
 
 def q_sessions_stream(spark, d):
-    return _done(spark, (so.sessions(_events(_stream(spark, d, "events")), GAP), "append"))
+    done = _done(spark, (so.sessions(_events(_stream(spark, d, "events")), GAP), "append"))
+    return done.select("stream_id", "title", "n", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"))
 
 
 def _calls(df):
@@ -198,7 +200,7 @@ def q_intake(spark, d):
 def q_late(spark, d):
     top = F.max("ts").over(Window.partitionBy(F.floor(F.col("event_id") / 2500)))
     e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts")).withColumn("top", top)
-    return e.where(F.col("ts") < F.col("top") - F.expr("interval 10 hours")).groupBy(F.floor(F.col("event_id") / 2500).alias("batch")).agg(F.count("*").alias("late"))
+    return so.late_rows(e, F.col("top"), "10 hours").groupBy(F.floor(F.col("event_id") / 2500).alias("batch")).agg(F.count("*").alias("late"))
 
 
 def _words(df):
@@ -234,26 +236,35 @@ _CALLS = "calls AS (SELECT epoch_us(ts) AS us, event_type AS phase, floor(value)
 _USE = "count(*) AS calls, sum(hit)::BIGINT AS hit, (2 * count(*))::BIGINT AS miss, count(*) AS completion, sum(hit)::BIGINT * 0.0028::DOUBLE / 1e6::DOUBLE + 2 * count(*) * 0.14::DOUBLE / 1e6::DOUBLE + count(*) * 0.28::DOUBLE / 1e6::DOUBLE AS cost_usd"
 _STATE = "state AS (SELECT DISTINCT user_id AS stream_id, CASE WHEN user_id % 3 = 0 THEN 'failed' ELSE 'success' END AS status FROM events WHERE user_id % 5 <> 0)"
 
+_SESSIONS = f"WITH e AS (SELECT user_id AS stream_id, event_type AS title, epoch_us(ts) AS us, epoch_us(ts) + round(value * 1e6)::BIGINT + {int(GAP * 1e6)} AS due FROM events), c AS (SELECT *, CASE WHEN us < max(due) OVER (PARTITION BY stream_id, title ORDER BY us, due ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS cut FROM e), s AS (SELECT *, sum(cut) OVER (PARTITION BY stream_id, title ORDER BY us, due ROWS UNBOUNDED PRECEDING) AS k FROM c) SELECT stream_id, title, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM s GROUP BY stream_id, title, k"
+#: A stream's last segment has gone out only if the watermark, ten seconds behind the newest word, has passed its timer.
+_LIVE = f"""WITH e AS (SELECT user_id AS stream_id, epoch_us(ts) / 1e6::DOUBLE AS s, event_type AS word FROM events), c AS (SELECT *, s - max(s + 2.0) OVER (PARTITION BY stream_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > {GAP} AS cut FROM e),
+p AS (SELECT *, count(*) FILTER (cut) OVER (PARTITION BY stream_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS part FROM c), g AS (SELECT stream_id, part, min(s) AS start_s, max(s) + 2.0 AS end_s, string_agg(word, '' ORDER BY s) AS text FROM p GROUP BY ALL)
+SELECT stream_id, start_s, end_s, text FROM g WHERE part < (SELECT max(part) FROM g x WHERE x.stream_id = g.stream_id) OR floor((end_s + {GAP}) * 1000) + 1 <= (SELECT max(epoch_us(ts)) // 1000 - 10000 FROM events)"""
+
 SQL = {
     "s1_read_segments": with_inputs("transcripts", body="SELECT * FROM transcripts"),
-    "s2_matches": with_inputs("segments", "members", more="h AS (SELECT stream_id, match_ord, any_value(title) AS title, min(idx) AS lo, max(idx) AS hi, count(DISTINCT idx) AS n FROM members WHERE match_ord < 9 GROUP BY stream_id, match_ord)", body="SELECT stream_id, match_ord, 'song' AS content_type, title, CASE WHEN lo = hi THEN lo::VARCHAR ELSE lo || ',' || hi END AS indices, CASE WHEN match_ord % 2 = 0 THEN least(1.0, n) ELSE 0.5 END::DOUBLE AS confidence, 0::BIGINT AS n_tags FROM h"),
-    "s3_listed_responses": with_inputs("segments", body="SELECT stream_id::VARCHAR AS stream_id, idx, 'main' AS phase, text AS raw FROM segments WHERE idx IN (0, 2) AND stream_id < 20"),
+    "s2_matches": with_inputs("segments", "members", more="h AS (SELECT stream_id, match_ord, any_value(title) AS title, min(idx) AS lo, max(idx) AS hi, count(DISTINCT idx) AS n FROM members GROUP BY stream_id, match_ord)", body="SELECT stream_id, match_ord, 'song' AS content_type, title, CASE WHEN lo = hi THEN lo::VARCHAR ELSE lo || ',' || hi END AS indices, CASE WHEN match_ord % 2 = 0 THEN least(1.0, n) ELSE 0.5 END::DOUBLE AS confidence, 0::BIGINT AS n_tags FROM h"),
+    "s3_listed_responses": with_inputs("segments", body="SELECT stream_id::VARCHAR AS stream_id, 'round-' || idx AS phase, text AS raw, 'stop' AS finish_reason FROM segments WHERE idx % 2 = 0 AND idx % 9 <> 4"),
     "s4_usage_sources": with_inputs("usage", more="t AS (SELECT stream_id, hit, 0 AS source FROM usage WHERE stream_id % 3 = 0 AND hit > 40 UNION ALL SELECT stream_id, hit, 1 FROM usage WHERE stream_id % 3 <> 1 AND hit > 20 UNION ALL SELECT stream_id, hit, 2 FROM usage), b AS (SELECT stream_id, min(source) AS source FROM t GROUP BY ALL)", body="SELECT stream_id, source::BIGINT AS source, count(*) AS rows, sum(hit)::BIGINT AS hit FROM t JOIN b USING (stream_id, source) GROUP BY ALL"),
     "s5_clip_list": "WITH x AS (SELECT event_id, (event_id % 50 * 60 + event_id % 60)::DOUBLE AS s, (1500 + event_id % 60)::DOUBLE AS e, event_type FROM events) SELECT CASE WHEN event_id % 3 <> 0 THEN event_id ELSE event_id + 1000000 END AS row, s AS start_s, e AS end_s, CASE WHEN event_id % 4 = 0 THEN 'untitled' ELSE event_type END AS title, CASE WHEN event_id % 2 = 0 THEN 'a,b' ELSE '' END AS tags, e <= s AS rejected FROM x",
-    "s6_dictionary": "WITH s AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS entry_ord, s_suppkey, s_name FROM supplier) SELECT entry_ord, s_name AS streamer, 0::BIGINT AS alias_ord, s_name AS alias FROM s UNION ALL SELECT entry_ord, s_name, 1, lower(s_name) FROM s WHERE s_suppkey % 3 = 0",
-    "s8_media": "WITH m AS (SELECT l_orderkey AS stream_id, min(l_suppkey) AS s, min(l_quantity)::INT::DOUBLE AS duration_s FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL) SELECT stream_id, duration_s, s % 3 <> 0 AS has_video, true AS has_audio, CASE WHEN s % 3 <> 0 THEN 'h264' END AS codec, CASE WHEN s % 3 <> 0 THEN 1920::BIGINT END AS width, CASE WHEN s % 3 <> 0 THEN 1080::BIGINT END AS height, CASE WHEN s % 3 <> 0 AND s % 4 <> 0 THEN (s % 60)::DOUBLE / (s % 4) END AS fps FROM m",
-    "s11_timestamps": with_inputs("transcripts", body="SELECT stream_id, idx, CASE WHEN idx = 1 THEN (CASE WHEN start_s * 1000 + 2000 > 1000 THEN (start_s * 1000 + 2000) / 1000 END) WHEN start_s > 1000 THEN start_s / 1000 ELSE start_s END AS start_s, CASE WHEN idx = 1 THEN (end_s * 1000 + 2000) / 1000 WHEN end_s > 1000 THEN end_s / 1000 ELSE end_s END AS end_s, CASE idx WHEN 0 THEN 'w0' WHEN 1 THEN 'x' ELSE '' END AS text FROM transcripts WHERE idx < 3"),
+    "s6_dictionary": "WITH s AS (SELECT s_suppkey // 10 AS document, row_number() OVER (PARTITION BY s_suppkey // 10 ORDER BY s_suppkey) - 1 AS entry_ord, s_suppkey, s_name FROM supplier) SELECT document, entry_ord, s_name AS streamer, 0::BIGINT AS alias_ord, s_name AS alias FROM s UNION ALL SELECT document, entry_ord, s_name, 1, lower(s_name) FROM s WHERE s_suppkey % 3 = 0",
+    "s8_media": "WITH m AS (SELECT l_orderkey AS stream_id, min(l_suppkey) AS s, min(l_quantity)::INT::DOUBLE AS duration_s FROM lineitem GROUP BY ALL) SELECT stream_id, duration_s, s % 3 <> 0 AS has_video, true AS has_audio, CASE WHEN s % 3 <> 0 THEN 'h264' END AS codec, CASE WHEN s % 3 <> 0 THEN 1920::BIGINT END AS width, CASE WHEN s % 3 <> 0 THEN 1080::BIGINT END AS height, CASE WHEN s % 3 <> 0 AND s % 4 <> 0 THEN (s % 60)::DOUBLE / (s % 4) END AS fps FROM m",
+    "s11_timestamps": with_inputs("transcripts", body="SELECT stream_id, idx, CASE WHEN idx = 1 THEN (CASE WHEN start_s * 1000 + 2000 > 1000 THEN (start_s * 1000 + 2000) / 1000 END) WHEN start_s > 1000 THEN start_s / 1000 ELSE start_s END AS start_s, CASE WHEN idx = 1 THEN (end_s * 1000 + 2000) / 1000 WHEN end_s > 1000 THEN end_s / 1000 ELSE end_s END AS end_s, CASE idx WHEN 0 THEN 'w0' WHEN 1 THEN 'x' ELSE '' END AS text FROM transcripts"),
     "s12_chunks": "WITH s AS (SELECT DISTINCT user_id AS stream_id, user_id * 100.5::DOUBLE + 7 AS d FROM events), g AS (SELECT stream_id, unnest(range(0, greatest(1, ceil(d / 900.0))::BIGINT)) AS c FROM s) SELECT stream_id, c * 2 + i AS idx, c * 900.0::DOUBLE + i * 3.0 AS start_s, c * 900.0::DOUBLE + i * 3.0 + 2.0 AS end_s, 't' AS text FROM g, (SELECT unnest([0, 1]) AS i)",
     "k1_clip_report": f"WITH {_CLIPS} SELECT stream_id, clip_index, title, {_CLOCK.format('round_even(start_s, 0)::BIGINT')} AS start, {_CLOCK.format('round_even(end_s, 0)::BIGINT')} AS end, confidence FROM clips",
     "k10_preview": f"WITH {_CLIPS}, k AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY clip_index) AS k, greatest(0, count(*) OVER (PARTITION BY stream_id) - 5) AS more FROM clips) SELECT stream_id, k, {_CLOCK.format('floor(start_s)::BIGINT')} || ' - ' || {_CLOCK.format('floor(end_s)::BIGINT')} || ' ' || title AS line, more FROM k WHERE k <= 5",
     "k3_risk_audit": f"WITH r AS ({MATCH_SQL['c10_risks']}) SELECT stream_id, count(*) AS records, count(*) FILTER (action <> 'accept') AS to_review, array_to_string(list_sort(list_distinct(flatten(list(reasons)))), ',') AS reasons FROM r GROUP BY ALL",
     "k6_manifest": f"WITH {_CLIPS}, a AS (SELECT stream_id, count(*) AS clips, sum(round(duration_s * 1000)::BIGINT)::BIGINT AS clip_ms FROM clips GROUP BY ALL), b AS (SELECT l_suppkey AS stream_id, count(*) AS calls FROM lineitem GROUP BY ALL) SELECT stream_id, coalesce(clips, 0) AS clips, coalesce(clip_ms, 0) AS clip_ms, coalesce(calls, 0) AS calls FROM a FULL JOIN b USING (stream_id)",
     "k5_markdown": with_inputs("usage", more="u AS (SELECT phase, count(*) AS calls, sum(hit)::BIGINT AS hit FROM usage GROUP BY ALL)", body="SELECT '| phase | calls | hit |' || chr(10) || '|---|---|---|' || chr(10) || string_agg('| ' || phase || ' | ' || calls || ' | ' || hit || ' |', chr(10) ORDER BY phase) AS markdown FROM u"),
-    "k7_summary_markdown": with_inputs("transcripts", body="SELECT stream_id, string_agg(repeat('#', (idx % 3 + 1)::INT) || ' ' || substr(text, 1, 15) || CASE WHEN idx % 2 = 0 THEN chr(10) || 'body' ELSE '' END, chr(10) || chr(10) ORDER BY idx) AS markdown FROM transcripts GROUP BY ALL"),
+    "k7_summary_markdown": with_inputs("transcripts", body="SELECT stream_id, string_agg(repeat('#', (idx % 3 + 1)::INT) || ' ' || text || CASE WHEN idx % 2 = 0 THEN chr(10) || 'body' ELSE '' END, chr(10) || chr(10) ORDER BY idx) AS markdown FROM transcripts GROUP BY ALL"),
+    "s7_listing": "SELECT DISTINCT 'stream_id=' || user_id AS folder, 1::BIGINT AS files FROM events",
     "k9_exports": f"WITH {_CLIPS} SELECT stream_id, clip_index, printf('%03d', clip_index) || '-' || title || '.mp4' AS file, clip_index % 3 <> 0 AS copy FROM clips",
     "k8_pending": f"WITH {_STATE} SELECT DISTINCT user_id AS stream_id FROM events WHERE user_id NOT IN (SELECT stream_id FROM state WHERE status = 'success')",
     "k8_upserted": f"WITH {_STATE} SELECT * FROM state WHERE stream_id % 2 <> 0 UNION ALL SELECT DISTINCT user_id, 'success' FROM events WHERE user_id % 2 = 0",
-    "t1_sessions": f"WITH e AS (SELECT user_id AS stream_id, event_type AS title, epoch_us(ts) AS us, epoch_us(ts) + round(value * 1e6)::BIGINT + {int(GAP * 1e6)} AS due FROM events), c AS (SELECT *, CASE WHEN us < max(due) OVER (PARTITION BY stream_id, title ORDER BY us, due ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS cut FROM e), s AS (SELECT *, sum(cut) OVER (PARTITION BY stream_id, title ORDER BY us, due ROWS UNBOUNDED PRECEDING) AS k FROM c) SELECT stream_id, title, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM s GROUP BY stream_id, title, k",
+    "t1_sessions": _SESSIONS,
+    "t1_sessions_stream": f"{_SESSIONS} HAVING max(due) <= (SELECT (max(epoch_us(ts)) // 1000 - 3600000) * 1000 FROM events)",
+    "t2_live_segments": _LIVE,
     "t3_tumbling_usage": f"WITH {_CALLS} SELECT us // 3600000000 * 3600000000 AS from_ts, phase, {_USE} FROM calls GROUP BY ALL",
     "t3_sliding_usage": f"WITH {_CALLS} SELECT (us // 900000000 - k) * 900000000 AS from_ts, phase, {_USE} FROM calls, (SELECT unnest([0, 1, 2, 3]) AS k) GROUP BY ALL",
     "t4_intake": "SELECT DISTINCT user_id AS stream_id, CASE WHEN user_id % 4 = 0 THEN 2 ELSE 1 END::BIGINT AS runs, CASE WHEN user_id % 4 = 0 THEN 'failed' ELSE 'success' END AS status FROM events",

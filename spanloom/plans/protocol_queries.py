@@ -94,7 +94,7 @@ def q_thin(spark, d):
 
 def _responses(spark, d):
     """Matches of a stream as an annotator's text: plain, fenced, in prose, or cut off."""
-    h = mt.heads(members(spark, d).where("match_ord < 12"))
+    h = mt.heads(members(spark, d))
     item = F.format_string('{"title": "%s", "segment_indices": [%d, "%d", %d], "confidence": %s}', "title", "lo", "hi", "lo", F.when(F.col("match_ord") % 3 == 0, '"high"').otherwise("0.75"))
     text = h.groupBy("stream_id").agg(F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("match_ord", item.alias("i")))), lambda x: x["i"]), ", "), F.lit("]")).alias("j"))
     k = F.col("stream_id") % 4
@@ -117,8 +117,7 @@ def q_continued(spark, d):
 
 
 def _logs(spark, d):
-    s = segments(spark, d).where("idx < 4")
-    return s.select("stream_id", F.concat_ws("-", "stream_id", "idx").alias("fingerprint"), F.when((F.col("stream_id") + F.col("idx")) % 7 == 0, "timeout").alias("error"), ((F.col("stream_id") + F.col("idx")) % 5 != 0).alias("valid"), (F.col("idx") == 2).alias("repaired"), (F.col("stream_id") % 4 == 0).alias("truncated"), F.col("text").alias("raw"), F.col("idx").alias("round"))
+    return segments(spark, d).select("stream_id", F.concat_ws("-", "stream_id", "idx").alias("fingerprint"), F.when((F.col("stream_id") + F.col("idx")) % 7 == 0, "timeout").alias("error"), ((F.col("stream_id") + F.col("idx")) % 5 != 0).alias("valid"), (F.col("idx") == 2).alias("repaired"), (F.col("stream_id") % 4 == 0).alias("truncated"), F.col("text").alias("raw"), F.col("idx").alias("round"))
 
 
 def q_reusable(spark, d):
@@ -159,9 +158,9 @@ _DEC = (
 d0 AS (SELECT *, substr(id, 2)::BIGINT AS dec, stream_id % 6 AS s FROM cand), decs AS (SELECT stream_id, dec, CASE WHEN s = 1 AND dec = 3 THEN 'guess' WHEN dec % 5 = 0 THEN 'reject' ELSE 'accept' END AS action,
 CASE WHEN s = 2 AND dec = 2 THEN 'P998' WHEN s = 3 AND dec = 4 THEN 'P001' ELSE id END AS id, CASE WHEN NOT ((dec % 5 = 0 AND s <> 4) OR (s = 5 AND dec = 1)) THEN lo END AS lo, CASE WHEN NOT ((dec % 5 = 0 AND s <> 4) OR (s = 5 AND dec = 1)) THEN hi END AS hi FROM d0 WHERE NOT (stream_id % 12 = 0 AND dec = 6))"""
 )
-_ITEMS = """h AS (SELECT stream_id, match_ord, any_value(title) AS title, min(idx) AS lo, max(idx) AS hi FROM members WHERE match_ord < 12 GROUP BY ALL), top AS (SELECT stream_id, max(match_ord) AS last FROM h GROUP BY ALL),
+_ITEMS = """h AS (SELECT stream_id, match_ord, any_value(title) AS title, min(idx) AS lo, max(idx) AS hi FROM members GROUP BY ALL), top AS (SELECT stream_id, max(match_ord) AS last FROM h GROUP BY ALL),
 items AS (SELECT stream_id, match_ord AS pos, title, CASE WHEN lo = hi THEN [lo] ELSE [lo, hi] END AS indices, CASE WHEN match_ord % 3 = 0 THEN 0.5 ELSE 0.75 END::DOUBLE AS confidence, stream_id % 4 = 3 AS recovered FROM h JOIN top USING (stream_id) WHERE NOT (stream_id % 4 = 3 AND match_ord = last))"""
-_LOG = "logs AS (SELECT stream_id, stream_id || '-' || idx AS fingerprint, CASE WHEN (stream_id + idx) % 7 = 0 THEN 'timeout' END AS error, (stream_id + idx) % 5 <> 0 AS valid, idx = 2 AS repaired, stream_id % 4 = 0 AS truncated, text AS raw, idx AS round FROM segments WHERE idx < 4)"
+_LOG = "logs AS (SELECT stream_id, stream_id || '-' || idx AS fingerprint, CASE WHEN (stream_id + idx) % 7 = 0 THEN 'timeout' END AS error, (stream_id + idx) % 5 <> 0 AS valid, idx = 2 AS repaired, stream_id % 4 = 0 AS truncated, text AS raw, idx AS round FROM segments)"
 
 SQL = {
     "v1_discovery": with_inputs(*_E, more=_DISC, body="SELECT stream_id, obj, id, anchor, 0.8::DOUBLE AS confidence, array_to_string(list_transform(ranges, lambda r: r[1] || '-' || r[2]), ',') AS ranges FROM disc"),

@@ -68,7 +68,7 @@ def q_folders(spark, d):
 
 def q_responses(spark, d):
     c = table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
-    r = c.select(F.col("conv_id").alias("stream_id"), F.concat(F.lit("p"), "turn").alias("phase"), F.when(F.col("turn") % 2 == 0, " ").otherwise(F.substring("text", 1, 20)).alias("content"), F.substring("text", 5, 9).alias("reasoning"), F.when(F.col("turn") % 3 == 0, "length").alias("finish_reason"))
+    r = c.select(F.col("conv_id").alias("stream_id"), F.concat(F.lit("p"), "turn").alias("phase"), F.when(F.col("turn") % 2 == 0, " ").otherwise(F.col("text")).alias("content"), F.concat(F.lit("why "), "text").alias("reasoning"), F.when(F.col("turn") % 3 == 0, "length").alias("finish_reason"))
     return rv.response_rows(r)
 
 
@@ -77,7 +77,7 @@ def q_requests(spark, d):
 
 
 def q_range_items(spark, d):
-    h = mt.heads(members(spark, d)).where("match_ord < 15")
+    h = mt.heads(members(spark, d))
     pair = F.struct(F.col("lo").alias("lo"), F.least(F.col("hi"), F.col("lo") + 3).alias("hi"))
     none = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
     items = h.select("stream_id", F.col("match_ord").alias("pos"), F.when(F.col("match_ord") % 3 == 0, F.array("hi")).otherwise(F.array().cast("array<bigint>")).alias("indices"), F.when(F.col("match_ord") % 2 == 0, F.array(pair)).otherwise(none).alias("ranges"))
@@ -109,8 +109,8 @@ SQL = {
     "c21_anchor_recheck": with_inputs(*_E, more=_FREE + ", s AS (SELECT g.stream_id, g.lo, g.hi, l.end_s - f.start_s AS secs, m.end_s - m.start_s AS own FROM gaps g JOIN segments f ON f.stream_id = g.stream_id AND f.idx = g.lo JOIN segments l ON l.stream_id = g.stream_id AND l.idx = g.hi JOIN segments m ON m.stream_id = g.stream_id AND m.idx = (g.lo + g.hi) // 2)", body="SELECT stream_id, lo AS match_ord, lo, hi FROM s WHERE secs >= 100 AND own >= 10"),
     "a10_run_gates": with_inputs(*_E, "usage", more="n AS (SELECT stream_id, count(DISTINCT match_ord) AS matches, bool_or(title = 'click') AS click FROM members GROUP BY ALL), u AS (SELECT stream_id, count(*) AS calls, sum(completion)::BIGINT AS completion FROM usage GROUP BY ALL), x AS (SELECT n.stream_id, matches, CASE WHEN n.stream_id % 2 = 0 AND click THEN 0 ELSE 1 END::BIGINT AS missing, coalesce(calls, 0) AS calls, coalesce(completion, 0) AS completion FROM n LEFT JOIN u USING (stream_id))", body="SELECT *, CASE WHEN missing = 0 AND matches >= 52 AND calls <= 620 THEN 'pass' ELSE 'fail' END AS verdict FROM x"),
     "a12_folder_counts": with_inputs(*_E, more="c AS (SELECT stream_id % 8 AS folder, title, count(DISTINCT (stream_id, match_ord)) AS n FROM members GROUP BY ALL), r AS (SELECT stream_id % 8 AS folder, count(DISTINCT stream_id) AS recordings FROM segments GROUP BY ALL)", body="SELECT folder, any_value(recordings) AS recordings, string_agg(title || ':' || n, ',' ORDER BY title) AS counts FROM r JOIN c USING (folder) GROUP BY folder"),
-    "m12_response_rows": "WITH c AS (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY ALL) SELECT conv_id AS stream_id, 'p' || turn AS phase, coalesce(CASE WHEN turn % 2 = 1 THEN nullif(trim(substr(text, 1, 20)), '') END, nullif(trim(substr(text, 5, 9)), ''), '') AS text, CASE WHEN turn % 3 = 0 THEN 'length' ELSE 'stop' END AS finish_reason FROM c",
+    "m12_response_rows": "WITH c AS (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY ALL) SELECT conv_id AS stream_id, 'p' || turn AS phase, coalesce(CASE WHEN turn % 2 = 1 THEN nullif(trim(text), '') END, trim('why ' || text), '') AS text, CASE WHEN turn % 3 = 0 THEN 'length' ELSE 'stop' END AS finish_reason FROM c",
     "m11_review_requests": with_inputs(*_E, more=_H + ", j AS (SELECT stream_id, cluster, '[' || string_agg('{\"id\":' || match_ord || ',\"title\":\"' || title || '\",\"lo\":' || lo || ',\"hi\":' || hi || '}', ',' ORDER BY match_ord) || ']' AS candidates_json FROM cl GROUP BY ALL)", body="SELECT stream_id, cluster, greatest(0, lo - 2) AS lo, least(t, hi + 2) AS hi, candidates_json FROM cr JOIN j USING (stream_id, cluster) JOIN top USING (stream_id)"),
-    "p2_range_items": with_inputs(*_E, more=_H, body="SELECT stream_id, match_ord AS pos, CASE WHEN match_ord % 2 = 0 THEN array_to_string(range(lo, least(hi, lo + 3) + 1), ',') ELSE hi::VARCHAR END AS indices FROM hd WHERE match_ord < 15 AND (match_ord % 2 = 0 OR match_ord % 3 = 0)"),
+    "p2_range_items": with_inputs(*_E, more=_H, body="SELECT stream_id, match_ord AS pos, CASE WHEN match_ord % 2 = 0 THEN array_to_string(range(lo, least(hi, lo + 3) + 1), ',') ELSE hi::VARCHAR END AS indices FROM hd WHERE match_ord % 2 = 0 OR match_ord % 3 = 0"),
     "p4_enabled_types": "SELECT l_suppkey AS stream_id, count(*) AS n FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY ALL",
 }

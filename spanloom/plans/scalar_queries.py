@@ -56,16 +56,16 @@ def q_text_tokens(spark, d):
     b = table(spark, d, "benchmark").select("item_id", "text")
     other = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
     tok = lambda c: sc.text_tokens(F.col(c))
-    return b.join(other, "item_id").select("item_id", sc.language(F.col("text")).alias("language"), F.size(tok("text")).cast("long").alias("n_tokens"), sc.overlap_coefficient(tok("text"), tok("other")).alias("likeness"), sc.lyric_query(F.substring("text", 1, 12), F.lit("x")).alias("query"))
+    return b.join(other, "item_id").select("item_id", sc.language(F.col("text")).alias("language"), F.size(tok("text")).cast("long").alias("n_tokens"), sc.overlap_coefficient(tok("text"), tok("other")).alias("likeness"), sc.lyric_query(F.col("text"), F.lit("x")).alias("query"))
 
 
 def q_web_text(spark, d):
-    return table(spark, d, "pages").select("page_id", F.md5(sc.strip_tags(F.col("html"))).alias("plain_md5"), sc.lyric_of(F.concat(F.lit('say "'), F.substring("url", 1, 20), F.lit('" x'))).alias("lyric"))
+    return table(spark, d, "pages").select("page_id", F.md5(sc.strip_tags(F.col("html"))).alias("plain_md5"), sc.lyric_of(F.concat(F.lit('say "'), F.col("url"), F.lit('" x'))).alias("lyric"))
 
 
 def q_lines(spark, d):
     """Requests: twenty lines of a transcript each."""
-    line = sc.transcript_line(F.col("idx"), F.col("start_s"), F.col("end_s"), F.substring("text", 1, 40))
+    line = sc.transcript_line(F.col("idx"), F.col("start_s"), F.col("end_s"), F.col("text"))
     rows = transcripts(spark, d).withColumn("batch", F.floor(F.col("idx") / 3))
     return rows.groupBy("stream_id", "batch").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", line.alias("l")))), lambda x: x["l"]), "\n").alias("request"), F.sum(F.length(line)).alias("chars")).withColumn("tokens", sc.tokens_of(F.col("chars")))
 
@@ -83,7 +83,7 @@ LOGS = (
 
 def q_tool_logs(spark, d):
     text = F.element_at(F.array(*map(F.lit, LOGS)), (F.col("doc_id") % len(LOGS) + 1).cast("int"))
-    rows = table(spark, d, "documents").select("doc_id", F.concat_ws("\n", F.substring("text", 1, 30), text).alias("t"))
+    rows = table(spark, d, "documents").select("doc_id", F.concat_ws("\n", "text", text).alias("t"))
     problems = sc.log_problems(F.col("t"))
     return rows.select("doc_id", F.when(F.size(problems) > 0, F.array_join(problems, ", ")).otherwise("unknown/other").alias("summary"), sc.log_segments(F.col("t")).alias("segments"), sc.failed_duration(F.col("t")).alias("failed_s"))
 
@@ -133,7 +133,7 @@ _CLOCK = "printf('%02d:%02d:%02d', t // 3600, t % 3600 // 60, t % 60)"
 _LANG = "CASE WHEN len(regexp_extract_all({0}, '[぀-ヿ]')) > 2 THEN 'ja' WHEN len(regexp_extract_all({0}, '[一-鿿]')) > length({0}) * 0.2 THEN 'zh' ELSE 'en' END"
 _TOK = "list_distinct(list_filter(regexp_split_to_array(lower(trim({0})), '\\s+'), lambda w: regexp_matches(w, '^\\pL+$')))"
 _LOGS = "[" + ", ".join(f"'{x}'" for x in LOGS) + "]"
-_TOOL = f"""logs AS (SELECT doc_id, substr(text, 1, 30) || chr(10) || ({_LOGS})[doc_id % {len(LOGS)} + 1] AS t FROM documents),
+_TOOL = f"""logs AS (SELECT doc_id, coalesce(text || chr(10), '') || ({_LOGS})[doc_id % {len(LOGS)} + 1] AS t FROM documents),
 found AS (SELECT doc_id, t, list_filter([CASE WHEN regexp_matches(t, '(?i)Invalid NAL|missing picture|decode_slice_header|h264_mp4toannexb.*(fail|error)|hevc_mp4toannexb.*(fail|error)|Error applying bitstream filters|non-existing PPS|bytestream overread|error while decoding MB|\\bno frame\\b|corrupt decoded frame') THEN 'bitstream_corruption' END,
 CASE WHEN regexp_matches(lower(t), 'non.?monotonic|invalid dts|negative ts|timestamp|pts.*(invalid|discontinu)') THEN 'timestamp_discontinuity' END,
 CASE WHEN regexp_matches(lower(t), 'concat output (video stream )?duration is too (short|long)') THEN 'duration_truncated' END,
@@ -177,9 +177,9 @@ SELECT event_id, key, key = '' OR key LIKE '未知歌曲%' OR key LIKE 'unknown%
     "f16_f17_p3_severity": """WITH x AS (SELECT doc_id, (quality + 2 * toxic)::BIGINT AS severity, CASE doc_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS scenario FROM labels)
 SELECT doc_id, '[严重程度:' || severity || '/5][场景:' || scenario || ']  event,  number ' || doc_id AS text, severity, scenario, 'event,  number ' || doc_id AS description, CASE WHEN length('event, number ' || doc_id) > 19 THEN substr('event, number ' || doc_id, 1, 19) ELSE 'event, number ' || doc_id END AS short FROM x WHERE scenario <> 'C' AND severity <> 0""",
     "f18_f24_text_tokens": f"""WITH b AS (SELECT a.item_id, a.text, o.text AS other FROM benchmark a JOIN benchmark o ON o.item_id = a.item_id + 1), t AS (SELECT *, {_TOK.format('text')} AS x, {_TOK.format('other')} AS y FROM b)
-SELECT item_id, {_LANG.format('text')} AS language, len(x) AS n_tokens, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE len(list_intersect(x, y)) / least(len(x), len(y)) END AS likeness, 'x ' || substr(text, 1, 12) || ' lyrics' AS query FROM t""",
-    "f20_f21_web_text": "SELECT page_id, md5(trim(regexp_replace(html, '<[^>]+>', '', 'g'))) AS plain_md5, substr(url, 1, 20) AS lyric FROM pages",
-    "f40_m6_w10_requests": with_inputs("transcripts", more="lines AS (SELECT stream_id, idx // 3 AS batch, idx, printf('[%d] (%.1f-%.1f) %s', idx, start_s, end_s, substr(text, 1, 40)) AS l FROM transcripts), reqs AS (SELECT stream_id, batch, string_agg(l, chr(10) ORDER BY idx) AS request, sum(length(l))::BIGINT AS chars FROM lines GROUP BY ALL)", body="SELECT *, CASE WHEN chars <= 0 THEN 0 ELSE greatest(1, floor(chars * 0.62::DOUBLE)::BIGINT) END AS tokens FROM reqs"),
+SELECT item_id, {_LANG.format('text')} AS language, len(x) AS n_tokens, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE len(list_intersect(x, y)) / least(len(x), len(y)) END AS likeness, 'x ' || text || ' lyrics' AS query FROM t""",
+    "f20_f21_web_text": "SELECT page_id, md5(trim(regexp_replace(html, '<[^>]+>', '', 'g'))) AS plain_md5, url AS lyric FROM pages",
+    "f40_m6_w10_requests": with_inputs("transcripts", more="lines AS (SELECT stream_id, idx // 3 AS batch, idx, printf('[%d] (%.1f-%.1f) %s', idx, start_s, end_s, text) AS l FROM transcripts), reqs AS (SELECT stream_id, batch, string_agg(l, chr(10) ORDER BY idx) AS request, sum(length(l))::BIGINT AS chars FROM lines GROUP BY ALL)", body="SELECT *, CASE WHEN chars <= 0 THEN 0 ELSE greatest(1, floor(chars * 0.62::DOUBLE)::BIGINT) END AS tokens FROM reqs"),
     "f35_log_phases": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'v3_discovery' WHEN 1 THEN 'review_before' WHEN 2 THEN 'overlong' WHEN 3 THEN 'missed_recheck' WHEN 4 THEN 'temporal_adjudication' ELSE 'main' END AS phase FROM events",
     "f38_f39_tool_logs": f"WITH {_TOOL} SELECT * FROM tool",
     "a18_j16_log_merge": f"WITH {_TOOL} SELECT doc_id // 3 AS folder, list_sort(list_distinct(flatten(list(segments)))) AS segments, arg_min(summary, doc_id) FILTER (summary <> 'unknown/other') AS summary, arg_max(failed_s, doc_id) FILTER (failed_s IS NOT NULL) AS failed_s FROM tool GROUP BY ALL",

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -107,6 +107,7 @@ def intake(state_path: str, work: Callable[[DataFrame], DataFrame]) -> Callable[
     return run
 
 
-def late_rows(batch: DataFrame, seen_to: str, delay: str) -> DataFrame:
+def late_rows(batch: DataFrame, seen_to: str | Column, delay: str) -> DataFrame:
     """Rows of a batch older than what was seen before it by more than delay: those a watermark drops."""
-    return batch.where(F.col("ts") < F.lit(seen_to).cast("timestamp") - F.expr(f"interval {delay}"))
+    seen = seen_to if isinstance(seen_to, Column) else F.lit(seen_to).cast("timestamp")
+    return batch.where(F.col("ts") < seen - F.expr(f"interval {delay}"))

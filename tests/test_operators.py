@@ -1,5 +1,6 @@
 """Operators on small hand-made fixtures with known results."""
 
+import json
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import clips, coverage, intervals as iv, matches as mt, naming, protocol, responses, usage
 from spanloom.functions import scalars as sc
+from spanloom.sources import readers
 
 
 def segs(spark, spans, stream=1, texts=None):
@@ -289,3 +291,57 @@ def test_chorus_context_against_plain_reading(spark):
                 part, group = part + 1, []
             group.append(own[k])
             assert got[s, own[k]] == part
+
+
+def test_anchor_expansion_against_plain_growth(spark):
+    """Islands of one and of several anchors, against growth of one anchor after the other over the whole stream."""
+    rng = random.Random(5)
+    at, spans = 0.0, []
+    for _ in range(300):
+        at += rng.choice([0.0, 1.0, 3.0, 30.0])
+        spans.append((at, at + rng.randint(1, 6)))
+        at = spans[-1][1]
+    held = {i for i in range(300) if rng.random() < 0.05}
+    owner = {i: k for k, i in enumerate(sorted(rng.sample([i for i in range(300) if i not in held], 40)))}
+    cap, gap, claimed = 25.0, 8.0, {}
+    joined = lambda a, b: a in range(300) and b in range(300) and not {a, b} & held and spans[max(a, b)][0] - spans[min(a, b)][1] <= gap
+    for place, seed in sorted(owner.items(), key=lambda x: x[1]):
+        low = high = place
+        free = lambda i: i not in claimed and owner.get(i, seed) == seed  # noqa: B023, E731
+        while joined(low - 1, low) and free(low - 1) and spans[high][1] - spans[low - 1][0] <= cap:
+            low -= 1
+        while joined(high, high + 1) and free(high + 1) and spans[high + 1][1] - spans[low][0] <= cap:
+            high += 1
+        for i in range(low, high + 1):
+            claimed.setdefault(i, seed)
+    a = spark.createDataFrame([(1, k, i) for i, k in owner.items()], "stream_id long, match_ord long, idx long")
+    whole = spark.createDataFrame([(1, 0, 299)], "stream_id long, lo long, hi long")
+    blocked = spark.createDataFrame([(1, i) for i in held], "stream_id long, idx long")
+    got = coverage.expand_anchors(a, whole, blocked, segs(spark, spans), gap_s=gap, cap_s=cap).collect()
+    assert {r.idx: r.match_ord for r in got} == claimed and len(got) == len(claimed)
+
+
+def test_response_logs_by_manifest(spark, tmp_path):
+    folder = tmp_path / "logs" / "a"
+    folder.mkdir(parents=True)
+    for name, raw in (("r1.json", "[1]"), ("r2.json", "[2]"), ("r3.json", "[3]")):
+        (folder / name).write_text(json.dumps({"stream_id": "s", "phase": "main", "raw": raw, "finish_reason": "stop"}))
+    (folder / "broken.json").write_text('{"stream_id": "s", "ra')
+    (folder / "manifest.json").write_text(json.dumps({"files": ["r1.json", "r3.json", "broken.json", "gone.json"]}))
+    got = readers.read_responses(spark, str(tmp_path / "logs")).collect()
+    assert sorted(r.raw for r in got) == ["[1]", "[3]"]
+
+
+def test_clip_list_from_csv(spark, tmp_path):
+    (tmp_path / "clips.csv").write_text("\ufeffindex,start,end,title,artist,tags\n1,0:10,0:20,Song,,a|b\n,30,20,,x,\n", encoding="utf-8")
+    rows = sorted(readers.read_clip_list(spark, str(tmp_path / "clips.csv")).collect(), key=lambda r: r.start_s)
+    assert [(r.start_s, r.end_s, r.title, r.tags, r.rejected) for r in rows] == [(10.0, 20.0, "Song", ["a", "b"], False), (30.0, 20.0, "untitled", [], True)]
+    assert rows[0].row == 1
+
+
+def test_response_spans(spark):
+    texts = ["", "no json", '[{"title": "A", "segment_indices": [1]}]', 'so: {"a": [1]} end', '```json\n[{"title": "B", "segment_indices": [2]}]\n```', 'x [{"title": "C", "segment_indices": [3]}, {"tit']
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, raw string")
+    assert [r.status for r in responses.parsed(df).orderBy("k").collect()] == ["empty", "failed", "ok", "ok", "ok", "failed"]
+    got = responses.items(df, ["k"]).orderBy("k").collect()
+    assert [(r.k, r.title, list(r.indices), r.recovered) for r in got] == [(2, "A", [1], False), (4, "B", [2], False), (5, "C", [3], True)]
