@@ -150,16 +150,26 @@ def clusters(edges: DataFrame, suspicious: DataFrame, max_rounds: int = 50) -> D
     return every.join(labels, MATCH, "left").select(*MATCH, F.coalesce("cluster", "match_ord").alias("cluster"))
 
 
+def containing(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """(outer, inner) of keys of which the first contains the second; they meet by the first three characters of the second."""
+    places = F.sequence(F.lit(1), F.greatest(F.length("key"), F.lit(1)))
+    of_length = lambda n: F.transform(places, lambda i: F.substring("key", i, F.lit(n)))
+    grams = F.array_distinct(F.concat(F.array(F.lit("")), of_length(1), of_length(2), of_length(3)))
+    a = outer.select(F.col("key").alias("outer"), F.explode(grams).alias("gram"))
+    b = inner.select(F.col("key").alias("inner"), F.left("key", F.lit(3)).alias("gram"))
+    return a.join(b, "gram").where(F.contains("outer", "inner")).select("outer", "inner")
+
+
 def select_best(members: DataFrame, cluster: DataFrame, segments: DataFrame, searched: DataFrame, cap_s: float) -> DataFrame:
     """Greedy choice of matches that share no segment within each cluster, best evidence first: (stream_id, match_ord, cluster, action).
 
     searched has the column title: texts with search evidence. A fold over the
     cluster's matches in order of evidence keeps the union of the chosen sets.
     """
-    known = searched.agg(F.collect_set(title_key(F.col("title"))).alias("known"))
-    h = measures(members, segments).join(cluster, MATCH).join(F.broadcast(known))  # one row
-    key = title_key(F.col("title"))
-    found = F.exists("known", lambda t: F.contains(key, t) | F.contains(t, key))
+    keys, known = (df.select(title_key(F.col("title")).alias("key")).distinct() for df in (members, searched))
+    seen = containing(keys, known).select(F.col("outer").alias("key")).union(containing(known, keys).select("inner")).distinct().withColumn("seen", F.lit(True))
+    h = measures(members, segments).join(cluster, MATCH).withColumn("key", title_key(F.col("title"))).join(seen, "key", "left").drop("key")
+    found = F.coalesce("seen", F.lit(False))
     d = F.col("duration_s")
     order = F.row_number().over(Window.partitionBy("stream_id", "cluster").orderBy("match_ord"))
     over = F.when(F.lit(cap_s) > 0, F.least(F.lit(0.0), cap_s - d)).otherwise(0.0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spanloom.functions.scalars import expand_ranges, title_key
 from spanloom.operators import coverage as cv, intervals as iv, matches as mt, protocol as pr
@@ -22,10 +23,11 @@ def cluster_ranges(members: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def inside_targets(ranges: DataFrame, targets: DataFrame) -> DataFrame:
-    """Ranges that some target range of their stream holds whole."""
-    t = targets.select("stream_id", F.col("lo").alias("tlo"), F.col("hi").alias("thi"))
-    held = ranges.join(t, "stream_id").where("tlo <= lo and hi <= thi").select(*ranges.columns)
-    return held.distinct()
+    """Ranges that some target range of their stream holds whole: the farthest end of the targets that begin at or before a range reaches its end."""
+    row = F.struct(*ranges.columns)
+    both = ranges.select("stream_id", "lo", "hi", F.lit(1).alias("kind"), row.alias("r")).unionByName(targets.select("stream_id", "lo", "hi", F.lit(0).alias("kind")), allowMissingColumns=True)
+    reach = F.max(F.when(F.col("kind") == 0, F.col("hi"))).over(Window.partitionBy("stream_id").orderBy("lo", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("reach", reach).where("kind = 1 and hi <= reach").select("r.*").distinct()
 
 
 def all_audited(clusters: DataFrame, audited: DataFrame) -> DataFrame:
@@ -66,7 +68,8 @@ def temporal_run(temporal: DataFrame, source: DataFrame, valid: DataFrame) -> Da
     v = valid.select("stream_id").distinct()
     parts = mt.split_at_sources(temporal.join(v, "stream_id", "left_semi"), source)
     named = mt.heads(temporal).select(*MATCH, "title", "confidence")
-    ids = parts.withColumn("match_ord2", F.col("match_ord") * 1000 + F.col("part")).select(*MATCH, "match_ord2", F.explode(F.sequence("lo", "hi")).alias("idx"))
+    place = F.row_number().over(Window.partitionBy("stream_id").orderBy("match_ord", "part")).cast("long")
+    ids = parts.withColumn("match_ord2", place).select(*MATCH, "match_ord2", F.explode(F.sequence("lo", "hi")).alias("idx"))
     rows = ids.join(named, MATCH).select("stream_id", F.col("match_ord2").alias("match_ord"), "title", "confidence", "idx")
     done = mt.restore_titles(rows, source.join(v, "stream_id", "left_semi")).select("stream_id", "origin", "title", "confidence")
     kept = mt.heads(source).join(v, "stream_id", "left_anti").select("stream_id", F.lit("fallback").alias("origin"), "title", "confidence")
