@@ -55,8 +55,44 @@ def recall_reason(anchors: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.groupBy("stream_id").agg(F.min(F.when(F.col("bad").isNotNull(), F.struct("obj", "bad")))["bad"].alias("reason"))
 
 
-def adjudication_reason(decisions: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(stream_id, reason) of each stream's decisions: each one's rules in order, then repeated and missing ids."""
+def additions_with_evidence(additions: DataFrame, segments: DataFrame, least_s: float = 10.0) -> DataFrame:
+    """(stream_id, add, final_discovery, confidence, anchor, indices, enough) of additions.
+
+    additions has a row for each range (stream_id, add, kind, lo, hi,
+    final_discovery, confidence, anchor), kind being evidence or final. There is
+    enough evidence for an addition that is marked as a final discovery, has a
+    final range, and whose evidence has two segments at least, or one of least_s seconds.
+    """
+    size = segments.groupBy("stream_id").agg(F.count("*").alias("n"))
+    cut = additions.join(size, "stream_id", "left").withColumn("lo", F.greatest("lo", F.lit(0).cast("long"))).withColumn("hi", F.least("hi", F.col("n") - 1))
+    ids = cut.withColumn("idx", F.explode_outer(F.when(F.col("lo") <= F.col("hi"), F.sequence("lo", "hi"))))
+    seconds = segments.select("stream_id", "idx", (F.col("end_s") - F.col("start_s")).alias("seconds"))
+    every = ids.join(seconds, ["stream_id", "idx"], "left").groupBy("stream_id", "add").agg(
+        F.bool_and(F.coalesce("final_discovery", F.lit(False))).alias("final_discovery"), F.max("confidence").alias("confidence"), F.substring(F.trim(F.max("anchor")), 1, 200).alias("anchor"),
+        F.array_compact(F.collect_set(F.when(F.col("kind") == "final", F.col("idx")))).alias("indices"), F.count_distinct(F.when(F.col("kind") == "evidence", F.col("idx"))).alias("shown"), F.max(F.when(F.col("kind") == "evidence", F.col("seconds"))).alias("seconds"),
+    )
+    enough = F.col("final_discovery") & (F.size("indices") > 0) & ((F.col("shown") >= 2) | F.coalesce(F.col("seconds") >= least_s, F.lit(False)))
+    return every.withColumn("enough", enough).drop("shown", "seconds")
+
+
+def adjudication_reason(decisions: DataFrame, candidates: DataFrame, additions: DataFrame | None = None, segments: DataFrame | None = None, complete: DataFrame | None = None, *, most_additions: int = 10) -> DataFrame:
+    """(stream_id, reason) of each stream's adjudication.
+
+    First a stream that (stream_id, complete) does not call complete, then each
+    decision's rules in order, repeated and missing ids, and, where additions and
+    segments are given, too many additions and such without evidence.
+    """
+    out = _decision_reason(decisions, candidates)
+    if additions is not None:
+        each = additions_with_evidence(additions, segments).groupBy("stream_id").agg(F.count("*").alias("adds"), F.bool_and("enough").alias("shown"))
+        late = F.when(F.col("adds") > most_additions, "too_many_additions").when(~F.col("shown"), "addition_without_evidence")
+        out = out.join(each, "stream_id", "full").select("stream_id", F.coalesce("reason", late).alias("reason"))
+    if complete is not None:
+        out = out.join(complete, "stream_id", "full").select("stream_id", F.when(~F.coalesce("complete", F.lit(False)), "incomplete").otherwise(F.col("reason")).alias("reason"))
+    return out
+
+
+def _decision_reason(decisions: DataFrame, candidates: DataFrame) -> DataFrame:
     known = candidates.select("stream_id", "id").distinct().withColumn("known", F.lit(True))
     rows = decisions.join(known, ["stream_id", "id"], "left")
     each = rows.groupBy("stream_id", "dec").agg(
@@ -74,14 +110,23 @@ def adjudication_reason(decisions: DataFrame, candidates: DataFrame) -> DataFram
     return out.select("stream_id", F.coalesce("bad", F.when(F.col("most") > 1, "duplicate_id").when(F.col("missing") > 0, "missing_id")).alias("reason"))
 
 
-def apply_decisions(decisions: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Final matches in long form: rejected candidates drop out, the others take their decision's ranges and the first anchor text of their sources."""
+def apply_decisions(decisions: DataFrame, candidates: DataFrame, additions: DataFrame | None = None, segments: DataFrame | None = None) -> DataFrame:
+    """Final matches in long form: rejected candidates drop out, the others take their decision's ranges and the first anchor text of their sources.
+
+    Additions with enough evidence follow, numbered after the stream's last decision.
+    """
     kept = decisions.where("action <> 'reject' and lo is not null")
     names = kept.select("stream_id", "dec", "id").distinct().join(candidates.select("stream_id", "id", "anchor"), ["stream_id", "id"])
     anchor = names.groupBy("stream_id", "dec").agg(F.min(F.when(F.col("anchor") != "", F.struct("id", "anchor")))["anchor"].alias("anchor"), F.min("id").alias("id"))
     ids = kept.select("stream_id", "dec", "confidence", F.explode(F.sequence("lo", "hi")).alias("idx")).distinct()
     title = F.concat(F.lit("未知歌曲："), F.coalesce("anchor", "id"))
-    return ids.join(anchor, ["stream_id", "dec"]).select("stream_id", F.col("dec").alias("match_ord"), title.alias("title"), "confidence", "idx")
+    decided = ids.join(anchor, ["stream_id", "dec"]).select("stream_id", F.col("dec").alias("match_ord"), title.alias("title"), "confidence", "idx")
+    if additions is None:
+        return decided
+    place = F.row_number().over(Window.partitionBy("stream_id").orderBy("add"))
+    added = additions_with_evidence(additions, segments).where("enough").withColumn("place", place).join(decisions.groupBy("stream_id").agg(F.max("dec").alias("last")), "stream_id", "left")
+    own = F.concat(F.lit("未知歌曲："), F.coalesce(F.nullif("anchor", F.lit("")), F.lit("final_discovery")))
+    return decided.union(added.select("stream_id", (F.coalesce("last", F.lit(0)) + F.col("place")).cast("long"), own, "confidence", F.explode("indices")))
 
 
 def evidence_enough(anchors: DataFrame, segments: DataFrame, least_s: float = 10.0) -> DataFrame:

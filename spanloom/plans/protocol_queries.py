@@ -75,6 +75,23 @@ def q_apply(spark, d):
     return mt.heads(pr.apply_decisions(_decisions(spark, d), _candidates(spark, d)))
 
 
+def _additions(spark, d):
+    """Additions in uncovered ranges, six segments to each; in odd streams a range's evidence is its first segment alone."""
+    t = _targets(spark, d).select("stream_id", F.floor(F.col("lo") / 6).alias("add"), "lo", "hi", (F.col("stream_id") % 5 != 0).alias("final_discovery"), F.lit(0.7).alias("confidence"))
+    t = t.withColumn("anchor", F.when(F.col("add") % 2 == 0, F.concat(F.lit(" t"), "add")))
+    shown = F.when(F.col("stream_id") % 2 == 0, F.least(F.col("lo") + 1, "hi")).otherwise(F.col("lo"))
+    return t.withColumn("kind", F.lit("final")).unionByName(t.withColumn("hi", shown).withColumn("kind", F.lit("evidence")))
+
+
+def q_additions_reason(spark, d):
+    complete = segments(spark, d).select("stream_id").distinct().withColumn("complete", F.col("stream_id") % 13 != 0)
+    return pr.adjudication_reason(_decisions(spark, d), _candidates(spark, d), _additions(spark, d), segments(spark, d), complete)
+
+
+def q_apply_additions(spark, d):
+    return mt.heads(pr.apply_decisions(_decisions(spark, d), _candidates(spark, d), _additions(spark, d), segments(spark, d)))
+
+
 def q_remaining(spark, d):
     return pr.remaining(_candidates(spark, d), _decisions(spark, d))
 
@@ -134,7 +151,7 @@ def q_complete(spark, d):
 
 QUERIES = {
     "v1_discovery": q_discovery, "v2_discovery_reason": q_discovery_reason, "v3_recall_targets": q_targets, "v5_recall_anchors": q_anchors, "v4_recall_reason": q_recall_reason, "v6_adjudication_reason": q_adjudication_reason,
-    "v7_apply_decisions": q_apply, "v9_remaining": q_remaining, "v9_resume_points": q_resume, "p11_evidence": q_evidence, "l5_thinning": q_thin, "m7_parse_status": q_parsed, "m8_p1_items": q_items, "m9_continued": q_continued,
+    "v7_apply_decisions": q_apply, "v6_additions_reason": q_additions_reason, "v7_apply_additions": q_apply_additions, "v9_remaining": q_remaining, "v9_resume_points": q_resume, "p11_evidence": q_evidence, "l5_thinning": q_thin, "m7_parse_status": q_parsed, "m8_p1_items": q_items, "m9_continued": q_continued,
     "p8_reusable": q_reusable, "p9_failures": q_failures, "m9_complete": q_complete,
 }
 
@@ -162,16 +179,24 @@ _ITEMS = """h AS (SELECT stream_id, match_ord, any_value(title) AS title, min(id
 items AS (SELECT stream_id, match_ord AS pos, title, CASE WHEN lo = hi THEN [lo] ELSE [lo, hi] END AS indices, CASE WHEN match_ord % 3 = 0 THEN 0.5 ELSE 0.75 END::DOUBLE AS confidence, stream_id % 4 = 3 AS recovered FROM h JOIN top USING (stream_id) WHERE NOT (stream_id % 4 = 3 AND match_ord = last))"""
 _LOG = "logs AS (SELECT stream_id, stream_id || '-' || idx AS fingerprint, CASE WHEN (stream_id + idx) % 7 = 0 THEN 'timeout' END AS error, (stream_id + idx) % 5 <> 0 AS valid, idx = 2 AS repaired, stream_id % 4 = 0 AS truncated, text AS raw, idx AS round FROM segments)"
 
+_REASON = _DEC + """, e AS (SELECT d.stream_id, dec, action, c.id IS NULL AS unk, d.lo IS NOT NULL AS ranged FROM decs d LEFT JOIN cand c ON c.stream_id = d.stream_id AND c.id = d.id),
+b AS (SELECT stream_id, dec, CASE WHEN action = 'guess' THEN 'invalid_action' WHEN unk THEN 'unknown_id' WHEN action = 'reject' AND ranged THEN 'reject_has_ranges' WHEN action <> 'reject' AND NOT ranged THEN 'missing_ranges' END AS bad FROM e), f AS (SELECT stream_id, (min(row(dec, bad)) FILTER (bad IS NOT NULL))[2] AS bad FROM b GROUP BY ALL),
+u AS (SELECT c.stream_id, c.id, count(DISTINCT dec) AS uses FROM cand c LEFT JOIN decs d ON d.stream_id = c.stream_id AND d.id = c.id GROUP BY ALL), cv AS (SELECT stream_id, max(uses) AS most, count(*) FILTER (uses = 0) AS missing FROM u GROUP BY ALL)"""
+_REASON_BODY = "SELECT cv.stream_id, coalesce(bad, CASE WHEN most > 1 THEN 'duplicate_id' WHEN missing > 0 THEN 'missing_id' END) AS reason FROM cv LEFT JOIN f ON f.stream_id = cv.stream_id"
+_FIN = ", fin AS (SELECT d.stream_id, d.dec AS match_ord, '未知歌曲：' || coalesce(nullif(c.anchor, ''), c.id) AS title, 0.9::DOUBLE AS confidence, d.lo, d.hi FROM decs d JOIN cand c ON c.stream_id = d.stream_id AND c.id = d.id WHERE action <> 'reject' AND d.lo IS NOT NULL)"
+_ADDED = """ad AS (SELECT stream_id, lo // 6 AS add, lo, hi, CASE WHEN stream_id % 2 = 0 THEN least(lo + 1, hi) ELSE lo END AS ehi FROM targets), ev AS (SELECT stream_id, add, unnest(range(lo, ehi + 1)) AS idx FROM ad),
+eo AS (SELECT ev.stream_id, add, ev.stream_id % 5 <> 0 AND (count(DISTINCT idx) >= 2 OR max(end_s - start_s) >= 10) AS ok FROM ev JOIN segments USING (stream_id, idx) GROUP BY ev.stream_id, add)"""
+
 SQL = {
     "v1_discovery": with_inputs(*_E, more=_DISC, body="SELECT stream_id, obj, id, anchor, 0.8::DOUBLE AS confidence, array_to_string(list_transform(ranges, lambda r: r[1] || '-' || r[2]), ',') AS ranges FROM disc"),
     "v2_discovery_reason": with_inputs(*_E, more=_DISC + ", k AS (SELECT DISTINCT stream_id FROM disc WHERE stream_id % 2 = 0), s AS (SELECT DISTINCT stream_id FROM segments)", body="SELECT s.stream_id, CASE WHEN s.stream_id % 7 = 0 THEN 'discovery_incomplete' WHEN s.stream_id % 3 > 0 AND k.stream_id IS NULL THEN 'discovery_without_ranges' END AS reason FROM s LEFT JOIN k ON k.stream_id = s.stream_id"),
     "v3_recall_targets": with_inputs(*_E, more=_TARGETS, body="SELECT * FROM targets"),
     "v5_recall_anchors": with_inputs(*_E, more=_ANCHORS, body="SELECT *, printf('R%03d', row_number() OVER (PARTITION BY stream_id ORDER BY lo, hi, obj)) AS id FROM a1"),
     "v4_recall_reason": with_inputs(*_E, more=_ANCHORS + ", x AS (SELECT a.stream_id, obj, CASE WHEN t.lo IS NULL THEN 'recall_unknown_target' WHEN a.lo < t.lo OR a.hi > t.hi THEN 'recall_evidence_outside_target' END AS bad FROM anchors a LEFT JOIN targets t USING (stream_id, target))", body="SELECT stream_id, (min(row(obj, bad)) FILTER (bad IS NOT NULL))[2] AS reason FROM x GROUP BY ALL"),
-    "v6_adjudication_reason": with_inputs(*_E, more=_DEC + """, e AS (SELECT d.stream_id, dec, action, c.id IS NULL AS unk, d.lo IS NOT NULL AS ranged FROM decs d LEFT JOIN cand c ON c.stream_id = d.stream_id AND c.id = d.id),
-b AS (SELECT stream_id, dec, CASE WHEN action = 'guess' THEN 'invalid_action' WHEN unk THEN 'unknown_id' WHEN action = 'reject' AND ranged THEN 'reject_has_ranges' WHEN action <> 'reject' AND NOT ranged THEN 'missing_ranges' END AS bad FROM e), f AS (SELECT stream_id, (min(row(dec, bad)) FILTER (bad IS NOT NULL))[2] AS bad FROM b GROUP BY ALL),
-u AS (SELECT c.stream_id, c.id, count(DISTINCT dec) AS uses FROM cand c LEFT JOIN decs d ON d.stream_id = c.stream_id AND d.id = c.id GROUP BY ALL), cv AS (SELECT stream_id, max(uses) AS most, count(*) FILTER (uses = 0) AS missing FROM u GROUP BY ALL)""", body="SELECT cv.stream_id, coalesce(bad, CASE WHEN most > 1 THEN 'duplicate_id' WHEN missing > 0 THEN 'missing_id' END) AS reason FROM cv LEFT JOIN f ON f.stream_id = cv.stream_id"),
-    "v7_apply_decisions": with_inputs(*_E, more=_DEC + ", fin AS (SELECT d.stream_id, d.dec AS match_ord, '未知歌曲：' || coalesce(nullif(c.anchor, ''), c.id) AS title, 0.9::DOUBLE AS confidence, d.lo, d.hi FROM decs d JOIN cand c ON c.stream_id = d.stream_id AND c.id = d.id WHERE action <> 'reject' AND d.lo IS NOT NULL)", body="SELECT stream_id, match_ord, title, confidence, lo, hi, hi - lo + 1 AS n FROM fin"),
+    "v6_adjudication_reason": with_inputs(*_E, more=_REASON, body=_REASON_BODY),
+    "v7_apply_decisions": with_inputs(*_E, more=_DEC + _FIN, body="SELECT stream_id, match_ord, title, confidence, lo, hi, hi - lo + 1 AS n FROM fin"),
+    "v6_additions_reason": with_inputs(*_E, more=_REASON + ", " + _TARGETS + ", " + _ADDED + f", rs AS ({_REASON_BODY}), ag AS (SELECT stream_id, count(*) AS n, bool_and(ok) AS ok FROM eo GROUP BY ALL), st AS (SELECT DISTINCT stream_id FROM segments)", body="SELECT st.stream_id, CASE WHEN st.stream_id % 13 = 0 THEN 'incomplete' ELSE coalesce(reason, CASE WHEN n > 10 THEN 'too_many_additions' WHEN NOT ok THEN 'addition_without_evidence' END) END AS reason FROM st LEFT JOIN rs USING (stream_id) LEFT JOIN ag USING (stream_id)"),
+    "v7_apply_additions": with_inputs(*_E, more=_DEC + _FIN + ", " + _TARGETS + ", " + _ADDED + ", fa AS (SELECT stream_id, add, min(lo) AS lo, max(hi) AS hi, sum(hi - lo + 1)::BIGINT AS n FROM ad GROUP BY ALL), ls AS (SELECT stream_id, max(dec) AS last FROM decs GROUP BY ALL), ao AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY add) AS place FROM fa JOIN eo USING (stream_id, add) WHERE ok)", body="SELECT stream_id, match_ord, title, confidence, lo, hi, hi - lo + 1 AS n FROM fin UNION ALL SELECT ao.stream_id, coalesce(last, 0) + place, '未知歌曲：' || CASE WHEN add % 2 = 0 THEN 't' || add ELSE 'final_discovery' END, 0.7::DOUBLE, lo, hi, n FROM ao LEFT JOIN ls ON ls.stream_id = ao.stream_id"),
     "v9_remaining": with_inputs(*_E, more=_DEC, body="SELECT stream_id, id FROM cand ANTI JOIN decs USING (stream_id, id)"),
     "v9_resume_points": with_inputs(*_E, more=_DEC, body="SELECT stream_id, greatest(0, max(hi) - 4) AS resume FROM cand GROUP BY ALL"),
     "p11_evidence": with_inputs(*_E, more=_TARGETS, body="SELECT stream_id, lo AS obj, lo, hi FROM tt WHERE seconds >= 10 AND (hi > lo OR seconds >= 150)"),

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import clips, coverage, intervals as iv, matches as mt, naming, protocol, responses, usage
+from spanloom.operators import clips, coverage, intervals as iv, matches as mt, naming, protocol, responses, review, usage
 from spanloom.functions import scalars as sc
 from spanloom.sources import readers
 
@@ -345,3 +345,43 @@ def test_response_spans(spark):
     assert [r.status for r in responses.parsed(df).orderBy("k").collect()] == ["empty", "failed", "ok", "ok", "ok", "failed"]
     got = responses.items(df, ["k"]).orderBy("k").collect()
     assert [(r.k, r.title, list(r.indices), r.recovered) for r in got] == [(2, "A", [1], False), (4, "B", [2], False), (5, "C", [3], True)]
+
+
+def test_final_additions(spark):
+    """An addition needs its mark, a final range, and two segments or ten seconds of evidence; ranges are cut to the stream."""
+    s = segs(spark, [(0, 5), (6, 10), (11, 25), (30, 35)])
+    rows = [
+        ("A", True, 0, 1, 0, 2), ("B", True, 2, 2, 2, 3), ("C", True, 3, 3, 3, 3), ("D", False, 0, 3, 0, 3), ("E", True, 9, 12, 0, 1), ("F", True, 3, 9, 2, 9),
+    ]
+    schema = "stream_id long, add long, anchor string, final_discovery boolean, kind string, lo long, hi long, confidence double"
+    flat = [(1, k, a, f, kind, lo, hi, 0.7) for k, (a, f, elo, ehi, lo_, hi_) in enumerate(rows) for kind, lo, hi in (("evidence", elo, ehi), ("final", lo_, hi_))]
+    adds = spark.createDataFrame(flat, schema)
+    got = {r.anchor: r.enough for r in protocol.additions_with_evidence(adds, s).collect()}
+    assert got == {"A": True, "B": True, "C": False, "D": False, "E": False, "F": False}
+    decs = spark.createDataFrame([(1, 4, "accept", "P001", 3, 3, 0.9)], "stream_id long, dec long, action string, id string, lo long, hi long, confidence double")
+    cands = spark.createDataFrame([(1, "P001", "x")], "stream_id long, id string, anchor string")
+    final = protocol.apply_decisions(decs, cands, adds, s)
+    assert sorted((r.match_ord, r.title, r.idx) for r in final.collect()) == [(4, "未知歌曲：x", 3), (5, "未知歌曲：A", 0), (5, "未知歌曲：A", 1), (5, "未知歌曲：A", 2), (6, "未知歌曲：B", 2), (6, "未知歌曲：B", 3)]
+    done = spark.createDataFrame([(1, True), (2, False)], "stream_id long, complete boolean")
+    reason = lambda a, **kw: {r.stream_id: r.reason for r in protocol.adjudication_reason(decs, cands, a, s, done, **kw).collect()}
+    assert reason(adds) == {1: "addition_without_evidence", 2: "incomplete"}
+    assert reason(adds.where("add < 2")) == {1: None, 2: "incomplete"}
+    assert reason(adds.where("add < 2"), most_additions=1)[1] == "too_many_additions"
+
+
+def test_containing_keys_against_plain(spark):
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("ab歌") for _ in range(rng.randint(0, 6))) for _ in range(60)})
+    a, b = words[::2], words[1::2] + ["", "歌"]
+    keys = lambda x: spark.createDataFrame([(w,) for w in set(x)], "key string")
+    got = {(r.outer, r.inner) for r in mt.containing(keys(a), keys(b)).collect()}
+    assert got == {(x, y) for x in a for y in b if y in x}
+
+
+def test_ranges_inside_targets_against_plain(spark):
+    rng = random.Random(8)
+    make = lambda n, most: [(s, lo, lo + rng.randint(0, most)) for s in (1, 2) for lo in (rng.randint(0, 60) for _ in range(n))]
+    ranges, targets = make(40, 8), make(15, 12)
+    df = lambda rows: spark.createDataFrame(rows, "stream_id long, lo long, hi long")
+    got = {tuple(r) for r in review.inside_targets(df(ranges), df(targets)).collect()}
+    assert got == {r for r in ranges if any(t[0] == r[0] and t[1] <= r[1] and r[2] <= t[2] for t in targets)}
