@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 from pyspark.sql.window import Window
 
-from spanloom.functions.scalars import clip_stem, date_in, garbled, overlap_coefficient, text_tokens, unknown_prefix
+from spanloom.functions.scalars import clip_stem, date_in, described_parts, garbled, overlap_coefficient, text_tokens, unknown_prefix
 
 #: Fixed value: characters that matching ignores.
 IGNORED = r"[\s\-_·・，。、！!？?（）()\[\]【】「」『』《》\"'“”‘’:：;；]+"
@@ -74,6 +74,26 @@ def resolve_streamers(paths: DataFrame, dictionary: DataFrame, *, threshold: flo
     return dates.join(best, "key", "left").select("key", F.when(good, F.col("b.streamer")).otherwise(fallback).alias("streamer"), "date", F.coalesce("b.score", F.lit(0.0)).alias("score"))
 
 
+def query_texts(matches: DataFrame, members: DataFrame, segments: DataFrame) -> DataFrame:
+    """(stream_id, match_ord, query): what to search a match by.
+
+    matches has (stream_id, match_ord, snippet, description). The snippet, or else
+    the description without its marks, if it has five characters at least; else the
+    five middle ones of the match's texts of more than two characters. The last two
+    are cut to 100 characters; a match without any has an empty query.
+    """
+    key = ["stream_id", "match_ord"]
+    text = F.trim("text")
+    rows = members.select(*key, "idx").distinct().join(segments.select("stream_id", "idx", text.alias("text")), ["stream_id", "idx"]).where(F.length("text") > 2)
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("idx")) - 1
+    middle = F.floor(F.count("*").over(Window.partitionBy(*key)) / 2)
+    near = rows.withColumn("off", place - middle).where("off between -2 and 2").groupBy(*key)
+    said = near.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("off", "text"))), lambda x: x["text"]), " ").alias("said"))
+    told = F.when(F.length("description") >= 5, described_parts(F.col("description"))["description"])
+    query = F.when(F.length("snippet") >= 5, F.col("snippet")).otherwise(F.left(F.coalesce(told, "said", F.lit("")), F.lit(100)))
+    return matches.join(said, key, "left").select(*key, query.alias("query"))
+
+
 def search_evidence(queries: DataFrame, results: DataFrame, *, least: float = 0.15, top: int = 3) -> DataFrame:
     """The first of a match's top results whose snippet is like enough to its query: (key, rank, title, likeness); no row where none is.
 

@@ -73,6 +73,13 @@ def _search(spark, d):
     return q, r.select("key", (F.col("key") - F.col("item_id") + 1).alias("rank"), F.concat(F.lit("T"), "item_id").alias("title"), F.when(F.col("item_id") % 4 == 0, F.lit("zzz qqq")).otherwise(F.col("text")).alias("snippet"))
 
 
+def q_query_texts(spark, d):
+    m = members(spark, d)
+    k = F.col("match_ord")
+    h = mt.heads(m).select("stream_id", "match_ord", F.when(k % 3 == 0, F.col("title")).alias("snippet"), F.when(k % 3 == 1, F.concat(F.lit("[严重程度:3/5][场景:A]  song "), k)).alias("description"))
+    return nm.query_texts(h, m, segments(spark, d))
+
+
 def q_evidence(spark, d):
     return nm.search_evidence(*_search(spark, d))
 
@@ -103,7 +110,7 @@ def q_renames(spark, d):
 
 QUERIES = {
     "p5_crop": q_crop, "c18_overlong_requests": q_overlong, "c18_replacements": q_replacements, "c19_recheck_windows": q_recheck, "c6_chorus_split": q_chorus, "c8_boundary_events": q_boundary_events, "c9_expand_anchors": q_anchors,
-    "c16_review_guard": q_review_guard, "c26_j13_streamers": q_streamers, "c25_search_evidence": q_evidence, "c25_verify_titles": q_verify, "j14_supported_titles": q_supported, "j15_recover_titles": q_recover, "c27_rename_plan": q_renames,
+    "c16_review_guard": q_review_guard, "c26_j13_streamers": q_streamers, "f41_query_texts": q_query_texts, "c25_search_evidence": q_evidence, "c25_verify_titles": q_verify, "j14_supported_titles": q_supported, "j15_recover_titles": q_recover, "c27_rename_plan": q_renames,
 }
 
 _FREE = """rare AS (SELECT * FROM members WHERE title IN ('click', 'purchase')), free AS (SELECT stream_id, idx FROM segments ANTI JOIN rare USING (stream_id, idx)),
@@ -136,6 +143,9 @@ lw AS (SELECT a.*, greatest(a.lo, coalesce(stop + 1, a.lo)) AS l FROM se a LEFT
 rf AS (SELECT a.stream_id, a.match_ord, min(x.idx) FILTER (NOT x.end_s - a.l_start <= {CAP}) AS stop FROM ls a JOIN segments x ON x.stream_id = a.stream_id AND x.idx > a.s AND x.idx <= a.hi GROUP BY ALL)""", body="SELECT a.stream_id, a.match_ord, a.l AS lo, least(a.hi, coalesce(stop - 1, a.hi)) AS hi FROM ls a LEFT JOIN rf USING (stream_id, match_ord)"),
     "c16_review_guard": with_inputs(*_E, more="b AS (SELECT * FROM members), a AS (SELECT * FROM b WHERE (match_ord <> 2 OR stream_id % 3 <> 0) AND stream_id % 11 <> 0), lost AS (SELECT DISTINCT stream_id FROM (SELECT DISTINCT stream_id, title FROM b EXCEPT SELECT DISTINCT stream_id, title FROM a)), clash AS (SELECT DISTINCT x.stream_id FROM a x JOIN a y ON x.stream_id = y.stream_id AND x.idx = y.idx AND x.match_ord < y.match_ord AND x.title <> y.title), sz AS (SELECT stream_id, max(idx) - min(idx) + 1 AS n FROM a GROUP BY ALL)", body="SELECT DISTINCT b.stream_id, coalesce(n <= 14, false) AND b.stream_id NOT IN (SELECT stream_id FROM lost) AND b.stream_id NOT IN (SELECT stream_id FROM clash) AS accepted FROM b LEFT JOIN sz USING (stream_id)"),
     "c26_j13_streamers": "WITH p AS (SELECT o_orderkey AS key, o_orderdate, s_suppkey, s_name FROM orders JOIN supplier ON o_custkey % 50 = s_suppkey) SELECT key, CASE WHEN s_suppkey % 2 = 0 THEN 'S' || s_suppkey ELSE 'unknown' END AS streamer, strftime(o_orderdate, '%y%m%d') AS date, CASE WHEN s_suppkey % 2 = 1 THEN 0 WHEN key % 3 = 0 THEN 0.92 ELSE 1 END::DOUBLE AS score FROM p",
+    "f41_query_texts": with_inputs(*_E, more="""hd AS (SELECT stream_id, match_ord, any_value(title) AS title FROM members GROUP BY ALL),
+tx AS (SELECT stream_id, match_ord, text, row_number() OVER (PARTITION BY stream_id, match_ord ORDER BY idx) - 1 AS p, count(*) OVER (PARTITION BY stream_id, match_ord) AS n FROM members JOIN segments USING (stream_id, idx) WHERE length(trim(text)) > 2),
+md AS (SELECT stream_id, match_ord, substr(string_agg(text, ' ' ORDER BY p), 1, 100) AS q FROM tx WHERE p >= n // 2 - 2 AND p < n // 2 + 3 GROUP BY ALL)""", body="SELECT hd.stream_id, hd.match_ord, CASE WHEN hd.match_ord % 3 = 0 AND length(title) >= 5 THEN title WHEN hd.match_ord % 3 = 1 THEN 'song ' || hd.match_ord ELSE coalesce(q, '') END AS query FROM hd LEFT JOIN md USING (stream_id, match_ord)"),
     "c25_search_evidence": f"WITH {_SEARCH} SELECT * FROM ev",
     "c25_verify_titles": f"WITH {_SEARCH} SELECT q.key, CASE WHEN ev.title IS NOT NULL AND q.key % 2 = 0 THEN ev.title WHEN q.key % 2 = 0 THEN '未知歌曲：x' ELSE 'own' END AS title, CASE WHEN ev.title IS NULL THEN 'no_evidence' WHEN q.key % 2 = 0 THEN 'renamed' ELSE 'confirmed' END AS verdict FROM q LEFT JOIN ev ON ev.key = q.key",
     "j14_supported_titles": f"WITH {_SEARCH}, m AS (SELECT key, CASE WHEN key % 3 = 0 THEN 't' || key ELSE 'missing' END AS title FROM q) SELECT m.key, coalesce(bool_or(contains(lower(r.title || ' ' || snippet), m.title)), false) AS supported FROM m LEFT JOIN r ON r.key = m.key GROUP BY ALL",

@@ -385,3 +385,11 @@ def test_ranges_inside_targets_against_plain(spark):
     df = lambda rows: spark.createDataFrame(rows, "stream_id long, lo long, hi long")
     got = {tuple(r) for r in review.inside_targets(df(ranges), df(targets)).collect()}
     assert got == {r for r in ranges if any(t[0] == r[0] and t[1] <= r[1] and r[2] <= t[2] for t in targets)}
+
+
+def test_query_texts(spark):
+    s = segs(spark, [(i, i + 1) for i in range(9)], texts=["aaa", "b", "ccc", " ddd ", "eee", "fff", "ggg", "hhh", "x" * 200])
+    m = mems(spark, [("A", 0.9, range(8)), ("B", 0.9, [0]), ("C", 0.9, [0]), ("D", 0.9, [1]), ("E", 0.9, [8])])
+    rows = [(1, 0, "abcd", ""), (1, 1, "a line of it", "told"), (1, 2, None, "[严重程度:2/5][场景:B] a scene"), (1, 3, "", None), (1, 4, None, None)]
+    got = naming.query_texts(spark.createDataFrame(rows, "stream_id long, match_ord long, snippet string, description string"), m, s)
+    assert {r.match_ord: r.query for r in got.collect()} == {0: "ccc ddd eee fff ggg", 1: "a line of it", 2: "a scene", 3: "", 4: "x" * 100}
