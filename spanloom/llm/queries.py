@@ -15,6 +15,7 @@ from spanloom.llm.minhash import op1_minhash_dedup
 from spanloom.llm import mixing
 from spanloom.llm.mixing import op6_mixing
 from spanloom.llm.pii import op9_pii
+from spanloom.llm.prefixes import op11_token_counts
 from spanloom.llm.repeats import op8_suffix_dedup
 from spanloom.llm.tokenstore import op7_token_store
 
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_pii": op9_pii,
     "op10_html_extraction": op10_html_extraction,
+    "op11_token_counts": op11_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.SQL}
