@@ -19,7 +19,9 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
+from operator import sub
 
+import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -34,8 +36,8 @@ from spanloom.llm.shared import Memory, sliced, table
 LIMIT = 2048
 #: Pieces that the split pattern takes as a whole though their prefixes fall into two.
 CONTRACTIONS = frozenset(("'s", "'t", "'re", "'ve", "'m", "'ll", "'d"))
-#: Symbols up to which the states of prefixes are shared between pieces.
-SHARED = 24
+SHIFT = 20  # bits of a token's number
+SHARED = 24  # symbols up to which the states of prefixes are remembered for other pieces
 #: Characters that normalisation may do more to than give them one small letter each.
 OTHER = regex.compile(r"[^\x00-\u012f\u0131-\u02ff]")
 #: The split pattern among the others.
@@ -53,33 +55,44 @@ BYTE = _byte_letters()
 
 
 class Merges:
-    """The merges of a vocabulary, and whether two tokens stay apart."""
+    """The merges of a vocabulary, its tokens as numbers, an automaton of their symbols, and whether two tokens stay apart."""
 
     def __init__(self, merges: list, suffix: str, most: int = 400_000):
-        self.suffix, self.most = suffix, most
-        self.rank: dict[tuple[str, str], int] = {}
-        self.made: dict[str, tuple[int, str, str]] = {}
+        self.most = most
+        number: dict[str, int] = {}
+        token = lambda t: number.setdefault(t, len(number))
+        for b in BYTE:
+            token(b), token(b + suffix)
+        self.rank: dict[int, int] = {}
+        self.made: dict[int, tuple[int, int, int]] = {}
         for i, pair in enumerate(merges):
-            a, b = pair if not isinstance(pair, str) else pair.split(" ")
-            self.rank[a, b] = i
-            self.made.setdefault(a + b, (i, a, b))
-        self.longest = max((len(t.removesuffix(suffix)) for t in self.made), default=1)
-        self.known: dict[tuple[str, str], bool] = {}
-        self.states: dict[str, tuple[str, int, int]] = {}
-
-    def apart(self, a: str, b: str) -> bool:
+            a, b = map(token, pair if not isinstance(pair, str) else pair.split(" "))
+            whole = token((pair[0] + pair[1]) if not isinstance(pair, str) else pair.replace(" ", ""))
+            self.rank[a << SHIFT | b] = i
+            self.made.setdefault(whole, (i, a, b))
+        by_symbols: dict[str, list[int]] = {}
+        for t, n in number.items():
+            ends = bool(suffix) and t.endswith(suffix)
+            for closes in (True, False) if not suffix else (ends,):
+                by_symbols.setdefault(t.removesuffix(suffix), [-1, -1])[closes] = n
+        self.longest = max(map(len, by_symbols))
+        self.automaton = ahocorasick.Automaton()
+        for t, (opens, closes) in by_symbols.items():
+            self.automaton.add_word(t, (len(t), opens, closes))
+        self.automaton.make_automaton()
+        self.known: dict[int, bool] = {}
+        self.states: dict[str, tuple[int, int, int]] = {}
+
+    def apart(self, a: int, b: int) -> bool:
         """Whether a and b both come out when their symbols are merged side by side.
 
         Their merges are undone from the latest on; a merge over the border comes
         first if it is earlier than the one that takes its left side away, and no
         later than the one that takes its right side away.
         """
-        found = self.known.get((a, b))
-        if found is not None:
-            return found
         x, y, left, right, found = a, b, len(self.rank), len(self.rank), True
         while True:
-            over = self.rank.get((x, y))
+            over = self.rank.get(x << SHIFT | y)
             if over is not None and over < left and over <= right:
                 found = False
                 break
@@ -92,49 +105,60 @@ class Merges:
                 break
         if len(self.known) >= self.most:
             self.known.clear()
-        self.known[a, b] = found
+        self.known[a << SHIFT | b] = found
         return found
 
 
 class Piece:
-    """The last token and the number of tokens of every open prefix of a piece's symbols, and closed[i], the tokens of the first i symbols as a piece of their own."""
+    """The last token (-1 before the first) and the number of tokens of every open prefix of a piece's symbols, and closed[i], the tokens of the first i symbols as a piece of their own."""
 
-    def __init__(self, merges: Merges, symbols: str = "", begun: tuple[str, list[str], list[int]] | None = None):
+    def __init__(self, merges: Merges, symbols: str = "", begun: tuple[str, list[int], list[int]] | None = None):
         self.merges = merges
-        self.text, self.last, self.count = begun or ("", [""], [0])
-        self.closed = [0] * len(self.last)
+        self.text, self.last, self.count = begun or ("", [-1], [0])
         at, self.text = len(self.text), self.text + symbols
-        text, last, count, suffix = self.text, self.last, self.count, merges.suffix
-        made, known, apart, longest, states = merges.made, merges.known, merges.apart, merges.longest, merges.states
-        if len(states) >= merges.most:
-            states.clear()
-        for end in range(at + 1, len(text) + 1):
-            key = text[:end] if end <= SHARED and begun is None else None
-            state = states.get(key) if key else None
-            if state is None:
-                token, n, whole = "", 0, 0
-                for start in range(end - longest if end > longest else 0, end):
-                    t, before = text[start:end], last[start]
-                    if not token and (t in made or start == end - 1):
-                        ok = True if not before else known.get((before, t))
-                        if apart(before, t) if ok is None else ok:
-                            token, n = t, count[start] + 1
-                            if whole:
-                                break
-                    if not whole:
-                        t += suffix
-                        if t in made or start == end - 1:
-                            ok = True if not before else known.get((before, t))
-                            if apart(before, t) if ok is None else ok:
-                                whole = count[start] + 1
-                                if token:
-                                    break
-                state = (token, n, whole)
-                if key:
-                    states[key] = state
-            last.append(state[0])
-            count.append(state[1])
-            self.closed.append(state[2])
+        last, count, known, apart = self.last, self.count, merges.known.get, merges.apart
+        self.closed = closed = [0] * len(last)
+        text, states, shared = self.text, merges.states, begun is None
+        if shared:  # what pieces with the same beginning have found
+            for end in range(1, min(len(text), SHARED) + 1):
+                state = states.get(text[:end])
+                if state is None:
+                    break
+                last.append(state[0])
+                count.append(state[1])
+                closed.append(state[2])
+            at = len(last) - 1
+            if at == len(text):
+                return
+        more = [0] * (len(text) - at)
+        last += more
+        count += more
+        closed += more
+        # all tokens that end at a place come before those that end behind it
+        for end, (size, opens, closes) in merges.automaton.iter(text, max(0, at + 1 - merges.longest)):
+            end += 1
+            if end <= at:
+                continue
+            before = last[end - size]
+            if before < 0:
+                if opens >= 0:
+                    last[end], count[end] = opens, 1
+                if closes >= 0:
+                    closed[end] = 1
+                continue
+            if opens >= 0 and not count[end]:
+                ok = known(before << SHIFT | opens)
+                if apart(before, opens) if ok is None else ok:
+                    last[end], count[end] = opens, count[end - size] + 1
+            if closes >= 0 and not closed[end]:
+                ok = known(before << SHIFT | closes)
+                if apart(before, closes) if ok is None else ok:
+                    closed[end] = count[end - size] + 1
+        if shared:
+            if len(states) >= merges.most:
+                states.clear()
+            for end in range(at + 1, min(len(text), SHARED) + 1):
+                states[text[:end]] = last[end], count[end], closed[end]
 
     def going_on(self, end: int, symbols: str) -> int:
         """Tokens of the first ``end`` symbols and these as one piece; only the states that a token can reach back to are read."""
@@ -166,7 +190,7 @@ def _joins_back(c: str) -> bool:
 class PrefixCounter:
     """Counts of all prefixes of texts, as the tokenizers library counts each prefix encoded without added tokens."""
 
-    def __init__(self, path: str, most: int = 100_000):
+    def __init__(self, path: str, most: int = 200_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, added = spec["model"], spec["added_tokens"]
@@ -200,30 +224,32 @@ class PrefixCounter:
         return found
 
     def _narrow(self, stretch: str) -> bytes:
-        if not OTHER.search(stretch) and not any(s in stretch for s in self.special):
-            out, at = [], 0
-            for m in PIECE.finditer(stretch.lower()):
-                if m.start() > at:
-                    out.append(bytes(m.start() - at))
-                out.append(self.of_piece[m.group()])
-                at = m.end()
-            return b"".join(out) + bytes(len(stretch) - at)
-        return self._bytes(stretch)
+        if OTHER.search(stretch) or "<" in stretch and any(s in stretch for s in self.special):
+            return _differences(self.counts(stretch))
+        text = stretch.lower()
+        if text.isalpha():
+            return self.of_piece[text]
+        out, at = [], 0
+        for m in PIECE.finditer(text):
+            start, end = m.span()
+            if start > at:
+                out.append(bytes(start - at))
+            out.append(self.of_piece[text[start:end]])
+            at = end
+        return b"".join(out) + bytes(len(text) - at)
 
     def _piece(self, piece: str) -> bytes:
         """Of a whole piece of the simple letters, normalised as it is."""
         if piece in CONTRACTIONS:
-            return self._bytes(piece)
-        if piece.isascii():
-            return self._differences(Piece(self.merges, piece).closed[1:])
+            return _differences(self.counts(piece))
+        if piece.isascii() and piece.isprintable():
+            return _differences(Piece(self.merges, piece).closed[1:])
         closed = Piece(self.merges, "".join([BYTE[b] for b in piece.encode()])).closed
-        return self._differences([closed[n] for n in accumulate(len(c.encode()) for c in piece)])
-
-    def _bytes(self, stretch: str) -> bytes:
-        return self._differences(self.counts(stretch))
-
-    def _differences(self, counts: list[int]) -> bytes:
-        return array("b", [n - b for n, b in zip(counts, [0, *counts])]).tobytes()
+        at, ends = 0, []
+        for c in piece:
+            at += 1 if c < "\x80" else 2
+            ends.append(closed[at])
+        return _differences(ends)
 
     def counts(self, stretch: str) -> list[int]:
         """Tokens of each non-empty prefix of a stretch that white space, or the text's ends, set apart."""
@@ -293,6 +319,10 @@ class PrefixCounter:
         return sum(Piece(self.merges, x).closed[-1] for x, _ in self.split(text))
 
 
+def _differences(counts: list[int]) -> bytes:
+    return array("b", map(sub, counts, [0, *counts])).tobytes()
+
+
 def changes(stored: bytes) -> np.ndarray:
     """Differences of the counts of neighbouring prefixes, from what deltas() gives."""
     return np.frombuffer(stored, f"<i{stored[0]}", offset=1)
@@ -314,7 +344,7 @@ def _counter(path: str, most: int) -> PrefixCounter:
     return PrefixCounter(path, most)
 
 
-def with_prefix_counts(docs: DataFrame, path: str, *, text: str = "text", name: str = "prefix_counts", most: int = 100_000) -> DataFrame:
+def with_prefix_counts(docs: DataFrame, path: str, *, text: str = "text", name: str = "prefix_counts", most: int = 200_000) -> DataFrame:
     """docs and a binary column of the counts of all prefixes of their texts (of the empty text where it is null).
 
     All rows stay, repeated ones each; a table that has a column of that name
