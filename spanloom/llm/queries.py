@@ -14,10 +14,12 @@ from spanloom.llm.langid import op4_language_id
 from spanloom.llm.minhash import op1_minhash_dedup
 from spanloom.llm import mixing
 from spanloom.llm.mixing import op6_mixing
+from spanloom.llm.periodic import op12_periodic_runs
 from spanloom.llm.pii import op9_pii
 from spanloom.llm.prefixes import op11_token_counts
 from spanloom.llm.repeats import op8_suffix_dedup
 from spanloom.llm.tokenstore import op7_token_store
+from spanloom.llm.tries import op13_prefix_trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
@@ -31,6 +33,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_html_extraction": op10_html_extraction,
     "op11_token_counts": op11_token_counts,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.SQL}
