@@ -191,6 +191,46 @@ def transcript_line(idx: Column, start: Column, end: Column, text: Column) -> Co
     return F.format_string("[%d] (%.1f-%.1f) %s", idx, start, end, text)
 
 
+#: Words that titles of web pages add, and what is cut off a title, in this order. The middle two apply to titles with a Han character.
+PAGE_WORDS = "lyrics|歌词|MV|Official|Audio|HD|歌詞|高清|现场|Live"
+PAGE_TAILS = (
+    rf"\s*\(.*?({PAGE_WORDS}).*?\)\s*$",
+    rf"\s*[-–—|]\s*({PAGE_WORDS})(\s+({PAGE_WORDS}))*\s*$",
+    rf"\s+({PAGE_WORDS})(\s+({PAGE_WORDS}))*\s*$",
+    r"\s+With\s+\w+\s+By\s+.*$",
+    r"\s+歌詞.*$",
+)
+HAN_TAIL, HAN_HEAD = r"\s+The\s+\w+(\s+\w+)*$", r"^[A-Za-z][A-Za-z\s]+([一-鿿])"
+SITE_TAILS = (
+    r"\s*[-–—|]\s*TikTok\s*$",
+    r"\s*[-–—|]\s*Shazam\s*$",
+    r"\s*[-–—|]\s*Spotify\s*$",
+    r"\s*[-–—|]\s*YouTube\s*$",
+    r"\s*[-–—|]\s*KKBOX\s*$",
+    r"\s*[-–—|]\s*Genius\s*$",
+    r"\s*[-–—|]\s*AZLyrics\.com\s*$",
+    r"\s*[-–—|]\s*JustSomeLyrics\s*$",
+    r"\s*[-–—|]\s*hymnal\.net\s*$",
+    r"\s+Song Lyrics, Music Videos & Concerts\s*$",
+    r"\s+Music Videos & Concerts\s*$",
+    r"\s+arranged by\s+.*$",
+    r"\s*\|\s*Genius\s*$",
+    r"\s*\|\s*AZLyrics\.com\s*$",
+    r"\s*\(book\)\s*$",
+)
+
+
+def page_title(title: Column) -> Column:
+    """A web page's title without what the site adds; null stays null."""
+    for tail in PAGE_TAILS:
+        title = F.regexp_replace(title, "(?iU)" + tail, "")
+    title = F.when(title.rlike("[一-鿿]"), F.regexp_replace(title, "(?iU)" + HAN_TAIL, "")).otherwise(title)
+    title = F.when(title.rlike("[一-鿿]"), F.trim(F.regexp_replace(title, HAN_HEAD, "$1"))).otherwise(title)
+    for tail in SITE_TAILS:
+        title = F.regexp_replace(title, "(?iU)" + tail, "")
+    return F.trim(F.regexp_replace(title, r"(?U)\s+", " "))
+
+
 # --- tokens and prices
 
 #: Dollars for a million tokens, tokens for a character, and the phases of a log path.

@@ -30,16 +30,17 @@ def _with_ends(rows: DataFrame, segments: DataFrame) -> DataFrame:
     return rows.join(first, ["stream_id", "lo"]).join(last, ["stream_id", "hi"])
 
 
-def merge_same_title(members: DataFrame, segments: DataFrame, gap_s: float, *, neighbours_only: bool = False) -> DataFrame:
+def merge_same_title(members: DataFrame, segments: DataFrame, gap_s: float, *, neighbours_only: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Merges a match into the nearest earlier one of its title, if at most gap_s lies between; members with grp, the merged match.
 
     The end of the group so far is the greatest index of its title before, so
     windows give the fold's result. With neighbours_only a match of another
     title between two of them keeps them apart. The merged match takes title
     and confidence from its most confident member, the earlier one in a tie
-    (the later one with neighbours_only).
+    (the later one with neighbours_only), and the columns named by carry.
     """
-    rows = _with_ends(heads(members), segments).withColumn("key", title_key(F.col("title")))
+    more = members.groupBy(*MATCH).agg(*(F.first(c).alias(c) for c in carry)) if carry else None
+    rows = _with_ends(heads(members) if more is None else heads(members).join(more, MATCH), segments).withColumn("key", title_key(F.col("title")))
     keys = ["stream_id", "key"]
     order = Window.partitionBy("stream_id").orderBy("lo", "match_ord")
     if neighbours_only:
@@ -54,10 +55,10 @@ def merge_same_title(members: DataFrame, segments: DataFrame, gap_s: float, *, n
     rows = rows.withColumn("part", F.sum("cut").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     group = Window.partitionBy(*keys, "part")
     sign = 1 if neighbours_only else -1
-    best = F.max(F.struct("confidence", F.col("lo") * sign, F.col("match_ord") * sign, "title")).over(group)
+    best = F.max(F.struct("confidence", F.col("lo") * sign, F.col("match_ord") * sign, "title", *carry)).over(group)
     rows = rows.withColumn("grp", F.min(F.struct("lo", "match_ord")).over(group)["match_ord"]).withColumn("best", best)
-    named = rows.select(*MATCH, "grp", F.col("best.title").alias("title"), F.col("best.confidence").alias("confidence"))
-    return members.select(*MATCH, "idx").join(named, MATCH).select("stream_id", F.col("grp").alias("match_ord"), "title", "confidence", "idx").distinct()
+    named = rows.select(*MATCH, "grp", F.col("best.title").alias("title"), F.col("best.confidence").alias("confidence"), *(F.col("best")[c].alias(c) for c in carry))
+    return members.select(*MATCH, "idx").join(named, MATCH).select("stream_id", F.col("grp").alias("match_ord"), "title", "confidence", *carry, "idx").distinct()
 
 
 def drop_duplicates(members: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 from pyspark.sql.window import Window
 
-from spanloom.functions.scalars import clip_stem, date_in, described_parts, garbled, overlap_coefficient, text_tokens, unknown_prefix
+from spanloom.functions.scalars import clip_stem, date_in, described_parts, garbled, overlap_coefficient, page_title, text_tokens, unknown_prefix
 
 #: Fixed value: characters that matching ignores.
 IGNORED = r"[\s\-_·・，。、！!？?（）()\[\]【】「」『』《》\"'“”‘’:：;；]+"
@@ -105,6 +105,52 @@ def search_evidence(queries: DataFrame, results: DataFrame, *, least: float = 0.
     return rows.withColumn("likeness", like).where(F.col("likeness") >= least).withColumn("k", F.row_number().over(first)).where("k = 1").select("key", "rank", "title", "likeness")
 
 
+def result_items(results: DataFrame, top: int = 3) -> DataFrame:
+    """(query, rank, title, artist, texts) of search results that have a title left when it is cleaned.
+
+    results has (query, rank, title, artist, snippet, hints), hints being the
+    query's own and repeated on each of its rows; they count for the first item
+    that stays. texts are what may show that an item is right.
+    """
+    rows = results.where(F.col("rank") <= top).withColumn("title", page_title(F.trim("title"))).where(F.length("title") >= 2)
+    first = F.row_number().over(Window.partitionBy("query").orderBy("rank")) == 1
+    hints = F.filter(F.transform(F.coalesce("hints", F.array().cast("array<string>")), lambda h: F.trim(h)), lambda h: h != "")
+    own = F.filter(F.array(F.trim(F.coalesce("snippet", F.lit("")))), lambda x: x != "")
+    texts = F.when(F.col("first"), F.concat(own, hints)).otherwise(own)
+    return rows.withColumn("first", first).select("query", "rank", "title", F.nullif(F.trim("artist"), F.lit("")).alias("artist"), texts.alias("texts"))
+
+
+def search_verification(matches: DataFrame, members: DataFrame, segments: DataFrame, results: DataFrame, *, most: int = 25, unknown_only: bool = True, least: float = 0.15) -> tuple[DataFrame, DataFrame]:
+    """(matches, audit): matches named after the first of their search results that their own texts support.
+
+    matches has (stream_id, match_ord, title, artist, tags, snippet, description);
+    those without a name (all, unless unknown_only), with a query of five
+    characters at least, are looked up in order, ``most`` of a stream. audit has a
+    row for each look-up: (stream_id, match_ord, query, old_title, candidates,
+    best_title, best_artist, score, accepted, reason).
+    """
+    key = ["stream_id", "match_ord"]
+    asked = query_texts(matches, members, segments).where(F.length("query") >= 5).join(matches.select(*key, F.col("title").alias("old_title")), key)
+    if unknown_only:
+        asked = asked.where(unknown_prefix(F.col("old_title")))
+    asked = asked.withColumn("k", F.row_number().over(Window.partitionBy("stream_id").orderBy("match_ord"))).where(F.col("k") <= most)
+    asked = asked.select(*key, "old_title", F.col("query").alias("text"), F.left("query", F.lit(100)).alias("query"))
+    tokens = F.array_distinct(F.flatten(F.transform("texts", text_tokens)))
+    likeness = overlap_coefficient(text_tokens(F.col("text")), tokens)
+    scored = asked.join(result_items(results), "query").withColumn("likeness", likeness)
+    good = F.when(F.col("likeness") >= least, F.struct("rank", "title", "artist", "likeness"))
+    best = scored.groupBy(*key).agg(F.min(good).alias("best"), F.count("*").alias("candidates"))
+    audit = asked.drop("text").join(best, key, "left").select(
+        *key, "query", "old_title", F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"), F.col("best.title").alias("best_title"), F.col("best.artist").alias("best_artist"),
+        F.coalesce("best.likeness", F.lit(0.0)).alias("score"), F.col("best").isNotNull().alias("accepted"),
+        F.when(F.col("best").isNotNull(), "lyrics_evidence_found").when(F.col("candidates").isNull(), "no_items").otherwise("insufficient_evidence").alias("reason"),
+    )
+    found = audit.where("accepted").select(*key, "best_title", "best_artist")
+    named = matches.join(found, key, "left").withColumn("title", F.coalesce("best_title", "title")).withColumn("artist", F.coalesce("best_artist", "artist"))
+    named = named.withColumn("tags", F.when(F.col("best_title").isNotNull(), F.concat_ws(",", F.nullif("tags", F.lit("")), F.lit("search_verified"))).otherwise(F.col("tags")))
+    return named.select(*matches.columns), audit
+
+
 def verify_titles(matches: DataFrame, evidence: DataFrame) -> DataFrame:
     """Matches (key, title) renamed after accepted evidence, with a verdict."""
     rows = matches.join(evidence.select("key", F.col("title").alias("found")), "key", "left")

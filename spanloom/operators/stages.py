@@ -1,33 +1,126 @@
-"""Compositions: normalisation, adjudication stages, the three-round run, and word segmentation."""
+"""Compositions: normalisation, boundary risk, adjudication stages, and word segmentation."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from typing import Any, NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanloom.operators import intervals as iv, matches as mt, protocol as pr
+from spanloom.operators import coverage as cv, intervals as iv, matches as mt
 from spanloom.operators.intervals import MATCH
 from spanloom.sources.checkpoints import cut
 
 
-def normalise(members: DataFrame, segments: DataFrame, *, gap_s: float, cap_s: float, merge_neighbours: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """(members, flags): matches split at gaps, duplicates dropped, optionally merged with neighbours of their title, in order of first index.
+@dataclass(frozen=True)
+class Chorus:
+    """A split that keeps choruses: gaps up to gap_s seconds do not cut where the ``context`` texts on both sides are alike."""
+
+    gap_s: float = 120.0
+    likeness: float = 0.3
+    context: int = 3
+
+
+class Normalised(NamedTuple):
+    members: DataFrame  # in order of first index, with the columns that were carried
+    flags: DataFrame  # (stream_id, match_ord, reason): parts of split matches, and those too long
+    events: DataFrame  # (stream_id, type, source_ord, title, ranges, seconds)
+
+
+def split(members: DataFrame, segments: DataFrame, gap_s: float, chorus: Chorus | None = None) -> DataFrame:
+    """Members with times, text and part: cut at gaps, by one of two rules."""
+    if chorus is None:
+        return iv.split_at_gaps(members, segments, gap_s)
+    return cv.split_by_chorus(members, segments, gap_s, chorus.gap_s, chorus.likeness, chorus.context)
+
+
+def _renumbered(parts: DataFrame) -> DataFrame:
+    """Parts as matches of their own, in order of first index; source_ord and part say where they come from, several whether there are others."""
+    keys = parts.groupBy(*MATCH, "part").agg(F.min("idx").alias("first_idx"))
+    order = Window.partitionBy("stream_id").orderBy("first_idx", "match_ord", "part")
+    keys = keys.withColumn("several", F.count("*").over(Window.partitionBy(*MATCH)) > 1).withColumn("new", (F.row_number().over(order) - 1).cast("long"))
+    rows = parts.join(keys.drop("first_idx"), [*MATCH, "part"])
+    return rows.withColumn("source_ord", F.col("match_ord")).withColumn("match_ord", F.col("new")).drop("new")
+
 
-    flags are (stream_id, match_ord, reason) of suspicious matches: parts of a
-    match that was split, and those longer than cap_s.
+def _ranges_text(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ranges) such as 1-3,7-9."""
+    r = F.transform(F.sort_array(F.collect_list(F.struct("lo", "hi"))), lambda x: F.concat_ws("-", x["lo"], x["hi"]))
+    return iv.index_ranges(rows, keys).groupBy(*keys).agg(F.array_join(r, ",").alias("ranges"))
+
+
+def normalised(members: DataFrame, segments: DataFrame, *, gap_s: float, cap_s: float, chorus: Chorus | None = None, merge_neighbours: float | None = None, carry: tuple[str, ...] = ()) -> Normalised:
+    """Matches split by one of two rules, duplicates dropped, optionally merged with neighbours of their title, in order of first index, with flags and events.
+
+    Events are invalid_range (no segment of the match exists), disjoint_ranges
+    (with the parts' ranges, parts separated by semicolons), exact_duplicate,
+    overlong (with seconds; a cap of 0 or less is none) and merged_same_title (a
+    row for each stream, ranges telling numbers before and after). carry names
+    columns that stay with their match; a merged match has those of the one that
+    gives its title.
+    """
+    own = ["stream_id", "match_ord", "title", "confidence", *carry]
+    rows = _renumbered(split(members, segments, gap_s, chorus))
+    parts = rows.select(*own, "idx", "several", "source_ord", "part")
+    kept = mt.drop_duplicates(parts)
+    long = mt.measures(kept.select(*own, "idx"), segments).where(F.lit(cap_s > 0) & (F.col("duration_s") > cap_s))
+    flags = kept.where("several").select(*MATCH, F.lit("split").alias("reason")).distinct().union(long.select(*MATCH, F.lit("over_long").alias("reason")))
+    out = kept.select(*own, "idx")
+
+    source = parts.groupBy(*MATCH).agg(F.first("source_ord").alias("source_ord"), F.first("title").alias("title"), F.first("part").alias("part"), F.first("several").alias("several"))
+    text = _ranges_text(parts, MATCH).join(source, MATCH)
+    nothing = F.lit(None).cast("double").alias("seconds")
+    gone = mt.heads(members).join(source.select("stream_id", F.col("source_ord").alias("match_ord")), MATCH, "left_anti")
+    invalid = gone.select("stream_id", F.lit("invalid_range").alias("type"), F.col("match_ord").alias("source_ord"), "title", F.lit("").alias("ranges"), nothing)
+    together = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "ranges"))), lambda x: x["ranges"]), ";")
+    disjoint = text.where("several").groupBy("stream_id", "source_ord").agg(F.first("title").alias("title"), together.alias("ranges")).select("stream_id", F.lit("disjoint_ranges"), "source_ord", "title", "ranges", nothing)
+    twice = text.join(kept.select(*MATCH).distinct(), MATCH, "left_anti").select("stream_id", F.lit("exact_duplicate"), "source_ord", "title", "ranges", nothing)
+    over = long.join(text.select(*MATCH, "source_ord", "ranges"), MATCH).select("stream_id", F.lit("overlong"), "source_ord", "title", "ranges", F.col("duration_s"))
+    events = invalid.union(disjoint).union(twice).union(over)
+    if merge_neighbours is not None:
+        merged = mt.merge_same_title(out, segments, merge_neighbours, neighbours_only=True, carry=carry)
+        n = lambda df, c: df.groupBy("stream_id").agg(F.count_distinct("match_ord").alias(c))
+        fewer = n(out, "b").join(n(merged, "a"), "stream_id").where("a < b")
+        events = events.union(fewer.select("stream_id", F.lit("merged_same_title"), F.lit(None).cast("long"), F.lit(None).cast("string"), F.concat_ws(">", "b", "a"), nothing))
+        out = merged
+    return Normalised(out, flags, events)
+
+
+def normalise(members: DataFrame, segments: DataFrame, *, gap_s: float, cap_s: float, merge_neighbours: float | None = None, chorus: Chorus | None = None) -> tuple[DataFrame, DataFrame]:
+    """(members, flags) of normalised()."""
+    found = normalised(members, segments, gap_s=gap_s, cap_s=cap_s, merge_neighbours=merge_neighbours, chorus=chorus)
+    return found.members, found.flags
+
+
+class Repaired(NamedTuple):
+    members: DataFrame
+    records: DataFrame  # risk of every match
+    events: DataFrame  # (stream_id, type, source_ord, title, before, ranges, seconds)
+
+
+def boundary_risk(members: DataFrame, segments: DataFrame, *, gap_s: float, cap_s: float, risk: dict[str, Any] | None = None, chorus: Chorus | None = None, merge_neighbours: float | None = None, preserve: bool = False, carry: tuple[str, ...] = ()) -> Repaired:
+    """Boundary repair, normalisation and risk scores as one stage, with the event rows of the first two.
+
+    preserve leaves out the repair. risk holds the settings of matches.risks. The
+    rows that several results need are kept once (an eager action).
     """
-    parts = iv.split_at_gaps(members, segments, gap_s)
-    keys = parts.groupBy(*MATCH, "part").agg(F.min("idx").alias("lo"))
-    several = F.count("*").over(Window.partitionBy(*MATCH)) > 1
-    order = Window.partitionBy("stream_id").orderBy("lo", "match_ord", "part")
-    keys = keys.withColumn("split", several).withColumn("new", (F.row_number().over(order) - 1).cast("long"))
-    rows = parts.join(keys.drop("lo"), [*MATCH, "part"]).select("stream_id", F.col("new").alias("match_ord"), "title", "confidence", "idx", "split")
-    kept = mt.drop_duplicates(rows)
-    long = mt.measures(kept.drop("split"), segments).where(F.col("duration_s") > cap_s).select(*MATCH, F.lit("over_long").alias("reason"))
-    flags = kept.where("split").select(*MATCH, F.lit("split").alias("reason")).distinct().union(long)
-    out = kept.drop("split")
-    return (mt.merge_same_title(out, segments, merge_neighbours, neighbours_only=True) if merge_neighbours is not None else out), flags
+    columns = ["stream_id", "match_ord", "title", "confidence", *carry, "idx"]
+    repaired, events = members.select(*columns), None
+    if not preserve:
+        parts = cut(_renumbered(split(members, segments, gap_s, chorus)).select(*columns, "source_ord", "part", "several"))
+        repaired = parts.select(*columns)
+        text = _ranges_text(parts.where("several"), ["stream_id", "source_ord", "part"]).groupBy("stream_id", "source_ord")
+        after = text.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "ranges"))), lambda x: x["ranges"]), ";").alias("ranges"))
+        before = _ranges_text(parts.where("several"), ["stream_id", "source_ord"]).withColumnRenamed("ranges", "before")
+        names = parts.groupBy("stream_id", "source_ord").agg(F.first("title").alias("title"))
+        events = after.join(before, ["stream_id", "source_ord"]).join(names, ["stream_id", "source_ord"])
+        events = events.select("stream_id", F.lit("risk_boundary_split").alias("type"), "source_ord", "title", "before", "ranges", F.lit(None).cast("double").alias("seconds"))
+    n = normalised(repaired, segments, gap_s=gap_s, cap_s=cap_s, chorus=chorus, merge_neighbours=merge_neighbours, carry=carry)
+    out = cut(n.members)
+    more = n.events.select("stream_id", "type", "source_ord", "title", F.lit("").alias("before"), "ranges", "seconds")
+    return Repaired(out, mt.risks(out.select("stream_id", "match_ord", "title", "confidence", "idx"), segments, **(risk or {})), more if events is None else events.union(more))
 
 
 def adjudicate(members: DataFrame, segments: DataFrame, suspicious: DataFrame, searched: DataFrame, *, span: int, cap_s: float) -> DataFrame:
@@ -37,10 +130,10 @@ def adjudicate(members: DataFrame, segments: DataFrame, suspicious: DataFrame, s
     return members.join(lost, MATCH, "left_anti")
 
 
-def final_adjudication(members: DataFrame, segments: DataFrame, searched: DataFrame, *, gap_s: float, span: int, cap_s: float) -> DataFrame:
-    """Normalise, then adjudicate with the flagged matches as suspicious."""
-    rows, flags = (cut(x) for x in normalise(members, segments, gap_s=gap_s, cap_s=cap_s))
-    return adjudicate(rows, segments, flags.select(*MATCH).distinct(), searched, span=span, cap_s=cap_s)
+def final_adjudication(members: DataFrame, segments: DataFrame, searched: DataFrame, *, gap_s: float, span: int, cap_s: float, chorus: Chorus | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Normalise, then settle the conflicts of different titles; no match is suspicious in itself. The normalised rows are kept once (an eager action)."""
+    rows = cut(normalised(members, segments, gap_s=gap_s, cap_s=cap_s, chorus=chorus, carry=carry).members)
+    return adjudicate(rows, segments, mt.heads(rows).where("false"), searched, span=span, cap_s=cap_s)
 
 
 def residual_pass(members: DataFrame, segments: DataFrame, searched: DataFrame, *, span: int, cap_s: float, merge_s: float | None = None) -> DataFrame:
@@ -57,20 +150,6 @@ def finish_recheck(base: DataFrame, extra: DataFrame, segments: DataFrame, *, ga
     return mt.merge_same_title(rows, segments, gap_s)
 
 
-def three_rounds(segments: DataFrame, discovered: DataFrame, anchors: DataFrame, decisions: DataFrame, *, complete: DataFrame) -> DataFrame:
-    """(stream_id, status, matches) of the rounds' outcome: adjudicated, provisional where decisions break a rule, failed where discovery is incomplete.
-
-    discovered are candidates (stream_id, id, anchor, lo, hi), complete is (stream_id, complete).
-    """
-    good = pr.adjudication_reason(decisions, discovered)
-    final = mt.heads(pr.apply_decisions(decisions, discovered)).groupBy("stream_id").agg(F.count("*").alias("final"))
-    first = discovered.groupBy("stream_id").agg(F.count("*").alias("provisional"))
-    rows = complete.join(good, "stream_id", "left").join(final, "stream_id", "left").join(first, "stream_id", "left")
-    status = F.when(~F.col("complete"), "failed").when(F.col("reason").isNull() & F.col("final").isNotNull(), "adjudicated").otherwise("provisional")
-    n = F.when(status == "adjudicated", F.col("final")).when(status == "provisional", F.coalesce("provisional", F.lit(0))).otherwise(0)
-    return rows.select("stream_id", status.alias("status"), n.cast("long").alias("matches"))
-
-
 def candidate_matches(candidates: DataFrame, tag: str) -> DataFrame:
     """Candidates (stream_id, id, anchor, lo, hi) as matches named after their anchor text, or else their id."""
     text = F.coalesce(F.nullif(F.trim("anchor"), F.lit("")), "id")

@@ -35,12 +35,6 @@ def q_finish(spark, d):
     return mt.heads(st.finish_recheck(m.where("match_ord % 3 <> 0"), m.where("match_ord % 3 = 0"), segments(spark, d), gap_s=GAP, cap_s=CAP)).select("stream_id", "title", "lo", "hi", "n")
 
 
-def q_rounds(spark, d):
-    complete = segments(spark, d).select("stream_id").distinct().withColumn("complete", F.col("stream_id") % 7 != 0)
-    c = pq._candidates(spark, d)
-    return st.three_rounds(segments(spark, d), c, c.where("false"), pq._decisions(spark, d), complete=complete)
-
-
 def q_candidates(spark, d):
     return st.candidate_matches(pq._candidates(spark, d), "discovery")
 
@@ -70,7 +64,7 @@ def q_first_gap(spark, d):
 
 
 QUERIES = {
-    "c7_normalise": q_normalise, "c14_final_adjudication": q_final, "c15_residual_pass": q_residual, "c19_finish_recheck": q_finish, "v10_three_rounds": q_rounds, "v8_candidate_matches": q_candidates,
+    "c7_normalise": q_normalise, "c14_final_adjudication": q_final, "c15_residual_pass": q_residual, "c19_finish_recheck": q_finish, "v8_candidate_matches": q_candidates,
     "w6_words_to_segments": q_words, "l2_search_budget": q_budget, "w9_scan_windows": q_scan, "l4_first_gap": q_first_gap,
 }
 
@@ -93,7 +87,6 @@ def _adjudicated(source: str, suspicious: str) -> str:
     return text + f", won AS (SELECT * FROM {source} ANTI JOIN (SELECT * FROM greedy WHERE NOT keep) USING (stream_id, match_ord))"
 
 
-_SUS = "EXISTS (SELECT 1 FROM sus WHERE sus.stream_id = {0}.stream_id AND sus.match_ord = {0}.match_ord)"
 _MERGE = mq._merge_sql(False).replace("FROM members", "FROM norm").replace("JOIN members", "JOIN norm")
 _BASE = """shift AS (SELECT stream_id, max(match_ord) + 1 AS s FROM members WHERE match_ord % 3 <> 0 GROUP BY ALL), lists AS (SELECT stream_id, match_ord, title, confidence, idx FROM members WHERE match_ord % 3 <> 0
 UNION ALL SELECT m.stream_id, match_ord + coalesce(s, 0), title, confidence, idx FROM members m LEFT JOIN shift USING (stream_id) WHERE match_ord % 3 = 0)"""
@@ -105,14 +98,9 @@ FROM fold f JOIN w3 x ON x.stream_id = f.stream_id AND x.k = f.k + 1, LATERAL (S
 
 SQL = {
     "c7_normalise": with_inputs(*_E, more=_norm(30_000.0) + f", hd AS ({_HEADS.format('norm')})", body="SELECT hd.*, CASE WHEN split OR long THEN array_to_string(list_filter([CASE WHEN long THEN 'over_long' END, CASE WHEN split THEN 'split' END], lambda x: x IS NOT NULL), ',') END AS reasons FROM hd JOIN flag USING (stream_id, match_ord)"),
-    "c14_final_adjudication": with_inputs(*_E, more=_norm(CAP) + ", sus AS (SELECT * FROM flag WHERE split OR long), " + _adjudicated("norm", _SUS), body=_HEADS.format("won")),
+    "c14_final_adjudication": with_inputs(*_E, more=_norm(CAP) + ", " + _adjudicated("norm", "false"), body=_HEADS.format("won")),
     "c15_residual_pass": with_inputs(*_E, more=_adjudicated("members", "false"), body=_HEADS.format("won")),
     "c19_finish_recheck": with_inputs(*_E, more=_BASE + ", " + _norm(CAP, "lists") + ", " + _MERGE, body=f"SELECT stream_id, title, lo, hi, n FROM ({_HEADS.format('merged')})"),
-    "v10_three_rounds": with_inputs(*_E, more=pq._DEC + """, e AS (SELECT d.stream_id, dec, action, c.id IS NULL AS unk, d.lo IS NOT NULL AS ranged FROM decs d LEFT JOIN cand c ON c.stream_id = d.stream_id AND c.id = d.id),
-b AS (SELECT stream_id, bool_or(action = 'guess' OR unk OR (action = 'reject' AND ranged) OR (action <> 'reject' AND NOT ranged)) AS bad FROM e GROUP BY ALL),
-u AS (SELECT c.stream_id, c.id, count(DISTINCT dec) AS uses FROM cand c LEFT JOIN decs d ON d.stream_id = c.stream_id AND d.id = c.id GROUP BY ALL), cv AS (SELECT stream_id, max(uses) > 1 OR min(uses) = 0 AS gaps, count(*) AS provisional FROM u GROUP BY ALL),
-fin AS (SELECT d.stream_id, count(DISTINCT dec) AS final FROM decs d JOIN cand c ON c.stream_id = d.stream_id AND c.id = d.id WHERE action <> 'reject' AND d.lo IS NOT NULL GROUP BY ALL), s AS (SELECT DISTINCT stream_id FROM segments),
-x AS (SELECT s.stream_id, CASE WHEN s.stream_id % 7 = 0 THEN 'failed' WHEN NOT coalesce(bad, false) AND NOT coalesce(gaps, false) AND final IS NOT NULL THEN 'adjudicated' ELSE 'provisional' END AS status, final, provisional FROM s LEFT JOIN b ON b.stream_id = s.stream_id LEFT JOIN cv ON cv.stream_id = s.stream_id LEFT JOIN fin ON fin.stream_id = s.stream_id)""", body="SELECT stream_id, status, CASE status WHEN 'adjudicated' THEN final WHEN 'provisional' THEN coalesce(provisional, 0) ELSE 0 END AS matches FROM x"),
     "v8_candidate_matches": with_inputs(*_E, more=pq._DEC, body="SELECT stream_id, id, '未知歌曲：' || coalesce(nullif(trim(anchor), ''), id) AS title, 'discovery,' || id AS tags, lo, hi FROM cand"),
     "w6_words_to_segments": f"WITH RECURSIVE {_WORDS}, seg AS (SELECT stream_id, o, arg_max(start_s, k) AS start_s, arg_max(end_s, k) AS end_s, arg_max(text, k) AS text FROM fold GROUP BY ALL) SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY start_s, end_s) - 1 AS idx, start_s, end_s, text FROM seg",
     "l2_search_budget": with_inputs(*_E, more=f"hd AS ({_HEADS.format('members')})", body="SELECT stream_id, match_ord, row_number() OVER (PARTITION BY stream_id ORDER BY lo, match_ord) AS k FROM hd WHERE confidence < 0.5 QUALIFY k <= 5"),
