@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from spanloom.operators.folds import scan
 from spanloom.operators.intervals import hulls, split_at_gaps
 
 
@@ -29,39 +32,35 @@ class Padding:
     song: bool = True
 
 
+PART = "start_s double, match_ord long, part long, end_s double, lo long, hi long, title string, confidence double, transcript string"
+
+
 def merge_adjacent(parts: DataFrame, gap_s: float, cap_s: float) -> DataFrame:
     """Merges a part into the one before it, in order of start, if their index hulls overlap, or titles are equal and at most gap_s lies between, unless the result is longer than cap_s.
 
-    The rule depends on what was merged before, so it is a fold; but no merge
-    crosses a point where everything before ends more than gap_s earlier and
-    below in index. Streams are cut there first, and the folds are short.
+    The rule depends on what was merged before, so it is a fold, which carries the
+    last part on; texts are joined once, when a part is done.
     """
-    keys = ["stream_id", "island"]
-    order = Window.partitionBy("stream_id").orderBy("start_s", "match_ord", "part")
-    past = order.rowsBetween(Window.unboundedPreceding, -1)
-    cut = (F.col("start_s") > F.max("end_s").over(past) + gap_s) & (F.col("lo") > F.max("hi").over(past))
-    marked = parts.withColumn("cut", F.when(cut, 1).otherwise(0))
-    islands = marked.withColumn("island", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    fields = ["start_s", "match_ord", "part", "end_s", "lo", "hi", "title", "confidence", "transcript"]
-    grouped = islands.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("items"))
-    kind = grouped.schema["items"].dataType.simpleString()
-
-    def step(acc: Column, x: Column) -> Column:
-        prev = F.element_at(acc, -1)
-        overlap = (x["lo"] <= prev["hi"]) & (x["hi"] >= prev["lo"])
-        same = (x["start_s"] - prev["end_s"] <= gap_s) & (x["title"] == prev["title"])
-        whole = F.greatest(prev["end_s"], x["end_s"]) - F.least(prev["start_s"], x["start_s"])
-        joins = (F.size(acc) > 0) & (overlap | same) & ((F.lit(cap_s) <= 0) | (whole <= cap_s))
-        merged = F.struct(
-            prev["start_s"].alias("start_s"), prev["match_ord"].alias("match_ord"), prev["part"].alias("part"), F.greatest(prev["end_s"], x["end_s"]).alias("end_s"),
-            F.least(prev["lo"], x["lo"]).alias("lo"), F.greatest(prev["hi"], x["hi"]).alias("hi"),
-            F.when(F.length(x["title"]) > F.length(prev["title"]), x["title"]).otherwise(prev["title"]).alias("title"),
-            F.greatest(prev["confidence"], x["confidence"]).alias("confidence"), F.concat(prev["transcript"], F.lit(" "), x["transcript"]).alias("transcript"),
-        )
-        return F.when(joins, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(merged))).otherwise(F.concat(acc, F.array(x)))
-
-    folded = grouped.select(*keys, F.explode(F.aggregate("items", F.array().cast(kind), step)).alias("x"))
-    return folded.select("stream_id", *(F.col(f"x.{c}").alias(c) for c in fields))
+
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        last, said = None, []
+        for row in rows:
+            start, match_ord, part, end, lo, hi, title, confidence, text = row
+            if last is not None:
+                overlap = lo <= last[5] and hi >= last[4]
+                same = start - last[3] <= gap_s and title is not None and title == last[6]
+                if (overlap or same) and (cap_s <= 0 or max(last[3], end) - min(last[0], start) <= cap_s):
+                    longer = title if len(title or "") > len(last[6] or "") else last[6]
+                    last = (*last[:3], max(last[3], end), min(last[4], lo), max(last[5], hi), longer, max(last[7], confidence))
+                    said.append(text)
+                    continue
+                yield (*last, " ".join(said))
+            last, said = row[:8], [text]
+        if last is not None:
+            yield (*last, " ".join(said))
+
+    fields = [f.name for f in StructType.fromDDL(PART)]
+    return scan(parts.select("stream_id", *fields), ["stream_id"], ["start_s", "match_ord", "part"], fold, PART)
 
 
 def silence_padding(base: float, gap: Column, most: float, p: Padding) -> Column:

@@ -6,10 +6,14 @@ Everything is keyed by stream, so one shuffle on stream_id serves a whole chain.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spanloom.operators.folds import scan
+
 MATCH = ["stream_id", "match_ord"]
 
 
@@ -63,25 +67,19 @@ def range_seconds(ranges: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def packed(ranges: DataFrame, span: int, most: int | None = None) -> DataFrame:
-    """Ordered ranges put into windows: a window takes the next range while it spans at most ``span`` segments and, if given, ``most`` units (column n).
+    """Ordered ranges put into windows: a window takes the next range while it spans at most ``span`` segments and, if given, ``most`` units (column n). A fold that carries the open window on."""
+
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        window, begin, units = -1, 0, 0
+        for lo, hi, n in rows:
+            if window >= 0 and hi - begin + 1 <= span and (most is None or units + n <= most):
+                units += n
+            else:
+                window, begin, units = window + 1, lo, n
+            yield lo, hi, window
 
-    The fold runs over one stream's ranges, which its segments bound.
-    """
     unit = F.col("n") if most is not None else F.lit(1)
-    rows = ranges.select("stream_id", "lo", "hi", unit.cast("long").alias("n"))
-    ordered = rows.groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "n"))).alias("r"))
-    kind = "struct<w:bigint,begin:bigint,n:bigint,out:array<struct<lo:bigint,hi:bigint,w:bigint>>>"
-    empty = F.expr(f"cast(struct(-1, 0, 0, array()) as {kind})")
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = (acc["w"] >= 0) & (x["hi"] - acc["begin"] + 1 <= span)
-        if most is not None:
-            fits = fits & (acc["n"] + x["n"] <= most)
-        w = F.when(fits, acc["w"]).otherwise(acc["w"] + 1)
-        row = F.struct(x["lo"].alias("lo"), x["hi"].alias("hi"), w.alias("w"))
-        return F.struct(w.alias("w"), F.when(fits, acc["begin"]).otherwise(x["lo"]).alias("begin"), F.when(fits, acc["n"] + x["n"]).otherwise(x["n"]).alias("n"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    return ordered.select("stream_id", F.explode(F.aggregate("r", empty, step, lambda a: a["out"])).alias("x")).select("stream_id", "x.lo", "x.hi", F.col("x.w").alias("window"))
+    return scan(ranges.select("stream_id", "lo", "hi", unit.cast("long").alias("n")), ["stream_id"], ["lo", "hi", "n"], fold, "lo long, hi long, window long")
 
 
 def expanded(ranges: DataFrame, segments: DataFrame, context: int) -> DataFrame:

@@ -7,12 +7,15 @@ the list a match came from and breaks every tie.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanloom.functions.scalars import UNNAMED, title_key, unknown_title
 from spanloom.operators.components import components
+from spanloom.operators.folds import scan
 from spanloom.operators.intervals import MATCH, overlap_pairs, timed
 
 #: Fixed value: the title of a range that no source names.
@@ -90,11 +93,16 @@ def risks(members: DataFrame, segments: DataFrame, *, soft_min: float = 150.0, s
     pairs = overlap_pairs(members)
     both = pairs.select("stream_id", F.col("a").alias("match_ord"), F.col("b").alias("o")).union(pairs.select("stream_id", F.col("b"), F.col("a")))
     crossed = both.join(names, ["stream_id", "o"]).join(m.select(*MATCH, "key"), MATCH).where("key <> okey").groupBy(*MATCH).agg(F.min("o").alias("stop"))
-    # Another match of the title lies apart by the gap between the hull that ends first and the one that starts last.
-    ends = m.select("stream_id", "key", F.col("match_ord").alias("o"), F.col("lo").alias("olo"), F.col("hi").alias("ohi"), F.col("lo_s").alias("olo_s"), F.col("hi_s").alias("ohi_s"))
-    apart = m.join(ends, ["stream_id", "key"]).join(crossed, MATCH, "left").where("o <> match_ord and (stop is null or o < stop) and greatest(lo, olo) > least(hi, ohi)")
-    far = F.when(F.col("lo") > F.col("ohi"), F.col("lo_s") - F.col("ohi_s")).otherwise(F.col("olo_s") - F.col("hi_s"))
-    distant = apart.withColumn("far", far).where(F.col("far") > gap).groupBy(*MATCH).agg(F.max("far").alias("far"))
+    # Another match of the title lies apart if it ends before the first or begins behind the last segment. Of those in
+    # list order before ``stop`` the one that ends first and the one that begins last lie farthest, as times grow with
+    # the index; running extremes up to that place tell them, and the match itself never qualifies.
+    both_kinds = F.explode(F.array(F.struct(F.lit(1).alias("kind"), F.col("match_ord").alias("place")), F.struct(F.lit(0).alias("kind"), F.coalesce("stop", F.lit(2**62)).alias("place"))))
+    placed = m.join(crossed, MATCH, "left").select("stream_id", "key", both_kinds.alias("k"), "match_ord", "lo", "hi", "lo_s", "hi_s").select("*", "k.kind", "k.place")
+    before = Window.partitionBy("stream_id", "key").orderBy("place", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    of = lambda *c: F.when(F.col("kind") == 1, F.struct(*c))
+    reach = placed.withColumn("early", F.min(of("hi", "hi_s")).over(before)).withColumn("late", F.max(of("lo", "lo_s")).over(before)).where("kind = 0")
+    far = F.greatest(F.when(F.col("early.hi") < F.col("lo"), F.col("lo_s") - F.col("early.hi_s")), F.when(F.col("late.lo") > F.col("hi"), F.col("late.lo_s") - F.col("hi_s")))
+    distant = reach.select(*MATCH, far.alias("far")).where(F.col("far") > gap)
 
     def unit(c: Column) -> Column:
         return F.least(F.lit(1.0), c)
@@ -126,7 +134,11 @@ def conflict_edges(members: DataFrame, suspicious: DataFrame, *, span: int = 500
     a = h.select("stream_id", F.col("match_ord").alias("a"), F.col("key").alias("ka"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"), F.col("s").alias("sa"))
     b = h.select("stream_id", F.col("match_ord").alias("b"), F.col("key").alias("kb"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"), F.col("s").alias("sb"))
     shared = overlap_pairs(members).join(a.select("stream_id", "a", "ka"), ["stream_id", "a"]).join(b.select("stream_id", "b", "kb"), ["stream_id", "b"]).where("ka <> kb").select("stream_id", "a", "b")
-    same = a.where("sa").join(b.where("sb").withColumnRenamed("kb", "ka"), ["stream_id", "ka"]).where("a < b").where(F.greatest("ahi", "bhi") - F.least("alo", "blo") + 1 <= max(1, span)).select("stream_id", "a", "b")
+    # two hulls within span segments begin in the same block of that many, or in neighbouring ones
+    wide = max(1, span)
+    own = a.where("sa").withColumn("g", F.floor(F.col("alo") / wide))
+    other = b.where("sb").withColumnRenamed("kb", "ka").withColumn("g", F.explode(F.array(*(F.floor(F.col("blo") / wide) + i for i in (-1, 0, 1)))))
+    same = own.join(other, ["stream_id", "ka", "g"]).where("a < b").where(F.greatest("ahi", "bhi") - F.least("alo", "blo") + 1 <= wide).select("stream_id", "a", "b")
     edges = shared.union(same)
     if nearby >= 0:  # hulls dealt to blocks of span segments, widened by the allowed distance
         block = max(1, span)
@@ -152,20 +164,25 @@ def clusters(edges: DataFrame, suspicious: DataFrame, max_rounds: int = 50) -> D
 
 
 def containing(outer: DataFrame, inner: DataFrame) -> DataFrame:
-    """(outer, inner) of keys of which the first contains the second; they meet by the first three characters of the second."""
-    places = F.sequence(F.lit(1), F.greatest(F.length("key"), F.lit(1)))
-    of_length = lambda n: F.transform(places, lambda i: F.substring("key", i, F.lit(n)))
-    grams = F.array_distinct(F.concat(F.array(F.lit("")), of_length(1), of_length(2), of_length(3)))
-    a = outer.select(F.col("key").alias("outer"), F.explode(grams).alias("gram"))
-    b = inner.select(F.col("key").alias("inner"), F.left("key", F.lit(3)).alias("gram"))
-    return a.join(b, "gram").where(F.contains("outer", "inner")).select("outer", "inner")
+    """(outer, inner) of distinct keys of which the first contains the second; empty ones are in none.
+
+    They meet by three characters of the second (all, if it has fewer): those that
+    the fewest of the first have, so that a common beginning brings no crowd together.
+    """
+    places = F.sequence(F.lit(1), F.length("key"))
+    of_length = lambda n: F.filter(F.transform(places, lambda i: F.substring("key", i, F.lit(n))), lambda g: F.length(g) == n)
+    some = outer.where("key <> ''").select(F.col("key").alias("outer"), F.explode(F.array_distinct(F.concat(of_length(1), of_length(2), of_length(3)))).alias("gram"))
+    own = inner.where("key <> ''").select(F.col("key").alias("inner"), F.explode(F.array_distinct(F.when(F.length("key") < 3, F.array("key")).otherwise(of_length(3)))).alias("gram"))
+    rare = own.join(some.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left").groupBy("inner").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+    met = some.join(rare.where("r.n > 0").select("inner", F.col("r.gram").alias("gram")), "gram")
+    return met.where(F.contains("outer", "inner")).select("outer", "inner")
 
 
 def select_best(members: DataFrame, cluster: DataFrame, segments: DataFrame, searched: DataFrame, cap_s: float) -> DataFrame:
     """Greedy choice of matches that share no segment within each cluster, best evidence first: (stream_id, match_ord, cluster, action).
 
     searched has the column title: texts with search evidence. A fold over the
-    cluster's matches in order of evidence keeps the union of the chosen sets.
+    cluster's matches in order of evidence carries the segments taken so far.
     """
     keys, known = (df.select(title_key(F.col("title")).alias("key")).distinct() for df in (members, searched))
     seen = containing(keys, known).select(F.col("outer").alias("key")).union(containing(known, keys).select("inner")).distinct().withColumn("seen", F.lit(True))
@@ -176,16 +193,20 @@ def select_best(members: DataFrame, cluster: DataFrame, segments: DataFrame, sea
     over = F.when(F.lit(cap_s) > 0, F.least(F.lit(0.0), cap_s - d)).otherwise(0.0)
     rank = F.struct(found.cast("int").alias("found"), (~F.startswith(F.trim("title"), F.lit(UNNAMED))).cast("int").alias("named"), "confidence", (F.lit(cap_s <= 0) | (d <= cap_s)).cast("int").alias("fits"), over.alias("over"), (-order).alias("place"))
     ids = members.groupBy(*MATCH).agg(F.collect_set("idx").alias("ids"))
-    items = h.withColumn("rank", rank).join(ids, MATCH).groupBy("stream_id", "cluster").agg(F.sort_array(F.collect_list(F.struct("rank", "match_ord", "ids")), asc=False).alias("items"))
-    empty = F.expr("cast(struct(array(), array()) as struct<used:array<bigint>,out:array<struct<match_ord:bigint,keep:boolean>>>)")
-
-    def step(acc: Column, x: Column) -> Column:
-        keep = ~F.arrays_overlap(acc["used"], x["ids"])
-        row = F.struct(x["match_ord"].alias("match_ord"), keep.alias("keep"))
-        return F.struct(F.when(keep, F.concat(acc["used"], x["ids"])).otherwise(acc["used"]).alias("used"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    out = items.select("stream_id", "cluster", F.explode(F.aggregate("items", empty, step, lambda a: a["out"])).alias("x"))
-    return out.select("stream_id", F.col("x.match_ord").alias("match_ord"), "cluster", F.when(F.col("x.keep"), "keep").otherwise("discard").alias("action"))
+    rows = h.withColumn("rank", rank).join(ids, MATCH).select("stream_id", "cluster", "match_ord", "ids", *(f"rank.{c}" for c in ("found", "named", "confidence", "fits", "over", "place")))
+    # ascending order of what is negated is the order of evidence
+    by = [(-F.col(c)).alias(c) for c in ("found", "named", "confidence", "fits", "over", "place")]
+
+    def fold(group: Iterator[tuple]) -> Iterator[tuple]:
+        used: set[int] = set()
+        for match_ord, own, *_ in group:
+            keep = used.isdisjoint(own)
+            if keep:
+                used.update(own)
+            yield match_ord, "keep" if keep else "discard"
+
+    out = scan(rows.select("stream_id", "cluster", "match_ord", "ids", *by), ["stream_id", "cluster"], ["found", "named", "confidence", "fits", "over", "place"], fold, "match_ord long, action string")
+    return out.select("stream_id", "match_ord", "cluster", "action")
 
 
 def best_overlap(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any, NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanloom.operators import coverage as cv, intervals as iv, matches as mt
+from spanloom.operators.folds import scan
 from spanloom.operators.intervals import MATCH
 from spanloom.sources.checkpoints import cut
 
@@ -160,23 +162,24 @@ def words_to_segments(words: DataFrame, *, gap_s: float, cap_s: float) -> DataFr
     """Segments of words (stream_id, word_idx, start_s, end_s, word): cut at gaps above gap_s and before growing longer than cap_s.
 
     Words without times or text drop out. The cap depends on where a segment
-    began, so it is a fold, inside the stretches that gaps leave.
+    began, so it is a fold, which carries the open segment on.
     """
-    good = words.where("start_s is not null and end_s is not null and trim(word) <> ''")
-    order = Window.partitionBy("stream_id").orderBy("word_idx")
-    cut = F.when(F.col("start_s") - F.lag("end_s").over(order) > gap_s, 1).otherwise(0)
-    rows = good.withColumn("cut", cut).withColumn("part", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    items = rows.groupBy("stream_id", "part").agg(F.sort_array(F.collect_list(F.struct("word_idx", "start_s", "end_s", "word"))).alias("w"))
-    kind = "array<struct<start_s:double,end_s:double,text:string>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (x["end_s"] - last["start_s"] <= cap_s)
-        grown = F.struct(last["start_s"].alias("start_s"), x["end_s"].alias("end_s"), F.concat(last["text"], x["word"]).alias("text"))
-        new = F.struct(x["start_s"].alias("start_s"), x["end_s"].alias("end_s"), x["word"].alias("text"))
-        return F.when(joins, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(new)))
-
-    out = items.select("stream_id", F.explode(F.aggregate("w", F.array().cast(kind), step)).alias("x")).select("stream_id", "x.*")
+
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        start, before, said = None, None, []
+        for _, begin, end, word in rows:
+            if said and (begin - before > gap_s or end - start > cap_s):
+                yield start, before, "".join(said)
+                said = []
+            if not said:
+                start = begin
+            before = end
+            said.append(word)
+        if said:
+            yield start, before, "".join(said)
+
+    good = words.where("start_s is not null and end_s is not null and trim(word) <> ''").select("stream_id", "word_idx", "start_s", "end_s", "word")
+    out = scan(good, ["stream_id"], ["word_idx", "start_s", "end_s", "word"], fold, "start_s double, end_s double, text string")
     n = F.row_number().over(Window.partitionBy("stream_id").orderBy("start_s", "end_s")) - 1
     return out.select("stream_id", n.cast("long").alias("idx"), "start_s", "end_s", "text")
 

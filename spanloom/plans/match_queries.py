@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.operators import intervals as iv, matches as mt
-from spanloom.plans.inputs import members, segments, with_inputs
+from spanloom.operators import evaluation as ev, intervals as iv, matches as mt
+from spanloom.plans.inputs import members, segments, usage, with_inputs
 
 _E = ("segments", "members")
 GAP, SOFT_MIN, SOFT_MAX, RISK_GAP = 86400.0, 86400.0, 432000.0, 43200.0
@@ -84,22 +84,33 @@ def q_evaluate(spark, d):
     return mt.evaluate(_islands(spark, d, GAP), members(spark, d))
 
 
+def _profile(spark, d, rows, usage_rows):
+    """A profile's metrics against the confident matches; two titles are watched and looked for."""
+    titles = spark.createDataFrame([("click",), ("view",)], "title string")
+    estimates = segments(spark, d).select("stream_id").distinct().select("stream_id", (F.col("stream_id") % 5 / 1000.0).alias("estimated_usd"))
+    return ev.profile_metrics(rows, segments(spark, d), ev.weak_truth(members(spark, d)), usage_rows, estimates=estimates, protected=titles, watched=titles)
+
+
+def _candidate(spark, d):
+    """Parts of matches; in every third stream those of one title come twice."""
+    isl = _islands(spark, d, GAP)
+    return isl.union(isl.where("stream_id % 3 = 0 and title = 'view'").withColumn("match_ord", F.col("match_ord") + 500))
+
+
+def q_metrics(spark, d):
+    return _profile(spark, d, _candidate(spark, d), usage(spark, d).where("content_type = 'song'"))
+
+
 def q_gates(spark, d):
-    """Each stream's candidate profile against its baseline: the acceptance gates."""
-    m, isl = members(spark, d), _islands(spark, d, GAP)
-    e = mt.evaluate(isl, m).join(mt.heads(m).groupBy("stream_id").agg(F.count("*").alias("baseline_matches")), "stream_id")
-    gates = {
-        "gate_precision": F.coalesce(F.col("precision") >= 0.8, F.lit(False)), "gate_recall": F.coalesce(F.col("recall") >= 0.9, F.lit(False)),
-        "gate_hits": F.col("hits") == F.col("anchors"), "gate_counts": F.col("matches") <= F.col("baseline_matches") * 1.1,
-    }
-    out = e.select("stream_id", *(c.alias(k) for k, c in gates.items()))
-    return out.withColumn("accepted", F.expr(" and ".join(gates)))
+    """Each stream's candidate profile against its baseline: the seven acceptance gates."""
+    base = _profile(spark, d, members(spark, d), usage(spark, d))
+    return ev.gates(q_metrics(spark, d), base)
 
 
 QUERIES = {
     "c4_merge_same_title": q_same_title, "c5_merge_neighbours": q_same_title_neighbours, "u2_drop_duplicates": q_duplicates, "a1_measures": q_measures, "c10_risks": q_risks,
     "c12_conflict_edges": q_edges, "c12_clusters": q_clusters, "c13_select_best": q_select, "j10_best_overlap": q_best_overlap, "c23_restore_titles": q_restore,
-    "c22_split_at_sources": q_split_sources, "a7_evaluate": q_evaluate, "a9_gates": q_gates,
+    "c22_split_at_sources": q_split_sources, "a7_evaluate": q_evaluate, "a7_profile_metrics": q_metrics, "a9_gates": q_gates,
 }
 
 _HEADS = "SELECT stream_id, match_ord, any_value(title) AS title, any_value(confidence) AS confidence, min(idx) AS lo, max(idx) AS hi, count(DISTINCT idx) AS n FROM {} GROUP BY stream_id, match_ord"
@@ -172,6 +183,22 @@ ev AS (SELECT stream_id, matches, coalesce(anchors, 0) AS anchors, coalesce(hits
   CASE WHEN true_segments + extra_segments > 0 THEN true_segments / (true_segments + extra_segments) END AS precision, CASE WHEN true_segments + missed_segments > 0 THEN true_segments / (true_segments + missed_segments) END AS recall
   FROM counts LEFT JOIN found USING (stream_id) LEFT JOIN pairs USING (stream_id) LEFT JOIN cover USING (stream_id))"""
 
+_METRICS = f"""{_ISL}, cand AS (SELECT * FROM isl UNION ALL SELECT stream_id, match_ord + 500, title, confidence, idx FROM isl WHERE stream_id % 3 = 0 AND title = 'view'), anchors AS (SELECT * FROM members WHERE confidence >= 0.6), ah AS ({_HEADS.format('anchors')}), {_best_sql('anchors', 'cand', 'best')},
+st AS (SELECT DISTINCT stream_id FROM segments), ch AS ({_HEADS.format('cand')}), cs AS (SELECT stream_id, match_ord, lower(trim(any_value(title))) AS key, list_sort(list_distinct(list(idx))) AS ids FROM cand GROUP BY ALL), p1 AS (SELECT stream_id, count(*) AS matches FROM ch GROUP BY ALL),
+p2 AS (SELECT stream_id, sum(n - 1)::BIGINT AS dup FROM (SELECT stream_id, key, ids, count(*) AS n FROM cs GROUP BY ALL) GROUP BY ALL),
+pr AS (SELECT DISTINCT a.stream_id, a.match_ord AS x, b.match_ord AS y, lower(trim(a.title)) = lower(trim(b.title)) AS same FROM cand a JOIN cand b ON a.stream_id = b.stream_id AND a.idx = b.idx AND a.match_ord < b.match_ord), p3 AS (SELECT stream_id, count(*) FILTER (NOT same) AS diff, count(*) FILTER (same) AS same FROM pr GROUP BY ALL),
+p4 AS (SELECT ah.stream_id, count(*) AS anchors, count(*) FILTER (coalesce(shared, 0) >= 0.5 * ah.n) AS hits, count(*) FILTER (coalesce(shared, 0) >= 0.5 * ah.n AND lower(trim(title)) = lower(trim(o_title))) AS agreed FROM ah LEFT JOIN best b ON b.stream_id = ah.stream_id AND b.match_ord = ah.match_ord GROUP BY ALL),
+mt AS (SELECT DISTINCT a.stream_id, a.match_ord AS anchor, lower(trim(a.title)) AS akey, c.match_ord FROM anchors a JOIN cand c ON a.stream_id = c.stream_id AND a.idx = c.idx), p5 AS (SELECT stream_id, count(*) FILTER (n > 1) AS frag FROM (SELECT stream_id, anchor, count(*) AS n FROM mt GROUP BY ALL) GROUP BY ALL),
+p6 AS (SELECT stream_id, count(*) FILTER (n > 1) AS coal, count(*) FILTER (t > 1) AS mixed FROM (SELECT stream_id, match_ord, count(*) AS n, count(DISTINCT akey) AS t FROM mt GROUP BY ALL) GROUP BY ALL),
+l AS (SELECT DISTINCT stream_id, idx, 1 AS l FROM cand), r AS (SELECT DISTINCT stream_id, idx, 1 AS r FROM anchors), p7 AS (SELECT stream_id, count(*) FILTER (l = 1 AND r = 1) AS bo, count(*) FILTER (r IS NULL) AS ol, count(*) FILTER (l IS NULL) AS onr FROM l FULL JOIN r USING (stream_id, idx) GROUP BY ALL),
+du AS (SELECT h.stream_id, h.title, greatest(0, b.end_s - a.start_s) AS d FROM ch h JOIN segments a ON a.stream_id = h.stream_id AND a.idx = h.lo JOIN segments b ON b.stream_id = h.stream_id AND b.idx = h.hi), p8 AS (SELECT stream_id, count(*) FILTER (d < 150 OR d > 360) AS outl, count(*) FILTER (d > 360 AND title IN ('click', 'view')) AS regr, count(DISTINCT title) FILTER (title IN ('click', 'view')) AS prot FROM du GROUP BY ALL),
+us AS (SELECT stream_id, sum(hit)::BIGINT AS hit, sum(miss)::BIGINT AS miss, sum(completion)::BIGINT AS comp FROM usage WHERE content_type = 'song' GROUP BY ALL), ub AS (SELECT stream_id, (sum(hit) * 0.0028::DOUBLE + sum(miss) * 0.14::DOUBLE + sum(completion) * 0.28::DOUBLE) / 1e6 AS base FROM usage GROUP BY ALL), pbase AS (SELECT stream_id, coalesce(base, 0) AS base FROM st LEFT JOIN ub USING (stream_id)),
+pm0 AS (SELECT stream_id, coalesce(matches, 0) AS matches, 0::BIGINT AS unknown_titles, coalesce(dup, 0) AS exact_duplicates, coalesce(diff, 0) AS different_title_overlaps, coalesce(same, 0) AS same_title_overlaps, coalesce(anchors, 0) AS anchors, coalesce(hits, 0) AS anchor_hits, coalesce(agreed, 0) AS title_agreements, coalesce(frag, 0) AS fragmented_anchors,
+  coalesce(coal, 0) AS coalesced_anchors, coalesce(mixed, 0) AS mixed_title_coalesced, coalesce(outl, 0) AS duration_outliers, coalesce(regr, 0) AS overlong_regressions, coalesce(prot, 0) AS protected_found, coalesce(matches, 0) AS known_titles, CASE WHEN anchors > 0 THEN hits / anchors END AS anchor_recall,
+  CASE WHEN bo + ol > 0 THEN bo / (bo + ol) END AS coverage_precision, CASE WHEN bo + onr > 0 THEN bo / (bo + onr) END AS coverage_recall, CASE WHEN hit + miss > 0 THEN hit / (hit + miss) END AS cache_hit_ratio, coalesce((hit * 0.0028::DOUBLE + miss * 0.14::DOUBLE + comp * 0.28::DOUBLE) / 1e6, 0) AS cost_usd, (stream_id % 5) / 1000.0::DOUBLE AS estimated_usd
+  FROM st LEFT JOIN p1 USING (stream_id) LEFT JOIN p2 USING (stream_id) LEFT JOIN p3 USING (stream_id) LEFT JOIN p4 USING (stream_id) LEFT JOIN p5 USING (stream_id) LEFT JOIN p6 USING (stream_id) LEFT JOIN p7 USING (stream_id) LEFT JOIN p8 USING (stream_id) LEFT JOIN us USING (stream_id)),
+pm AS (SELECT *, CASE WHEN estimated_usd > 0 THEN abs(cost_usd - estimated_usd) / estimated_usd END AS estimate_error, CASE WHEN estimated_usd > 0 THEN abs(cost_usd - estimated_usd) / estimated_usd <= 0.15 END AS estimate_valid FROM pm0)"""
+
 SQL = {
     "c4_merge_same_title": with_inputs(*_E, more=_merge_sql(False), body=_HEADS.format("merged")),
     "c5_merge_neighbours": with_inputs(*_E, more=_merge_sql(True), body=_HEADS.format("merged")),
@@ -196,5 +223,8 @@ ok AS (SELECT stream_id, match_ord FROM sup GROUP BY ALL HAVING count(*) >= 2 AN
 cut AS (SELECT *, (shi + nxt) // 2 AS e FROM sup SEMI JOIN ok USING (stream_id, match_ord)),
 p AS (SELECT c.stream_id, c.match_ord, k AS part, greatest(lo, coalesce(lag(e) OVER (PARTITION BY c.stream_id, c.match_ord ORDER BY k) + 1, lo)) AS lo, least(hi, coalesce(e, hi)) AS hi FROM cut c JOIN t ON t.stream_id = c.stream_id AND t.match_ord = c.match_ord)""", body="SELECT * FROM p WHERE lo <= hi UNION ALL SELECT stream_id, match_ord, 1, lo, hi FROM t ANTI JOIN ok USING (stream_id, match_ord)"),
     "a7_evaluate": with_inputs(*_E, more=_EVAL, body="SELECT * FROM ev"),
-    "a9_gates": with_inputs(*_E, more=_EVAL + ", base AS (SELECT stream_id, count(DISTINCT match_ord) AS b FROM members GROUP BY ALL)", body="SELECT stream_id, coalesce(precision >= 0.8, false) AS gate_precision, coalesce(recall >= 0.9, false) AS gate_recall, hits = anchors AS gate_hits, matches <= b * 1.1 AS gate_counts, coalesce(precision >= 0.8, false) AND coalesce(recall >= 0.9, false) AND hits = anchors AND matches <= b * 1.1 AS accepted FROM ev JOIN base USING (stream_id)"),
+    "a7_profile_metrics": with_inputs(*_E, "usage", more=_METRICS, body="SELECT * FROM pm"),
+    "a9_gates": with_inputs(*_E, "usage", more=_METRICS, body="""SELECT stream_id, base > 0 AND cost_usd <= base * 0.9 AS cost_at_most_90_percent_of_accuracy, coalesce(coverage_precision >= 0.8, false) AS temporal_coverage_precision_at_least_80_percent, coalesce(coverage_recall >= 0.9, false) AS temporal_coverage_recall_at_least_90_percent,
+overlong_regressions = 0 AS no_fixture_overlong_regressions, exact_duplicates = 0 AS no_exact_duplicates, different_title_overlaps = 0 AS no_different_title_overlap, same_title_overlaps = 0 AS no_same_title_overlap,
+base > 0 AND cost_usd <= base * 0.9 AND coalesce(coverage_precision >= 0.8, false) AND coalesce(coverage_recall >= 0.9, false) AND overlong_regressions = 0 AND exact_duplicates = 0 AND different_title_overlaps = 0 AND same_title_overlaps = 0 AS passes_all_gates FROM pm JOIN pbase USING (stream_id)"""),
 }

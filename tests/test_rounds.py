@@ -1,10 +1,12 @@
 """The three-round run, normalisation by both rules, boundary risk, page titles and search verification, on small made streams."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions.scalars import page_title
-from spanloom.operators import naming as nm, rounds as rd, stages as st
+from spanloom.operators import clips, intervals as iv, matches as mt, naming as nm, rounds as rd, stages as st
 
 SEG = "stream_id long, idx long, start_s double, end_s double, text string"
 MEM = "stream_id long, match_ord long, title string, confidence double, idx long"
@@ -125,3 +127,83 @@ def test_search_verification(spark):
     assert set(told) == {0, 2, 3} and told[0].candidates == 3 and told[2].candidates == 1 and told[3].reason == "no_items"
     assert {r.match_ord for r in nm.search_verification(matches, members, segments, results, most=1)[1].collect()} == {0}
     assert {r.match_ord for r in nm.search_verification(matches, members, segments, results, unknown_only=False)[1].collect()} == {0, 1, 2, 3}
+
+
+def plain_packed(ranges, span, most=None):
+    out, window, begin, units = [], -1, 0, 0
+    for lo, hi, n in sorted(ranges):
+        if window >= 0 and hi - begin + 1 <= span and (most is None or units + n <= most):
+            units += n
+        else:
+            window, begin, units = window + 1, lo, n
+        out.append((lo, hi, window))
+    return out
+
+
+def plain_merged(parts, gap, cap):
+    out = []
+    for p in sorted(parts, key=lambda p: (p["start_s"], p["match_ord"], p["part"])):
+        last = out[-1] if out else None
+        if last and ((p["lo"] <= last["hi"] and p["hi"] >= last["lo"]) or (p["start_s"] - last["end_s"] <= gap and p["title"] == last["title"])) and (cap <= 0 or max(last["end_s"], p["end_s"]) - min(last["start_s"], p["start_s"]) <= cap):
+            last |= {"end_s": max(last["end_s"], p["end_s"]), "lo": min(last["lo"], p["lo"]), "hi": max(last["hi"], p["hi"]), "confidence": max(last["confidence"], p["confidence"]), "transcript": last["transcript"] + " " + p["transcript"]}
+            last["title"] = p["title"] if len(p["title"]) > len(last["title"]) else last["title"]
+        else:
+            out.append(dict(p))
+    return out
+
+
+def test_folds_against_plain_ones(spark):
+    rnd = random.Random(6)
+    parts = [dict(stream_id=s, match_ord=o, part=o % 2, start_s=float(a), end_s=float(a + rnd.randint(0, 30)), lo=a // 5, hi=a // 5 + rnd.randint(0, 6), title=rnd.choice(("a", "bb", "ccc")), confidence=rnd.random(), transcript=f"t{o}")
+             for s in (1, 2, 3) for o, a in enumerate(rnd.choices(range(300), k=80))]
+    df = spark.createDataFrame(parts, "stream_id long, match_ord long, part long, start_s double, end_s double, lo long, hi long, title string, confidence double, transcript string")
+    for gap, cap in ((0.0, 0.0), (10.0, 60.0), (40.0, 25.0)):
+        got = sorted((r.asDict() for r in clips.merge_adjacent(df, gap, cap).collect()), key=lambda r: (r["stream_id"], r["start_s"], r["match_ord"], r["part"]))
+        assert got == [m for s in (1, 2, 3) for m in plain_merged([p for p in parts if p["stream_id"] == s], gap, cap)]
+    ranges = [(s, lo, lo + rnd.randint(0, 9), rnd.randint(1, 4)) for s in (1, 2) for lo in rnd.sample(range(500), 60)]
+    for span, most in ((20, None), (30, 5), (1, None)):
+        got = sorted(tuple(r) for r in iv.packed(spark.createDataFrame(ranges, "stream_id long, lo long, hi long, n long"), span, most).collect())
+        assert got == sorted((s, *r) for s in (1, 2) for r in plain_packed([x[1:] for x in ranges if x[0] == s], span, most))
+
+
+def test_a_million_segments_without_a_silence(spark):
+    """One stream, no gap anywhere: the folds see row by row, and what they give is as long as it must be."""
+    n = 1_000_000
+    rows = spark.range(n).withColumnRenamed("id", "k")
+    words = rows.select(F.lit(1).cast("long").alias("stream_id"), F.col("k").alias("word_idx"), (F.col("k") * 0.5).alias("start_s"), (F.col("k") * 0.5 + 0.5).alias("end_s"), F.lit("w").alias("word"))
+    seen = st.words_to_segments(words, gap_s=1.0, cap_s=10.0).agg(F.count("*"), F.min(F.length("text")), F.max(F.length("text"))).first()
+    assert tuple(seen) == (n // 20, 20, 20)
+    parts = rows.select(F.lit(1).cast("long").alias("stream_id"), F.col("k").alias("match_ord"), F.lit(0).cast("long").alias("part"), (F.col("k") * 2.0).alias("start_s"), (F.col("k") * 2.0 + 1.5).alias("end_s"), F.col("k").alias("lo"), F.col("k").alias("hi"), F.lit("same").alias("title"), F.lit(0.5).alias("confidence"), F.lit("x").alias("transcript"))
+    seen = clips.merge_adjacent(parts, 1.0, 360.0).agg(F.count("*"), F.max(F.col("end_s") - F.col("start_s"))).first()
+    assert seen[1] <= 360.0 and seen[0] == -(-n // 180)
+    assert iv.packed(parts.select("stream_id", "lo", "hi"), 50).agg(F.max("window")).first()[0] == n // 50 - 1
+
+
+def test_a_hot_title(spark):
+    """A title of 100,000 matches in one stream: risks, conflicts and containment without pairs of all of them."""
+    n = 100_000
+    k = F.col("id")
+    segments = spark.range(2 * n).select(F.lit(1).cast("long").alias("stream_id"), k.alias("idx"), (k * 5.0).alias("start_s"), (k * 5.0 + 4.0).alias("end_s"), F.lit("t").alias("text"))
+    members = spark.range(n).select(F.lit(1).cast("long").alias("stream_id"), k.alias("match_ord"), F.lit("hot").alias("title"), F.lit(0.2).alias("confidence"), F.explode(F.array(k * 2, k * 2 + 1)).alias("idx"))
+    far = mt.risks(members, segments, soft_min=1.0, soft_max=20.0, gap=20.0).groupBy().agg(F.count("*"), F.min("overlap"), F.count_if(F.array_contains("reasons", "distant_same_title"))).first()
+    assert tuple(far) == (n, 1.0, n)
+    edges = mt.conflict_edges(members, mt.heads(members), span=4)
+    assert edges.count() == n - 1
+    titles = spark.range(n).select(F.concat(F.lit("unknown: "), k).alias("key"))
+    assert mt.containing(titles, spark.createDataFrame([("known: 77",), ("",), ("zz",), ("7",)], "key string")).groupBy("inner").count().count() == 2
+
+
+def test_risk_distances_against_all_pairs(spark):
+    rnd = random.Random(8)
+    for _ in range(3):
+        n = 60
+        segments = spark.createDataFrame(stream(1, n, step=30.0), SEG)
+        spans = [(o, rnd.choice("ab"), lo, min(n - 1, lo + rnd.randint(0, 5))) for o, lo in enumerate(rnd.choices(range(n), k=25))]
+        members = spark.createDataFrame([(1, o, t, 0.9, i) for o, t, lo, hi in spans for i in range(lo, hi + 1)], MEM)
+        want = {}
+        for o, t, lo, hi in spans:
+            stop = min((p for p, u, l2, h2 in spans if u != t and l2 <= hi and h2 >= lo), default=10**9)
+            far = [(lo * 30.0 - (h2 * 30.0 + 10.0)) if lo > h2 else (l2 * 30.0 - (hi * 30.0 + 10.0)) for p, u, l2, h2 in spans if u == t and p != o and p < stop and max(lo, l2) > min(hi, h2)]
+            want[o] = max((f for f in far if f > 20.0), default=None) is not None
+        got = {r.match_ord: "distant_same_title" in r.reasons for r in mt.risks(members, segments).collect()}
+        assert got == want
