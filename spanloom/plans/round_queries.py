@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.operators import protocol as pr, rounds as rd
+from spanloom.functions.scalars import HAN_HEAD, HAN_TAIL, PAGE_TAILS, SITE_TAILS, page_title
+from spanloom.operators import matches as mt, naming as nm, protocol as pr, rounds as rd, stages as st
 from spanloom.plans import match_queries as mq, protocol_queries as pq, stage_queries as sq
-from spanloom.plans.inputs import segments, with_inputs
+from spanloom.plans.inputs import members, segments, table, with_inputs
 from spanloom.sources.checkpoints import cut
 
 _E = ("segments", "members")
@@ -51,7 +52,67 @@ def q_matches(spark, d):
     return _run(spark, d).matches.drop("snippet")
 
 
-QUERIES = {"v10_three_rounds": q_rounds, "v10_matches": q_matches}
+def _repair(spark, d, **more):
+    return st.boundary_risk(members(spark, d).where("title <> 'view' or match_ord % 2 = 0"), segments(spark, d), gap_s=mq.GAP, cap_s=mq.SOFT_MAX / 2, risk=RULES.risk, **more)
+
+
+def q_boundary_risk(spark, d):
+    return _repair(spark, d).records.select("stream_id", "match_ord", "title", "score", "action")
+
+
+def q_boundary_events(spark, d):
+    return _repair(spark, d).events
+
+
+def q_chorus(spark, d):
+    """Matches of a stream's day, kept whole over a gap beside which the events are of one kind."""
+    rows = members(spark, d).groupBy("stream_id", F.floor(F.col("idx") / 20).alias("match_ord"), "idx").agg(F.lit("day").alias("title"), F.lit(0.5).alias("confidence"))
+    return mt.heads(st.normalise(rows, segments(spark, d), gap_s=43200.0, cap_s=0.0, chorus=st.Chorus(mq.GAP, 0.3, 1))[0])
+
+
+#: What web sites make of a title, one for each rule.
+WEB_FORMS = (
+    "{} (Official Video)", "{} - lyrics", "{} MV HD", "{} With Pinyin By Me", "你好{} 歌詞 x", "你好{} The Good Day", "Ni Hao 你好{}", "{} The Good Day", "{} | TikTok", "{} - Shazam", "{} - Spotify", "{} - YouTube", "{} - KKBOX", "{} | Genius", "{} - AZLyrics.com",
+    "{} - JustSomeLyrics", "{} - hymnal.net", "{} Song Lyrics, Music Videos & Concerts", "{} Music Videos & Concerts", "{} arranged by Me", "{} (book)", "  {}   ok ", "{} (LIVE) | YouTube",
+)
+
+
+def q_page_titles(spark, d):
+    parts = table(spark, d, "part")
+    form = F.element_at(F.array(*map(F.lit, WEB_FORMS)), (F.col("p_partkey") % len(WEB_FORMS) + 1).cast("int"))
+    raw = F.replace(form, F.lit("{}"), F.col("p_name"))
+    return parts.select("p_partkey", page_title(raw).alias("title"))
+
+
+def _looked_up(spark, d):
+    """Matches named after benchmark texts, every third known already; what a search finds for each, and hints for some."""
+    b = table(spark, d, "benchmark").withColumn("i", F.col("item_id"))
+    title = F.when(F.col("i") % 3 == 0, F.concat(F.lit("Known "), "i")).otherwise(F.concat(F.lit("未知歌曲："), "i"))
+    matches = b.select(F.floor(F.col("i") / 10).alias("stream_id"), F.col("i").alias("match_ord"), title.alias("title"), F.lit("").alias("artist"), F.lit("x").alias("tags"), F.col("text").alias("snippet"), F.lit("").alias("description"))
+    some = b.select(F.left("text", F.lit(100)).alias("query"), "i", "text", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("rank"))
+    name = F.when((F.col("i") + F.col("rank")) % 5 == 0, " ").otherwise(F.concat(F.lit("T"), "i", F.lit("."), "rank", F.lit(" - YouTube")))
+    said = F.when((F.col("i") + F.col("rank")) % 4 == 0, F.col("text")).otherwise(F.lit("zzz qqq"))
+    hints = F.when(F.col("i") % 8 == 1, F.array(F.lit(" "), F.col("text")))
+    return matches, some.select("query", "rank", name.alias("title"), F.when(F.col("i") % 2 == 0, "Someone").alias("artist"), said.alias("snippet"), hints.alias("hints"))
+
+
+def _searched(spark, d):
+    matches, results = _looked_up(spark, d)
+    nothing = members(spark, d).where("false")
+    return nm.search_verification(matches, nothing, segments(spark, d), results, most=4)
+
+
+def q_search_matches(spark, d):
+    return _searched(spark, d)[0].select("stream_id", "match_ord", "title", "artist", "tags")
+
+
+def q_search_audit(spark, d):
+    return _searched(spark, d)[1].drop("query")
+
+
+QUERIES = {
+    "v10_three_rounds": q_rounds, "v10_matches": q_matches, "c11_boundary_risk": q_boundary_risk, "c11_events": q_boundary_events, "c7_chorus": q_chorus, "f22_page_titles": q_page_titles, "c25_search_matches": q_search_matches, "c25_search_audit": q_search_audit,
+}
 
 _V = pq._DISC + """, st AS (SELECT DISTINCT stream_id FROM segments), v_de AS (SELECT st.stream_id, CASE WHEN st.stream_id % 7 = 0 THEN 'discovery_incomplete' WHEN st.stream_id % 3 > 0 AND k.stream_id IS NULL THEN 'discovery_without_ranges' END AS e FROM st LEFT JOIN (SELECT DISTINCT stream_id FROM disc) k ON k.stream_id = st.stream_id),
 v_go AS (SELECT stream_id FROM v_de WHERE e IS NULL), v_first AS (SELECT stream_id, id, 'precision_discovery' AS source, anchor, 0.8::DOUBLE AS confidence, unnest(ranges) AS r FROM disc SEMI JOIN v_go USING (stream_id)),
@@ -78,7 +139,37 @@ v_mem AS (SELECT DISTINCT stream_id, dec AS match_ord, '未知歌曲：' || coal
 _COUNT = "(SELECT stream_id, count(DISTINCT {}) AS n FROM {} GROUP BY ALL)"
 _REVIEW = ", v_nm AS (SELECT stream_id, match_ord, title, confidence, idx FROM norm), " + mq._RISKS.replace("FROM members", "FROM v_nm").replace("JOIN members", "JOIN v_nm") + ", v_rv AS (SELECT stream_id, match_ord FROM scored WHERE short OR long OR far IS NOT NULL OR boundary >= 0.75 OR score >= 0.55 OR overlap > 0)"
 
+_BR = "fewer AS (SELECT * FROM members WHERE title <> 'view' OR match_ord % 2 = 0), " + sq._norm(mq.SOFT_MAX / 2, "fewer") + ", v_nm AS (SELECT stream_id, match_ord, title, confidence, idx FROM norm)"
+_EVENTS = _BR + """, b_r AS (SELECT stream_id, match_ord, any_value(title) AS title, string_agg(lo || '-' || hi, ',' ORDER BY lo) AS before FROM (SELECT stream_id, match_ord, any_value(title) AS title, min(idx) AS lo, max(idx) AS hi FROM (SELECT *, idx - row_number() OVER (PARTITION BY stream_id, match_ord ORDER BY idx) AS run FROM fewer) GROUP BY stream_id, match_ord, run) GROUP BY ALL),
+b_q AS (SELECT stream_id, match_ord, part, string_agg(lo || '-' || hi, ',' ORDER BY lo) AS ranges FROM (SELECT stream_id, match_ord, part, min(idx) AS lo, max(idx) AS hi FROM (SELECT *, idx - row_number() OVER (PARTITION BY stream_id, match_ord, part ORDER BY idx) AS run FROM n_p) GROUP BY stream_id, match_ord, part, run) GROUP BY ALL),
+b_s AS (SELECT stream_id, match_ord, string_agg(ranges, ';' ORDER BY part) AS ranges FROM b_q GROUP BY ALL HAVING count(*) > 1), b_n AS (SELECT q.stream_id, new, ranges FROM b_q q JOIN n_n USING (stream_id, match_ord, part)),
+b_d AS (SELECT n.stream_id, n.match_ord, any_value(title) AS title, arg_max(end_s, idx) - arg_min(start_s, idx) AS d FROM norm n GROUP BY ALL)"""
+_TOK = "CASE WHEN len(regexp_extract_all({0}, '[一-鿿]')) > length({0}) * 0.3 THEN [] ELSE list_filter(regexp_split_to_array(lower(trim({0})), '\\s+'), lambda w: regexp_matches(w, '^\\pL+$')) END"
+_LOOK = f"""lm AS (SELECT item_id // 10 AS stream_id, item_id AS match_ord, text, CASE WHEN item_id % 3 = 0 THEN 'Known ' || item_id ELSE '未知歌曲：' || item_id END AS title FROM benchmark),
+lk AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY match_ord) AS k FROM lm WHERE title LIKE '未知歌曲%' QUALIFY k <= 4),
+li AS (SELECT match_ord, r, CASE WHEN match_ord % 2 = 0 THEN 'Someone' END AS artist, 'T' || match_ord || '.' || r AS t, CASE WHEN (match_ord + r) % 4 = 0 THEN text ELSE 'zzz qqq' END AS s, row_number() OVER (PARTITION BY match_ord ORDER BY r) = 1 AS first, text, match_ord % 8 = 1 AS hinted FROM (SELECT *, unnest([1, 2, 3]) AS r FROM lk) WHERE (match_ord + r) % 5 <> 0),
+lt AS (SELECT match_ord, r, t, artist, list_distinct({_TOK.format('text')}) AS a, list_distinct(list_concat({_TOK.format('s')}, CASE WHEN first AND hinted THEN {_TOK.format('text')} ELSE [] END)) AS b FROM li),
+lb AS (SELECT match_ord, count(*) AS c, min(row(r, t, artist, v)) FILTER (v >= 0.15) AS best FROM (SELECT *, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / least(len(a), len(b)) END AS v FROM lt) GROUP BY ALL)"""
+
+
+def _web_sql(text: str) -> str:
+    """The title rules, one replacement after the other."""
+    cut = lambda x, tails: cut(f"regexp_replace({x}, '(?i){tails[0]}', '')", tails[1:]) if tails else x
+    return f"""w1 AS (SELECT p_partkey, {cut(text, PAGE_TAILS)} AS t FROM part), w2 AS (SELECT p_partkey, CASE WHEN regexp_matches(t, '[一-鿿]') THEN trim(regexp_replace(regexp_replace(t, '(?i){HAN_TAIL}', ''), '{HAN_HEAD}', '\\1')) ELSE t END AS t FROM w1),
+w3 AS (SELECT p_partkey, trim(regexp_replace({cut('t', SITE_TAILS)}, '\\s+', ' ', 'g')) AS title FROM w2)"""
+
+
+_FORMS = "[" + ", ".join(f"'{f}'" for f in WEB_FORMS) + "]"
+
 SQL = {
+    "c11_boundary_risk": with_inputs(*_E, more=_BR + ", " + mq._RISKS.replace("FROM members", "FROM v_nm").replace("JOIN members", "JOIN v_nm"), body="SELECT stream_id, match_ord, title, score, CASE WHEN score >= 0.9 THEN 'review_requires_evidence' WHEN short OR long OR far IS NOT NULL OR boundary >= 0.75 OR score >= 0.55 OR overlap > 0 THEN 'review' ELSE 'accept' END AS action FROM scored"),
+    "c11_events": with_inputs(*_E, more=_EVENTS, body=f"""SELECT stream_id, 'risk_boundary_split' AS type, match_ord AS source_ord, title, before, ranges, NULL::DOUBLE AS seconds FROM b_s JOIN b_r USING (stream_id, match_ord)
+UNION ALL SELECT s.stream_id, 'exact_duplicate', s.match_ord, t.title, '', ranges, NULL FROM n_s s ANTI JOIN n_f f ON f.stream_id = s.stream_id AND f.match_ord = s.match_ord JOIN b_n b ON b.stream_id = s.stream_id AND b.new = s.match_ord JOIN (SELECT DISTINCT stream_id, match_ord, title FROM n_r) t ON t.stream_id = s.stream_id AND t.match_ord = s.match_ord
+UNION ALL SELECT d.stream_id, 'overlong', d.match_ord, title, '', ranges, d FROM b_d d JOIN b_n b ON b.stream_id = d.stream_id AND b.new = d.match_ord WHERE d > {mq.SOFT_MAX / 2}"""),
+    "c7_chorus": with_inputs(*_E, more=f"day AS (SELECT DISTINCT stream_id, idx // 20 AS match_ord, idx FROM members), t AS (SELECT * FROM day JOIN segments USING (stream_id, idx)), c AS (SELECT *, start_s - lag(end_s) OVER w AS gap, lag(text) OVER w AS b FROM t WINDOW w AS (PARTITION BY stream_id, match_ord ORDER BY idx)), k AS (SELECT *, CASE WHEN gap > {mq.GAP} OR (gap > 43200.0 AND NOT coalesce(lower(b) = lower(text) AND regexp_matches(text, '^\\pL+$'), false)) THEN 1 ELSE 0 END AS cut FROM c), p AS (SELECT *, sum(cut) OVER (PARTITION BY stream_id, match_ord ORDER BY idx)::BIGINT AS part FROM k), g AS (SELECT stream_id, match_ord, part, min(idx) AS lo, max(idx) AS hi, count(*) AS n FROM p GROUP BY ALL)", body="SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY lo, match_ord, part) - 1 AS match_ord, 'day' AS title, 0.5::DOUBLE AS confidence, lo, hi, n FROM g"),
+    "f22_page_titles": f"WITH {_web_sql(f'replace({_FORMS}[p_partkey % {len(WEB_FORMS)} + 1], {chr(39)}{{}}{chr(39)}, p_name)')} SELECT * FROM w3",
+    "c25_search_matches": f"WITH {_LOOK} SELECT stream_id, lm.match_ord, coalesce(best[2], title) AS title, coalesce(best[3], '') AS artist, CASE WHEN best IS NULL THEN 'x' ELSE 'x,search_verified' END AS tags FROM lm LEFT JOIN lb ON lb.match_ord = lm.match_ord",
+    "c25_search_audit": f"WITH {_LOOK} SELECT stream_id, lk.match_ord, title AS old_title, coalesce(c, 0) AS candidates, best[2] AS best_title, best[3] AS best_artist, coalesce(best[4], 0)::DOUBLE AS score, best IS NOT NULL AS accepted, CASE WHEN best IS NOT NULL THEN 'lyrics_evidence_found' WHEN c IS NULL THEN 'no_items' ELSE 'insufficient_evidence' END AS reason FROM lk LEFT JOIN lb ON lb.match_ord = lk.match_ord",
     "v10_three_rounds": with_inputs(*_E, more=_V + _REVIEW, body=f"""SELECT d.stream_id, CASE WHEN d.e IS NOT NULL THEN 'discovery_structural_failure' WHEN r.e IS NOT NULL THEN 'recall_incomplete' WHEN a.e IS NOT NULL THEN 'adjudication_incomplete' ELSE 'complete' END AS status, d.e AS discovery_error, CASE WHEN d.e IS NULL THEN r.e END AS recall_error, a.e AS adjudication_error,
 coalesce(c1.n, 0) AS discovered, coalesce(c2.n, 0) AS targets, coalesce(c3.n, 0) AS recalled, coalesce(c4.n, 0) AS adjudicated, coalesce(c5.n, 0) AS review, coalesce(c6.n, 0) AS final FROM v_de d JOIN v_re r ON r.stream_id = d.stream_id LEFT JOIN v_ae a ON a.stream_id = d.stream_id
 LEFT JOIN {_COUNT.format('id', 'v_first')} c1 ON c1.stream_id = d.stream_id LEFT JOIN {_COUNT.format('obj', 'v_t')} c2 ON c2.stream_id = d.stream_id LEFT JOIN {_COUNT.format('id', 'v_second')} c3 ON c3.stream_id = d.stream_id
