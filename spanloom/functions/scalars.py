@@ -191,6 +191,19 @@ def transcript_line(idx: Column, start: Column, end: Column, text: Column) -> Co
     return F.format_string("[%d] (%.1f-%.1f) %s", idx, start, end, text)
 
 
+#: Traditional characters and their simplified forms.
+SIMPLIFIED = {
+    "說": "说", "見": "见", "聽": "听", "後": "后", "裡": "里", "國": "国", "會": "会", "這": "这", "們": "们", "時": "时", "間": "间", "愛": "爱", "戀": "恋", "陽": "阳", "陰": "阴", "雲": "云", "風": "风", "車": "车", "長": "长", "廣": "广",
+    "華": "华", "樂": "乐", "歡": "欢", "離": "离", "難": "难", "夢": "梦", "憶": "忆", "憂": "忧", "鬱": "郁", "淚": "泪", "聲": "声", "響": "响", "體": "体", "關": "关", "開": "开", "門": "门", "問": "问", "題": "题", "頭": "头",
+    "臉": "脸", "發": "发", "現": "现", "實": "实", "無": "无", "為": "为", "與": "与", "從": "从", "來": "来", "個": "个", "倆": "俩", "麼": "么", "麗": "丽", "點": "点", "線": "线", "經": "经", "過": "过", "還": "还", "進": "进", "遠": "远", "邊": "边", "裏": "里",
+}
+
+
+def canonical_title(title: Column, characters: dict[str, str] = SIMPLIFIED) -> Column:
+    """Trimmed, character by character in its simplified form."""
+    return F.translate(F.trim(title), "".join(characters), "".join(characters.values()))
+
+
 #: Words that titles of web pages add, and what is cut off a title, in this order. The middle two apply to titles with a Han character.
 PAGE_WORDS = "lyrics|歌词|MV|Official|Audio|HD|歌詞|高清|现场|Live"
 PAGE_TAILS = (

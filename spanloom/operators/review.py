@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanloom.functions.scalars import expand_ranges, title_key
+from spanloom.functions.scalars import canonical_title, expand_ranges, title_key
 from spanloom.operators import coverage as cv, intervals as iv, matches as mt, protocol as pr
 from spanloom.operators.intervals import MATCH
 
@@ -76,6 +76,25 @@ def temporal_run(temporal: DataFrame, source: DataFrame, valid: DataFrame) -> Da
     return done.union(kept)
 
 
+def required_titles(matches: DataFrame, required: dict[str, bool], aliases: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(stream_id, title, found, ok) for each stream with matches and each required title: whether it is there, or, where required says True, there once.
+
+    A match (stream_id, match_ord, title) counts if its trimmed title is one of
+    the aliases of the required one (itself, where it has none), or its canonical
+    form is that title.
+    """
+    forms = [(t, form, False) for t in required for form in aliases.get(t, (t,))] + [(t, t, True) for t in required]
+    known = matches.sparkSession.createDataFrame(forms, "title string, form string, canonical boolean")
+    named = matches.select("stream_id", "match_ord", F.trim("title").alias("plain")).where("plain <> ''")
+    either = F.array(F.struct(F.col("plain").alias("form"), F.lit(False).alias("canonical")), F.struct(canonical_title(F.col("plain")).alias("form"), F.lit(True).alias("canonical")))
+    met = named.select("stream_id", "match_ord", F.explode(either).alias("f")).select("stream_id", "match_ord", "f.*").join(known, ["form", "canonical"])
+    found = met.groupBy("stream_id", "title").agg(F.count_distinct("match_ord").alias("found"))
+    wanted = F.explode(F.array(*(F.struct(F.lit(t).alias("title"), F.lit(once).alias("once")) for t, once in required.items())))
+    every = matches.select("stream_id").distinct().select("stream_id", wanted.alias("w")).select("stream_id", "w.*")
+    rows = every.join(found, ["stream_id", "title"], "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    return rows.select("stream_id", "title", "found", F.when(F.col("once"), F.col("found") == 1).otherwise(F.col("found") > 0).alias("ok"))
+
+
 def run_gates(matches: DataFrame, required: DataFrame, usage: DataFrame, *, least: int, most_calls: int, most_completion: int) -> DataFrame:
     """By stream: required titles found, enough matches, few enough calls and tokens, and the verdict."""
     have = mt.heads(matches).select("stream_id", title_key(F.col("title")).alias("key"))

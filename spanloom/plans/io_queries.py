@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanloom.operators import intervals as iv, matches as mt
+from spanloom.operators import intervals as iv, logs as lo, matches as mt, review as rv
 from spanloom.plans.inputs import members, segments, table, transcripts, usage, with_inputs
 from spanloom.plans.interval_queries import GAP, SQL as INTERVAL_SQL, q_clips
 from spanloom.plans.match_queries import SQL as MATCH_SQL, q_risks
@@ -223,7 +223,64 @@ def _live(spark, d):
     return _done(spark, (so.live_segments(_words(_stream(spark, d, "events")), GAP, 1e9), "append"))
 
 
+def q_late_stream(spark, d):
+    """A stream in two runs: the even events, then the odd ones, of which those behind the watermark of the first run go to the side table."""
+    late, seen, out, log = (_scratch(spark, n) for n in ("late", "seen", "on-time", "progress"))
+    rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    route = so.route_late(late, seen, "10 hours", lambda b, e: b.withColumn("epoch", F.lit(e).cast("long")).write.mode("overwrite").parquet(f"{out}/batch={e}"))
+    source = _scratch(spark, "source")
+    for k in range(2):  # the second run goes on from the first one's checkpoint
+        rows.where(F.col("event_id") % 2 == k).coalesce(1).write.mode("append").parquet(source)
+        spark.readStream.schema(rows.schema).parquet(source).writeStream.foreachBatch(route).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+    read = lambda path, kind: spark.read.schema(rows.withColumn("epoch", F.lit(0).cast("long")).schema).option("recursiveFileLookup", "true").parquet(path).groupBy("epoch").agg(F.count("*").alias("n")).withColumn("kind", F.lit(kind))
+    return read(late, "late").union(read(out, "on_time"))
+
+
+def _documents(spark, d):
+    """Summaries of every kind, a text for each order."""
+    forms = ['{{"level_1": [1], "overall": 3, "k": {}}}', '{{"overall": {{"a": {}}}}}', '{{"error": "broken {}", "level_1": []}}', '{{"level_1": "{}"}}', "[{}]", "{{", '{{"error": "", "level_1": [{}]}}', "{{}}", '{{"error": null, "overall": {{"b": 1}}, "k": {}}}']
+    form = F.element_at(F.array(*(F.lit(f.replace("{{", "{").replace("}}", "}")) for f in forms)), (F.col("o_orderkey") % len(forms) + 1).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", F.replace(form, F.lit("{}"), F.when(F.col("o_orderkey") % len(forms) == 7, "{}").otherwise(F.col("o_orderkey").cast("string"))).alias("raw"))
+
+
+def q_summaries(spark, d):
+    rows = lo.summaries(_documents(spark, d))
+    return rows.select("o_orderkey", "status", F.try_variant_get("summary", "$.k", "long").alias("k"))
+
+
+def _logs(spark, d):
+    """A log for each part: a call with a summary, one with JSON as its preview, one with other text, and one that cannot be read. Every query names another title than the results."""
+    i = F.col("p_partkey")
+    found, asked = F.concat(F.lit("Song "), i), F.concat(F.lit("Other "), i)
+    result = F.concat(F.lit('[{"title": "'), found, F.lit(' live", "snippet": "by the band '), i % 3, F.lit('"}]'))
+    inner = F.concat(F.lit('{"query": "'), asked, F.lit('", "results": '), result, F.lit(', "lyrics_hints": ["la"]}'))
+    preview = F.when(i % 4 == 1, inner).otherwise(F.concat(F.lit("{'query': '"), asked, F.lit("', 'results': '"), found, F.lit("' the band "), i % 3))
+    call = F.when(i % 4 == 0, F.concat(F.lit('{"result_summary": '), inner, F.lit("}"))).otherwise(F.to_json(F.struct(preview.alias("result_preview"))))
+    raw = F.when(i % 4 == 3, "no log").otherwise(F.concat(F.lit('{"tool_calls_log": [{"other": 1}, '), call, F.lit("]}")))
+    return table(spark, d, "part").select("p_partkey", raw.alias("raw"))
+
+
+def q_tool_evidence(spark, d):
+    """The titles that logged searches support: that of the results does, by the right artist; that of the query alone does not."""
+    i = F.col("p_partkey")
+    match = lambda title, artist: F.struct(title.alias("title"), artist.alias("artist"))
+    names = F.explode(F.array(match(F.concat(F.lit(" SONG "), i), F.concat(F.lit("the Band "), i % 2)), match(F.concat(F.lit("Other "), i), F.lit("")), match(F.lit("未知歌曲：x"), F.lit(""))))
+    matches = table(spark, d, "part").select("p_partkey", names.alias("m")).select("p_partkey", "m.*")
+    return lo.supported_titles(matches, lo.tool_evidence(_logs(spark, d), ["p_partkey"]), ["p_partkey"])
+
+
+REQUIRED = {"风声": False, "经过1": False, "ab": True, "远": False}
+
+
+def q_required(spark, d):
+    """Required titles of each supplier's parts, in traditional characters and by aliases."""
+    name = F.element_at(F.array(*map(F.lit, (" 風聲", "經過1", "ab", "AB", "遠方", "x"))), (F.col("l_partkey") % 6 + 1).cast("int"))
+    rows = table(spark, d, "lineitem").where("l_linenumber = 1 and l_partkey % 11 < 3").select(F.col("l_suppkey").alias("stream_id"), F.col("l_orderkey").alias("match_ord"), name.alias("title"))
+    return rv.required_titles(rows, REQUIRED, {"ab": ("ab", "AB"), "远": ("遠方",)})
+
+
 QUERIES = {
+    "t5_late_stream": q_late_stream, "s9_summaries": q_summaries, "s10_tool_evidence": q_tool_evidence, "f33_a10_required_titles": q_required,
     "s1_read_segments": q_read_segments, "s2_matches": q_matches_of, "s3_listed_responses": q_responses, "s4_usage_sources": q_usage_sources, "s5_clip_list": q_clip_list, "s6_dictionary": q_dictionary, "s8_media": q_media,
     "s7_listing": q_listing, "s11_timestamps": q_timestamps, "s12_chunks": q_chunks, "k1_clip_report": q_report, "k10_preview": q_preview, "k3_risk_audit": q_audit, "k6_manifest": q_manifest, "k5_markdown": q_markdown,
     "k7_summary_markdown": q_summary, "k9_exports": q_exports, "k8_pending": q_pending, "k8_upserted": q_upserted, "t1_sessions": q_sessions, "t1_sessions_stream": q_sessions_stream, "t3_tumbling_usage": q_tumbling, "t3_sliding_usage": q_sliding,
@@ -243,6 +300,13 @@ p AS (SELECT *, count(*) FILTER (cut) OVER (PARTITION BY stream_id ORDER BY s RO
 SELECT stream_id, start_s, end_s, text FROM g WHERE part < (SELECT max(part) FROM g x WHERE x.stream_id = g.stream_id) OR floor((end_s + {GAP}) * 1000) + 1 <= (SELECT max(epoch_us(ts)) // 1000 - 10000 FROM events)"""
 
 SQL = {
+    "t5_late_stream": """WITH top AS (SELECT max(ts) AS t FROM events WHERE event_id % 2 = 0), e AS (SELECT event_id % 2 AS epoch, event_id % 2 = 1 AND ts < t - INTERVAL 10 HOUR AS late FROM events, top)
+SELECT epoch, count(*) AS n, CASE WHEN late THEN 'late' ELSE 'on_time' END AS kind FROM e GROUP BY ALL""",
+    "s9_summaries": "SELECT o_orderkey, CASE WHEN o_orderkey % 9 IN (0, 1, 6, 8) THEN 'valid' WHEN o_orderkey % 9 = 2 THEN 'error' WHEN o_orderkey % 9 = 3 THEN 'incomplete' WHEN o_orderkey % 9 = 4 THEN 'not_an_object' WHEN o_orderkey % 9 = 5 THEN 'invalid_json' ELSE 'empty' END AS status, CASE WHEN o_orderkey % 9 IN (0, 8) THEN o_orderkey END AS k FROM orders",
+    "s10_tool_evidence": "SELECT p_partkey, ' SONG ' || p_partkey AS title, p_partkey % 4 <> 3 AND p_partkey % 3 = p_partkey % 2 AS supported FROM part UNION ALL SELECT p_partkey, 'Other ' || p_partkey, false FROM part",
+    "f33_a10_required_titles": """WITH m AS (SELECT l_suppkey AS stream_id, l_orderkey AS match_ord, l_partkey % 6 AS k FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 11 < 3), s AS (SELECT DISTINCT stream_id FROM m),
+w AS (SELECT stream_id, unnest(['风声', '经过1', 'ab', '远']) AS title FROM s), f AS (SELECT stream_id, CASE k WHEN 0 THEN '风声' WHEN 1 THEN '经过1' WHEN 4 THEN '远' ELSE 'ab' END AS title, count(DISTINCT match_ord) AS found FROM m WHERE k < 5 GROUP BY ALL)
+SELECT w.stream_id, w.title, coalesce(found, 0) AS found, CASE WHEN w.title = 'ab' THEN coalesce(found, 0) = 1 ELSE coalesce(found, 0) > 0 END AS ok FROM w LEFT JOIN f ON f.stream_id = w.stream_id AND f.title = w.title""",
     "s1_read_segments": with_inputs("transcripts", body="SELECT * FROM transcripts"),
     "s2_matches": with_inputs("segments", "members", more="h AS (SELECT stream_id, match_ord, any_value(title) AS title, min(idx) AS lo, max(idx) AS hi, count(DISTINCT idx) AS n FROM members GROUP BY stream_id, match_ord)", body="SELECT stream_id, match_ord, 'song' AS content_type, title, CASE WHEN lo = hi THEN lo::VARCHAR ELSE lo || ',' || hi END AS indices, CASE WHEN match_ord % 2 = 0 THEN least(1.0, n) ELSE 0.5 END::DOUBLE AS confidence, 0::BIGINT AS n_tags FROM h"),
     "s3_listed_responses": with_inputs("segments", body="SELECT stream_id::VARCHAR AS stream_id, 'round-' || idx AS phase, text AS raw, 'stop' AS finish_reason FROM segments WHERE idx % 2 = 0 AND idx % 9 <> 4"),

@@ -111,3 +111,30 @@ def late_rows(batch: DataFrame, seen_to: str | Column, delay: str) -> DataFrame:
     """Rows of a batch older than what was seen before it by more than delay: those a watermark drops."""
     seen = seen_to if isinstance(seen_to, Column) else F.lit(seen_to).cast("timestamp")
     return batch.where(F.col("ts") < seen - F.expr(f"interval {delay}"))
+
+
+def route_late(late_path: str, seen_path: str, delay: str, on_time: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that keeps rows behind the watermark: they go to a side table by batch, the others to on_time.
+
+    What was seen before a batch is the greatest ts of all earlier ones, kept in a
+    table of one row a batch, so it holds over restarts. Each batch writes under
+    its own number and replaces what it wrote before, so one that runs twice does
+    no harm.
+    """
+    schema = StructType.fromDDL("seen_to timestamp, epoch long")
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        try:
+            seen = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(seen_path).where(F.col("epoch") < epoch).agg(F.max("seen_to")).first()[0]
+        except Exception as e:  # the first batch finds no table
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            seen = None
+        late = late_rows(batch, F.lit(seen).cast("timestamp"), delay) if seen is not None else batch.where("false")
+        late.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{late_path}/batch={epoch}")
+        rest = batch if seen is None else batch.where(F.col("ts").isNull() | (F.col("ts") >= F.lit(seen).cast("timestamp") - F.expr(f"interval {delay}")))
+        on_time(rest, epoch)
+        batch.agg(F.max("ts").alias("seen_to")).where("seen_to is not null").withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{seen_path}/batch={epoch}")
+
+    return run
