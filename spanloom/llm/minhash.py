@@ -323,16 +323,25 @@ def _with_links(comps: DataFrame, links: DataFrame) -> DataFrame:
     return components(links.union(comps.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
-def _star_pairs(large: DataFrame, floor: float) -> DataFrame:
-    """Pairs of the members of large nodes with about a dozen of them, and with the two most central ones."""
-    share = F.xxhash64("cls").bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))  # the same members in all nodes
-    some = large.where(share < 12.0 / F.col("size")).groupBy("node").agg(F.collect_list(F.struct("cls", "sig")).alias("pivots"))
+def _star_pairs(large: DataFrame, floor: float, pivots: int = 24) -> DataFrame:
+    """Pairs of the members of large nodes with about ``pivots`` of them, and with the two most central ones.
+
+    The trees bring the same members together again, and a member that is linked
+    in one node is linked; so each takes part in the largest of its nodes alone,
+    one row a member however many trees there are. What it misses in the others
+    stays for their branches.
+    """
+    one = large.groupBy("cls").agg(F.max(F.struct("size", "node")).alias("at"), F.first("sig").alias("sig")).select("at.node", "cls", "sig")
+    one = cut(one)
+    size = one.groupBy("node").agg(F.count("*").alias("size"))
+    share = F.xxhash64("cls").bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
+    some = one.join(size, "node").where(share < float(pivots) / F.col("size")).groupBy("node").agg(F.collect_list(F.struct("cls", "sig")).alias("pivots"))
     schema = "node long, cls long, mean double, near array<long>"
-    first = cut(large.select("node", "cls", "sig").join(some, "node").mapInArrow(_star(floor), schema))
+    first = cut(one.join(some, "node").select("node", "cls", "sig", "pivots").mapInArrow(_star(floor), schema))
     top = first.groupBy("node").agg(F.max(F.struct("mean", "cls")).alias("m"), F.min_by("cls", F.struct(-F.col("mean"), F.xxhash64("cls"))).alias("other"))
     central = top.select("node", F.explode(F.array_distinct(F.array("m.cls", "other"))).alias("cls"))
-    pivots = central.join(large.select("node", "cls", "sig"), ["node", "cls"]).groupBy("node").agg(F.collect_list(F.struct("cls", "sig")).alias("pivots"))
-    second = large.select("node", "cls", "sig").join(pivots, "node").mapInArrow(_star(floor), schema)
+    best = central.join(one, ["node", "cls"]).groupBy("node").agg(F.collect_list(F.struct("cls", "sig")).alias("pivots"))
+    second = one.join(best, "node").select("node", "cls", "sig", "pivots").mapInArrow(_star(floor), schema)
     near = first.union(second).select("cls", F.explode("near").alias("p"))
     return near.select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b"))
 
