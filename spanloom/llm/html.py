@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -69,7 +70,7 @@ def _named(value: str, inside: bool) -> int:
 
 
 def _walled(name: str, attrs: str, inside: bool) -> int:
-    """2 for an element without content, 1 for one that seems so and is unless it holds most of the page, 0 for others."""
+    """2 for an element without content, 1 for one that is so unless an article or main element lies in it, 0 for others."""
     if name in _WALL or (name == "header" and not inside):
         return 2
     if not attrs or name in ("html", "body", "article", "main"):
@@ -139,13 +140,13 @@ class _Open:
 
 
 def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
-    """(tag name or '', text, inside an article element, inside an element without content) in page order.
+    """(tag name or '', text, inside marked content, inside an element without content) in page order. Marked is what lies in article elements, or, on a page without any, in main elements.
 
     End tags may be missing: an element ends with the element around it, and
     earlier where the HTML standard lets a start tag end it. One that should
     have had an end tag has no content beyond the next article or main element.
-    An element named like a part without content has some if it holds more than
-    half of the page's words.
+    An element whose compound name ends like a part without content has some only
+    in the article or main elements that it holds.
     """
     found: list[tuple[str, str, str]] = []
     at, open_ = 0, _Open()
@@ -171,15 +172,16 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
         found.append(("", page[at:], ""))
     open_.pop(0, len(found))
 
-    words = [0]
-    for name, text, _ in found:
-        words.append(words[-1] + (0 if name else len(text.split())))
-    out, articles, until, dropped, main, formula = [], 0, -1, False, 0, -1
+    marks = "article" if any(name == "article" and not text for name, text, _ in found) else "main"
+    out, articles, inside, until, dropped, main, formula = [], 0, 0, -1, False, 0, -1
     for i, (name, text, attrs) in enumerate(found):
         if name == "article" and text:
             articles = max(0, articles - 1)
+        if name == marks and text:
+            inside = max(0, inside - 1)
         wall = i > until and i in open_.ends and (2 if name in _DROPPED else _walled(name, attrs, articles > 0))
-        if wall == 2 or (wall == 1 and 2 * (words[open_.ends[i][0]] - words[i]) <= words[-1]):
+        held = bisect_right(mains, i)
+        if wall == 2 or (wall == 1 and not (held < len(mains) and mains[held] < open_.ends[i][0])):
             end, own = open_.ends[i]
             until = end if own else end - 1
             if not own and name not in _OPTIONAL:
@@ -190,9 +192,11 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
         if name == "math" and i in open_.ends:
             formula = max(formula, open_.ends[i][0])
         if (i > until or not dropped) and (i > formula or not name or name in _BLOCK):  # a formula is its text alone
-            out.append((name, text, articles > 0, i <= until))
+            out.append((name, text, inside > 0, i <= until))
         if name == "article" and not text:
             articles += 1
+        if name == marks and not text:
+            inside += 1
     return out
 
 
@@ -206,13 +210,16 @@ class Extractor:
         """The region's blocks joined by a line feed; '' for null and for pages without words."""
         seq = tokens(page or "")
         best, run, start, span = 0.0, 0.0, 0, None
-        for i, (name, text, _, walled) in enumerate(seq):
-            if walled:
+        marked = any(inside and not name and not walled for name, _, inside, walled in seq)
+        for i, (name, text, inside, walled) in enumerate(seq):
+            if inside and (walled or name):
+                score = -1e-9  # markup inside marked content never ends it, however much there is
+            elif walled:
                 score = -1e-3 if run <= 0 else -0.5 * bool(name)
             elif name:
                 score = self.tags.get(name, self.other)
-            else:
-                score = self.word * len(text.split())
+            else:  # a page that marks its content says that other words are none
+                score = self.word * len(text.split()) if inside or not marked else 0.0
             if run <= 0 < score:
                 run, start = 0.0, i
             run = max(0.0, run + score)
@@ -243,8 +250,9 @@ def learn_weights(pages: DataFrame, *, column: str = "html", sample: int = 20_00
     """Log odds of words ('') and tags from pages that have an article element.
 
     About ``sample`` labelled pages, chosen by the hash of their text, are read
-    (all if there are fewer); the most frequent ``names`` tags get a score of
-    their own. Words are kept above 0.2 and tags below -0.05, so that words
+    (all if there are fewer), without the elements that are left out; the most
+    frequent ``names`` tags get a score of their own, the others ('?') that of all
+    tags together. Words are kept above 0.2 and tags below -0.05, so that words
     stay positive and tags negative. Without labelled pages the result is empty
     and fixed scores hold.
     """
@@ -257,7 +265,9 @@ def learn_weights(pages: DataFrame, *, column: str = "html", sample: int = 20_00
         for batch in batches:
             found: dict[str, list[int]] = {}
             for page in batch.column(0).to_pylist():
-                for name, text, inside, _ in tokens(page):
+                for name, text, inside, walled in tokens(page):
+                    if walled:  # what is left out anyway tells nothing of where the rest ends
+                        continue
                     n = 1 if name else len(text.split())
                     c = found.setdefault(name, [0, 0])
                     c[inside and not (name == "article")] += n
@@ -265,6 +275,9 @@ def learn_weights(pages: DataFrame, *, column: str = "html", sample: int = 20_00
 
     rows = chosen.mapInArrow(count, "tag string, inside long, outside long").groupBy("tag").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
     out = {}
+    every = rows.where("tag <> ''").agg(F.sum("inside"), F.sum("outside")).first()
+    if every[0] is not None:
+        out["?"] = min(-0.05, max(-6.0, math.log((every[0] + 1) / (every[1] + 1))))
     for name, inside, outside in rows.orderBy(F.desc(F.col("inside") + F.col("outside")), "tag").limit(names).collect():
         odds = math.log((inside + 1) / (outside + 1))
         out[name] = min(1.0, max(0.2, odds)) if not name else min(-0.05, max(-6.0, odds))

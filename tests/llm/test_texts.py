@@ -162,6 +162,50 @@ def test_html_ends_of_parts(part, kept):
     assert html.Extractor({}).text("<html><body>" + HEAD + part + TAIL + "</body></html>") == "\n".join(want)
 
 
+LISTS = {
+    "table": ("<table>" + "<tr><td>cell a</td><td>cell b</td></tr>" * 30 + "</table>", ["cell a", "cell b"] * 30),
+    "list": ("<ul>" + "<li><a href=x>item</a></li>" * 30 + "</ul>", ["item"] * 30),
+    "figures": ("<figure><img src=x><figcaption>seen</figcaption></figure>" * 20, ["seen"] * 20),
+    "code": ("<pre>" + "<span>x</span> " * 60 + "</pre>", [" ".join(["x"] * 60)]),
+    "unknown tags": ("<foo-bar><baz>thing</baz></foo-bar>" * 40, ["thing" * 40]),
+    "empty markup": ("<div><span></span></div>" * 200, []),
+}
+SAID = "<p>reader says this and that</p>" * 12
+
+
+@pytest.mark.parametrize("mark", ["article", "main"])
+@pytest.mark.parametrize("name", LISTS)
+def test_html_markup_never_ends_a_short_article(spark, mark, name):
+    """Content of twenty words around much markup, with learned and with fixed scores, among menus and long comments that have no names of their own."""
+    part, kept = LISTS[name]
+    words = " ".join(["word"] * 10)
+    page = (
+        f"<html><head><title>T</title></head><body><nav><ul>{'<li><a href=x>menu</a></li>' * 40}</ul></nav><div class='cookie-bar'>{SAID}</div><{mark}><h1>{words}</h1>{part}<p>{words}</p></{mark}>"
+        f"<div class='comment-list'>{SAID}</div><section id='user-comments'>{SAID}</section><footer>host</footer></body></html>"
+    )
+    want = "\n".join([words, *kept, words])
+    learned = html.learn_weights(spark.read.parquet("/root/testdata/sf0.001/pages.parquet")) if name == "table" else {}
+    assert html.Extractor({}).text(page) == want and html.Extractor(learned).text(page) == want
+    outside = page.replace("<footer>", f"<div>{'other text of the site ' * 30}</div><footer>")
+    assert html.Extractor({}).text(outside) == want
+
+
+def test_html_names_around_an_article():
+    """A compound name ends like a part without content: what is in the article or main element that it holds stays, all else goes, however much it is."""
+    body = "<p>words of the page at hand</p>"
+    for name in ("page-sidebar", "site-menu", "with-comments"):
+        assert html.Extractor({}).text(f"<body><div class='{name}'><p>aside</p><article>{body}</article></div></body>") == "words of the page at hand"
+    assert html.Extractor({}).text(f"<body><div class='comment-list'>{SAID}</div>{body}</body>") == "words of the page at hand"
+    assert html.Extractor({}).text(f"<body><div class='comment-list'>{SAID}</div></body>") == ""
+
+
+def test_html_weights_of_what_stays_alone(spark):
+    """Menus that are left out anyway do not count against lists, and unseen tags score as all tags together."""
+    page = "<html><body><nav>" + "<ul><li><a>m</a></li></ul>" * 50 + "</nav><article><ul><li><a>one two</a></li></ul><p>three</p></article><div>host</div></body></html>"
+    weights = html.learn_weights(spark.createDataFrame([(page,)], "html string"))
+    assert weights["li"] == weights["a"] == weights["ul"] == -0.05 and weights["div"] < -0.6 and -6 <= weights["?"] <= -0.05 and weights["?"] != -1.0
+
+
 def test_html_missing_end_tags():
     want = "Words before the part at hand stand here, more of them than any tags of the part can outweigh.\nWords after the part at hand stand here too."
     for top in ("<head><meta charset=x><body>", "<head><title>T</title>", "<head></head><body><nav><a href=x>Menu</a>", '<body><div class="sidebar">Side', "<body><aside><article>Other</article></aside>"):
