@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanloom.functions.scalars import canonical_title, expand_ranges, title_key
-from spanloom.operators import coverage as cv, intervals as iv, matches as mt, protocol as pr
+from spanloom.operators import coverage as cv, intervals as iv, matches as mt, protocol as pr, stages as st
 from spanloom.operators.intervals import MATCH
+from spanloom.sources.checkpoints import cut
 
 
 def outside_clusters(members: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -60,20 +61,45 @@ def anchor_recheck(anchors: DataFrame, base: DataFrame, segments: DataFrame, *,
     return cv.expand_anchors(seeds, free, base, segments, gap_s=gap_s, cap_s=cap_s)
 
 
-def temporal_run(temporal: DataFrame, source: DataFrame, valid: DataFrame) -> DataFrame:
-    """Temporal adjudication of valid streams: parts at source boundaries, titles restored; other streams keep their source.
+def temporal_gate(logs: DataFrame) -> DataFrame:
+    """(stream_id, valid, failures) of logged answers (stream_id, readable, error, finish_reason, parse_valid): valid if one is without error and parsed, and none is unreadable, cut off or unparsed."""
+    parsed = F.coalesce("parse_valid", F.lit(False))
+    kinds = F.array_compact(F.array(
+        F.when(~F.col("readable"), F.lit("invalid_debug")), F.when(F.col("readable") & (F.col("finish_reason") == "length"), F.lit("output_truncated")), F.when(F.col("readable") & ~parsed, F.lit("invalid_result_json"))
+    ))
+    good = F.col("readable") & (F.coalesce("error", F.lit("")) == "") & parsed
+    rows = logs.select("stream_id", kinds.alias("kinds"), good.alias("good")).groupBy("stream_id").agg(F.bool_or("good").alias("good"), F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_list("kinds")))), ",").alias("failures"))
+    return rows.select("stream_id", (F.col("good") & (F.col("failures") == "")).alias("valid"), "failures")
 
-    Gives (stream_id, origin, title, confidence). valid is (stream_id).
+
+def temporal_run(temporal: DataFrame, source: DataFrame, logs: DataFrame, segments: DataFrame, *, gap_s: float, cap_s: float) -> tuple[DataFrame, DataFrame]:
+    """(members, audit): temporal matches of valid streams, cut at source boundaries, named after their sources and normalised; other streams keep their source as it is.
+
+    audit has (stream_id, status, failures, input, temporal, refined, output) for
+    each stream with source or temporal matches; one without a log falls back.
+    What several steps read is kept once on the way (eager actions).
     """
-    v = valid.select("stream_id").distinct()
-    parts = mt.split_at_sources(temporal.join(v, "stream_id", "left_semi"), source)
-    named = mt.heads(temporal).select(*MATCH, "title", "confidence")
+    streams = source.select("stream_id").union(temporal.select("stream_id")).distinct()
+    gate = cut(streams.join(temporal_gate(logs), "stream_id", "left").withColumn("valid", F.coalesce("valid", F.lit(False))))
+    v = gate.where("valid").select("stream_id")
+    own, old = cut(temporal.join(v, "stream_id", "left_semi")), cut(source.join(v, "stream_id", "left_semi"))
     place = F.row_number().over(Window.partitionBy("stream_id").orderBy("match_ord", "part")).cast("long")
-    ids = parts.withColumn("match_ord2", place).select(*MATCH, "match_ord2", F.explode(F.sequence("lo", "hi")).alias("idx"))
-    rows = ids.join(named, MATCH).select("stream_id", F.col("match_ord2").alias("match_ord"), "title", "confidence", "idx")
-    done = mt.restore_titles(rows, source.join(v, "stream_id", "left_semi")).select("stream_id", "origin", "title", "confidence")
-    kept = mt.heads(source).join(v, "stream_id", "left_anti").select("stream_id", F.lit("fallback").alias("origin"), "title", "confidence")
-    return done.union(kept)
+    parts = mt.split_at_sources(own, old).withColumn("new", place).select(*MATCH, "new", "lo", "hi")
+    refined = cut(own.join(parts, MATCH).where(F.col("idx").between(F.col("lo"), F.col("hi"))).select("stream_id", F.col("new").alias("match_ord"), "title", "confidence", "idx"))
+    named = mt.restore_titles(refined, old)
+    keyed = lambda df, origin: df.select("stream_id", F.lit(origin).alias("origin"), "match_ord", "idx")
+    every = keyed(refined, "temporal").union(keyed(old, "source")).join(named.select("stream_id", "origin", "match_ord", "title", "confidence"), ["stream_id", "origin", "match_ord"])
+    order = F.dense_rank().over(Window.partitionBy("stream_id").orderBy(F.desc("origin"), "match_ord")) - 1  # restored ones, then sources
+    listed = cut(every.select("stream_id", order.cast("long").alias("match_ord"), "title", "confidence", "idx"))
+    done, _ = st.normalise(listed, segments, gap_s=gap_s, cap_s=cap_s)
+    kept = source.join(gate.where("not valid"), "stream_id", "left_semi").select("stream_id", "match_ord", "title", "confidence", "idx")
+    members = done.select("stream_id", "match_ord", "title", "confidence", "idx").union(kept)
+    n = lambda df, c: df.groupBy("stream_id").agg(F.count_distinct("match_ord").alias(c))
+    audit = gate
+    for df, c in ((source, "input"), (own, "temporal"), (refined, "refined"), (members, "output")):
+        audit = audit.join(n(df, c), "stream_id", "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("input", "temporal", "refined", "output")]
+    return members, audit.select("stream_id", F.when(F.col("valid"), "success").otherwise("fallback_source").alias("status"), F.coalesce("failures", F.lit("")).alias("failures"), *counts)
 
 
 def required_titles(matches: DataFrame, required: dict[str, bool], aliases: dict[str, tuple[str, ...]]) -> DataFrame:

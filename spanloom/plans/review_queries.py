@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.operators import intervals as iv, matches as mt, review as rv
-from spanloom.plans import match_queries as mq, protocol_queries as pq
+from spanloom.plans import match_queries as mq, protocol_queries as pq, stage_queries as sq
 from spanloom.plans.inputs import members, segments, table, usage, with_inputs
+from spanloom.sources.checkpoints import cut
 
 _E = ("segments", "members")
 
@@ -50,9 +51,22 @@ def q_anchor_recheck(spark, d):
     return grown.groupBy("stream_id", "match_ord").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"))
 
 
+def _temporal(spark, d):
+    """Matches of twelve segments over sources of three; logs of every kind."""
+    k, segs = F.col("match_ord"), cut(segments(spark, d))
+    wide = segs.where("idx % 36 < 30").select("stream_id", F.floor(F.col("idx") / 12).alias("match_ord"), "idx")
+    wide = wide.select("stream_id", "match_ord", F.when(k % 3 == 0, "未知歌曲：t").otherwise(F.concat(F.lit("t"), k % 2)).alias("title"), F.lit(0.6).alias("confidence"), "idx")
+    s = F.col("stream_id")
+    logs = segs.where("idx < 2").select("stream_id", (s % 7 != 1).alias("readable"), F.when((s % 5 == 2) & (F.col("idx") == 0), "timeout").alias("error"), F.when(s % 9 == 4, "length").otherwise("stop").alias("finish_reason"), ((s % 8 != 3) | (F.col("idx") == 0)).alias("parse_valid"))
+    return rv.temporal_run(wide, mq.iv_pieces(spark, d).where("match_ord % 2 = 0 or stream_id % 2 = 0"), logs, segs, gap_s=mq.GAP, cap_s=mq.SOFT_MAX)
+
+
 def q_temporal(spark, d):
-    valid = segments(spark, d).where("stream_id % 5 <> 0").select("stream_id")
-    return rv.temporal_run(mq._wide(spark, d), mq.iv_pieces(spark, d), valid).groupBy("stream_id", "origin", "title").agg(F.count("*").alias("n"))
+    return mt.heads(_temporal(spark, d)[0])
+
+
+def q_temporal_audit(spark, d):
+    return _temporal(spark, d)[1]
 
 
 def q_gates(spark, d):
@@ -91,7 +105,7 @@ def q_types(spark, d):
 
 
 QUERIES = {
-    "j7_outside_clusters": q_outside, "j8_inside_targets": q_inside, "j9_all_audited": q_audited, "c17_sanitise_review": q_sanitise, "c20_full_audit": q_audit, "c21_anchor_recheck": q_anchor_recheck, "c24_temporal_run": q_temporal,
+    "j7_outside_clusters": q_outside, "j8_inside_targets": q_inside, "j9_all_audited": q_audited, "c17_sanitise_review": q_sanitise, "c20_full_audit": q_audit, "c21_anchor_recheck": q_anchor_recheck, "c24_temporal_run": q_temporal, "c24_temporal_audit": q_temporal_audit,
     "a10_run_gates": q_gates, "a12_folder_counts": q_folders, "m12_response_rows": q_responses, "m11_review_requests": q_requests, "p2_range_items": q_range_items, "p4_enabled_types": q_types,
 }
 
@@ -100,7 +114,26 @@ _FREE = """rare AS (SELECT * FROM members WHERE title IN ('click', 'purchase')),
 fr AS (SELECT *, idx - row_number() OVER (PARTITION BY stream_id ORDER BY idx) AS run FROM free), gaps AS (SELECT stream_id, min(idx) AS lo, max(idx) AS hi, count(*) AS n FROM fr GROUP BY stream_id, run), tgt AS (SELECT stream_id, unnest(range(lo, hi + 1)) AS idx FROM gaps WHERE n >= 2)"""
 _SHORT = "SELECT stream_id, match_ord, min(idx) AS lo, max(idx) AS hi, count(DISTINCT idx) AS n FROM {} GROUP BY ALL"
 
+_TEMPORAL = f"""w AS (SELECT stream_id, idx // 12 AS match_ord, CASE WHEN idx // 12 % 3 = 0 THEN '未知歌曲：t' ELSE 't' || (idx // 12 % 2) END AS title, idx FROM segments WHERE idx % 36 < 30), src AS (SELECT stream_id, idx // 3 AS o, 't' || (idx // 3 % 2) AS key, idx FROM segments WHERE idx // 3 % 2 = 0 OR stream_id % 2 = 0),
+lg AS (SELECT stream_id, stream_id % 7 <> 1 AS r, stream_id % 5 = 2 AND idx = 0 AS e, stream_id % 9 = 4 AS l, stream_id % 8 <> 3 OR idx = 0 AS p FROM segments WHERE idx < 2),
+gt AS (SELECT stream_id, bool_or(r AND NOT e AND p) AS good, bool_or(NOT r) AS f1, bool_or(r AND NOT p) AS f2, bool_or(r AND l) AS f3 FROM lg GROUP BY ALL), g AS (SELECT stream_id, good AND NOT f1 AND NOT f2 AND NOT f3 AS valid, array_to_string(list_filter([CASE WHEN f1 THEN 'invalid_debug' END, CASE WHEN f2 THEN 'invalid_result_json' END, CASE WHEN f3 THEN 'output_truncated' END], lambda x: x IS NOT NULL), ',') AS failures FROM gt),
+v AS (SELECT stream_id FROM g WHERE valid), wv AS (SELECT * FROM w SEMI JOIN v USING (stream_id)), sv AS (SELECT * FROM src SEMI JOIN v USING (stream_id)),
+t AS (SELECT stream_id, match_ord, min(idx) AS lo, max(idx) AS hi FROM wv GROUP BY ALL), sh AS (SELECT stream_id, o, any_value(key) AS key, min(idx) AS slo, max(idx) AS shi, count(*) AS sn FROM sv GROUP BY ALL),
+cn AS (SELECT a.stream_id, a.match_ord, s.o, count(*) AS shared FROM wv a JOIN sv s ON s.stream_id = a.stream_id AND s.idx = a.idx GROUP BY ALL),
+sup AS (SELECT c.stream_id, c.match_ord, c.o, key, slo, shi, lead(slo) OVER z AS nxt, row_number() OVER z AS k FROM cn c JOIN sh ON sh.stream_id = c.stream_id AND sh.o = c.o WHERE shared * 2 >= sn WINDOW z AS (PARTITION BY c.stream_id, c.match_ord ORDER BY slo, c.o)),
+ok AS (SELECT stream_id, match_ord FROM sup GROUP BY ALL HAVING count(*) >= 2 AND count(DISTINCT key) >= 2 AND bool_and(nxt IS NULL OR shi < nxt)), ct AS (SELECT *, (shi + nxt) // 2 AS e FROM sup SEMI JOIN ok USING (stream_id, match_ord)),
+pt AS (SELECT * FROM (SELECT c.stream_id, c.match_ord, k AS part, greatest(lo, coalesce(lag(e) OVER (PARTITION BY c.stream_id, c.match_ord ORDER BY k) + 1, lo)) AS lo, least(hi, coalesce(e, hi)) AS hi FROM ct c JOIN t ON t.stream_id = c.stream_id AND t.match_ord = c.match_ord) WHERE lo <= hi UNION ALL SELECT stream_id, match_ord, 1, lo, hi FROM t ANTI JOIN ok USING (stream_id, match_ord)),
+pn AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY match_ord, part) AS new FROM pt), rf AS (SELECT a.stream_id, new AS match_ord, title, idx FROM wv a JOIN pn ON pn.stream_id = a.stream_id AND pn.match_ord = a.match_ord AND idx BETWEEN lo AND hi),
+bc AS (SELECT a.stream_id, a.match_ord, s.o, count(*) AS shared, any_value(key) AS key FROM rf a JOIN sv s ON s.stream_id = a.stream_id AND s.idx = a.idx GROUP BY ALL), bo AS (SELECT * FROM bc QUALIFY row_number() OVER (PARTITION BY stream_id, match_ord ORDER BY shared DESC, o) = 1),
+nm AS (SELECT r.stream_id, 0 AS k, r.match_ord, CASE WHEN key IS NOT NULL THEN key WHEN title LIKE '未知歌曲%' THEN '未知歌曲：时序裁决新增区间' ELSE title END AS title, CASE WHEN key IS NOT NULL THEN 0.7::DOUBLE ELSE 0.6::DOUBLE END AS confidence, idx FROM rf r LEFT JOIN bo ON bo.stream_id = r.stream_id AND bo.match_ord = r.match_ord),
+tc AS (SELECT DISTINCT s.stream_id, s.o FROM sv s SEMI JOIN rf r ON r.stream_id = s.stream_id AND r.idx = s.idx), al AS (SELECT * FROM nm UNION ALL SELECT stream_id, 1, o, key, 0.7::DOUBLE, idx FROM sv ANTI JOIN tc USING (stream_id, o)),
+ls AS (SELECT stream_id, dense_rank() OVER (PARTITION BY stream_id ORDER BY k, match_ord) - 1 AS match_ord, title, confidence, idx FROM al), {sq._norm(mq.SOFT_MAX, 'ls')},
+fin AS (SELECT stream_id, match_ord, title, confidence, idx FROM norm UNION ALL SELECT stream_id, o, key, 0.7::DOUBLE, idx FROM src SEMI JOIN (SELECT stream_id FROM g WHERE NOT valid) USING (stream_id))"""
+
 SQL = {
+    "c24_temporal_run": with_inputs("segments", more=_TEMPORAL, body=mq._HEADS.format("fin")),
+    "c24_temporal_audit": with_inputs("segments", more=_TEMPORAL, body="""SELECT g.stream_id, CASE WHEN valid THEN 'success' ELSE 'fallback_source' END AS status, failures, coalesce(a.n, 0) AS input, coalesce(b.n, 0) AS temporal, coalesce(c.n, 0) AS refined, coalesce(e.n, 0) AS output FROM g
+LEFT JOIN (SELECT stream_id, count(DISTINCT o) AS n FROM src GROUP BY ALL) a USING (stream_id) LEFT JOIN (SELECT stream_id, count(DISTINCT match_ord) AS n FROM wv GROUP BY ALL) b USING (stream_id) LEFT JOIN (SELECT stream_id, count(DISTINCT match_ord) AS n FROM rf GROUP BY ALL) c USING (stream_id) LEFT JOIN (SELECT stream_id, count(DISTINCT match_ord) AS n FROM fin GROUP BY ALL) e USING (stream_id)"""),
     "j7_outside_clusters": with_inputs(*_E, more=_H, body="SELECT * FROM hd WHERE match_ord % 3 = 0"),
     "j8_inside_targets": with_inputs(*_E, more=_H, body="SELECT cr.* FROM cr JOIN top USING (stream_id) WHERE lo >= 5 AND hi <= t - 5"),
     "j9_all_audited": with_inputs(*_E, more=_H, body="SELECT stream_id, cluster FROM cl GROUP BY ALL HAVING bool_and(match_ord % 25 <> 4)"),

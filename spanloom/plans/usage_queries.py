@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanloom.operators import intervals as iv, matches as mt, media, usage as us
+from spanloom.operators import costs as co, intervals as iv, matches as mt, media, usage as us
 from spanloom.plans.inputs import members, segments, table, usage, with_inputs
+from spanloom.sources.checkpoints import cut
 
 _E = ("segments", "members")
 
@@ -62,6 +63,23 @@ def q_joint(spark, d):
     return us.joint_choice(us.estimates(_features(spark, d)))
 
 
+COSTS = co.Rules(lines=20, template_chars=300, context=1, most_window=12, pack=12, gap_s=86400.0, cap_s=432000.0, most_segments=150, penalty=0.5, margin=0.02)
+
+
+def _costs(spark, d):
+    s, m = cut(segments(spark, d)), cut(members(spark, d).where("title <> 'purchase'"))
+    weak = mt.heads(m).where("confidence < 0.3").select("stream_id", "match_ord", F.floor(F.col("match_ord") / 3).alias("cluster"))
+    return co.stage_costs(s, m, weak, iv.uncovered(s, m, 2), COSTS)
+
+
+def q_stage_costs(spark, d):
+    return _costs(spark, d)
+
+
+def q_five_costs(spark, d):
+    return co.joint_choice(_costs(spark, d), COSTS)
+
+
 def q_storm(spark, d):
     return us.storm(members(spark, d), segments(spark, d), least=50, per_hour=0.01, share=0.9)
 
@@ -112,6 +130,7 @@ def q_scan(spark, d):
 
 
 QUERIES = {
+    "m2_stage_costs": q_stage_costs, "m5_five_costs": q_five_costs,
     "a4_a5_usage_totals": q_totals, "a6_usage_report": q_report, "a8_k5_profile_compare": q_profiles, "a11_calibration": q_calibration, "a3_stream_features": q_features, "m1_m2_estimates": q_estimates,
     "m3_heuristic": q_heuristic, "m4_pairwise_choice": q_pairwise, "m5_joint_choice": q_joint, "a20_storm": q_storm, "a13_a15_consistency": q_consistency, "a16_conformance": q_conformance,
     "a17_corrupt_share": q_corrupt, "a21_recovery": q_recovery, "w8_boundary_parts": q_boundary, "a15_duration_ok": q_duration_ok, "a19_scan_plan": q_scan,
@@ -144,7 +163,37 @@ min(row(width * height, part_idx, width, height))[3] AS target_width, min(row(wi
 conf AS (SELECT folder, part_idx, width = target_width AND height = target_height AND abs(fps - target_fps) < 0.01 AS conforms FROM parts JOIN cons USING (folder))"""
 _BAD = "bad AS (SELECT folder, CASE WHEN count(*) = count(duration_s) THEN coalesce(sum(duration_s) FILTER ({0}), 0) END AS bad_s, CASE WHEN count(*) = count(duration_s) THEN coalesce(sum(duration_s) FILTER ({0}), 0) / sum(duration_s) END AS bad_share, count(*) FILTER ({0}) AS bad_parts, count(*) AS parts FROM parts GROUP BY ALL)"
 
+_TPL, _PR = 300, "({0} * 0.0028::DOUBLE + {1} * 0.14::DOUBLE + {2} * 0.28::DOUBLE) / 1e6"
+
+
+def _tok(chars: str) -> str:
+    return f"greatest(1, floor(({chars}) * 0.62::DOUBLE))"
+
+
+_COSTS = f"""lone AS (SELECT * FROM members WHERE title <> 'purchase'), ln AS (SELECT stream_id, idx, sum(length(printf('[%d] (%.1f-%.1f) %s', idx, start_s, end_s, text)) + 1) OVER (PARTITION BY stream_id ORDER BY idx)::BIGINT AS c FROM segments),
+sz AS (SELECT stream_id, count(*) AS segments, max(c) AS whole, max(idx) AS t FROM ln GROUP BY ALL),
+bt AS (SELECT stream_id, 'main' AS kind, min(idx) AS lo, max(idx) AS hi FROM segments GROUP BY stream_id, idx // 20),
+lt AS (SELECT m.*, start_s, end_s, CASE WHEN start_s - lag(end_s) OVER (PARTITION BY stream_id, match_ord ORDER BY idx) > 86400 THEN 1 ELSE 0 END AS cut FROM lone m JOIN segments USING (stream_id, idx)), lp AS (SELECT *, sum(cut) OVER (PARTITION BY stream_id, match_ord ORDER BY idx) AS part FROM lt),
+lg AS (SELECT stream_id, min(idx) AS lo, max(idx) AS hi FROM lp GROUP BY stream_id, match_ord, part HAVING arg_max(end_s, idx) - arg_min(start_s, idx) > 432000),
+wk AS (SELECT stream_id, match_ord // 3 AS cluster, min(lo) AS lo, max(hi) AS hi FROM (SELECT stream_id, match_ord, min(idx) AS lo, max(idx) AS hi, any_value(confidence) AS c FROM lone GROUP BY ALL) WHERE c < 0.3 GROUP BY ALL HAVING max(hi) - min(lo) + 1 <= 12),
+uf AS (SELECT stream_id, idx FROM segments ANTI JOIN lone USING (stream_id, idx)), ur AS (SELECT *, idx - row_number() OVER (PARTITION BY stream_id ORDER BY idx) AS run FROM uf), tg AS (SELECT stream_id, min(idx) AS lo, max(idx) AS hi FROM ur GROUP BY stream_id, run HAVING count(*) >= 2), tk AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY lo, hi) AS k FROM tg),
+pk AS (SELECT stream_id, k, lo, hi, lo AS begin, 0::BIGINT AS w FROM tk WHERE k = 1 UNION ALL SELECT x.stream_id, x.k, x.lo, x.hi, CASE WHEN x.hi - f.begin + 1 <= 12 THEN f.begin ELSE x.lo END, CASE WHEN x.hi - f.begin + 1 <= 12 THEN f.w ELSE f.w + 1 END FROM pk f JOIN tk x ON x.stream_id = f.stream_id AND x.k = f.k + 1),
+wn AS (SELECT stream_id, min(lo) AS lo, max(hi) AS hi FROM pk GROUP BY stream_id, w), lw AS (SELECT w.* FROM wk w ANTI JOIN tg g ON g.stream_id = w.stream_id AND w.lo >= g.lo AND w.hi <= g.hi),
+rq AS (SELECT stream_id, kind, lo, hi FROM bt UNION ALL SELECT stream_id, kind, greatest(0, lo - 1), least(t, hi + 1) FROM (SELECT stream_id, 'overlong' AS kind, lo, hi FROM lg UNION ALL SELECT stream_id, 'local', lo, hi FROM wk UNION ALL SELECT stream_id, 'late', lo, hi FROM lw UNION ALL SELECT stream_id, 'window', lo, hi FROM wn) JOIN sz USING (stream_id)),
+rc AS (SELECT q.stream_id, kind, sum({_PR.format('0', _tok(f'a.c - coalesce(b.c, 0) + {_TPL}'), "CASE kind WHEN 'main' THEN 720 WHEN 'overlong' THEN 360 WHEN 'window' THEN 360 ELSE 420 END")}) AS usd FROM rq q JOIN ln a ON a.stream_id = q.stream_id AND a.idx = q.hi LEFT JOIN ln b ON b.stream_id = q.stream_id AND b.idx = q.lo - 1 GROUP BY ALL),
+rw AS (SELECT stream_id, sum(usd) FILTER (kind = 'main') AS main, sum(usd) FILTER (kind = 'overlong') AS long, sum(usd) FILTER (kind = 'local') AS local, sum(usd) FILTER (kind = 'late') AS late, sum(usd) FILTER (kind = 'window') AS win FROM rc GROUP BY ALL),
+fl AS (SELECT w.stream_id, count(*) * {_PR.format(_tok('any_value(whole)'), _tok(str(_TPL)), '420')} AS usd FROM wk w JOIN sz USING (stream_id) GROUP BY w.stream_id), ll AS (SELECT w.stream_id, count(*) * {_PR.format(_tok('any_value(whole)'), _tok(str(_TPL)), '420')} AS usd FROM lw w JOIN sz USING (stream_id) GROUP BY w.stream_id),
+au AS (SELECT stream_id, {_PR.format(_tok('whole'), _tok(str(_TPL)), '1100')} AS usd FROM sz SEMI JOIN tg USING (stream_id)),
+cs AS (SELECT sz.stream_id, segments, coalesce(main, 0)::DOUBLE AS main_usd, coalesce(long, 0)::DOUBLE AS overlong_usd, coalesce(local, 0)::DOUBLE AS review_local_usd, coalesce(fl.usd, 0)::DOUBLE AS review_full_usd, coalesce(win, 0)::DOUBLE AS missed_windowed_usd, coalesce(au.usd, 0) + CASE WHEN segments > 150 THEN coalesce(win, 0) * 0.5 ELSE 0 END::DOUBLE AS missed_full_transcript_usd,
+  coalesce(local, 0)::DOUBLE AS after_local_windowed_usd, coalesce(fl.usd, 0)::DOUBLE AS after_full_windowed_usd, coalesce(late, 0)::DOUBLE AS after_local_full_transcript_usd, coalesce(ll.usd, 0)::DOUBLE AS after_full_full_transcript_usd
+  FROM sz LEFT JOIN rw ON rw.stream_id = sz.stream_id LEFT JOIN fl ON fl.stream_id = sz.stream_id LEFT JOIN ll ON ll.stream_id = sz.stream_id LEFT JOIN au ON au.stream_id = sz.stream_id),
+op AS (SELECT stream_id, unnest([row(main_usd + review_local_usd + overlong_usd + missed_windowed_usd + after_local_windowed_usd, 0, 'local', 'windowed'), row(main_usd + review_local_usd + overlong_usd + missed_full_transcript_usd + after_local_full_transcript_usd, 1, 'local', 'full_transcript'),
+  row(main_usd + review_full_usd + overlong_usd + missed_windowed_usd + after_full_windowed_usd, 2, 'full', 'windowed'), row(main_usd + review_full_usd + overlong_usd + missed_full_transcript_usd + after_full_full_transcript_usd, 3, 'full', 'full_transcript')]) AS o FROM cs),
+pc AS (SELECT stream_id, min(o) AS b, min(o) FILTER (o[2] = 0) AS s FROM op GROUP BY ALL), pd AS (SELECT *, (s[1] - b[1]) / greatest(s[1], b[1], 1e-9) < 0.02 AS near FROM pc)"""
+
 SQL = {
+    "m2_stage_costs": with_inputs(*_E, more=_COSTS, body="SELECT * FROM cs"),
+    "m5_five_costs": with_inputs(*_E, more=_COSTS, body="SELECT stream_id, CASE WHEN near THEN s[3] ELSE b[3] END AS scope, CASE WHEN near THEN s[4] ELSE b[4] END AS strategy, CASE WHEN near THEN s[1] ELSE b[1] END AS usd, CASE WHEN b[2] = 0 OR NOT near THEN 'cheapest' ELSE 'within_margin' END AS reason FROM pd"),
     "a4_a5_usage_totals": with_inputs("usage", more=f"t AS (SELECT stream_id, phase, {_SUMS} FROM usage GROUP BY ALL)", body=f"SELECT *, {_R}, {_P} AS cost_usd FROM t"),
     "a6_usage_report": with_inputs("usage", more=f"t AS (SELECT phase, content_type, {_SUMS} FROM usage GROUP BY GROUPING SETS ((phase), (content_type), ()))", body=f"SELECT *, {_R} FROM t"),
     "a8_k5_profile_compare": with_inputs("usage", more=_PHASES, body="SELECT *, cost_usd / min(cost_usd) OVER () AS against_best FROM p"),
