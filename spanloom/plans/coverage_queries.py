@@ -38,6 +38,14 @@ def q_chorus(spark, d):
     return parts.groupBy("stream_id", "match_ord", "part").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"))
 
 
+def q_contested(spark, d):
+    """An anchor at every fourth free segment, in an order of their own: many to an island, where earlier ones claim first."""
+    free = iv.uncovered(segments(spark, d), members(spark, d).where("title = 'click'"), 1)
+    anchors = free.select("stream_id", F.explode(F.sequence("lo", "hi")).alias("idx")).where("idx % 4 = 0").select("stream_id", (F.col("idx") * 7919 % 10007).alias("match_ord"), "idx")
+    grown = cv.expand_anchors(anchors, free, members(spark, d).where("title = 'click'"), segments(spark, d), gap_s=1e12, cap_s=1e12)
+    return grown.groupBy("stream_id", "match_ord").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.count("*").alias("n"))
+
+
 def q_boundary_events(spark, d):
     return cv.boundary_events(members(spark, d), segments(spark, d), 10_000.0)
 
@@ -63,7 +71,14 @@ def _paths(spark, d):
 
 def q_streamers(spark, d):
     dictionary = table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("entry_ord"), F.concat(F.lit("S"), "s_suppkey").alias("streamer"), F.lit(0).alias("alias_ord"), F.col("s_name").alias("alias"))
-    return nm.resolve_streamers(_paths(spark, d), dictionary, ratio=False)  # SQL has no sequence ratio; tests hold it against a plain version
+    return nm.resolve_streamers(_paths(spark, d), dictionary, ratio=False)  # SQL has no sequence ratio; the next query has, and tests hold it against a plain version
+
+
+def q_streamers_ratio(spark, d):
+    """The same by likeness of whole names, from misspelt ones."""
+    o = _paths(spark, d).withColumn("texts", F.transform("texts", lambda t: F.regexp_replace(t, "supplier", "suplier")))
+    dictionary = table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("entry_ord"), F.concat(F.lit("S"), "s_suppkey").alias("streamer"), F.lit(0).alias("alias_ord"), F.col("s_name").alias("alias"))
+    return nm.resolve_streamers(o, dictionary)
 
 
 def _search(spark, d):
@@ -109,6 +124,7 @@ def q_renames(spark, d):
 
 
 QUERIES = {
+    "c9_contested_anchors": q_contested, "c26_j13_ratio": q_streamers_ratio,
     "p5_crop": q_crop, "c18_overlong_requests": q_overlong, "c18_replacements": q_replacements, "c19_recheck_windows": q_recheck, "c6_chorus_split": q_chorus, "c8_boundary_events": q_boundary_events, "c9_expand_anchors": q_anchors,
     "c16_review_guard": q_review_guard, "c26_j13_streamers": q_streamers, "f41_query_texts": q_query_texts, "c25_search_evidence": q_evidence, "c25_verify_titles": q_verify, "j14_supported_titles": q_supported, "j15_recover_titles": q_recover, "c27_rename_plan": q_renames,
 }
@@ -128,6 +144,9 @@ w AS (SELECT key, rank, title, list_distinct(list_filter(regexp_split_to_array(l
 l AS (SELECT key, rank, title, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / least(len(a), len(b)) END AS likeness FROM w), ev AS (SELECT * FROM l WHERE likeness >= 0.15 QUALIFY row_number() OVER (PARTITION BY key ORDER BY rank) = 1)"""
 
 SQL = {
+    "c9_contested_anchors": with_inputs(*_E, more="""held AS (SELECT stream_id, idx FROM members WHERE title = 'click'), fs AS (SELECT stream_id, idx, idx - row_number() OVER (PARTITION BY stream_id ORDER BY idx) AS isl FROM segments ANTI JOIN held USING (stream_id, idx)),
+nb AS (SELECT *, CASE WHEN idx % 4 = 0 THEN idx * 7919 % 10007 END AS own, last_value(CASE WHEN idx % 4 = 0 THEN idx * 7919 % 10007 END IGNORE NULLS) OVER (PARTITION BY stream_id, isl ORDER BY idx ROWS UNBOUNDED PRECEDING) AS p, first_value(CASE WHEN idx % 4 = 0 THEN idx * 7919 % 10007 END IGNORE NULLS) OVER (PARTITION BY stream_id, isl ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n FROM fs),
+ow AS (SELECT stream_id, idx, coalesce(own, least(p, n)) AS match_ord FROM nb)""", body="SELECT stream_id, match_ord, min(idx) AS lo, max(idx) AS hi, count(*) AS n FROM ow WHERE match_ord IS NOT NULL GROUP BY ALL"),
     "p5_crop": with_inputs(*_E, more=_FREE, body="SELECT m.stream_id, match_ord, any_value(title) AS title, any_value(confidence) AS confidence, min(idx) AS lo, max(idx) AS hi, count(DISTINCT idx) AS n FROM members m SEMI JOIN gaps g ON g.stream_id = m.stream_id AND m.idx BETWEEN g.lo AND g.hi AND g.n >= 2 GROUP BY m.stream_id, match_ord"),
     "c18_overlong_requests": with_inputs(*_E, more=_hull("members", "o") + ", " + _TOP, body="SELECT stream_id, match_ord, part, greatest(0, lo - 3) AS lo, least(t, hi + 3) AS hi FROM o JOIN top USING (stream_id)"),
     "c18_replacements": with_inputs(*_E, more=_hull("members", "o") + ", nw AS (SELECT * FROM members WHERE match_ord % 5 <> 0 AND (match_ord % 2 = 0 OR idx % 3 = 0)), " + _hull("nw", "s"), body="SELECT DISTINCT stream_id, match_ord, (stream_id, match_ord) IN (SELECT (stream_id, match_ord) FROM nw) AND (stream_id, match_ord) NOT IN (SELECT (stream_id, match_ord) FROM s) AS replace FROM o"),

@@ -30,6 +30,10 @@ def q_residual(spark, d):
     return mt.heads(st.residual_pass(members(spark, d), segments(spark, d), _searched(spark), span=12, cap_s=CAP))
 
 
+def q_residual_merged(spark, d):
+    return mt.heads(st.residual_pass(members(spark, d), segments(spark, d), _searched(spark), span=12, cap_s=CAP, merge_s=GAP))
+
+
 def q_finish(spark, d):
     m = members(spark, d)
     return mt.heads(st.finish_recheck(m.where("match_ord % 3 <> 0"), m.where("match_ord % 3 = 0"), segments(spark, d), gap_s=GAP, cap_s=CAP)).select("stream_id", "title", "lo", "hi", "n")
@@ -64,7 +68,7 @@ def q_first_gap(spark, d):
 
 
 QUERIES = {
-    "c7_normalise": q_normalise, "c14_final_adjudication": q_final, "c15_residual_pass": q_residual, "c19_finish_recheck": q_finish, "v8_candidate_matches": q_candidates,
+    "c7_normalise": q_normalise, "c14_final_adjudication": q_final, "c15_residual_pass": q_residual, "c15_residual_merged": q_residual_merged, "c19_finish_recheck": q_finish, "v8_candidate_matches": q_candidates,
     "w6_words_to_segments": q_words, "l2_search_budget": q_budget, "w9_scan_windows": q_scan, "l4_first_gap": q_first_gap,
 }
 
@@ -100,6 +104,7 @@ SQL = {
     "c7_normalise": with_inputs(*_E, more=_norm(30_000.0) + f", hd AS ({_HEADS.format('norm')})", body="SELECT hd.*, CASE WHEN split OR long THEN array_to_string(list_filter([CASE WHEN long THEN 'over_long' END, CASE WHEN split THEN 'split' END], lambda x: x IS NOT NULL), ',') END AS reasons FROM hd JOIN flag USING (stream_id, match_ord)"),
     "c14_final_adjudication": with_inputs(*_E, more=_norm(CAP) + ", " + _adjudicated("norm", "false"), body=_HEADS.format("won")),
     "c15_residual_pass": with_inputs(*_E, more=_adjudicated("members", "false"), body=_HEADS.format("won")),
+    "c15_residual_merged": with_inputs(*_E, more=_adjudicated("members", "false") + ", " + mq._merge_sql(False).replace("FROM members", "FROM won").replace("JOIN members", "JOIN won"), body=_HEADS.format("merged")),
     "c19_finish_recheck": with_inputs(*_E, more=_BASE + ", " + _norm(CAP, "lists") + ", " + _MERGE, body=f"SELECT stream_id, title, lo, hi, n FROM ({_HEADS.format('merged')})"),
     "v8_candidate_matches": with_inputs(*_E, more=pq._DEC, body="SELECT stream_id, id, '未知歌曲：' || coalesce(nullif(trim(anchor), ''), id) AS title, 'discovery,' || id AS tags, lo, hi FROM cand"),
     "w6_words_to_segments": f"WITH RECURSIVE {_WORDS}, seg AS (SELECT stream_id, o, arg_max(start_s, k) AS start_s, arg_max(end_s, k) AS end_s, arg_max(text, k) AS text FROM fold GROUP BY ALL) SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY start_s, end_s) - 1 AS idx, start_s, end_s, text FROM seg",
