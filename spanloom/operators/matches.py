@@ -164,18 +164,20 @@ def clusters(edges: DataFrame, suspicious: DataFrame, max_rounds: int = 50) -> D
 
 
 def containing(outer: DataFrame, inner: DataFrame) -> DataFrame:
-    """(outer, inner) of distinct keys of which the first contains the second; empty ones are in none.
+    """(outer, inner) of distinct keys of which the first contains the second; the empty one is in all.
 
     They meet by three characters of the second (all, if it has fewer): those that
     the fewest of the first have, so that a common beginning brings no crowd together.
     """
     places = F.sequence(F.lit(1), F.length("key"))
     of_length = lambda n: F.filter(F.transform(places, lambda i: F.substring("key", i, F.lit(n))), lambda g: F.length(g) == n)
+    empty = inner.where("key = ''").select(F.col("key").alias("inner")).distinct()  # one row at most
     some = outer.where("key <> ''").select(F.col("key").alias("outer"), F.explode(F.array_distinct(F.concat(of_length(1), of_length(2), of_length(3)))).alias("gram"))
     own = inner.where("key <> ''").select(F.col("key").alias("inner"), F.explode(F.array_distinct(F.when(F.length("key") < 3, F.array("key")).otherwise(of_length(3)))).alias("gram"))
     rare = own.join(some.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left").groupBy("inner").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
     met = some.join(rare.where("r.n > 0").select("inner", F.col("r.gram").alias("gram")), "gram")
-    return met.where(F.contains("outer", "inner")).select("outer", "inner")
+    found = met.where(F.contains("outer", "inner")).select("outer", "inner")
+    return found.union(outer.select(F.col("key").alias("outer")).crossJoin(F.broadcast(empty)))
 
 
 def select_best(members: DataFrame, cluster: DataFrame, segments: DataFrame, searched: DataFrame, cap_s: float) -> DataFrame:
