@@ -168,10 +168,20 @@ def title_in_results(matches: DataFrame, results: DataFrame) -> DataFrame:
     return matches.join(found, "key", "left").select("key", F.coalesce("supported", F.lit(False)).alias("supported"))
 
 
-def recover_titles(files: DataFrame, titles: DataFrame) -> DataFrame:
-    """Titles of garbled files (folder, stem): the one of the folder whose first four characters the stem holds, else the one of the stem's leading number."""
+def recover_titles(files: DataFrame, titles: DataFrame, *, by_place: bool = False) -> DataFrame:
+    """Titles of garbled files (folder, stem): the one of the folder whose first four characters the stem holds, else the one of the stem's leading number.
+
+    Where a stem holds the beginnings of several titles the first one listed
+    counts, or with by_place the one that stands first in the stem. An empty
+    title has no beginning. They meet by the beginning, not by the folder.
+    """
     bad = files.where(garbled(F.col("stem")))
-    near = bad.join(titles, "folder").where(F.contains(F.col("stem"), F.substring("title", 1, 4))).groupBy("folder", "stem").agg(F.min(F.struct("index", "title"))["title"].alias("near"))
+    places = F.sequence(F.lit(1), F.length("stem"))
+    starts = lambda n: F.filter(F.transform(places, lambda i: F.struct(F.substring("stem", i, F.lit(n)).alias("begin"), i.alias("place"))), lambda x: F.length(x["begin"]) == n)
+    held = bad.select("folder", "stem").distinct().select("folder", "stem", F.inline(F.concat(*map(starts, range(1, 5))))).groupBy("folder", "stem", "begin").agg(F.min("place").alias("place"))
+    first = titles.where("title <> ''").groupBy("folder", F.substring("title", 1, 4).alias("begin")).agg(F.min(F.struct("index", "title")).alias("t"))
+    order = F.struct(F.col("place") if by_place else F.lit(0).alias("place"), "t.index", "t.title")
+    near = held.join(first, ["folder", "begin"]).groupBy("folder", "stem").agg(F.min(order)["title"].alias("near"))
     number = F.regexp_extract("stem", "^([0-9]+)", 1).try_cast("long")
     by_number = titles.select("folder", F.col("index").alias("number"), F.col("title").alias("numbered"))
     return bad.withColumn("number", number).join(by_number, ["folder", "number"], "left").join(near, ["folder", "stem"], "left").select("folder", "stem", F.coalesce("near", "numbered").alias("title"))

@@ -115,7 +115,7 @@ def q_recover(spark, d):
     s = table(spark, d, "supplier")
     titles = s.select((F.col("s_suppkey") % 5).alias("folder"), F.col("s_suppkey").alias("index"), F.concat(F.lpad("s_suppkey", 4, "0"), F.lit(" name")).alias("title"))
     stem = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.col("s_suppkey"), F.lit("-�"))).otherwise(F.concat(F.lit("x"), F.lpad("s_suppkey", 4, "0"), F.lit("�")))
-    return nm.recover_titles(s.where("s_suppkey % 7 <> 0").select((F.col("s_suppkey") % 5).alias("folder"), stem.alias("stem")), titles)
+    return nm.recover_titles(s.where("s_suppkey % 7 <> 0").select((F.col("s_suppkey") % 5).alias("folder"), stem.alias("stem")), titles, by_place=True)
 
 
 def q_renames(spark, d):

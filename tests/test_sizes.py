@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.operators import matches as mt
-from spanloom.sources import readers as rd
+from spanloom.operators import matches as mt, naming as nm
 
 
 def rows(df) -> list[tuple]:
@@ -23,3 +22,12 @@ def test_times_that_overlap_are_no_gap(spark):
     groups = lambda gap: {r.match_ord for r in mt.merge_same_title(members, segments, gap).collect()}
     assert groups(-1.0) == {0, 1}
     assert groups(0.0) == {0}
+
+
+def test_recovered_titles_of_stems_that_hold_several_beginnings(spark):
+    """The first listed counts, or the first in the stem; a folder's files and titles are not paired."""
+    titles = spark.createDataFrame([(0, 1, "2345 b"), (0, 2, "1234 a"), (0, 3, ""), (0, 4, "ab"), (0, 9, "nine"), (1, 5, "1234 other")], "folder int, index long, title string")
+    files = spark.createDataFrame([(0, "12345-\ufffd"), (0, "x1234\ufffd"), (0, "9-\ufffd"), (0, "7 ab\ufffd"), (0, "7-\ufffd"), (0, "12345")], "folder int, stem string")
+    listed = {"x1234\ufffd": "1234 a", "9-\ufffd": "nine", "7 ab\ufffd": "ab", "7-\ufffd": None, "12345-\ufffd": "2345 b"}
+    assert {r.stem: r.title for r in nm.recover_titles(files, titles).collect()} == listed
+    assert {r.stem: r.title for r in nm.recover_titles(files, titles, by_place=True).collect()} == listed | {"12345-\ufffd": "1234 a"}
