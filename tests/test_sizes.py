@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.operators import matches as mt, naming as nm
+from spanloom.sources import readers as rd
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def rows(df) -> list[tuple]:
@@ -31,3 +36,19 @@ def test_recovered_titles_of_stems_that_hold_several_beginnings(spark):
     listed = {"x1234\ufffd": "1234 a", "9-\ufffd": "nine", "7 ab\ufffd": "ab", "7-\ufffd": None, "12345-\ufffd": "2345 b"}
     assert {r.stem: r.title for r in nm.recover_titles(files, titles).collect()} == listed
     assert {r.stem: r.title for r in nm.recover_titles(files, titles, by_place=True).collect()} == listed | {"12345-\ufffd": "1234 a"}
+
+
+def test_rebased_numbers_through_all_chunks_without_a_window(spark):
+    chunk = "array<struct<chunk:long,from_s:double,segments:array<struct<idx:long,start_s:double,end_s:double,text:string>>>>"
+    lists = [(1, [(1, 10.0, [(1, 4.0, 5.0, "d"), (0, 0.0, 3.0, "c")]), (0, 0.0, [(0, 1.0, 2.0, "a"), (3, 2.0, 9.0, "b")])]), (2, [(0, 0.0, []), (1, 10.0, [(0, 0.5, 1.0, "e")])])]
+    got = rd.rebased(spark.createDataFrame(lists, f"stream_id long, chunks {chunk}"))
+    assert rows(got) == [(1, 0, 1.0, 2.0, "a"), (1, 1, 2.0, 9.0, "b"), (1, 2, 10.0, 13.0, "c"), (1, 3, 14.0, 15.0, "d"), (2, 0, 10.5, 11.0, "e")]
+    grid = spark.createDataFrame([(s, c, c * 10.0) for s in (1, 2) for c in (0, 1)], "stream_id long, chunk long, from_s double")
+    flat = spark.createDataFrame([(s, c, *x) for s, cs in lists for c, _, xs in cs for x in xs], "stream_id long, chunk long, idx long, start_s double, end_s double, text string")
+    assert rows(rd.rebase(flat, grid)) == rows(got)
+    assert "Window" not in plan_of(got) and "Exchange" not in plan_of(got)
+
+
+def test_chunks_begin_every_so_many_seconds(spark):
+    got = spark.range(1).select(F.explode(rd.chunk_starts(F.lit(21.0), 10.0)).alias("c")).select("c.*")
+    assert rows(got) == [(0, 0.0), (1, 10.0), (2, 20.0)]
