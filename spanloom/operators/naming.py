@@ -42,10 +42,21 @@ def similarity(a: Column, b: Column, *, ratio: bool = True) -> Column:
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(inside, F.greatest(F.lit(0.92), rest)).otherwise(rest)
 
 
-def _grams(text: Column) -> Column:
-    """Pairs of characters, and single ones of texts of up to three. Texts as like as LEAST_LIKENESS, or of which one holds the other and is not much shorter, share one."""
+def _all_grams(text: Column) -> Column:
+    """Pairs of characters, as often as they occur, and single ones of texts of up to three."""
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(2)))
-    return F.array_distinct(F.when(F.length(text) <= 3, F.concat(pairs, F.split(text, ""))).otherwise(pairs))
+    return F.when(F.length(text) <= 3, F.concat(pairs, F.split(text, ""))).otherwise(pairs)
+
+
+def _grams(text: Column) -> Column:
+    """The same, each once. Texts as like as LEAST_LIKENESS, or of which one holds the other and is not much shorter, share one."""
+    return F.array_distinct(_all_grams(text))
+
+
+def _may_be_like(a: Column, b: Column) -> Column:
+    """False only for texts whose ratio is below LEAST_LIKENESS by the characters that one lacks altogether, and neither of which holds the other."""
+    shared = F.least(F.length(a) - F.length(F.call_function("translate", a, b, F.lit(""))), F.length(b) - F.length(F.call_function("translate", b, a, F.lit(""))))
+    return (2.0 * shared / (F.length(a) + F.length(b)) >= LEAST_LIKENESS) | F.contains(a, b) | F.contains(b, a)
 
 
 def resolve_streamers(paths: DataFrame, dictionary: DataFrame, *, threshold: float = LEAST_LIKENESS, ratio: bool = True, fallback: str = "unknown") -> DataFrame:
@@ -61,8 +72,15 @@ def resolve_streamers(paths: DataFrame, dictionary: DataFrame, *, threshold: flo
     texts = paths.select("key", F.posexplode("texts").alias("text_ord", "text"))
     forms = texts.select("text").distinct().withColumn("t", match_text(F.col("text")))
     names = dictionary.select("alias").distinct().withColumn("a", match_text(F.col("alias")))
-    by_gram = lambda df, c: df.select(c).where(F.col(c) != "").distinct().select(c, F.explode(_grams(F.col(c))).alias("gram")).where("gram <> ''")
-    met = by_gram(forms, "t").join(by_gram(names, "a"), "gram").select("t", "a").distinct()
+    # A text of n characters and an alias of likeness LEAST_LIKENESS, or of which one holds the other, share n / 3 - 1 of the
+    # text's n - 1 pairs at least, so one of any n - that many; those that the fewest aliases hold are looked up.
+    some = names.select("a").where("a <> ''").distinct().select("a", F.explode(_grams(F.col("a"))).alias("gram")).where("gram <> ''")
+    held = F.coalesce("n", F.lit(0))
+    asked = forms.select("t").where("t <> ''").distinct().select("t", F.explode(_all_grams(F.col("t"))).alias("gram")).where("gram <> ''")
+    asked = asked.join(some.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left").withColumn("k", F.row_number().over(Window.partitionBy("t").orderBy(held, "gram")))
+    few = F.length("t") - F.greatest(F.lit(1), F.ceil(F.length("t") / 3.0 - 1.000001))
+    asked = asked.where((F.length("t") <= 3) | (F.col("k") <= few)).where("n > 0").select("t", "gram").distinct()
+    met = asked.join(some, "gram").select("t", "a").where(_may_be_like(F.col("a"), F.col("t"))).distinct()
     scores = met.withColumn("score", similarity(F.col("a"), F.col("t"), ratio=ratio))
     entries = dictionary.join(names, "alias").select("a", "entry_ord", "alias_ord", "streamer")
     order = F.struct("score", (-F.col("entry_ord")).alias("e"), (-F.col("alias_ord")).alias("l"), "streamer")

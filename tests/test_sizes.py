@@ -65,3 +65,33 @@ def test_logs_and_transcripts_take_few_files(spark, tmp_path, monkeypatch):
     files = lambda name: [p for p in (tmp_path / name).rglob("*") if p.is_file() and p.name.startswith("part-")]
     assert len(files("logs")) <= 2 * io.FOLDERS
     assert len(files("transcripts")) < 100
+
+
+def test_pairs_that_cannot_be_like_are_not_scored(spark):
+    """The bound lets pass whatever the ratio or containment would find, and the best alias stays that of all pairs."""
+    import difflib
+    import random
+
+    rng = random.Random(5)
+    names = [f"supplier#{k:05d}" for k in range(40)] + ["abcdefgh", "ab", "abc", "live2"]
+    texts = ["".join(c for c in rng.choice(names) if rng.random() > 0.1) or "q" for _ in range(80)] + ["live19960102", "xsupplier#00007", "none"]
+    pairs = spark.createDataFrame([(a, b) for a in names for b in texts], "a string, b string").withColumn("may", nm._may_be_like(F.col("a"), F.col("b")))
+    refused = [r for r in pairs.collect() if not r.may]
+    assert any(r.b == "live19960102" for r in refused) and all(difflib.SequenceMatcher(None, r.a, r.b).ratio() < 0.8 for r in refused)
+    dictionary = spark.createDataFrame([(k, f"S{k}", 0, a) for k, a in enumerate(names)], "entry_ord long, streamer string, alias_ord int, alias string")
+    paths = spark.createDataFrame([(k, [t]) for k, t in enumerate(texts)], "key long, texts array<string>")
+    folded = {t: r.t for t, r in zip(texts, spark.createDataFrame([(t,) for t in texts], "x string").select(nm.match_text(F.col("x")).alias("t")).collect())}
+
+    def likeness(a, b):
+        inside = (a in b or b in a) and min(len(a), len(b)) / max(len(a), len(b)) >= 0.45
+        ratio = difflib.SequenceMatcher(None, a, b).ratio()
+        return 1.0 if a == b else max(0.92, ratio) if inside else ratio
+
+    aliases = [r.t for r in spark.createDataFrame([(a,) for a in names], "x string").select(nm.match_text(F.col("x")).alias("t")).collect()]
+    got = {r.key: (r.streamer, r.score) for r in nm.resolve_streamers(paths, dictionary).collect()}
+    for k, t in enumerate(texts):
+        score, entry = max((likeness(a, folded[t]), -e) for e, a in enumerate(aliases))
+        if score >= 0.8:
+            assert got[k] == (f"S{-entry}", score)
+        else:
+            assert got[k][0] == "unknown"
