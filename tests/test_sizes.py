@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from spanloom.operators import matches as mt, naming as nm
+from spanloom.operators.components import components_within
 from spanloom.plans import io_queries as io
 from spanloom.sources import readers as rd
+from spanloom.sources.checkpoints import by_stream
 
 
 def plan_of(df) -> str:
@@ -95,3 +99,22 @@ def test_pairs_that_cannot_be_like_are_not_scored(spark):
             assert got[k] == (f"S{-entry}", score)
         else:
             assert got[k][0] == "unknown"
+
+
+def keys_of_moves(df) -> set[str]:
+    """By which columns rows are dealt in the plan."""
+    return set(re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", re.sub(r"#\d+L?", "", plan_of(df))))
+
+
+def test_what_is_kept_by_stream_is_dealt_once(spark):
+    members = by_stream(spark.createDataFrame([(s, m, f"t{m % 2}", 0.5, m + k) for s in (1, 2) for m in range(8) for k in range(3)], "stream_id long, match_ord long, title string, confidence double, idx long"))
+    for df in (mt.heads(members), mt.drop_duplicates(members).groupBy("stream_id").count()):
+        assert "stream_id" in keys_of_moves(df)
+    assert keys_of_moves(mt.heads(members)) == {"stream_id"}
+
+
+def test_clusters_stay_within_their_stream(spark):
+    edges = spark.createDataFrame([(1, 3, 1), (1, 3, 4), (2, 4, 5), (2, 5, 5), (3, 9, 8), (3, 8, 7)], "stream_id long, a long, b long")
+    got = components_within(edges, "stream_id")
+    assert rows(got) == [(1, 1, 1), (1, 3, 1), (1, 4, 1), (2, 4, 4), (2, 5, 4), (3, 7, 7), (3, 8, 7), (3, 9, 7)]
+    assert keys_of_moves(got) == {"stream_id"}
