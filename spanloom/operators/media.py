@@ -13,10 +13,11 @@ SHAPE = ("codec", "width", "height", "fps")
 
 
 def consistency(parts: DataFrame) -> DataFrame:
-    """By folder: whether all parts are probed and alike, their expected duration, and the target shape (that of the smallest picture, with the lowest rate)."""
+    """By folder: whether all parts are probed and alike (the least and the greatest value of a column are one, so that no row is multiplied), their expected duration, and the target shape (that of the smallest picture, with the lowest rate)."""
     alike = F.lit(True)
     for c in SHAPE:
-        alike = alike & (F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit("-"))) <= 1)
+        value = F.coalesce(F.col(c).cast("string"), F.lit("-"))
+        alike = alike & (F.min(value) == F.max(value))
     least = F.min(F.when(F.col("width").isNotNull() & F.col("height").isNotNull(), F.struct((F.col("width") * F.col("height")).alias("area"), "part_idx", "width", "height")))
     return parts.groupBy("folder").agg(
         F.count("*").alias("parts"), (F.bool_and("probe_ok") & alike).alias("direct_copy"), F.when(F.count_if(F.col("duration_s").isNull()) == 0, F.sum("duration_s")).alias("expected_s"),
