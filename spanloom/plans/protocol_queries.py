@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.operators import intervals as iv, matches as mt, protocol as pr, responses as rs
-from spanloom.plans.inputs import members, segments, with_inputs
+from spanloom.plans.inputs import both, members, segments, with_inputs
+from spanloom.sources.checkpoints import dealt
 
 _E = ("segments", "members")
 
@@ -14,13 +15,17 @@ def _rare(spark, d):
     return members(spark, d).where(F.col("title").isin("click", "purchase"))
 
 
-def _raw(spark, d):
+def raw_ranges(rows):
     """Candidate ranges as an annotator gives them: every fourth object repeats the one before, some run past the end."""
-    runs = iv.index_ranges(_rare(spark, d), ["stream_id", "match_ord"])
+    runs = iv.index_ranges(rows.where(F.col("title").isin("click", "purchase")), ["stream_id", "match_ord"])
     own = runs.select("stream_id", (F.col("match_ord") * 2).alias("obj"), F.col("lo"), F.when(F.col("match_ord") % 9 == 0, F.col("hi") + 1000).otherwise(F.col("hi")).alias("hi"), F.lit(0.8).alias("confidence"), F.concat(F.lit(" a"), F.col("match_ord")).alias("anchor"))
     return own.union(own.where("obj % 4 = 0").withColumn("obj", F.col("obj") + 1))
 
 
+def _raw(spark, d):
+    return raw_ranges(members(spark, d))
+
+
 def q_discovery(spark, d):
     c = pr.discovery(_raw(spark, d), segments(spark, d))
     return c.select("stream_id", "obj", "id", "anchor", "confidence", F.array_join(F.transform("ranges", lambda r: F.concat_ws("-", r["lo"], r["hi"])), ",").alias("ranges"))
@@ -53,13 +58,21 @@ def q_recall_reason(spark, d):
 
 
 def _candidates(spark, d):
-    c = pr.discovery(_raw(spark, d), segments(spark, d))
+    return _candidates_of(members(spark, d), segments(spark, d))
+
+
+def _candidates_of(rows, segs):
+    c = pr.discovery(raw_ranges(rows), segs)
     return c.select("stream_id", "id", F.when(F.col("obj") % 3 == 0, "").otherwise(F.col("anchor")).alias("anchor"), F.get("ranges", 0)["lo"].alias("lo"), F.get("ranges", 0)["hi"].alias("hi"))
 
 
 def _decisions(spark, d):
+    return _decisions_of(_candidates(spark, d))
+
+
+def _decisions_of(candidates):
     """One decision for each candidate, by turns; some streams break a rule."""
-    c = _candidates(spark, d).withColumn("dec", F.substring("id", 2, 9).cast("long")).withColumn("s", F.col("stream_id") % 6)
+    c = candidates.withColumn("dec", F.substring("id", 2, 9).cast("long")).withColumn("s", F.col("stream_id") % 6)
     action = F.when((F.col("s") == 1) & (F.col("dec") == 3), "guess").when(F.col("dec") % 5 == 0, "reject").otherwise("accept")
     ident = F.when((F.col("s") == 2) & (F.col("dec") == 2), "P998").when((F.col("s") == 3) & (F.col("dec") == 4), "P001").otherwise(F.col("id"))
     bare = ((F.col("dec") % 5 == 0) & (F.col("s") != 4)) | ((F.col("s") == 5) & (F.col("dec") == 1))
@@ -76,16 +89,23 @@ def q_apply(spark, d):
 
 
 def _additions(spark, d):
+    return _additions_of(_targets(spark, d))
+
+
+def _additions_of(targets):
     """Additions in uncovered ranges, six segments to each; in odd streams a range's evidence is its first segment alone."""
-    t = _targets(spark, d).select("stream_id", F.floor(F.col("lo") / 6).alias("add"), "lo", "hi", (F.col("stream_id") % 5 != 0).alias("final_discovery"), F.lit(0.7).alias("confidence"))
+    t = targets.select("stream_id", F.floor(F.col("lo") / 6).alias("add"), "lo", "hi", (F.col("stream_id") % 5 != 0).alias("final_discovery"), F.lit(0.7).alias("confidence"))
     t = t.withColumn("anchor", F.when(F.col("add") % 2 == 0, F.concat(F.lit(" t"), "add")))
     shown = F.when(F.col("stream_id") % 2 == 0, F.least(F.col("lo") + 1, "hi")).otherwise(F.col("lo"))
     return t.withColumn("kind", F.lit("final")).unionByName(t.withColumn("hi", shown).withColumn("kind", F.lit("evidence")))
 
 
 def q_additions_reason(spark, d):
-    complete = segments(spark, d).select("stream_id").distinct().withColumn("complete", F.col("stream_id") % 13 != 0)
-    return pr.adjudication_reason(_decisions(spark, d), _candidates(spark, d), _additions(spark, d), segments(spark, d), complete)
+    rows, segs = both(spark, d)
+    candidates = dealt(_candidates_of(rows, segs))
+    targets = dealt(pr.recall_targets(segs, rows.where(F.col("title").isin("click", "purchase")), 0))
+    complete = segs.select("stream_id").distinct().withColumn("complete", F.col("stream_id") % 13 != 0)
+    return dealt(pr.adjudication_reason(_decisions_of(candidates), candidates, _additions_of(targets), segs, complete))
 
 
 def q_apply_additions(spark, d):
