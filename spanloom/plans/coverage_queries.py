@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.operators import coverage as cv, intervals as iv, matches as mt, naming as nm
-from spanloom.plans.inputs import members, segments, table, with_inputs
+from spanloom.plans.inputs import both, members, segments, table, with_inputs
+from spanloom.sources.checkpoints import dealt
 
 _E = ("segments", "members")
 GAP, CAP = 86400.0, 30_000.0
@@ -40,9 +41,11 @@ def q_chorus(spark, d):
 
 def q_contested(spark, d):
     """An anchor at every fourth free segment, in an order of their own: many to an island, where earlier ones claim first."""
-    free = iv.uncovered(segments(spark, d), members(spark, d).where("title = 'click'"), 1)
+    rows, segs = both(spark, d)
+    held = rows.where("title = 'click'")
+    free = dealt(iv.uncovered(segs, held, 1))
     anchors = free.select("stream_id", F.explode(F.sequence("lo", "hi")).alias("idx")).where("idx % 4 = 0").select("stream_id", (F.col("idx") * 7919 % 10007).alias("match_ord"), "idx")
-    grown = cv.expand_anchors(anchors, free, members(spark, d).where("title = 'click'"), segments(spark, d), gap_s=1e12, cap_s=1e12)
+    grown = dealt(cv.expand_anchors(anchors, free, held, segs, gap_s=1e12, cap_s=1e12))
     return grown.groupBy("stream_id", "match_ord").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.count("*").alias("n"))
 
 
