@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from spanloom.operators import costs as co, intervals as iv, matches as mt, media, usage as us
 from spanloom.plans.inputs import members, segments, table, usage, with_inputs
-from spanloom.sources.checkpoints import cut
+from spanloom.sources.checkpoints import cut, dealt
 
 _E = ("segments", "members")
 
@@ -110,8 +110,8 @@ def q_corrupt(spark, d):
 
 
 def q_recovery(spark, d):
-    p = parts(spark, d)
-    return media.recovery(p, p.where("part_idx % 5 = 1 and folder % 2 = 0"))
+    p = dealt(parts(spark, d), "folder")
+    return dealt(media.recovery(p, p.where("part_idx % 5 = 1 and folder % 2 = 0")), "folder")
 
 
 def q_boundary(spark, d):
