@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from spanloom.operators import intervals as iv, matches as mt, naming as nm, protocol as pr, stages as st
 from spanloom.operators.intervals import MATCH
-from spanloom.sources.checkpoints import cut
+from spanloom.sources.checkpoints import dealt
 
 CARRY = ("tags", "snippet")
 
@@ -82,18 +82,18 @@ def candidates(answers: Answers, segments: DataFrame, rules: Rules) -> tuple[Dat
     said = streams.join(answers.discovery, "stream_id", "left").withColumn("complete", F.coalesce("complete", F.lit(False))).withColumn("raw_objects", F.coalesce("raw_objects", F.lit(0)))
     discovery_error = pr.discovery_reason(said, found).withColumnRenamed("reason", "discovery_error")
     first = found.join(discovery_error.where("discovery_error is null"), "stream_id").select("stream_id", "id", F.lit("precision_discovery").alias("source"), "anchor", "confidence", F.explode("ranges").alias("r"))
-    first = cut(first.select("stream_id", "id", "source", "anchor", "confidence", "r.lo", "r.hi"))
+    first = dealt(first.select("stream_id", "id", "source", "anchor", "confidence", "r.lo", "r.hi"))
 
     covered = first.select("stream_id", F.explode(F.sequence("lo", "hi")).alias("idx"))
     going = discovery_error.where("discovery_error is null").select("stream_id")
-    targets = cut(pr.recall_targets(segments.join(going, "stream_id", "left_semi"), covered, rules.least_s))
+    targets = dealt(pr.recall_targets(segments.join(going, "stream_id", "left_semi"), covered, rules.least_s))
     bad = pr.recall_reason(answers.anchors, targets)
     whole = streams.join(answers.recall, "stream_id", "left").join(bad, "stream_id", "left")
     recall_error = whole.select("stream_id", F.when(~F.coalesce("complete", F.lit(False)), "recall_incomplete").otherwise(F.col("reason")).alias("recall_error"))
     good = answers.anchors.join(recall_error.where("recall_error is null"), "stream_id", "left_semi")
     text = good.select("stream_id", "obj", F.substring(F.trim(F.coalesce("anchor", F.lit(""))), 1, 200).alias("anchor")).groupBy("stream_id", "obj").agg(F.min("anchor").alias("anchor"))
     second = pr.recall_anchors(good, targets).join(text, ["stream_id", "obj"]).select("stream_id", "id", F.lit("recall_audit").alias("source"), "anchor", "confidence", "lo", "hi")
-    return cut(first.union(second)), targets, discovery_error.join(recall_error, "stream_id")
+    return dealt(first.union(second)), targets, discovery_error.join(recall_error, "stream_id")
 
 
 def _adjudicated(answers: Answers, segments: DataFrame, every: DataFrame, rules: Rules) -> DataFrame:
@@ -134,11 +134,11 @@ def three_round_run(segments: DataFrame, answers: Answers, rules: Rules = Rules(
         answers.decisions.join(live, "stream_id", "left_semi"), every, answers.additions.join(live, "stream_id", "left_semi") if rules.allow_additions else None, segments, None, most_additions=rules.most_additions
     )
     whole = live.join(answers.adjudication, "stream_id", "left").join(reason, "stream_id", "left")
-    verdict = cut(whole.select("stream_id", F.when(~F.coalesce("complete", F.lit(False)), "incomplete").otherwise(F.col("reason")).alias("adjudication_error")))
+    verdict = dealt(whole.select("stream_id", F.when(~F.coalesce("complete", F.lit(False)), "incomplete").otherwise(F.col("reason")).alias("adjudication_error")))
     decided, open_ = verdict.where("adjudication_error is null").select("stream_id"), verdict.where("adjudication_error is not null").select("stream_id")
     of = lambda df: df.join(decided, "stream_id", "left_semi")
     told = answers._replace(decisions=of(answers.decisions), additions=of(answers.additions))
-    members = cut(_adjudicated(told, segments, every, rules).unionByName(_provisional(every.join(open_, "stream_id", "left_semi"))))
+    members = dealt(_adjudicated(told, segments, every, rules).unionByName(_provisional(every.join(open_, "stream_id", "left_semi"))))
 
     repaired = st.boundary_risk(members, segments, gap_s=rules.gap_s, cap_s=rules.cap_s, risk=rules.risk, chorus=rules.chorus, merge_neighbours=rules.merge_neighbours, carry=CARRY)
     if searched is None:
@@ -146,7 +146,7 @@ def three_round_run(segments: DataFrame, answers: Answers, rules: Rules = Rules(
     final = st.final_adjudication(repaired.members, segments, searched, gap_s=rules.gap_s, span=rules.span, cap_s=rules.cap_s, chorus=rules.chorus, carry=CARRY)
     extra = final.groupBy(*MATCH).agg(F.first("tags").alias("tags"), F.first("snippet").alias("snippet"))
     order = F.row_number().over(Window.partitionBy("stream_id").orderBy("lo", "match_ord")) - 1
-    heads = cut(mt.heads(final).join(extra, MATCH).withColumn("place", order.cast("long")))
+    heads = dealt(mt.heads(final).join(extra, MATCH).withColumn("place", order.cast("long")))
     matches = heads.select("stream_id", F.col("place").alias("match_ord"), "title", F.lit("").alias("artist"), "tags", "confidence", "snippet", "lo", "hi", "n")
     rows = final.join(heads.select(*MATCH, "place"), MATCH).select("stream_id", F.col("place").alias("match_ord"), "idx")
     searches = None

@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 from spanloom.functions.scalars import HAN_HEAD, HAN_TAIL, PAGE_TAILS, SITE_TAILS, page_title
 from spanloom.operators import matches as mt, naming as nm, protocol as pr, rounds as rd, stages as st
 from spanloom.plans import match_queries as mq, protocol_queries as pq, stage_queries as sq
-from spanloom.plans.inputs import members, segments, table, with_inputs
-from spanloom.sources.checkpoints import cut
+from spanloom.plans.inputs import both, members, segments, table, with_inputs
+from spanloom.sources.checkpoints import dealt
 
 _E = ("segments", "members")
 RULES = rd.Rules(gap_s=mq.GAP, cap_s=mq.SOFT_MAX, span=12, risk={"soft_min": mq.SOFT_MIN, "soft_max": mq.SOFT_MAX, "gap": mq.RISK_GAP})
 
 
-def _answers(spark, d, segs):
+def _answers(rows, segs):
     """Answers of which some are incomplete or break a rule, by the stream's number."""
-    ranges = cut(pq._raw(spark, d))
+    ranges = dealt(pq.raw_ranges(rows))
     streams, s = segs.select("stream_id").distinct(), F.col("stream_id")
     said = streams.select(s, (s % 7 != 0).alias("complete"), (s % 3).alias("raw_objects"))
     covered = pr.discovery(ranges, segs).select("stream_id", F.explode("ranges").alias("r")).select("stream_id", F.explode(F.sequence("r.lo", "r.hi")).alias("idx"))
-    targets = pr.recall_targets(segs, covered).withColumn("obj", F.substring("target", 2, 9).cast("long"))
+    targets = dealt(pr.recall_targets(segs, covered).withColumn("obj", F.substring("target", 2, 9).cast("long")))
     o = F.col("obj")
     anchors = targets.select(
         "stream_id", "obj", F.when((s % 10 == 3) & (o == 2), "U999").otherwise(F.col("target")).alias("target"), "lo", (F.least("hi", F.col("lo") + 2) + F.when((s % 10 == 5) & (o == 1), 1000).otherwise(0)).alias("hi"), F.lit(0.7).alias("confidence"),
@@ -31,21 +31,21 @@ def _answers(spark, d, segs):
     additions = extra.withColumn("hi", F.least("hi", F.col("lo") + 3)).withColumn("kind", F.lit("final")).unionByName(extra.withColumn("hi", F.least("hi", F.col("lo") + 1)).withColumn("kind", F.lit("evidence")))
     adjudication = streams.select(s, (s % 13 != 0).alias("complete"))
     some = rd.Answers(ranges, said, anchors, recall, None, additions, adjudication)
-    every, _, _ = rd.candidates(some, segs, RULES)  # checkpointed there
+    every, _, _ = rd.candidates(some, segs, RULES)  # kept there
     dec = F.substring("id", 2, 9).cast("long") + F.when(F.startswith(F.col("id"), F.lit("R")), 1000).otherwise(0)
     rows = every.withColumn("dec", dec).where("not (stream_id % 12 = 0 and dec = 1)")
     action = F.when((s % 6 == 1) & (F.col("dec") == 3), "guess").when(F.col("dec") % 5 == 0, "reject").otherwise("accept")
     drawn = lambda c: F.when(F.col("dec") % 5 != 0, F.col(c)).alias(c)
-    return some._replace(anchors=cut(anchors), additions=cut(additions), decisions=rows.select("stream_id", "dec", action.alias("action"), "id", drawn("lo"), drawn("hi"), F.lit(0.9).alias("confidence")))
+    return some._replace(anchors=dealt(anchors), additions=dealt(additions), decisions=rows.select("stream_id", "dec", action.alias("action"), "id", drawn("lo"), drawn("hi"), F.lit(0.9).alias("confidence")))
 
 
 def _run(spark, d, **more):
-    segs = cut(segments(spark, d))
-    return rd.three_round_run(segs, _answers(spark, d, segs), RULES, searched=sq._searched(spark), **more)
+    rows, segs = both(spark, d)
+    return rd.three_round_run(segs, _answers(rows, segs), RULES, searched=sq._searched(spark), **more)
 
 
 def q_rounds(spark, d):
-    return _run(spark, d).audit
+    return dealt(_run(spark, d).audit)
 
 
 def q_matches(spark, d):
@@ -53,15 +53,16 @@ def q_matches(spark, d):
 
 
 def _repair(spark, d, **more):
-    return st.boundary_risk(members(spark, d).where("title <> 'view' or match_ord % 2 = 0"), segments(spark, d), gap_s=mq.GAP, cap_s=mq.SOFT_MAX / 2, risk=RULES.risk, **more)
+    rows, segs = both(spark, d)
+    return st.boundary_risk(rows.where("title <> 'view' or match_ord % 2 = 0"), segs, gap_s=mq.GAP, cap_s=mq.SOFT_MAX / 2, risk=RULES.risk, **more)
 
 
 def q_boundary_risk(spark, d):
-    return _repair(spark, d).records.select("stream_id", "match_ord", "title", "score", "action")
+    return dealt(_repair(spark, d).records.select("stream_id", "match_ord", "title", "score", "action"))
 
 
 def q_boundary_events(spark, d):
-    return _repair(spark, d).events
+    return dealt(_repair(spark, d).events)
 
 
 def q_chorus(spark, d):
