@@ -1,5 +1,5 @@
 """Connected components, shared with the operators."""
 
-from spanloom.operators.components import components
+from spanloom.operators.components import components, parents
 
-__all__ = ["components"]
+__all__ = ["components", "parents"]

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.components import components
+from spanloom.llm.components import parents
 from spanloom.llm.shared import Memory, by_batch, cut, partitions, sliced, stored, table
 
 COORDINATES = 64
@@ -255,13 +255,15 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """
     threshold = percent / 100
     floor = threshold - 3.3 * (threshold * (1 - threshold) / COORDINATES) ** 0.5
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
+    spark, rows = docs.sparkSession, docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
     described = stored(rows.mapInArrow(_describe(words), "id long, n long, digest binary, sig binary"), "shingles")
     valid = described.where("digest is not null and id is not null")
     classes = stored(valid.groupBy("digest").agg(F.min("id").alias("cls"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes").select("cls", "n", "sig", "digest")
     at_class = classes.select("cls", "n", "sig")
     twice = valid.groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("id")
-    same_key = cut(valid.join(twice, "id", "left_semi").join(classes.select("digest", "cls"), "digest").select(F.col("id").alias("a"), F.col("cls").alias("b")))
+    same_key = spark.createDataFrame([], "a long, b long")
+    if twice.take(1):
+        same_key = cut(valid.join(twice, "id", "left_semi").join(classes.select("digest", "cls"), "digest").select(F.col("id").alias("a"), F.col("cls").alias("b")))
 
     roots = at_class.select(F.explode(F.sequence(F.lit(1).cast("long"), F.lit(trees).cast("long"))).alias("node"), "cls", "sig")
     level = roots.mapInArrow(_branch(threshold, 1, seed), "node long, cls long").withColumn("comp", F.col("cls"))
@@ -320,7 +322,8 @@ def _links_in_large(left: DataFrame, texts: DataFrame, words: int, percent: int,
 
 
 def _with_links(comps: DataFrame, links: DataFrame) -> DataFrame:
-    return components(links.union(comps.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    """Components (node, component) of all nodes but the smallest of each, with the links added."""
+    return parents(links.union(comps.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
 def _star_pairs(large: DataFrame, floor: float, pivots: int = 24) -> DataFrame:
@@ -351,7 +354,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, comps: DataFrame, words: int,
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     comps = _with_links(comps, confirm_links(first, texts, words=words, percent=percent))
     side = {s: comps.select(F.col("node").alias(s), F.col("component").alias(f"c{s}")) for s in "ab"}
-    apart = pairs.join(first, ["a", "b"], "left_anti").join(side["a"], "a", "left").join(side["b"], "b", "left")
+    others = pairs.join(first.withColumnRenamed("a", "least"), "b").where("a <> least")
+    apart = others.join(side["b"], "b", "left").join(side["a"], "a", "left")
     rest = cut(apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
     if not rest.take(1):
         return comps

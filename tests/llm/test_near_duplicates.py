@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 
 from spanloom.llm import components, embeddings, minhash
+from spanloom.operators import components as operators_components
 
 
 def _roots(n, links):
@@ -49,6 +50,20 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_odd_graphs_in_few_shuffles(spark):
+    rng = random.Random(4)
+    graphs = [[(rng.randrange(600), rng.randrange(600)) for _ in range(n)] for n in (100, 300, 700)]
+    graphs += [[(999, i) for i in range(400)], [(0, i) for i in range(1, 400)] * 2, [(i, (i * 7 + 1) % 500) for i in range(500)]]
+    for links in graphs:
+        edges = spark.createDataFrame(links, "a long, b long").repartition(7)
+        root = _roots(1000, links)
+        for block in (10, 250_000):
+            got = components.parents(edges, block=block).collect()
+            assert sorted(map(tuple, got)) == [(i, r) for i, r in enumerate(root) if i != r]
+    plan = operators_components._star_steps(edges)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3
+
+
 def test_minhash_against_all_pairs(spark):
     rng = random.Random(1)
     words = [f"w{i}" for i in range(500)]
