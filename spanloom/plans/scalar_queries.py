@@ -84,8 +84,8 @@ LOGS = (
 def q_tool_logs(spark, d):
     text = F.element_at(F.array(*map(F.lit, LOGS)), (F.col("doc_id") % len(LOGS) + 1).cast("int"))
     rows = table(spark, d, "documents").select("doc_id", F.concat_ws("\n", "text", text).alias("t"))
-    problems = sc.log_problems(F.col("t"))
-    return rows.select("doc_id", F.when(F.size(problems) > 0, F.array_join(problems, ", ")).otherwise("unknown/other").alias("summary"), sc.log_segments(F.col("t")).alias("segments"), sc.failed_duration(F.col("t")).alias("failed_s"))
+    summary = F.regexp_replace(F.array_join(sc.log_problems(F.col("t")), ", "), "^$", "unknown/other")
+    return rows.select("doc_id", summary.alias("summary"), sc.log_segments(F.col("t")).alias("segments"), sc.failed_duration(F.col("t")).alias("failed_s"))
 
 
 def q_log_merge(spark, d):

@@ -393,3 +393,20 @@ def test_query_texts(spark):
     rows = [(1, 0, "abcd", ""), (1, 1, "a line of it", "told"), (1, 2, None, "[严重程度:2/5][场景:B] a scene"), (1, 3, "", None), (1, 4, None, None)]
     got = naming.query_texts(spark.createDataFrame(rows, "stream_id long, match_ord long, snippet string, description string"), m, s)
     assert {r.match_ord: r.query for r in got.collect()} == {0: "ccc ddd eee fff ggg", 1: "a line of it", 2: "a scene", 3: "", 4: "x" * 100}
+
+
+def test_log_problems_try_patterns_only_where_a_mark_stands(spark):
+    from spanloom.functions import scalars as sc
+
+    texts = [
+        "H264_MP4TOANNEXB filter\nfailed", "h264_mp4toannexb: Failed", "decode_slice_header x, pts is invalid", "no framework", "NO FRAME!", "scripts\ninvalid", "non monotonic", "monotonic", "AAC: error\nmoov atom not found", "encoder not found", "encoder not found: failed",
+        "Concat output duration is too short: 3s, segment(s) 4, 2", "", None,
+    ]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", sc.log_problems(F.col("t")).alias("p"), sc.log_segments(F.col("t")).alias("s"), sc.failed_duration(F.col("t")).alias("f"))
+    got = [(r.p, r.s, r.f) for r in rows.orderBy("i").collect()]
+    bit, time = "bitstream_corruption", "timestamp_discontinuity"
+    want = [[], [bit], [bit, time], [], [bit], [], [time], [], ["audio_decode_fail", "demux_error"], [], ["hw_unavailable"], ["duration_truncated"], [], []]
+    assert [g[0] for g in got] == want
+    assert got[11][1:] == ([1, 3], 3.0) and got[12][1:] == ([], None) and got[13][1:] == (None, None)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(lower(t" in plan and "lambdafunction(isnotnull(namedlambda" not in plan
