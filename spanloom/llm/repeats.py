@@ -17,8 +17,9 @@ document with a smaller key. Texts of all documents are never sorted together:
 
 Records are packed column by column into blobs, one for each batch and range of
 hashes, and texts travel compressed. The stretches of anchors with very many
-different ones are cut into their single strings, which are never sorted: the
-least key of each string is aggregated and the occurrences of larger keys go.
+different ones are cut into their single strings, which are never sorted: they
+go through step 2 once more, with two hashes of the string for anchor and
+content, and those of larger keys go.
 """
 
 from __future__ import annotations
@@ -117,6 +118,21 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     return six(8), six(8 + 6 * n), np.repeat(doc, runs), np.repeat(tag, runs), np.cumsum(first, dtype=np.int64), more.astype(np.int64)
 
 
+def _blobs(cols: list[np.ndarray], parts: int) -> tuple[np.ndarray, list[bytes]]:
+    """(part, blob) of records (anchor, content, key, tag, first, more), dealt by anchor; copies of a record at hand with a smaller key go to the parts from ``parts`` on."""
+    content, doc = cols[1], cols[2]
+    order = np.argsort(content, kind="stable")
+    new = np.flatnonzero(np.r_[True, content[order][1:] != content[order][:-1]])
+    least = np.repeat(np.minimum.reduceat(doc[order], new), np.diff(np.r_[new, len(order)]))
+    copy = np.empty(len(order), bool)
+    copy[order] = doc[order] > least
+    part = (cols[0] >> np.uint64(44)).astype(np.int64) % parts
+    part[copy] = parts + doc[copy] % parts
+    by = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, part[by][1:] != part[by][:-1]])
+    return part[by[cuts]].astype(np.int32), [_pack(*(x[by[i:j]] for x in cols)) for i, j in zip(cuts, np.r_[cuts[1:], len(by)])]
+
+
 def _scan(parts: int):
     """(key, tag, text) to (part, blob): records by anchor; from part ``parts`` on, stretches found to be copies already."""
 
@@ -131,33 +147,22 @@ def _scan(parts: int):
                     found.append((a, c, np.full(len(a), keys[i]), np.full(len(a), tags[i]), f, m))
             if not found:
                 continue
-            cols = [np.concatenate(x) for x in zip(*found)]
-            content, doc = cols[1], cols[2]
-            order = np.argsort(content, kind="stable")
-            new = np.flatnonzero(np.r_[True, content[order][1:] != content[order][:-1]])
-            least = np.repeat(np.minimum.reduceat(doc[order], new), np.diff(np.r_[new, len(order)]))
-            copy = np.empty(len(order), bool)
-            copy[order] = doc[order] > least
-            part = (cols[0] >> np.uint64(44)).astype(np.int64) % parts
-            part[copy] = parts + doc[copy] % parts
-            by = np.argsort(part, kind="stable")
-            cuts = np.flatnonzero(np.r_[True, part[by][1:] != part[by][:-1]])
-            blobs = [_pack(*(x[by[i:j]] for x in cols)) for i, j in zip(cuts, np.r_[cuts[1:], len(by)])]
-            yield pa.RecordBatch.from_arrays([pa.array(part[by[cuts]].astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _blobs([np.concatenate(x) for x in zip(*found)], parts)], ["part", "blob"])
 
     return run
 
 
-_RANGES = ["key", "tag", "first", "more", "anchor"]
+_RANGES = ["key", "tag", "first", "more", "anchor", "hot"]
 
 
-def _resolve(parts: int):
-    """Blobs, sorted by part, to ranges (key, tag, first, more, anchor): anchor is null for copies, and set for stretches still to compare."""
+def _resolve(parts: int, hot: int):
+    """Blobs, sorted by part, to ranges (key, tag, first, more, anchor, hot): anchor is null for copies, and set for stretches still to compare; hot: its anchor has more than ``hot`` of them."""
 
     def settle(part: int, blobs: list[bytes]) -> pa.RecordBatch | None:
         anchor, content, doc, tag, first, more = (np.concatenate(x) for x in zip(*map(_unpack, blobs)))
         if part >= parts:
             out, open_ = np.arange(len(doc)), np.zeros(len(doc), bool)
+            crowd = open_
         else:
             order = np.lexsort((doc, content, anchor))
             anchor, content, doc, tag, first, more = (x[order] for x in (anchor, content, doc, tag, first, more))
@@ -169,12 +174,13 @@ def _resolve(parts: int):
             mixed = (np.bincount(group[new_c]) > 1) & (np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts))
             # Equal stretches of the smallest key, repeats inside one document among them, are all compared.
             open_ = ~copy & mixed[group]
+            crowd = np.bincount(group, open_)[group] > hot
             out = np.flatnonzero(copy | open_)
         if not len(out):
             return None
         cols = [pa.array(doc[out]), pa.array(tag[out].astype(np.int32)), pa.array(first[out].astype(np.int32)), pa.array(more[out].astype(np.int32))]
         marks = pa.array(anchor[out].view(np.int64) ^ (part << 48), mask=~open_[out])
-        return pa.RecordBatch.from_arrays([*cols, marks], _RANGES)
+        return pa.RecordBatch.from_arrays([*cols, marks, pa.array(crowd[out] & open_[out])], _RANGES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = -1, []
@@ -197,41 +203,50 @@ def _squeeze(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.compress(t.encode()) for t in batch.column(2).to_pylist()], pa.binary())], ["key", "tag", "z"])
 
 
-def _cut_out(batches: Iterator[pa.RecordBatch], most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
-    """(key, tag, z, stretches) to (anchor, deals, key, tag, first, bytes); stretches with deals give their strings one by one."""
-    d = zstandard.ZstdDecompressor()
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+def strings(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each string of WIDTH bytes, the second one from those of its halves."""
+    half = rolling(data, WIDTH // 2)
+    with np.errstate(over="ignore"):
+        return rolling(data, WIDTH), _mix(_mix(half[: len(data) - WIDTH + 1]) + half[WIDTH // 2 :] * np.uint64(3))
 
-    def pack(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["anchor", "deals", "key", "tag", "first", "bytes"])
 
-    for batch in batches:
-        out: list[tuple] = []
-        for key, tag, z, rows in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
-            data = d.decompress(z)
-            for anchor, first, more, deals in zip(*(rows.values.field(k).to_pylist() for k in range(4))):
-                if deals:
-                    out += [(anchor, deals, key, tag, s, data[s : s + WIDTH]) for s in range(first, first + more + 1)]
-                else:
-                    out.append((anchor, 0, key, tag, first, data[first : first + more + WIDTH]))
-                if len(out) >= most:
-                    yield pack(out)
-                    out = []
-        yield pack(out)
+def _cut_out(parts: int, most: int = 1 << 22):
+    """(key, tag, z, stretches) to (anchor, key, tag, first, bytes, part): pieces to be sorted; hot stretches give blobs with a record for each of their strings instead, which have a part."""
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
 
+    def pack(out: list[tuple], hot: list[tuple]) -> pa.RecordBatch:
+        if hot:
+            key, tag, first, pieces = zip(*hot)
+            sizes = np.array([len(p) for p in pieces])
+            n = sizes - WIDTH + 1
+            turn = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = np.repeat(np.cumsum(sizes) - sizes, n) + turn
+            anchor, content = strings(np.frombuffer(b"".join(pieces), np.uint8))
+            cols = [anchor[at], content[at], np.repeat(key, n), np.repeat(tag, n), np.repeat(first, n) + turn, np.zeros(len(at), np.int64)]
+            out = out + [(None, None, None, None, blob, part) for part, blob in zip(*_blobs(cols, parts))]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["anchor", "key", "tag", "first", "bytes", "part"])
 
-def _later(strings: DataFrame) -> DataFrame:
-    """Ranges of the single strings (deals, key, tag, first, bytes) that a smaller key has too.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = zstandard.ZstdDecompressor()
+        for batch in batches:
+            out: list[tuple] = []
+            hot: list[tuple] = []
+            size = 0
+            for key, tag, z, rows in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
+                data = d.decompress(z)
+                for anchor, first, more, many in zip(*(rows.values.field(k).to_pylist() for k in range(4))):
+                    piece = data[first : first + more + WIDTH]
+                    size += len(piece)
+                    if many:
+                        hot.append((key, tag, first, piece))
+                    else:
+                        out.append((anchor, key, tag, first, piece, None))
+                if size >= most:
+                    yield pack(out, hot)
+                    out, hot, size = [], [], 0
+            yield pack(out, hot)
 
-    A string's occurrences are dealt by their place, so no task meets all of a
-    frequent one: each deal finds its least and greatest key, these give the
-    string's, and they go back to the deals.
-    """
-    dealt = strings.select("bytes", F.pmod(F.xxhash64("key", "tag", "first"), F.col("deals")).alias("deal"), "key", "tag", "first")
-    deals = dealt.groupBy("bytes", "deal").agg(F.min("key").alias("low"), F.max("key").alias("high"))
-    least = deals.groupBy("bytes").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("bytes", "least")
-    told = deals.join(least, "bytes").where("high > least").select("bytes", "deal", "least")
-    return dealt.join(told, ["bytes", "deal"]).where("key > least").select("key", "tag", "first", F.lit(0).alias("more"))
+    return run
 
 
 def repeated_strings(pieces: list[bytes], keys: list[int]) -> list[tuple[int, int, int]]:
@@ -363,7 +378,8 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     and rows without a key neither remove nor lose any. Texts of fewer than 50
     bytes stay whole. An empty table gives an empty result; other columns are
     not read. Hashes only choose what is compared, but for stretches found
-    equal in step 2, whose content hash (48 bits, within one anchor) is trusted.
+    equal in step 2, whose content hash (48 bits, within one anchor) is trusted;
+    so are the two hashes (48 bits each) of the strings of hot anchors.
     """
     spark = docs.sparkSession
     n = partitions(spark)
@@ -371,17 +387,16 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.pmod(F.xxhash64(body), F.lit(1 << 16)).cast("int").alias("tag"), body.alias("t"))
     keyed = rows.where("key is not null")
-    records = keyed.mapInArrow(_scan(parts), "part int, blob binary").repartition(n, "part").sortWithinPartitions("part")
-    ranges = stored(records.mapInArrow(_resolve(parts), "key long, tag int, first int, more int, anchor long"), "ranges")
+    settled = lambda blobs: blobs.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_resolve(parts, hot), "key long, tag int, first int, more int, anchor long, hot boolean")
+    ranges = stored(settled(keyed.mapInArrow(_scan(parts), "part int, blob binary")), "ranges", release=True)
 
-    open_ = ranges.where("anchor is not null")
-    crowd = open_.groupBy("anchor").count().where(F.col("count") > hot).select("anchor", F.ceil(F.col("count") * 16 / hot).cast("int").alias("deals"))
-    wanted = open_.join(crowd, "anchor", "left").select("key", "tag", F.struct("anchor", "first", "more", F.coalesce("deals", F.lit(0)).alias("deals")).alias("r"))
-    wanted = wanted.groupBy("key", "tag").agg(F.collect_list("r").alias("rs"))
+    wanted = ranges.where("anchor is not null").groupBy("key", "tag").agg(F.collect_list(F.struct("anchor", "first", "more", "hot")).alias("rs"))
     packed = keyed.mapInArrow(lambda it: (_squeeze(b) for b in it if b.num_rows), "key long, tag int, z binary")
-    pieces = stored(packed.join(wanted, ["key", "tag"]).mapInArrow(_cut_out, "anchor long, deals long, key long, tag int, first int, bytes binary"), "pieces")
-    sorted_ = pieces.where("deals = 0").select("anchor", "key", "tag", "first", "bytes").repartition(n, "anchor").sortWithinPartitions("anchor")
-    compared = stored(sorted_.mapInArrow(_sort_suffixes(), "key long, tag int, first int, more int").union(_later(pieces.where("deals > 0"))), "compared")
+    pieces = stored(packed.join(wanted, ["key", "tag"]).mapInArrow(_cut_out(parts), "anchor long, key long, tag int, first int, bytes binary, part int"), "pieces", release=True)
+    sorted_ = pieces.where("part is null").select("anchor", "key", "tag", "first", "bytes").repartition(n, "anchor").sortWithinPartitions("anchor")
+    # Equal records are equal strings here, so no string is left open.
+    single = settled(pieces.where("part is not null").select("part", F.col("bytes").alias("blob"))).where("anchor is null").select("key", "tag", "first", "more")
+    compared = stored(sorted_.mapInArrow(_sort_suffixes(), "key long, tag int, first int, more int").union(single), "compared", release=True)
 
     # A document lists each of its stretches at most once a step, so its list is as long as its text at most.
     gone = ranges.where("anchor is null").select("key", "tag", "first", "more").union(compared)

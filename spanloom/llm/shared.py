@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a new one where it is unset and Spark runs on this machine alone (tests)."""
     sc = spark.sparkContext
@@ -35,10 +38,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written as Parquet below the shared folder and read again."""
+def stored(df: DataFrame, name: str, *, release: bool = False) -> DataFrame:
+    """The same rows, written as Parquet below the shared folder and read again; release: the shuffles that made them are deleted at once, not when the driver next collects its garbage."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_RELEASE)
+    try:
+        if release:
+            spark.conf.set(_RELEASE, "true")
+        df.select("*").write.parquet(path)  # a frame of its own, made under the setting
+    finally:
+        spark.conf.set(_RELEASE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
