@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from spanloom.functions.scalars import transcript_line
 from spanloom.operators import responses as rs
 from spanloom.operators.review import enabled_types
-from spanloom.sources.checkpoints import cut
+from spanloom.sources.checkpoints import dealt
 
 REQUEST = ["content_type", "stream_id", "phase", "request"]
 Annotate = Callable[[DataFrame], DataFrame]
@@ -109,12 +109,12 @@ def ask(requests: DataFrame, annotate: Annotate) -> DataFrame:
     so that what is read later is what was answered. Answers to nothing drop out;
     of several to one request the least text counts.
     """
-    asked = cut(requests)
+    asked = dealt(requests)
     said = annotate(asked)
     if missing := {*REQUEST, "raw"} - set(said.columns):
         raise ValueError(f"annotate gives no {', '.join(sorted(missing))}")
     once = said.groupBy(*REQUEST).agg(F.min("raw").alias("raw"))
-    return cut(asked.select(*REQUEST, "lo", "hi").join(once, REQUEST, "left"))
+    return dealt(asked.select(*REQUEST, "lo", "hi").join(once, REQUEST, "left"))
 
 
 def annotated(segments: DataFrame, types: list[ContentType], annotate: Annotate) -> DataFrame:

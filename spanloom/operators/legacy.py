@@ -1,7 +1,8 @@
 """The older run over a first annotation: review, over-long recheck, missed recheck, review again.
 
 Each stage asks a caller's annotate function (see annotate.py) about all streams
-at once and keeps its result before the next one begins (eager actions).
+at once and keeps its result, dealt by stream, before the next one begins (eager
+actions).
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql.window import Window
 from spanloom.functions.scalars import UNNAMED, title_key
 from spanloom.operators import annotate as an, coverage as cv, intervals as iv, matches as mt, responses as rs, review as rv, stages as st
 from spanloom.operators.intervals import MATCH
-from spanloom.sources.checkpoints import cut
+from spanloom.sources.checkpoints import dealt
 
 MEMBER = ["stream_id", "match_ord", "title", "confidence", "idx"]
 
@@ -66,9 +67,9 @@ def review(members: DataFrame, segments: DataFrame, annotate: an.Annotate, searc
     fewer than its cluster stay whole across gaps. What conflicts are left are
     settled by evidence.
     """
-    n = st.normalised(members, segments, gap_s=rules.gap_s, cap_s=rules.cap_s)
-    rows, suspicious = cut(n.members), cut(n.flags.select(*MATCH).distinct())
-    clusters = cut(mt.clusters(mt.conflict_edges(rows, suspicious, span=rules.span, nearby=rules.nearby), suspicious))
+    n = st.normalised(members, segments, gap_s=rules.gap_s, cap_s=rules.cap_s, keep=dealt)
+    rows, suspicious = dealt(n.members), dealt(n.flags.select(*MATCH).distinct())
+    clusters = dealt(mt.clusters(mt.conflict_edges(rows, suspicious, span=rules.span, nearby=rules.nearby), suspicious))
     ranges = rv.cluster_ranges(rows, clusters).where(F.col("hi") - F.col("lo") + 1 <= rules.span)
     item = F.to_json(F.sort_array(F.collect_list(F.struct(F.col("match_ord").alias("id"), "title", "lo", "hi"))))
     notes = mt.heads(rows).join(clusters, MATCH).groupBy("stream_id", "cluster").agg(item.alias("note"))
@@ -85,7 +86,7 @@ def review(members: DataFrame, segments: DataFrame, annotate: an.Annotate, searc
     loses = F.col("named") & ~F.coalesce("names", F.lit(False))
     fine = F.coalesce("read", F.lit(False)) & F.col("clash").isNull() & ~loses
     verdict = own.join(read, key, "left").join(given, key, "left").join(clash, key, "left").select(*key, fine.alias("taken"), F.coalesce(F.col("given") < F.col("own"), F.lit(False)).alias("whole"))
-    verdict = cut(verdict)
+    verdict = dealt(verdict)
 
     good = answers.join(verdict.where("taken"), key)
     split = iv.split_at_gaps(good, segments, rules.gap_s).withColumn("part", F.when(F.col("whole"), 0).otherwise(F.col("part")))
@@ -100,8 +101,8 @@ def review(members: DataFrame, segments: DataFrame, annotate: an.Annotate, searc
         .union(kept.select(*MEMBER, F.lit(1), "cluster", F.col("lo"), F.col("match_ord"))).union(split.select(*MEMBER, F.lit(1), "cluster", F.col("match_ord"), F.col("part").cast("long")))
     ).toDF(*columns)
     listed = _listed(every, ["kind", "cluster", "a", "b"])
-    final = cut(st.normalised(listed, segments, gap_s=rules.gap_s, cap_s=rules.cap_s).members)
-    out = cut(st.residual_pass(final, segments, searched, span=rules.span, cap_s=rules.cap_s, merge_s=rules.merge_s))
+    final = dealt(st.normalised(listed, segments, gap_s=rules.gap_s, cap_s=rules.cap_s, keep=dealt).members)
+    out = dealt(st.residual_pass(final, segments, searched, span=rules.span, cap_s=rules.cap_s, merge_s=rules.merge_s))
     return Run(out, _audit(phase, members, out, said, verdict.where("taken")))
 
 
@@ -110,12 +111,12 @@ def overlong_recheck(members: DataFrame, segments: DataFrame, annotate: an.Annot
     parts = iv.split_at_gaps(members, segments, rules.gap_s).select(*MEMBER, "part")
     long = cv.overlong(members, segments, rules.gap_s, rules.cap_s)
     number = (F.row_number().over(Window.partitionBy("stream_id").orderBy("match_ord", "part")) - 1).cast("long")
-    asked = cut(long.withColumn("request", number))
+    asked = dealt(long.withColumn("request", number))
     wide = iv.expanded(asked, segments, rules.context).select("stream_id", "request", "lo", "hi", F.lit(None).cast("string").alias("note"))
     said = an.ask(an.range_requests(wide, segments, rules.kind, "overlong"), annotate)
     answers = rules.kind.parse(said).join(asked.select("stream_id", "request", "lo", "hi"), ["stream_id", "request"]).where(F.col("idx").between(F.col("lo"), F.col("hi"))).select(*MEMBER, "request")
     still = cv.overlong(answers, segments, rules.gap_s, rules.cap_s).select(*MATCH).distinct().join(answers.select(*MATCH, "request").distinct(), MATCH).select("stream_id", "request").distinct()
-    taken = cut(answers.select("stream_id", "request").distinct().join(still, ["stream_id", "request"], "left_anti"))
+    taken = dealt(answers.select("stream_id", "request").distinct().join(still, ["stream_id", "request"], "left_anti"))
 
     zero = F.lit(0).cast("long")
     affected = asked.select(*MATCH).distinct()
@@ -125,20 +126,20 @@ def overlong_recheck(members: DataFrame, segments: DataFrame, annotate: an.Annot
     every = (
         members.join(affected, MATCH, "left_anti").select(*MEMBER, zero.alias("part"), zero.alias("b")).union(old.select(*MEMBER, F.col("part").cast("long"), zero)).union(new.select(*MEMBER, F.col("part").cast("long"), "b"))
     ).withColumn("a", F.col("match_ord"))
-    out = cut(_listed(every, ["a", "part", "b"]))
+    out = dealt(_listed(every, ["a", "part", "b"]))
     return Run(out, _audit("overlong", members, out, said, taken))
 
 
 def missed_recheck(members: DataFrame, segments: DataFrame, annotate: an.Annotate, rules: Rules) -> Run:
     """Asks about the uncovered ranges that are long enough, packed into windows; answers are cropped to those ranges, and normalised and merged together with what there was."""
     targets = iv.range_seconds(iv.chunked(iv.uncovered(segments, members), rules.chunk), segments).where(F.col("seconds") >= rules.least_s)
-    targets = cut(targets.select("stream_id", "lo", "hi"))
+    targets = dealt(targets.select("stream_id", "lo", "hi"))
     windows = iv.packed(targets, rules.pack).groupBy("stream_id", F.col("window").alias("request")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     wide = iv.expanded(windows, segments, rules.context).withColumn("note", F.lit(None).cast("string"))
     said = an.ask(an.range_requests(wide, segments, rules.kind, "missed"), annotate)
     shown = rules.kind.parse(said).join(said.select("stream_id", "request", "lo", "hi"), ["stream_id", "request"]).where(F.col("idx").between(F.col("lo"), F.col("hi"))).select(*MEMBER, "request")
-    extra = cut(cv.crop(shown, targets))
-    out = cut(st.finish_recheck(members, extra.select(*MEMBER), segments, gap_s=rules.gap_s, cap_s=rules.cap_s).select(*MEMBER))
+    extra = dealt(cv.crop(shown, targets))
+    out = dealt(st.finish_recheck(members, extra.select(*MEMBER), segments, gap_s=rules.gap_s, cap_s=rules.cap_s, keep=dealt).select(*MEMBER))
     return Run(out, _audit("missed", members, out, said, extra.select("stream_id", "request").distinct()))
 
 

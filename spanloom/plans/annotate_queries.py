@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import annotate as an, legacy as lg, matches as mt, stages as st
 from spanloom.plans import match_queries as mq, stage_queries as sq
-from spanloom.plans.inputs import members, segments, with_inputs
+from spanloom.plans.inputs import both, segments, with_inputs
 from spanloom.sources.checkpoints import cut
 
 GAP, CAP = mq.GAP, mq.SOFT_MAX
@@ -58,8 +58,8 @@ def by_turns(requests):
 
 
 def _legacy(spark, d):
-    first = cut(members(spark, d).where("title <> 'purchase'"))
-    return lg.legacy_run(first, cut(segments(spark, d)), by_turns, RULES, searched=sq._searched(spark))
+    every, segs = both(spark, d)
+    return lg.legacy_run(every.where("title <> 'purchase'"), segs, by_turns, RULES, searched=sq._searched(spark))
 
 
 def q_legacy(spark, d):
