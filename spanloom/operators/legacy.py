@@ -77,7 +77,7 @@ def review(members: DataFrame, segments: DataFrame, annotate: an.Annotate, searc
     said = an.ask(an.range_requests(wide, segments, rules.kind, phase), annotate)
 
     answers = rules.kind.parse(said).join(said.select("stream_id", "request", "lo", "hi"), ["stream_id", "request"]).where(F.col("idx").between(F.col("lo"), F.col("hi")))
-    answers = answers.select("stream_id", F.col("request").alias("cluster"), "match_ord", "title", "confidence", "idx")
+    answers = dealt(answers.select("stream_id", F.col("request").alias("cluster"), "match_ord", "title", "confidence", "idx"))
     key = ["stream_id", "cluster"]
     given = answers.groupBy(*key).agg(F.count_distinct("match_ord").alias("given"), F.bool_or(_named("title")).alias("names"))
     own = mt.heads(rows).join(clusters, MATCH).groupBy(*key).agg(F.count("*").alias("own"), F.bool_or(_named("title")).alias("named"))
@@ -114,7 +114,7 @@ def overlong_recheck(members: DataFrame, segments: DataFrame, annotate: an.Annot
     asked = dealt(long.withColumn("request", number))
     wide = iv.expanded(asked, segments, rules.context).select("stream_id", "request", "lo", "hi", F.lit(None).cast("string").alias("note"))
     said = an.ask(an.range_requests(wide, segments, rules.kind, "overlong"), annotate)
-    answers = rules.kind.parse(said).join(asked.select("stream_id", "request", "lo", "hi"), ["stream_id", "request"]).where(F.col("idx").between(F.col("lo"), F.col("hi"))).select(*MEMBER, "request")
+    answers = dealt(rules.kind.parse(said).join(asked.select("stream_id", "request", "lo", "hi"), ["stream_id", "request"]).where(F.col("idx").between(F.col("lo"), F.col("hi"))).select(*MEMBER, "request"))
     still = cv.overlong(answers, segments, rules.gap_s, rules.cap_s).select(*MATCH).distinct().join(answers.select(*MATCH, "request").distinct(), MATCH).select("stream_id", "request").distinct()
     taken = dealt(answers.select("stream_id", "request").distinct().join(still, ["stream_id", "request"], "left_anti"))
 
